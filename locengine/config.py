@@ -34,6 +34,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Rows sent to Python workers can be large (packages, batches, documents).
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
 
 

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from locengine.config import LIMITS, Limits, materialise
 from locengine.functions.text import Profile, profile
@@ -62,7 +63,8 @@ def translate_batches(
             yield pdf.assign(reply=pd.Series(replies, index=pdf.index, dtype=object))
 
     spread = batches.repartition(concurrency) if concurrency else batches
-    return spread.mapInPandas(call, batches.schema.add("reply", "string"))
+    schema = T.StructType([*batches.schema.fields, T.StructField("reply", T.StringType())])
+    return spread.mapInPandas(call, schema)
 
 
 def python_class(chars: str) -> str:
@@ -108,8 +110,13 @@ def retry_single(
             )
 
     base = rows.select(*[c for c in rows.columns if c != "translated_text"])
-    schema = base.schema.add("translated_text", "string").add("retry_count", "int").add(
-        "accepted", "boolean"
+    schema = T.StructType(
+        [
+            *base.schema.fields,
+            T.StructField("translated_text", T.StringType()),
+            T.StructField("retry_count", T.IntegerType()),
+            T.StructField("accepted", T.BooleanType()),
+        ]
     )
     warned = rows.withColumn("_warning", retry_warning(F.col("text"), F.lit(2)))
     spread = warned.repartition(concurrency) if concurrency else warned

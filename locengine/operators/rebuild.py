@@ -61,7 +61,10 @@ def replace_tokens(raw: Column, tokens: Column) -> Column:
         return F.transform(
             F.sequence(F.lit(1), F.size(parts) - 1),
             lambda k: F.struct(
-                (-F.length(F.array_join(F.slice(parts, 1, k), t["text"]))).alias("rank"),
+                (
+                    -F.length(F.array_join(F.slice(parts, 1, k), ""))
+                    - (k - 1) * F.length(t["text"])
+                ).alias("rank"),
                 t["seq"].alias("seq"),
                 F.length(t["text"]).alias("length"),
                 t["target"].alias("target"),

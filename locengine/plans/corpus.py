@@ -17,6 +17,7 @@ from locengine.operators.ordering import pack_batches
 from locengine.operators.quality import classify, confidence_stats
 from locengine.operators.rebuild import rebuild_documents
 from locengine.operators.review import xliff_lines
+from locengine.operators.runs import office_segments
 
 NO_TEXT = "no translatable text"
 UNSUPPORTED = "unsupported type"
@@ -34,6 +35,33 @@ class CorpusResult:
     memory: DataFrame | None = None
 
 
+def extract_documents(
+    docs: DataFrame, paragraphs: DataFrame, p: str | Profile = "ja"
+) -> DataFrame:
+    """Segments of text documents (``doc_id, file_type, text``) and of office paragraphs;
+    a document that cannot be read is one row with ``error`` and no text."""
+    columns = ["doc_id", "file_type", "location", "type", "cell_index", "text", "error"]
+    none = F.lit(None)
+    is_text = F.coalesce(F.col("file_type").isin(*TEXT_TYPES), F.lit(False))
+    text = extract_text(docs.filter(is_text), p, ("doc_id", "file_type"))
+    office = office_segments(paragraphs.filter("error IS NULL").drop("error"), p)
+    unsupported = docs.filter(~is_text).select(
+        "doc_id", "file_type", F.lit(UNSUPPORTED).alias("error")
+    )
+    unreadable = paragraphs.filter("error IS NOT NULL").select("doc_id", "file_type", "error")
+    failed = unsupported.unionByName(unreadable)
+    return (
+        text.withColumn("error", none.cast("string"))
+        .select(*columns)
+        .unionByName(
+            office.withColumn("cell_index", none.cast("int"))
+            .withColumn("error", none.cast("string"))
+            .select(*columns)
+        )
+        .unionByName(failed, allowMissingColumns=True)
+    )
+
+
 def infer_misses(
     segments: DataFrame,
     memory: DataFrame,

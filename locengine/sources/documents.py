@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Supported file types.
 SUPPORTED = ("docx", "xlsx", "pptx", "pdf", "md", "txt", "csv")
@@ -90,7 +91,7 @@ def decode_bytes(raw: bytes) -> tuple[str, str]:
     return best[1], best[2]
 
 
-@F.pandas_udf("struct<text:string,encoding:string>")
+@F.pandas_udf(T.StructType().add("text", "string").add("encoding", "string"))
 def _decode(contents: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for raw in contents:
         pairs = [(None, None) if b is None else decode_bytes(bytes(b)) for b in raw]
