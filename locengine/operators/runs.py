@@ -112,8 +112,9 @@ def strip_heavy_tags(
     split at sentence ends; all others pass unchanged."""
     word = F.col("part").startswith("word/")
     heavy = word & (tag_count(F.col("text")) > max_tags)
-    plain = segments.withColumn("text", F.when(heavy, strip_tags(F.col("text"))).otherwise(
-        F.col("text"))).withColumn("_heavy", heavy)
+    marked = segments.withColumn("_heavy", heavy)
+    text = F.when(F.col("_heavy"), strip_tags(F.col("text"))).otherwise(F.col("text"))
+    plain = marked.withColumn("text", text)
     split = split_pieces(plain.filter("_heavy"), max_chars, p)
     whole = plain.filter("NOT _heavy").withColumn("piece", F.lit(None).cast("int"))
     return split.unionByName(whole).drop("_heavy")
