@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -65,20 +66,31 @@ def profile(p: str | Profile) -> Profile:
     return p if isinstance(p, Profile) else PROFILES[p]
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip_ws(c: Column) -> Column:
     return F.trim(c, F.lit(WHITESPACE))
 
 
+def is_ascii(c: Column) -> Column:
+    """All script and letter classes below lie outside ASCII, and comparing two lengths is
+    far cheaper than a search that finds nothing."""
+    return F.octet_length(c) == F.length(c)
+
+
 def is_blank(c: Column) -> Column:
     return c.isNull() | (strip_ws(c) == "")
 
 
 def has_script(c: Column, p: str | Profile = "ja") -> Column:
-    return F.coalesce(c.rlike(f"[{profile(p).script}]"), F.lit(False))
+    return F.coalesce(~is_ascii(c) & c.rlike(f"[{profile(p).script}]"), F.lit(False))
 
 
 def has_leak(c: Column, p: str | Profile = "ja") -> Column:
-    return F.coalesce(c.rlike(f"[{profile(p).leak}]"), F.lit(False))
+    return F.coalesce(~is_ascii(c) & c.rlike(f"[{profile(p).leak}]"), F.lit(False))
 
 
 # URL, e-mail, spreadsheet formula, number or arithmetic. Digits and word characters are
@@ -127,10 +139,9 @@ def tags_match(source: Column, target: Column, self_closing: bool = False) -> Co
 
 def line_array(c: Column) -> Column:
     """Lines of a text; a final line end opens no further line."""
-    parts = F.split(c, "\r\n|\r|\n", -1)
-    return F.when(
-        F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)
-    ).otherwise(parts)
+    unix = F.when(c.contains("\r"), F.regexp_replace(c, "\r\n?", "\n")).otherwise(c)
+    body = F.when(unix.endswith("\n"), F.left(unix, F.length(unix) - 1)).otherwise(unix)
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n", -1))
 
 
 def sentence_pieces(c: Column, max_chars: int, p: str | Profile = "ja") -> Column:
@@ -246,27 +257,34 @@ def truncate_width(c: Column, n: int) -> Column:
             fits.alias("open"),
         )
 
+    # No more than n characters that take room can be kept, so only that prefix is measured.
+    head = F.regexp_extract(
+        c, f"^[{ZERO_CLASS}]*+(?:[^{ZERO_CLASS}][{ZERO_CLASS}]*+){{0,{n}}}+", 0
+    )
     kept = F.aggregate(
-        F.split(c, ""),
+        F.split(head, ""),
         F.struct(
             F.lit(0).alias("used"), F.lit(0).alias("kept"), F.lit(True).alias("open")
         ),
         step,
         lambda acc: acc["kept"],
     )
-    return F.when(visual_width(c) <= n, c).otherwise(c.substr(F.lit(1), kept))
+    plain = c.substr(F.lit(1), F.lit(n + 1)).rlike(rf"^{_PLAIN}\z")
+    return F.when(plain, c.substr(F.lit(1), F.lit(n))).otherwise(c.substr(F.lit(1), kept))
 
 
 # ---- spacing and line prefixes --------------------------------------------------------
 
 _FOREIGN = r"[\p{L}&&[^\x00-\x7F]]"
+# Every boundary is before a capital or digit; that is looked at first.
 _BOUNDARY = (
+    r"(?=[\p{IsUppercase}0-9])(?:"
     # accented word, then an ASCII capital or digit
-    rf"(?<=\p{{IsLowercase}})(?<={_FOREIGN}.{{0,2}})(?=[A-Z0-9])"
+    rf"(?=[A-Z0-9])(?<=\p{{IsLowercase}})(?<={_FOREIGN}.{{0,2}})"
     # ASCII word, then an accented capital
     r"|(?<=[A-Za-z])(?=[\p{IsUppercase}&&[^\x00-\x7F]])"
     # ASCII capital in an ASCII word, then a capitalised word with an accent near its start
-    rf"|(?<=[A-Z])(?<!{_FOREIGN}.{{0,3}})(?=[A-Z].{{0,2}}{_FOREIGN})"
+    rf"|(?<=[A-Z])(?<!{_FOREIGN}.{{0,3}})(?=[A-Z].{{0,2}}{_FOREIGN}))"
 )
 
 
@@ -276,7 +294,9 @@ def split_abbreviation(c: Column) -> Column:
 
 def fix_spacing(c: Column) -> Column:
     """Insert the missing space between accented and ASCII words."""
-    return F.regexp_replace(split_abbreviation(c), f"(?s){_BOUNDARY}", " ")
+    return F.when(is_ascii(c), split_abbreviation(c)).otherwise(
+        F.regexp_replace(split_abbreviation(c), f"(?s){_BOUNDARY}", " ")
+    )
 
 
 # Markdown prefixes in the order they are tried.

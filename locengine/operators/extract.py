@@ -17,6 +17,7 @@ from locengine.functions.text import (
     Profile,
     has_script,
     is_translatable,
+    let,
     line_array,
     line_location,
     profile,
@@ -59,16 +60,16 @@ def fence_blocks(text: Column) -> Column:
 
         return F.transform(F.sequence(F.lit(0), n), block)
 
-    lines = line_array(text)
-    fences = F.when(
-        text.contains(FENCE),
-        F.filter(
-            F.transform(lines, lambda line, i: F.when(is_fence(line), i)),
-            lambda i: i.isNotNull(),
-        ),
-    ).otherwise(F.array().cast("array<int>"))
-    both = F.array(F.struct(lines.alias("lines"), fences.alias("fences")))
-    return F.get(F.transform(both, lambda b: cut(b["lines"], b["fences"])), F.lit(0))
+    def fences_of(lines: Column) -> Column:
+        return F.when(
+            text.contains(FENCE),
+            F.filter(
+                F.transform(lines, lambda line, i: F.when(is_fence(line), i)),
+                lambda i: i.isNotNull(),
+            ),
+        ).otherwise(F.array().cast("array<int>"))
+
+    return let(line_array(text), lambda lines: let(fences_of(lines), lambda f: cut(lines, f)))
 
 
 def explode_lines(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -227,20 +228,30 @@ def dedup_segments(
 
 
 def split_pieces(
-    segments: DataFrame, max_chars: int = 400, p: str | Profile = "ja"
+    segments: DataFrame,
+    max_chars: int = 400,
+    p: str | Profile = "ja",
+    where: Column | None = None,
 ) -> DataFrame:
-    """Split over-long texts at sentence ends; ``location`` gets a ``[pK]`` suffix."""
-    pieces = segments.select(
-        "*", F.posexplode(sentence_pieces(F.col("text"), max_chars, p)).alias("_k", "_piece")
-    )
-    long = F.length("text") > max_chars
-    return pieces.select(
-        *[c for c in segments.columns if c not in ("text", "location")],
-        F.when(long, F.concat("location", F.lit("[p"), F.col("_k").cast("string"), F.lit("]")))
-        .otherwise(F.col("location"))
-        .alias("location"),
-        F.when(long, F.col("_k")).alias("piece"),
-        F.col("_piece").alias("text"),
+    """Split over-long texts at sentence ends; ``location`` gets a ``[pK]`` suffix.
+
+    Segments outside ``where`` stay whole. One pass: a whole segment is an array of one.
+    """
+    text = F.col("text")
+    long = (F.length(text) > max_chars) & (F.lit(True) if where is None else where)
+    pieces = F.when(long, sentence_pieces(text, max_chars, p)).otherwise(F.array(text))
+    suffix = F.concat(F.lit("[p"), F.col("_k").cast("string"), F.lit("]"))
+    return (
+        segments.withColumn("_long", F.coalesce(long, F.lit(False)))
+        .select("*", F.posexplode(pieces).alias("_k", "_piece"))
+        .select(
+            *[c for c in segments.columns if c not in ("text", "location")],
+            F.when(F.col("_long"), F.concat("location", suffix))
+            .otherwise(F.col("location"))
+            .alias("location"),
+            F.when(F.col("_long"), F.col("_k")).alias("piece"),
+            F.col("_piece").alias("text"),
+        )
     )
 
 

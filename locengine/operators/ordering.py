@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locengine.functions.text import let
+
 BUCKET = 2048
 
 
@@ -169,7 +171,7 @@ def pack_batches(
                 state(acc["batches"], acc["segs"] + b["n"], acc["chars"] + b["total"]),
             ).otherwise(state(acc["batches"] + end["batches"], end["segs"], end["chars"]))
 
-        return F.get(F.transform(F.array(first), leave), F.lit(0))
+        return let(first, leave)
 
     def _joins(h: Column, x: Column) -> Column:
         return (
@@ -243,4 +245,4 @@ def _emit(acc: Column, r: Column, advance) -> Column:
             ).alias("out"),
         )
 
-    return F.get(F.transform(F.array(advance(acc["s"], r["len"])), emitted), F.lit(0))
+    return let(advance(acc["s"], r["len"]), emitted)

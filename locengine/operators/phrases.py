@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from locengine.functions.text import strip_ws
 from locengine.operators.runs import FOOTNOTE_ANY
+from locengine.sources.arrow import explode_rows
 
 TEXTS_PER_GROUP = 1024
 
@@ -85,36 +86,24 @@ def apply_translation_map(
         F.collect_list(F.struct("source", "target", "seq")).alias("_map")
     )
 
-    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for row in pdf.to_dict("records"):
-                entries = row.pop("_map")
-                found = row.pop("_texts")
-                table = PhraseTable([] if entries is None else entries)
-                out = pd.DataFrame(
-                    {
-                        "seq": [t["seq"] for t in found],
-                        "text": [t["text"] for t in found],
-                        "translated_text": [
-                            table.replace(t["plain"]) if t["plain"] else None for t in found
-                        ],
-                    }
-                )
-                yield out.assign(**{key: row[key] for key in k})
-
-    fields = {f.name: f.dataType.simpleString() for f in texts.schema.fields}
-    schema = ", ".join(
-        [f"seq {fields['seq']}", "text string", "translated_text string"]
-        + [f"{key} {fields[key]}" for key in k]
-    )
-    partial = (
-        open_texts.join(maps, k, "left")
-        .select(*k, "_texts", "_map")
-        .mapInPandas(work, schema)
-        .withColumn(
-            "match_kind", F.when(F.col("translated_text").isNotNull(), "phrase")
-        )
+    def work(run: dict) -> Iterator[dict]:
+        table = PhraseTable(run["_map"] or [])
+        ids = {key: run[key] for key in k}
+        for t in run["_texts"]:
+            found = table.replace(t["plain"]) if t["plain"] else None
+            yield ids | {"seq": t["seq"], "text": t["text"], "translated_text": found}
+
+    schema = T.StructType(
+        [
+            *[texts.schema[key] for key in k],
+            texts.schema["seq"],
+            texts.schema["text"],
+            T.StructField("translated_text", T.StringType()),
+        ]
     )
+    partial = explode_rows(
+        open_texts.join(maps, k, "left").select(*k, "_texts", "_map"), work, schema
+    ).withColumn("match_kind", F.when(F.col("translated_text").isNotNull(), "phrase"))
     return whole.select(*k, "seq", "text", "translated_text", "match_kind").unionByName(
         partial.select(*k, "seq", "text", "translated_text", "match_kind")
     )

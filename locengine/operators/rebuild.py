@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locengine.functions.text import fix_spacing, line_array, rebuild_line, visual_width
+from locengine.functions.text import fix_spacing, let, line_array, rebuild_line, visual_width
 
 _NO_PAIRS = "array<struct<seq:bigint,text:string,target:string>>"
 
@@ -162,12 +162,8 @@ def _rewritten(raw: Column, e: Column) -> Column:
         )
 
     no = F.lit(False)
-    diagram = F.get(
-        F.transform(
-            F.array(replace_tokens(raw, e["tokens"])),
-            lambda d: out(d["line"], "diagram", d["overflow"]),
-        ),
-        F.lit(0),
+    diagram = let(
+        replace_tokens(raw, e["tokens"]), lambda r: out(r["line"], "diagram", r["overflow"])
     )
     return (
         F.when(F.size(e["cells"]) > 0, out(replace_cells(raw, e["cells"]), "cells", no))
@@ -201,7 +197,7 @@ def rewrite_lines(docs: DataFrame, segments: DataFrame) -> DataFrame:
             F.get("_lines", F.col("e.line_idx")).alias("raw"),
             "e",
         )
-        .withColumn("r", _rewritten(F.col("raw"), F.col("e")))
+        .select("*", F.explode(F.array(_rewritten(F.col("raw"), F.col("e")))).alias("r"))
         .select("doc_id", "line_idx", "raw", "r.line", "r.kind", "r.overflow")
     )
 

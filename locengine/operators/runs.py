@@ -16,6 +16,7 @@ from locengine.functions.text import (
     TAG,
     Profile,
     is_translatable,
+    let,
     strip_tags,
     strip_ws,
 )
@@ -29,28 +30,30 @@ RUNS = "array<struct<text:string,has_format:boolean,in_link:boolean>>"
 def keep_runs(runs: Column) -> Column:
     """Runs without footnote markers and without runs inside hyperlinks."""
     return F.filter(
-        runs, lambda r: ~strip_ws(r["text"]).rlike(FOOTNOTE) & ~r["in_link"]
+        runs,
+        lambda r: ~r["in_link"]
+        & ~(r["text"].contains("[") & strip_ws(r["text"]).rlike(FOOTNOTE)),
     )
 
 
 def drop_noise_runs(paragraphs: DataFrame) -> DataFrame:
     """Footnote markers and link anchors are noise in word-processing parts only."""
-    runs = F.when(F.col("part").startswith("word/"), keep_runs(F.col("runs")))
+    word = F.col("part").startswith("word/")
+    runs = F.when(word, keep_runs(F.col("runs")))
     return paragraphs.withColumn("runs", runs.otherwise(F.col("runs")))
 
 
 def numbered_runs(runs: Column) -> Column:
     """Runs with ``tag``: the 1-based number among formatted runs, null on plain ones."""
 
-    def number(both: Column) -> Column:
-        formatted = both["formatted"]
+    def number(runs: Column, formatted: Column) -> Column:
         n = F.size(formatted)
 
         def piece(k: Column) -> Column:
             start = F.when(k == 0, F.lit(0)).otherwise(F.get(formatted, k - 1) + 1)
-            stop = F.when(k == n, F.size(both["runs"])).otherwise(F.get(formatted, k) + 1)
+            stop = F.when(k == n, F.size(runs)).otherwise(F.get(formatted, k) + 1)
             return F.transform(
-                F.slice(both["runs"], start + 1, stop - start),
+                F.slice(runs, start + 1, stop - start),
                 lambda r: F.struct(
                     r["text"].alias("text"),
                     r["has_format"].alias("has_format"),
@@ -60,11 +63,12 @@ def numbered_runs(runs: Column) -> Column:
 
         return F.flatten(F.transform(F.sequence(F.lit(0), n), piece))
 
-    positions = F.filter(
-        F.transform(runs, lambda r, i: F.when(r["has_format"], i)), lambda i: i.isNotNull()
-    )
-    both = F.array(F.struct(runs.alias("runs"), positions.alias("formatted")))
-    return F.get(F.transform(both, number), F.lit(0))
+    def formatted(runs: Column) -> Column:
+        return F.filter(
+            F.transform(runs, lambda r, i: F.when(r["has_format"], i)), lambda i: i.isNotNull()
+        )
+
+    return let(runs, lambda r: let(formatted(r), lambda f: number(r, f)))
 
 
 def tagged_text(runs: Column) -> Column:
@@ -84,7 +88,10 @@ def tag_count(c: Column) -> Column:
 
 
 def tag_runs(paragraphs: DataFrame, p: str | Profile = "ja") -> DataFrame:
-    """One tagged segment per translatable paragraph, before splitting and dedup."""
+    """One tagged segment per translatable paragraph, before splitting and dedup.
+
+    Rows of packages that could not be read (``error`` set) pass through without text.
+    """
     location = F.concat(
         "part", F.lit(":"), "kind", F.lit("["), F.col("ordinal").cast("string"), F.lit("]")
     )
@@ -93,9 +100,14 @@ def tag_runs(paragraphs: DataFrame, p: str | Profile = "ja") -> DataFrame:
         .when(F.col("part").startswith("xl/drawings/"), "drawing")
         .otherwise("body")
     )
+    wanted = is_translatable(F.col("text"), p)
+    if "error" in paragraphs.columns:
+        wanted = wanted | F.col("error").isNotNull()
+    # The explode of one element keeps the filter above the tagging, which would otherwise
+    # be pushed down and computed a second time.
     return (
-        paragraphs.withColumn("text", tagged_text(F.col("runs")))
-        .filter(is_translatable(F.col("text"), p))
+        paragraphs.select("*", F.explode(F.array(tagged_text(F.col("runs")))).alias("text"))
+        .filter(wanted)
         .select(
             *[c for c in paragraphs.columns if c not in ("runs", "kind", "ordinal")],
             location.alias("location"),
@@ -115,9 +127,7 @@ def strip_heavy_tags(
     marked = segments.withColumn("_heavy", heavy)
     text = F.when(F.col("_heavy"), strip_tags(F.col("text"))).otherwise(F.col("text"))
     plain = marked.withColumn("text", text)
-    split = split_pieces(plain.filter("_heavy"), max_chars, p)
-    whole = plain.filter("NOT _heavy").withColumn("piece", F.lit(None).cast("int"))
-    return split.unionByName(whole).drop("_heavy")
+    return split_pieces(plain, max_chars, p, F.col("_heavy")).drop("_heavy")
 
 
 def office_segments(paragraphs: DataFrame, p: str | Profile = "ja") -> DataFrame:

@@ -44,21 +44,15 @@ def extract_documents(
     none = F.lit(None)
     is_text = F.coalesce(F.col("file_type").isin(*TEXT_TYPES), F.lit(False))
     text = extract_text(docs.filter(is_text), p, ("doc_id", "file_type"))
-    office = office_segments(paragraphs.filter("error IS NULL").drop("error"), p)
+    office = office_segments(paragraphs, p)
     unsupported = docs.filter(~is_text).select(
         "doc_id", "file_type", F.lit(UNSUPPORTED).alias("error")
     )
-    unreadable = paragraphs.filter("error IS NOT NULL").select("doc_id", "file_type", "error")
-    failed = unsupported.unionByName(unreadable)
     return (
         text.withColumn("error", none.cast("string"))
         .select(*columns)
-        .unionByName(
-            office.withColumn("cell_index", none.cast("int"))
-            .withColumn("error", none.cast("string"))
-            .select(*columns)
-        )
-        .unionByName(failed, allowMissingColumns=True)
+        .unionByName(office.withColumn("cell_index", none.cast("int")).select(*columns))
+        .unionByName(unsupported, allowMissingColumns=True)
     )
 
 

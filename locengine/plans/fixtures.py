@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from locengine.functions.text import strip_ws
 from locengine.operators.batch import DELIMITER
 from locengine.operators.inference import Request
+from locengine.sources.documents import spread
 
 # Accented letters and the ASCII letters that stand for them.
 ACCENTED = "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
@@ -32,7 +33,7 @@ def fold(c):
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def md_docs(spark: SparkSession, d: str) -> DataFrame:

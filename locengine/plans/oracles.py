@@ -482,7 +482,7 @@ FROM real_lines""",
 ORACLES["visual_width"] = sql(
     f"""
 SELECT doc_id, line_idx, list_sum(widths) AS width, array_to_string(list_transform(
-  list_filter(range(1, len(c) + 1), lambda i: list_sum(widths[1:i]) <= 40 AND i <= 41), lambda i: c[i]), '') AS prefix
+  list_filter(range(1, least(len(c), 41) + 1), lambda i: list_sum(widths[1:i]) <= 40), lambda i: c[i]), '') AS prefix
 FROM (SELECT doc_id, line_idx, c, list_transform(c, lambda x:
     CASE WHEN regexp_matches(x, '[アイウ]') THEN 2 ELSE 1 END) AS widths
   FROM (SELECT doc_id, line_idx, string_split(translate(raw, 'abc', 'アイウ'), '') AS c FROM real_lines))""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -45,6 +46,16 @@ def output_name(path: Column, suffix: str = "_vi") -> Column:
     return F.concat(stem, F.lit(suffix), ext)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small or unsplittable source over all cores.
+
+    Work on a document is heavy and happens in the task that read it. A source with at
+    least one partition per core is left alone, so a large input is never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """``path, content`` of all supported files below ``path``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -70,6 +81,10 @@ def write_documents(docs: DataFrame, path: str, suffix: str = "_vi") -> None:
 CANDIDATES = ("shift_jis", "euc_jp")
 
 
+_WIDE = re.compile("[\u3040-\u30ff\u4e00-\u9fff]+")
+_NON_ASCII = re.compile("[^\x00-\x7f]+")
+
+
 def decode_bytes(raw: bytes) -> tuple[str, str]:
     """Text and charset of bytes that are not UTF-8.
 
@@ -82,8 +97,8 @@ def decode_bytes(raw: bytes) -> tuple[str, str]:
             text = raw.decode(charset)
         except UnicodeDecodeError:
             continue
-        wide = sum(1 for c in text if "぀" <= c <= "ヿ" or "一" <= c <= "鿿")
-        share = wide / max(sum(1 for c in text if ord(c) > 127), 1)
+        wide = sum(map(len, _WIDE.findall(text)))
+        share = wide / max(sum(map(len, _NON_ASCII.findall(text))), 1)
         if best is None or share > best[0]:
             best = (share, text, charset)
     if best is None:

@@ -1,6 +1,6 @@
 """Bilingual exchange files to segments.
 
-One file is parsed at a time inside ``mapInPandas`` and gives one row per unit with the
+One file is parsed at a time inside an Arrow map and gives one row per unit with the
 raw element contents; tags, states and notes are resolved by column expressions.
 """
 
@@ -11,16 +11,25 @@ import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from locengine.functions.markup import map_state, unescape_xml, xliff_to_tags
 from locengine.functions.text import is_blank
 from locengine.operators.review import NAMESPACE
-
-UNIT_COLUMNS = "version string, unit_no bigint, unit_id string, source string, " \
-    "target string, state string, notes array<string>"
+from locengine.sources.arrow import explode_rows
+
+UNITS = (
+    T.StructType()
+    .add("version", "string")
+    .add("unit_no", "long")
+    .add("unit_id", "string")
+    .add("source", "string")
+    .add("target", "string")
+    .add("state", "string")
+    .add("notes", T.ArrayType(T.StringType()))
+)
 _NS_DECLARATION = re.compile(r' xmlns(?::\w+)?="[^"]*"')
 
 
@@ -39,28 +48,27 @@ def _version(root: ET.Element) -> str:
     return named or ("2.1" if NAMESPACE["2.1"] in root.tag else "1.2")
 
 
-def file_units(content: bytes) -> Iterator[tuple]:
+def file_units(content: bytes) -> Iterator[dict]:
+    """Units of one file in order, with the raw contents of source and target."""
     root = ET.parse(io.BytesIO(content)).getroot()
     version = _version(root)
+    second = version.startswith("2")
+    ns = "{%s}" % NAMESPACE["2.1" if second else "1.2"]
     number = 0
-    ns = "{%s}" % NAMESPACE["2.1" if version.startswith("2") else "1.2"]
-    if version.startswith("2"):
-        for unit in root.iter(f"{ns}unit"):
-            notes = [n.text or "" for n in unit.findall(f"{ns}note")]
-            for segment in unit.findall(f"{ns}segment"):
-                yield (
-                    version, number, unit.get("id"), _inner(segment.find(f"{ns}source")),
-                    _inner(segment.find(f"{ns}target")), segment.get("state"), notes,
-                )
-                number += 1
-    else:
-        for unit in root.iter(f"{ns}trans-unit"):
-            notes = [n.text or "" for n in unit.findall(f"{ns}note")]
-            target = unit.find(f"{ns}target")
-            yield (
-                version, number, unit.get("id"), _inner(unit.find(f"{ns}source")),
-                _inner(target), None if target is None else target.get("state"), notes,
-            )
+    for unit in root.iter(f"{ns}unit" if second else f"{ns}trans-unit"):
+        notes = [n.text or "" for n in unit.findall(f"{ns}note")]
+        for pair in unit.findall(f"{ns}segment") if second else [unit]:
+            target = pair.find(f"{ns}target")
+            holder = pair if second else target
+            yield {
+                "version": version,
+                "unit_no": number,
+                "unit_id": unit.get("id"),
+                "source": _inner(pair.find(f"{ns}source")),
+                "target": _inner(target),
+                "state": None if holder is None else holder.get("state"),
+                "notes": notes,
+            }
             number += 1
 
 
@@ -81,19 +89,14 @@ def xliff_segments(files: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> Dat
     location, type, confidence``.
     """
     k = list(keys)
-    columns = [*k, *[c.split()[0] for c in UNIT_COLUMNS.split(", ")]]
-    key_types = [f"{c} {files.schema[c].dataType.simpleString()}" for c in k]
-
-    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for row in pdf.itertuples(index=False):
-                values = tuple(getattr(row, c) for c in k)
-                rows = [values + unit for unit in file_units(bytes(row.content))]
-                yield pd.DataFrame(rows, columns=columns)
-
-    units = files.select(*k, F.col("content").cast("binary")).mapInPandas(
-        read, ", ".join([*key_types, UNIT_COLUMNS])
-    )
+
+    def rows(file: dict) -> Iterator[dict]:
+        ids = {c: file[c] for c in k}
+        for unit in file_units(file["content"]):
+            yield ids | unit
+
+    schema = T.StructType([*[files.schema[c] for c in k], *UNITS.fields])
+    units = explode_rows(files.select(*k, F.col("content").cast("binary")), rows, schema)
     second = F.col("version").startswith("2")
 
     def text(name: str) -> Column:
