@@ -246,8 +246,9 @@ def truncate_width(c: Column, n: int) -> Column:
 
     def step(acc: Column, ch: Column) -> Column:
         width = (
-            F.when(ch.rlike(f"^[{ZERO_CLASS}]$"), 0)
-            .when(ch.rlike(f"^[{WIDE_CLASS}]$"), 2)
+            F.when(ch.rlike(_PLAIN), 1)
+            .when(ch.rlike(f"[{WIDE_CLASS}]"), 2)
+            .when(ch.rlike(f"[{ZERO_CLASS}]"), 0)
             .otherwise(1)
         )
         fits = acc["open"] & (acc["used"] + width <= n)
@@ -299,42 +300,41 @@ def fix_spacing(c: Column) -> Column:
     )
 
 
-# Markdown prefixes in the order they are tried.
-MD_PREFIXES = ["### ", "## ", "# ", "- ", "* ", "> "]
-MD_HEADINGS = ["### ", "## ", "# "]
+# Markdown prefixes that a line keeps.
+MD_PREFIX = r"^(?:### |## |# |- |\* |> )"
+MD_HEADING = "^(?:### |## |# )"
 
 
-def _prefix_of(c: Column) -> Column:
-    expr = F.lit("")
-    for prefix in reversed(MD_PREFIXES):
-        expr = F.when(c.startswith(prefix), F.lit(prefix)).otherwise(expr)
-    return expr
+def clean_translation(translated: Column, prefix: Column) -> Column:
+    """Remove pipes and markdown prefixes that the model added to a line.
 
+    One prefix is removed in any case. After that a line with a prefix loses a repetition
+    of it and one further prefix, and a line without loses one further heading mark.
+    """
+    no_tail = F.regexp_replace(translated, rf"[{WS}]*\|\z", "")
+    no_head = F.regexp_replace(no_tail, rf"^\|[{WS}]*", "")
+
+    def again(once: Column) -> Column:
+        repeated = F.regexp_replace(once, f"{MD_PREFIX}(?:{MD_PREFIX[1:]})?", "")
+        return (
+            F.when(prefix == "", F.regexp_replace(once, MD_HEADING, ""))
+            .when(once.startswith(prefix), repeated)
+            .otherwise(F.regexp_replace(once, MD_PREFIX, ""))
+        )
 
-def clean_translation(translated: Column, prefix: Column) -> Column:
-    """Remove pipes and markdown prefixes that the model added to a line."""
-    ws = F.lit(WHITESPACE)
-    no_tail = F.when(
-        translated.endswith("|"), F.rtrim(F.regexp_replace(translated, r"\|\z", ""), ws)
-    ).otherwise(translated)
-    no_head = F.when(
-        no_tail.startswith("|"), F.ltrim(F.regexp_replace(no_tail, r"^\|", ""), ws)
-    ).otherwise(no_tail)
-    once = F.regexp_replace(no_head, r"^(?:#{1,3} |- |\* |> )", "")
-    with_prefix = F.regexp_replace(
-        F.when(once.startswith(prefix), once.substr(F.length(prefix) + 1, F.length(once)))
-        .otherwise(once),
-        r"^(?:#{1,3} |- |\* |> )",
-        "",
-    )
-    without_prefix = F.regexp_replace(once, r"^#{1,3} ", "")
-    return F.when(prefix != "", with_prefix).otherwise(without_prefix)
+    return let(F.regexp_replace(no_head, MD_PREFIX, ""), again)
 
 
 def rebuild_line(raw: Column, translated: Column) -> Column:
     """Translated line with the indent and markdown prefix of the original line."""
-    ws = F.lit(WHITESPACE)
-    left = F.ltrim(raw, ws)
-    prefix = _prefix_of(left)
-    indent = F.repeat(F.lit(" "), F.length(raw) - F.length(left))
-    return F.concat(indent, prefix, fix_spacing(clean_translation(translated, prefix)))
+
+    def line(left: Column, prefix: Column) -> Column:
+        indent = F.repeat(F.lit(" "), F.length(raw) - F.length(left))
+        return F.concat(
+            indent, prefix, let(clean_translation(translated, prefix), fix_spacing)
+        )
+
+    return let(
+        F.ltrim(raw, F.lit(WHITESPACE)),
+        lambda left: let(F.regexp_extract(left, MD_PREFIX, 0), lambda p: line(left, p)),
+    )

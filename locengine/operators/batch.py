@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from locengine.functions.text import TAG, Profile, has_leak, strip_ws, tags_match
 from locengine.operators.extract import OFFICE_TYPES, TEXT_TYPES
+from locengine.operators.ordering import bucket_of
 
 # Fixed value: what separates the segments of a batch in prompt and reply.
 DELIMITER = "|||"
@@ -61,7 +62,7 @@ def glossary_prompt(terms: DataFrame, page_terms: int = GLOSSARY_PAGE) -> DataFr
         F.lit(" |"),
     )
     return (
-        terms.groupBy(F.floor(F.col("id") / page_terms).alias("page"))
+        terms.groupBy(bucket_of("id", page_terms).alias("page"))
         .agg(
             F.count("*").alias("terms"),
             F.array_sort(F.collect_list(F.struct("id", row.alias("row")))).alias("_rows"),

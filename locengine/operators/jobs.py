@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locengine.operators.ordering import running_sum
+from locengine.operators.ordering import bucket_of, running_sum
 
 # Statuses that no later progress event may overwrite.
 TERMINAL = ("completed", "failed")
@@ -30,7 +30,7 @@ def ordered_attempts(attempts: DataFrame, page_size: int = ATTEMPTS_PER_PAGE) ->
     one array that no task could hold.
     """
     return attempts.groupBy(
-        "job_id", F.floor(F.col("attempt_number") / page_size).alias("page")
+        "job_id", bucket_of("attempt_number", page_size).alias("page")
     ).agg(
         F.array_sort(
             F.collect_list(F.struct("attempt_number", "phase", "success", "duration"))

@@ -16,6 +16,11 @@ from locengine.functions.text import let
 BUCKET = 2048
 
 
+def bucket_of(column: str, size: int) -> Column:
+    """Bucket number of an integer column, by integer division."""
+    return F.expr(f"{column} div {size}")
+
+
 def latest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Last row per key by ``order``; combined before the shuffle."""
     rest = [c for c in df.columns if c not in keys and c not in order]
@@ -36,7 +41,7 @@ def running_sum(
     The first order column must be a non-negative integer of which a key holds each value
     a limited number of times.
     """
-    cut = df.withColumn("_bucket", F.floor(F.col(order[0]) / bucket)).withColumn("_v", value)
+    cut = df.withColumn("_bucket", bucket_of(order[0], bucket)).withColumn("_v", value)
     local = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     earlier = (
         Window.partitionBy(*keys)
@@ -89,12 +94,16 @@ def pack_batches(
     a unique non-negative integer per document.
     """
     k = list(keys)
+    # The explicit null filters are those that the join below would add to one of its two
+    # sides; with them on both, the exchange of the buckets is computed once and reused.
     bounded = (
-        segments.select(
+        segments.filter(" AND ".join(f"{c} IS NOT NULL" for c in [*k, "seq"]))
+        .select(
             *k,
-            F.floor(F.col("seq") / bucket).alias("_bucket"),
+            bucket_of("seq", bucket).alias("_bucket"),
             F.struct(F.col("seq"), F.length("text").alias("len")).alias("_row"),
         )
+        .filter("_bucket IS NOT NULL")
         .groupBy(*k, "_bucket")
         .agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from locengine.functions.text import strip_ws
+from locengine.operators.ordering import bucket_of
 from locengine.operators.runs import FOOTNOTE_ANY
 from locengine.sources.arrow import explode_rows
 
@@ -79,7 +80,7 @@ def apply_translation_map(
 
     open_texts = (
         joined.filter("_hit IS NULL")
-        .groupBy(*k, F.floor(F.col("seq") / TEXTS_PER_GROUP).alias("_run"))
+        .groupBy(*k, bucket_of("seq", TEXTS_PER_GROUP).alias("_run"))
         .agg(F.collect_list(F.struct("seq", "text", F.col("_n").alias("plain"))).alias("_texts"))
     )
     maps = tmap.groupBy(*k).agg(

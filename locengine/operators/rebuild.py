@@ -57,53 +57,58 @@ def replace_tokens(raw: Column, tokens: Column) -> Column:
     """
 
     def occurrences(t: Column) -> Column:
-        parts = F.split(raw, F.concat(F.lit("\\Q"), t["text"], F.lit("\\E")), -1)
-        return F.transform(
-            F.sequence(F.lit(1), F.size(parts) - 1),
-            lambda k: F.struct(
-                (
-                    -F.length(F.array_join(F.slice(parts, 1, k), ""))
-                    - (k - 1) * F.length(t["text"])
-                ).alias("rank"),
-                t["seq"].alias("seq"),
-                F.length(t["text"]).alias("length"),
-                t["target"].alias("target"),
-                t["old_width"].alias("old_width"),
-                t["new_width"].alias("new_width"),
+        return let(
+            F.split(raw, F.concat(F.lit("\\Q"), t["text"], F.lit("\\E")), -1),
+            lambda parts: F.transform(
+                F.sequence(F.lit(1), F.size(parts) - 1), lambda k: place(t, parts, k)
             ),
         )
 
+    def place(t: Column, parts: Column, k: Column) -> Column:
+        before = F.length(F.array_join(F.slice(parts, 1, k), "")) + (k - 1) * F.length(t["text"])
+        return F.struct(
+            (-before).alias("rank"),
+            t["seq"].alias("seq"),
+            F.length(t["text"]).alias("length"),
+            t["target"].alias("target"),
+            t["old_width"].alias("old_width"),
+            t["new_width"].alias("new_width"),
+        )
+
     # The same token can stand on a line several times; the first entry is used.
-    distinct = F.filter(
-        F.transform(
+    def first_entries(texts: Column) -> Column:
+        return F.filter(
             tokens,
-            lambda t, i: F.struct(
+            lambda t, i: (F.array_position(texts, t["text"]) == i + 1)
+            & (F.position(t["text"], raw) > 0),
+        )
+
+    def measured(t: Column) -> Column:
+        return let(
+            fix_spacing(t["target"]),
+            lambda target: F.struct(
                 t["seq"].alias("seq"),
                 t["text"].alias("text"),
-                fix_spacing(t["target"]).alias("target"),
+                target.alias("target"),
                 visual_width(t["text"]).alias("old_width"),
-                visual_width(fix_spacing(t["target"])).alias("new_width"),
-                (
-                    F.array_position(F.transform(tokens, lambda x: x["text"]), t["text"])
-                    == i + 1
-                ).alias("first"),
+                visual_width(target).alias("new_width"),
             ),
-        ),
-        lambda t: t["first"] & (F.position(t["text"], raw) > 0),
+        )
+
+    distinct = F.transform(
+        let(F.transform(tokens, lambda t: t["text"]), first_entries), measured
     )
 
     def step(acc: Column, o: Column) -> Column:
         at = -o["rank"]
         tail = acc["line"].substr(at + o["length"] + 1, F.length(acc["line"]))
-        kept = F.ltrim(tail)
-        room = o["old_width"] + F.length(tail) - F.length(kept)
+        return let(tail, lambda rest: put(acc, o, at, rest, F.ltrim(rest)))
+
+    def put(acc: Column, o: Column, at: Column, rest: Column, kept: Column) -> Column:
+        room = o["old_width"] + F.length(rest) - F.length(kept)
+        pad = F.repeat(F.lit(" "), F.greatest(room - o["new_width"], F.lit(0)))
         return F.struct(
-            F.concat(
-                acc["line"].substr(F.lit(1), at),
-                o["target"],
-                F.repeat(F.lit(" "), F.greatest(room - o["new_width"], F.lit(0))),
-                kept,
-            ).alias("line"),
+            F.concat(acc["line"].substr(F.lit(1), at), o["target"], pad, kept).alias("line"),
             (acc["overflow"] | (o["new_width"] > room)).alias("overflow"),
         )
 

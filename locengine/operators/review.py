@@ -13,6 +13,7 @@ from locengine.functions.markup import (
     text_to_xliff,
 )
 from locengine.functions.text import is_blank
+from locengine.operators.ordering import bucket_of
 
 # Namespaces of the two versions.
 NAMESPACE = {
@@ -129,7 +130,7 @@ def xliff_lines(
     """
     units = xliff_units(segments, version, source_lang, target_lang).select(
         "doc_id",
-        F.floor(F.col("seq") / UNITS_PER_FILE).alias("file_no"),
+        bucket_of("seq", UNITS_PER_FILE).alias("file_no"),
         (F.col("seq") + 1).alias("line_no"),
         F.col("unit").alias("line"),
     )

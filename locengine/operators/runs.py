@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from locengine.functions.text import (
     TAG,
+    WHITESPACE,
     Profile,
     is_translatable,
     let,
@@ -141,12 +142,24 @@ def fix_run_boundaries(runs: Column) -> Column:
     """Texts of the runs; a run that ends in a letter before a run that begins with one
     gets a final space."""
 
-    def spaced(r: Column, i: Column) -> Column:
-        following = F.get(runs, i + 1)["text"]
-        missing = strip_ws(r["text"]).rlike(r"\p{L}\z") & strip_ws(following).rlike(r"^\p{L}")
-        return F.when(missing, F.concat(r["text"], F.lit(" "))).otherwise(r["text"])
+    ws = F.lit(WHITESPACE)
 
-    return F.transform(runs, spaced)
+    def edges(r: Column) -> Column:
+        return F.struct(
+            r["text"].alias("text"),
+            F.right(F.rtrim(r["text"], ws), F.lit(1)).rlike(r"\p{L}").alias("ends"),
+            F.left(F.ltrim(r["text"], ws), F.lit(1)).rlike(r"\p{L}").alias("begins"),
+        )
+
+    def spaced(found: Column) -> Column:
+        return F.transform(
+            found,
+            lambda r, i: F.when(
+                r["ends"] & F.get(found, i + 1)["begins"], F.concat(r["text"], F.lit(" "))
+            ).otherwise(r["text"]),
+        )
+
+    return let(F.transform(runs, edges), spaced)
 
 
 def match_paragraphs(

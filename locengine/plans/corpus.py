@@ -141,7 +141,9 @@ def translate_corpus(
     if mode not in ("auto", "export", "import", "no_translate"):
         raise ValueError(f"unknown mode: {mode}")
     text_docs = docs.filter(F.col("file_type").isin(*TEXT_TYPES))
-    segments = extract_text(text_docs, p, ("doc_id", "file_type"))
+    # Segments are read for the lookup, for the final join and by every output, so they are
+    # extracted and written once; the same holds for the scored segments below.
+    segments = materialise(extract_text(text_docs, p, ("doc_id", "file_type")), "segments")
     names = docs.select(
         "doc_id",
         "file_type",
@@ -178,7 +180,9 @@ def translate_corpus(
         new_memory = upsert_memory(
             memory, accepted.withColumn("seq", F.lit(last.head()[0] + 1).cast("bigint"))
         )
-    classified = classify(merged, p, limits.high_threshold, limits.low_threshold)
+    classified = materialise(
+        classify(merged, p, limits.high_threshold, limits.low_threshold), "scored"
+    )
     return CorpusResult(
         classified,
         document_status(docs, classified),

@@ -57,6 +57,8 @@ def md_docs(spark: SparkSession, d: str) -> DataFrame:
         )
 
     kind = F.col("doc_id") % 9
+    # The explode of one element stands for the stored text: filters are not pushed into
+    # the derivation.
     return documents(spark, d).select(
         "doc_id",
         F.when(kind == 8, "pdf")
@@ -64,7 +66,9 @@ def md_docs(spark: SparkSession, d: str) -> DataFrame:
         .when(kind % 3 == 1, "md")
         .otherwise("csv")
         .alias("file_type"),
-        F.array_join(F.transform(F.split("text", "\n", -1), line), "\n").alias("text"),
+        F.explode(
+            F.array(F.array_join(F.transform(F.split("text", "\n", -1), line), "\n"))
+        ).alias("text"),
     )
 
 

@@ -644,7 +644,12 @@ def _french_memory(spark, d) -> DataFrame:
 def _corpus(spark, d, mode="auto") -> corpus.CorpusResult:
     limits = corpus.Limits(batch_max_chars=BATCH_CHARS, batch_max_segments=BATCH_SEGMENTS)
     return corpus.translate_corpus(
-        fx.md_docs(spark, d), _french_memory(spark, d), fx.stand_in, mode, p=P, limits=limits
+        fx.md_docs(spark, d),
+        materialise(_french_memory(spark, d), "memory"),
+        fx.stand_in,
+        mode,
+        p=P,
+        limits=limits,
     )
 
 
