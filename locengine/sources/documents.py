@@ -65,12 +65,12 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_documents(docs: DataFrame, path: str, suffix: str = "_vi") -> None:
-    """One directory per document named ``{base}{suffix}{ext}`` with its text."""
+    """One directory per document named ``{base}{suffix}{ext}`` with its text, which ends
+    in one line end as text files do. A document is one row, so nothing is shuffled."""
+    text = F.regexp_replace("text", r"\n\z", "")
     (
-        docs.select(output_name(F.col("filename"), suffix).alias("name"), F.col("text"))
-        .repartition("name")
+        docs.select(output_name(F.col("filename"), suffix).alias("name"), text.alias("text"))
         .write.partitionBy("name")
-        .option("lineSep", "")
         .text(path)
     )
 
