@@ -39,16 +39,25 @@ class Request:
 Translate = Callable[[Request], str]
 
 
+def spread_calls(df: DataFrame, concurrency: int | None) -> DataFrame:
+    """Rows over ``concurrency`` partitions, hence so many model calls at a time.
+
+    A call takes far longer than its few bytes suggest, so partitions must not be merged
+    by size; without a limit all cores call the model.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(concurrency or max(cores, shuffles))
+
+
 def translate_batches(
     batches: DataFrame,
     fn: Translate,
     concurrency: int | None = None,
     limits: Limits = LIMITS,
 ) -> DataFrame:
-    """Add ``reply`` to rows with ``system`` and ``entries``; null after a timeout.
-
-    ``concurrency`` sets the number of partitions, hence of parallel model calls.
-    """
+    """Add ``reply`` to rows with ``system`` and ``entries``; null after a timeout."""
     temperature = limits.temperature
 
     def call(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,9 +71,8 @@ def translate_batches(
                     replies.append(None)
             yield pdf.assign(reply=pd.Series(replies, index=pdf.index, dtype=object))
 
-    spread = batches.repartition(concurrency) if concurrency else batches
     schema = T.StructType([*batches.schema.fields, T.StructField("reply", T.StringType())])
-    return spread.mapInPandas(call, schema)
+    return spread_calls(batches, concurrency).mapInPandas(call, schema)
 
 
 def python_class(chars: str) -> str:
@@ -119,8 +127,7 @@ def retry_single(
         ]
     )
     warned = rows.withColumn("_warning", retry_warning(F.col("text"), F.lit(2)))
-    spread = warned.repartition(concurrency) if concurrency else warned
-    return spread.mapInPandas(call, schema)
+    return spread_calls(warned, concurrency).mapInPandas(call, schema)
 
 
 def translate_with_retries(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from locengine.functions.text import strip_ws
+from locengine.functions.text import TAG, strip_tags, strip_ws
 from locengine.operators.ordering import bucket_of
 from locengine.operators.runs import FOOTNOTE_ANY
 from locengine.sources.arrow import explode_rows
@@ -108,3 +108,21 @@ def apply_translation_map(
     return whole.select(*k, "seq", "text", "translated_text", "match_kind").unionByName(
         partial.select(*k, "seq", "text", "translated_text", "match_kind")
     )
+
+
+def translate_paragraphs(
+    paragraphs: DataFrame, tmap: DataFrame, keys: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
+    """Tagged paragraphs (``keys, seq, text``) through the map; those that nothing applies
+    to are tried again without their tags. ``match_kind`` of the second try begins with
+    ``untagged_``."""
+    columns = [*keys, "seq", "text", "translated_text", "match_kind"]
+    tagged = apply_translation_map(paragraphs, tmap, keys)
+    has_tags = F.col("text").rlike(TAG)
+    again = F.col("translated_text").isNull() & has_tags
+    plain = apply_translation_map(
+        tagged.filter(again).select(*keys, "seq", strip_tags(F.col("text")).alias("text")),
+        tmap,
+        keys,
+    ).withColumn("match_kind", F.concat(F.lit("untagged_"), "match_kind"))
+    return tagged.filter(~again).select(*columns).unionByName(plain.select(*columns))

@@ -10,14 +10,20 @@ from pyspark.sql import functions as F
 from locengine.config import LIMITS, Limits, materialise
 from locengine.functions.text import Profile
 from locengine.operators.batch import build_prompts
-from locengine.operators.extract import TEXT_TYPES, extract_text
+from locengine.operators.extract import OFFICE_TYPES, TEXT_TYPES, extract_text
 from locengine.operators.inference import Translate, translate_with_retries
-from locengine.operators.memory import lookup_memory, merge_reviewed, upsert_memory, usable
-from locengine.operators.ordering import pack_batches
+from locengine.operators.memory import (
+    build_translation_map,
+    merge_reviewed,
+    upsert_memory,
+    usable,
+)
+from locengine.operators.ordering import pack_batches, renumber
+from locengine.operators.phrases import translate_paragraphs
 from locengine.operators.quality import classify, confidence_stats
 from locengine.operators.rebuild import rebuild_documents
 from locengine.operators.review import xliff_lines
-from locengine.operators.runs import office_segments
+from locengine.operators.runs import drop_noise_runs, office_segments, tagged_text
 
 NO_TEXT = "no translatable text"
 UNSUPPORTED = "unsupported type"
@@ -25,12 +31,13 @@ UNSUPPORTED = "unsupported type"
 
 @dataclass
 class CorpusResult:
-    """``documents`` is null without write-back, ``exchange`` without an export,
-    ``memory`` when no model was called."""
+    """``documents`` is null without write-back, ``paragraphs`` without office paragraphs,
+    ``exchange`` without an export, ``memory`` when no model was called."""
 
     segments: DataFrame
     status: DataFrame
     documents: DataFrame | None = None
+    paragraphs: DataFrame | None = None
     exchange: DataFrame | None = None
     memory: DataFrame | None = None
 
@@ -70,10 +77,15 @@ def infer_misses(
     A text that occurs in many documents belongs to its first occurrence; only owners are
     packed and sent. Returns ``text, translated_text, retry_count, status``.
     """
-    misses = lookup_memory(segments, memory).filter("NOT cache_hit")
-    owners = misses.groupBy("text").agg(
-        F.min(F.struct("doc_id", "seq", "file_type")).alias("o")
-    ).select("o.doc_id", "o.seq", "o.file_type", "text")
+    # Repeated texts collapse in each task before the shuffle, and the memory is then joined
+    # on the same key: no text is hot any more when it meets the memory.
+    known = usable(memory).select(F.col("source").alias("text"))
+    owners = (
+        segments.groupBy("text")
+        .agg(F.min(F.struct("doc_id", "seq", "file_type")).alias("o"))
+        .join(known, "text", "left_anti")
+        .select("o.doc_id", "o.seq", "o.file_type", "text")
+    )
     owners = materialise(owners, "owners")
     batches = pack_batches(owners, limits.batch_max_chars, limits.batch_max_segments)
     packed = owners.join(batches, ["doc_id", "seq"])
@@ -101,17 +113,27 @@ def translated_segments(segments: DataFrame, answered: DataFrame) -> DataFrame:
     )
 
 
-def document_status(docs: DataFrame, classified: DataFrame) -> DataFrame:
+def document_status(
+    docs: DataFrame, classified: DataFrame, paragraphs: DataFrame | None = None
+) -> DataFrame:
     """Status, segment count and confidence of every document, failed ones included."""
     stats = confidence_stats(classified, ("doc_id",))
     found = F.col("total").isNotNull()
-    supported = F.col("file_type").isin(*TEXT_TYPES)
-    return docs.select("doc_id", "file_type").join(stats, "doc_id", "left").select(
+    supported = F.col("file_type").isin(*TEXT_TYPES, *OFFICE_TYPES)
+    joined = docs.select("doc_id", "file_type").join(stats, "doc_id", "left")
+    if paragraphs is None:
+        joined = joined.withColumn("_unread", F.lit(None).cast("string"))
+    else:
+        unread = paragraphs.filter("error IS NOT NULL").select(
+            "doc_id", F.col("error").alias("_unread")
+        )
+        joined = joined.join(unread, "doc_id", "left")
+    return joined.select(
         "doc_id",
         F.when(found, "completed").otherwise("failed").alias("status"),
         F.coalesce("total", F.lit(0)).alias("segments_count"),
         F.when(~F.coalesce(supported, F.lit(False)), UNSUPPORTED)
-        .when(~found, NO_TEXT)
+        .when(~found, F.coalesce("_unread", F.lit(NO_TEXT)))
         .alias("error"),
         "high_count",
         "medium_count",
@@ -120,6 +142,36 @@ def document_status(docs: DataFrame, classified: DataFrame) -> DataFrame:
     )
 
 
+def corpus_segments(
+    docs: DataFrame, paragraphs: DataFrame | None, p: str | Profile = "ja"
+) -> DataFrame:
+    """Segments of text documents and of office paragraphs with dense positions."""
+    columns = ["doc_id", "file_type", "seq", "location", "line_idx", "type", "cell_index", "text"]
+    text_docs = docs.filter(F.col("file_type").isin(*TEXT_TYPES))
+    segments = extract_text(text_docs, p, ("doc_id", "file_type")).select(*columns)
+    if paragraphs is None:
+        return segments
+    found = office_segments(paragraphs, p).filter("text IS NOT NULL")
+    office = renumber(found, ["doc_id"], ["seq", "piece"], "seq")
+    none = F.lit(None).cast("int")
+    return segments.unionByName(
+        office.withColumn("line_idx", none).withColumn("cell_index", none).select(*columns)
+    )
+
+
+def rebuilt_paragraphs(paragraphs: DataFrame, classified: DataFrame) -> DataFrame:
+    """All office paragraphs with text, and their translations by text: paragraphs that
+    were left out as duplicates or split into pieces get theirs as well."""
+    tagged = drop_noise_runs(paragraphs).select(
+        "doc_id", "seq", "part", "kind", "ordinal", tagged_text(F.col("runs")).alias("text")
+    ).filter("text <> ''")
+    office = classified.filter(F.col("file_type").isin(*OFFICE_TYPES))
+    done = translate_paragraphs(
+        tagged.select("doc_id", "seq", "text"), build_translation_map(office)
+    )
+    return tagged.join(done.drop("text"), ["doc_id", "seq"])
+
+
 def translate_corpus(
     docs: DataFrame,
     memory: DataFrame,
@@ -127,6 +179,7 @@ def translate_corpus(
     mode: str = "auto",
     glossary: DataFrame | None = None,
     reviewed: DataFrame | None = None,
+    paragraphs: DataFrame | None = None,
     p: str | Profile = "ja",
     version: str = "1.2",
     concurrency: int | None = None,
@@ -134,16 +187,17 @@ def translate_corpus(
 ) -> CorpusResult:
     """Translate ``docs`` (``doc_id, file_type, text``).
 
+    Office documents have no text there; their ``paragraphs`` come from the office source.
+
     ``auto`` calls the model and writes back, ``export`` also gives exchange lines,
     ``import`` takes targets from ``reviewed`` instead of the model, and ``no_translate``
     only gives exchange lines with empty targets.
     """
     if mode not in ("auto", "export", "import", "no_translate"):
         raise ValueError(f"unknown mode: {mode}")
-    text_docs = docs.filter(F.col("file_type").isin(*TEXT_TYPES))
     # Segments are read for the lookup, for the final join and by every output, so they are
     # extracted and written once; the same holds for the scored segments below.
-    segments = materialise(extract_text(text_docs, p, ("doc_id", "file_type")), "segments")
+    segments = materialise(corpus_segments(docs, paragraphs, p), "segments")
     names = docs.select(
         "doc_id",
         "file_type",
@@ -162,9 +216,8 @@ def translate_corpus(
 
     if mode == "no_translate":
         empty = blank.withColumn("confidence", F.lit(None).cast("double"))
-        status = document_status(
-            docs, empty.withColumn("bucket", F.lit(None).cast("string"))
-        )
+        unscored = empty.withColumn("bucket", F.lit(None).cast("string"))
+        status = document_status(docs, unscored, paragraphs)
         return CorpusResult(empty, status, exchange=exchange(empty))
 
     merged, new_memory = None, None
@@ -185,8 +238,12 @@ def translate_corpus(
     )
     return CorpusResult(
         classified,
-        document_status(docs, classified),
-        documents=rebuild_documents(text_docs, classified),
+        document_status(docs, classified, paragraphs),
+        documents=rebuild_documents(
+            docs.filter(F.col("file_type").isin(*TEXT_TYPES)),
+            classified.filter(F.col("file_type").isin(*TEXT_TYPES)),
+        ),
+        paragraphs=None if paragraphs is None else rebuilt_paragraphs(paragraphs, classified),
         exchange=exchange(classified) if mode == "export" else None,
         memory=new_memory,
     )

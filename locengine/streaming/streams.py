@@ -45,7 +45,14 @@ def stream_lookup(
 
 
 def stream_status(events: DataFrame, checkpoint: str, sink) -> StreamingQuery:
-    """Status per job in update mode; ``sink(rows, batch)`` gets the changed jobs."""
+    """Status per job in update mode; ``sink(rows, batch)`` gets the changed jobs.
+
+    One small row of state per job, kept in RocksDB so that it is not limited by the heap.
+    """
+    events.sparkSession.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
     return (
         latest_status(events)
         .writeStream.outputMode("update")

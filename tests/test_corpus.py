@@ -88,3 +88,51 @@ def test_import(spark):
 def test_unknown_mode(spark):
     with pytest.raises(ValueError, match="unknown mode"):
         run(spark, mode="other")
+
+
+PARAGRAPH = (
+    "doc_id string, file_type string, part string, kind string, seq long, ordinal int, "
+    "runs array<struct<text:string,has_format:boolean,in_link:boolean>>, error string"
+)
+
+
+def test_office_paragraphs(spark):
+    part = "word/document.xml"
+    sentence = "あ" * 299 + "。"
+    paragraphs = spark.createDataFrame(
+        [
+            ("o", "docx", part, "p", 0, 0, [("文", False, False), ("一", False, False)], None),
+            ("o", "docx", part, "p", 1, 2, [("文一", False, False)], None),
+            ("o", "docx", part, "p", 2, 3, [(s, True, False) for s in (sentence, "い。") * 3], None),
+            ("o", "docx", part, "p", 3, 4, [("plain", False, False)], None),
+            ("bad", "docx", None, None, None, None, None, "broken"),
+        ],
+        PARAGRAPH,
+    )
+    docs = spark.createDataFrame(
+        [*DOCS, ("o", "docx", None), ("bad", "docx", None)], "doc_id string, file_type string, text string"
+    )
+    memory = spark.createDataFrame([("文二", "Zwei", 4)], "source string, target string, seq long")
+    known = WORDS | {sentence + "い。": "Long and short."}
+
+    def answer(request):
+        return "|||".join(known[t] for t in request.prompt.split("|||"))
+
+    result = translate_corpus(docs, memory, answer, paragraphs=paragraphs, mode="export")
+    rows = result.segments.filter("doc_id = 'o'").orderBy("seq").collect()
+    assert [(r.seq, r.location, r.translated_text) for r in rows] == [
+        (0, f"{part}:p[0]", "First"), (1, f"{part}:p[3][p0]", "Long and short."),
+    ]
+    done = {r.ordinal: (r.translated_text, r.match_kind) for r in result.paragraphs.collect()}
+    assert done == {
+        0: ("First", "exact"),
+        # Left out as a duplicate, translated all the same.
+        2: ("First", "exact"),
+        # Split into pieces, of which equal ones were left out.
+        3: ("Long and short." * 3, "untagged_phrase"),
+        4: (None, None),
+    }
+    status = {r.doc_id: (r.status, r.segments_count, r.error) for r in result.status.collect()}
+    assert status["o"] == ("completed", 2, None) and status["bad"] == ("failed", 0, "broken")
+    assert {r.doc_id for r in result.documents.collect()} == {"a", "b", "c"}
+    assert result.exchange.filter("doc_id = 'o' AND line LIKE '<trans-unit%'").count() == 2
