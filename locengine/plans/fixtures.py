@@ -114,8 +114,12 @@ def tm_raw(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql(TM_RAW, bitext=bitext(spark, d))
 
 
+def as_job_events(events: DataFrame) -> DataFrame:
+    return events.sparkSession.sql(JOB_EVENTS, events=events)
+
+
 def job_events(spark: SparkSession, d: str) -> DataFrame:
-    return spark.sql(JOB_EVENTS, events=table(spark, d, "events"))
+    return as_job_events(table(spark, d, "events"))
 
 
 def jobs(spark: SparkSession, d: str) -> DataFrame:

@@ -514,7 +514,7 @@ PREFIX = "regexp_extract(ltrim(raw, " + STRIP + "), '^(### |## |# |- |\\* |> )')
 def rebuilt_line(target: str) -> str:
     return (
         f"concat(repeat(' ', length(raw) - length(ltrim(raw, {STRIP}))), prefix, "
-        + abbreviation(cleaned(target, "prefix"))
+        + spacing(cleaned(target, "prefix"))
         + ")"
     )
 
@@ -533,21 +533,23 @@ SELECT doc_id, line_idx, list_reduce(
       left(a.t, strpos(a.t, x.t) - 1), x.r, substr(a.t, strpos(a.t, x.t) + length(x.t))), 'r': ''}} END,
     {{'t': raw, 'r': ''}}).t AS line
 FROM (SELECT s.doc_id, s.line_idx, any_value(m.raw) AS raw,
-    list({{'text': text, 'target': {abbreviation('target')}}} ORDER BY -length(text), seq) AS cells
-  FROM translated s JOIN md_lines m USING (doc_id, line_idx)
-  WHERE type = 'table_cell' AND text <> target GROUP BY s.doc_id, s.line_idx)"""
-PARTS["token_rows"] = """
-SELECT s.doc_id, s.line_idx, m.raw, s.text, min_by(target, seq) AS target, min(seq) AS seq,
+    list({{'text': text, 'target': spaced}} ORDER BY -length(text), seq) AS cells
+  FROM (SELECT *, {spacing('target')} AS spaced FROM translated
+    WHERE type = 'table_cell' AND text <> target) s JOIN md_lines m USING (doc_id, line_idx)
+  GROUP BY s.doc_id, s.line_idx)"""
+PARTS["token_rows"] = f"""
+SELECT s.doc_id, s.line_idx, m.raw, s.text, min_by(spaced, seq) AS target, min(seq) AS seq,
   string_split(m.raw, s.text) AS parts
-FROM translated s JOIN md_lines m USING (doc_id, line_idx)
-WHERE type = 'diagram_token' GROUP BY s.doc_id, s.line_idx, m.raw, s.text"""
+FROM (SELECT *, {spacing('target')} AS spaced FROM translated
+  WHERE type = 'diagram_token' AND text <> target) s JOIN md_lines m USING (doc_id, line_idx)
+GROUP BY s.doc_id, s.line_idx, m.raw, s.text"""
 PARTS["occurrences"] = """
 SELECT doc_id, line_idx, raw, text, target, seq,
   unnest(list_transform(range(1, len(parts)), lambda k:
     list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * length(text))) AS spot
 FROM token_rows"""
 PARTS["token_lines"] = f"""
-SELECT doc_id, line_idx, {abbreviation('folded.line')} AS line, folded.overflow AS overflow FROM (
+SELECT doc_id, line_idx, {spacing('folded.line')} AS line, folded.overflow AS overflow FROM (
   SELECT doc_id, line_idx, list_reduce(steps,
     lambda a, x: {{
       'line': concat(left(a.line, x.spot), x.target, repeat(' ', greatest(0, x.size
@@ -570,14 +572,15 @@ ORACLES["cell_replace"] = sql(
 )
 TOKENS = ("translated", "token_rows", "occurrences", "token_lines")
 ORACLES["diagram_replace"] = sql("SELECT * FROM token_lines", *SEGS, *TOKENS)
-ORACLES["rebuild_documents"] = sql(
-    f"""
+REBUILD_PARTS = ("cell_lines", "token_rows", "occurrences", "token_lines", "body_lines")
+PARTS["rebuilt"] = f"""
 SELECT doc_id, md5(string_agg(line, {NL} ORDER BY line_idx)) AS text_md5,
   length(string_agg(line, {NL} ORDER BY line_idx)) AS chars
 FROM (SELECT m.doc_id, m.line_idx, coalesce(c.line, b.line, k.line, m.raw) AS line FROM md_lines m
   LEFT JOIN cell_lines c USING (doc_id, line_idx) LEFT JOIN body_lines b USING (doc_id, line_idx)
-  LEFT JOIN token_lines k USING (doc_id, line_idx)) GROUP BY doc_id""",
-    *SEGS, "cell_lines", *TOKENS, "body_lines",
+  LEFT JOIN token_lines k USING (doc_id, line_idx)) GROUP BY doc_id"""
+ORACLES["rebuild_documents"] = sql(
+    "SELECT * FROM rebuilt", *SEGS, "translated", *REBUILD_PARTS, "rebuilt"
 )
 ORACLES["translation_map"] = sql(
     f"""
@@ -657,6 +660,36 @@ SELECT doc_id, source, {strip(fold('source'))} AS target FROM (
   SELECT DISTINCT doc_id, CASE WHEN seq % 3 = 0 THEN text ELSE plain END AS source FROM p WHERE seq % 3 <> 2)""",
     },
 )
+ORACLES["paragraph_rebuild"] = sql(
+    """
+SELECT doc_id, seq, CASE WHEN w IS NULL THEN NULL WHEN w = start THEN NULL ELSE md5(w) END AS target_md5
+FROM (SELECT doc_id, seq, start, w FROM replacing
+  QUALIFY row_number() OVER (PARTITION BY doc_id, seq ORDER BY stage DESC, rk DESC) = 1)""",
+    *RUNS, "tag_segs",
+    extra={
+        "p": """
+SELECT doc_id, line_idx AS seq, text, regexp_replace(text, '</?tag[0-9]+>', '', 'g') AS plain FROM tag_segs""",
+        "tmap": f"""
+SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY -length(source), seq) AS rk FROM (
+  SELECT doc_id, source, {strip(fold('source'))} AS target, max(seq) AS seq FROM (
+    SELECT doc_id, seq, {strip("CASE seq % 3 WHEN 0 THEN text WHEN 1 THEN plain ELSE substr(plain, 1, 12) END")} AS source
+    FROM p) GROUP BY doc_id, source) WHERE source <> '' AND source <> target AND target <> ''""",
+        "last": "SELECT doc_id, max(rk) AS n FROM tmap GROUP BY doc_id",
+        "replacing": f"""
+SELECT p.doc_id, p.seq, p.plain, 1 AS stage, CAST(0 AS bigint) AS rk, a.target IS NOT NULL AS hit,
+  text AS start, coalesce(a.target, text) AS w, coalesce(n, 0) AS n
+FROM p LEFT JOIN last USING (doc_id) LEFT JOIN tmap a ON a.doc_id = p.doc_id AND a.source = p.text
+UNION ALL
+SELECT r.doc_id, r.seq, r.plain, CASE WHEN r.rk = r.n THEN 2 ELSE r.stage END,
+  CASE WHEN r.rk = r.n THEN 0 ELSE r.rk + 1 END,
+  CASE WHEN r.rk = r.n THEN b.target IS NOT NULL ELSE false END,
+  CASE WHEN r.rk = r.n THEN {strip('r.plain')} ELSE r.start END,
+  CASE WHEN r.rk = r.n THEN coalesce(b.target, {strip('r.plain')}) ELSE replace(r.w, m.source, m.target) END, r.n
+FROM replacing r LEFT JOIN tmap m ON m.doc_id = r.doc_id AND m.rk = r.rk + 1
+LEFT JOIN tmap b ON b.doc_id = r.doc_id AND b.source = {strip('r.plain')}
+WHERE NOT r.hit AND (r.rk < r.n OR (r.stage = 1 AND r.w = r.start))""",
+    },
+)
 STAMP = "strftime(created_at, '%Y-%m-%d %H:%M:%S.%f')"
 PARTS["pages_of_attempts"] = """
 SELECT job_id, attempt_number // 1000 AS page, count(*) AS n,
@@ -846,6 +879,45 @@ SELECT doc_id, seq, target AS translated_text, retry_count, cache_hit, confidenc
 FROM rated""",
     *CORPUS, extra=_RESULT,
 )
+ORACLES["translate_corpus_documents"] = sql(
+    "SELECT r.* FROM rebuilt r JOIN file_types USING (doc_id) WHERE file_type <> 'pdf'",
+    *CORPUS,
+    extra=_RESULT
+    | {
+        "translated": """
+SELECT s.doc_id, s.seq, s.line_idx, s.type, s.text, r.target
+FROM text_segs s JOIN rated r USING (doc_id, seq) WHERE r.target <> ''"""
+    }
+    | {n: PARTS[n] for n in (*REBUILD_PARTS, "rebuilt")},
+)
+ORACLES["translate_corpus_export"] = sql(
+    f"""
+SELECT doc_id, seq + 1 AS line_no, md5(concat('<trans-unit id="', seq + 1,
+  '" translate="yes"><source xml:lang="ja">', {inline('text', '1.2')},
+  '</source><target xml:lang="vi" state="', CASE WHEN blank THEN 'new'
+    WHEN confidence < 0.6 THEN 'needs-review-translation' ELSE 'translated' END, '">',
+  CASE WHEN blank THEN '' ELSE {inline('target', '1.2')} END,
+  '</target><note from="system">location: ', location, '</note><note from="system">type: ', type,
+  '</note><note from="system">confidence: ', printf('%.2f', confidence), '</note></trans-unit>')) AS line_md5
+FROM (SELECT s.doc_id, s.seq, s.location, s.type, s.text, r.target, r.blank, r.confidence
+  FROM text_segs s JOIN rated r USING (doc_id, seq))""",
+    *CORPUS, extra=_RESULT,
+)
+ORACLES["translate_corpus_import"] = sql(
+    f"""
+SELECT s.doc_id, s.seq, r.target AS translated_text,
+  CASE WHEN r.target IS NULL THEN 0.0 WHEN length(r.target) > 3 * length(s.text) THEN 0.7 ELSE 1.0 END
+    AS confidence
+FROM text_segs s LEFT JOIN (SELECT DISTINCT text, concat('R ', {fold('text')}) AS target
+  FROM segs JOIN file_types USING (doc_id) WHERE lang = 'fr') r ON r.text = s.text""",
+    *SEGS, "file_types", "text_segs",
+)
+ORACLES["stream_job_status"] = sql(
+    """
+SELECT job_id, arg_max(status, (status IN ('completed', 'failed'), ts, event_id)) AS status
+FROM job_events GROUP BY job_id""",
+    "job_events",
+)
 ORACLES["translate_corpus_status"] = sql(
     f"""
 SELECT f.doc_id, CASE WHEN total IS NULL THEN 'failed' ELSE 'completed' END AS status,

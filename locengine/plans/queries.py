@@ -13,14 +13,14 @@ from locengine.functions import text as t
 from locengine.operators import batch, extract, jobs, memory, quality, review, runs
 from locengine.operators.inference import translate_batches, translate_with_retries
 from locengine.operators.ordering import latest_by, pack_batches
-from locengine.operators.phrases import apply_translation_map
+from locengine.operators.phrases import apply_translation_map, translate_paragraphs
 from locengine.operators.rebuild import rebuild_documents, rewrite_lines
 from locengine.plans import corpus
 from locengine.plans import fixtures as fx
 from locengine.sources import documents as files
 from locengine.sources.office import office_paragraphs
 from locengine.sources.xliff import xliff_segments
-from locengine.streaming.streams import arriving, stream_lookup
+from locengine.streaming.streams import arriving, stream_lookup, stream_status
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -429,6 +429,23 @@ def paragraph_fallback(spark, d):
     )
 
 
+@query
+def paragraph_rebuild(spark, d):
+    paragraphs = _tagged(spark, d).select("doc_id", "seq", "text")
+    plain = t.strip_tags(F.col("text"))
+    # Whole tagged texts, whole plain texts, and beginnings that occur inside others.
+    key = (
+        F.when(F.col("seq") % 3 == 0, F.col("text"))
+        .when(F.col("seq") % 3 == 1, plain)
+        .otherwise(F.substring(plain, 1, 12))
+    )
+    pairs = paragraphs.select(
+        "doc_id", "seq", key.alias("text"), fx.fold(key).alias("translated_text")
+    )
+    done = translate_paragraphs(paragraphs, memory.build_translation_map(pairs))
+    return done.select("doc_id", "seq", F.md5("translated_text").alias("target_md5"))
+
+
 def _attempts_text(column: str = "attempts") -> Column:
     return F.array_join(
         F.transform(
@@ -641,13 +658,25 @@ def _french_memory(spark, d) -> DataFrame:
     )
 
 
-def _corpus(spark, d, mode="auto") -> corpus.CorpusResult:
+def _reviewed(spark, d) -> DataFrame:
+    """Reviewed targets for the segments of the French documents."""
+    french = fx.table(spark, d, "documents").filter("lang = 'fr'").select("doc_id")
+    segments = _segments(spark, d).join(french, "doc_id", "left_semi")
+    return segments.select(
+        "text",
+        F.concat(F.lit("R "), fx.fold(F.col("text"))).alias("translated_text"),
+        F.col("doc_id").alias("seq"),
+    )
+
+
+def _corpus(spark, d, mode="auto", reviewed=None) -> corpus.CorpusResult:
     limits = corpus.Limits(batch_max_chars=BATCH_CHARS, batch_max_segments=BATCH_SEGMENTS)
     return corpus.translate_corpus(
         fx.md_docs(spark, d),
         materialise(_french_memory(spark, d), "memory"),
         fx.stand_in,
         mode,
+        reviewed=reviewed,
         p=P,
         limits=limits,
     )
@@ -670,6 +699,40 @@ def translate_corpus_memory(spark, d):
     return _corpus(spark, d).memory
 
 
+@query
+def translate_corpus_documents(spark, d):
+    return _corpus(spark, d).documents.select(
+        "doc_id", F.md5("text").alias("text_md5"), F.length("text").alias("chars")
+    )
+
+
+@query
+def translate_corpus_export(spark, d):
+    units = _corpus(spark, d, "export").exchange.filter("line LIKE '<trans-unit %'")
+    return units.select("doc_id", "line_no", F.md5("line").alias("line_md5"))
+
+
+@query
+def translate_corpus_import(spark, d):
+    result = _corpus(spark, d, "import", _reviewed(spark, d))
+    return result.segments.select("doc_id", "seq", "translated_text", "confidence")
+
+
+@query
+def stream_job_status(spark, d):
+    events = fx.table(spark, d, "events")
+    stream = fx.as_job_events(arriving(spark, d, events.schema, "events.parquet"))
+    out = new_path(spark, "status-out")
+
+    def append(rows: DataFrame, number: int) -> None:
+        rows.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+
+    stream_status(stream, new_path(spark, "status-state"), append).awaitTermination()
+    return spark.read.parquet(out).groupBy("job_id").agg(
+        F.max_by("status", "batch").alias("status")
+    )
+
+
 @query
 def stream_tm_lookup(spark, d):
     docs = fx.table(spark, d, "documents")
