@@ -1,4 +1,4 @@
-"""Replacement of known phrases inside longer texts."""
+"""Replacement of known texts and phrases by the translation map of their document."""
 
 from __future__ import annotations
 
@@ -17,71 +17,82 @@ TEXTS_PER_GROUP = 1024
 
 
 class PhraseTable:
-    """Phrases of one document in replacement order: longest first, then by ``seq``.
+    """The map of one document, and its phrases in replacement order: longest first, then
+    by ``seq``.
 
     A replacement can create or destroy later phrases, so after each one the text is
     searched again for the next phrase in order. The automaton finds every phrase in one
     pass over the text, so the cost follows the replacements made and not the size of the
-    map.
+    map. It is built when the first text needs it.
     """
 
-    def __init__(self, entries):
-        import ahocorasick
-
+    def __init__(self, entries: list[dict]):
         ordered = sorted(entries, key=lambda e: (-len(e["source"]), e["seq"]))
         self.pairs = [(e["source"], e["target"]) for e in ordered]
-        self.automaton = ahocorasick.Automaton()
-        for rank, (source, _) in enumerate(self.pairs):
-            self.automaton.add_word(source, rank)
-        if self.pairs:
+        self.whole = dict(self.pairs)
+        self.automaton = None
+
+    def phrases(self, text: str) -> str | None:
+        if not self.pairs:
+            return None
+        if self.automaton is None:
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            for rank, (source, _) in enumerate(self.pairs):
+                self.automaton.add_word(source, rank)
             self.automaton.make_automaton()
-
-    def replace(self, text: str) -> str | None:
         working, done = text, -1
-        while self.pairs:
+        while True:
             ahead = [rank for _, rank in self.automaton.iter(working) if rank > done]
             if not ahead:
-                break
+                return None if working == text else working
             done = min(ahead)
             working = working.replace(*self.pairs[done])
-        return None if working == text else working
+
+    def find(self, text: str, plain: str) -> tuple[str | None, str | None]:
+        """Translation and the way it was found; ``plain`` is without footnote marks."""
+        if text in self.whole:
+            return self.whole[text], "exact"
+        if plain in self.whole:
+            return self.whole[plain], "plain"
+        replaced = self.phrases(plain) if plain else None
+        return replaced, None if replaced is None else "phrase"
 
 
 def apply_translation_map(
-    texts: DataFrame, tmap: DataFrame, keys: tuple[str, ...] = ("doc_id",)
+    texts: DataFrame,
+    tmap: DataFrame,
+    keys: tuple[str, ...] = ("doc_id",),
+    untagged: bool = False,
 ) -> DataFrame:
     """Map texts through the translation map of their document.
 
-    Exact match first, then a match without ``[N]`` marks: two equi-joins. What is left
-    has every contained phrase replaced, longest first. ``texts`` has ``keys, seq, text``
-    and ``tmap`` has ``keys, source, target, seq``; adds ``translated_text`` (null when
-    nothing applies) and ``match_kind``.
+    A text is taken as a whole, then without ``[N]`` marks, and else has every contained
+    phrase replaced, longest first. With ``untagged``, a text with inline tags that
+    nothing applies to is tried again without them. ``texts`` has ``keys, seq, text`` and
+    any other columns, ``tmap`` has ``keys, source, target, seq``; adds
+    ``translated_text`` (null when nothing applies) and ``match_kind``.
 
-    Remaining texts are grouped in runs of at most ``TEXTS_PER_GROUP`` with the map of
-    their document, so a document's map is sent once per run and text-phrase pairs never
-    become rows.
+    Texts are grouped in runs of at most ``TEXTS_PER_GROUP`` positions and meet the map of
+    their document once per run: texts are shuffled once, and pairs of texts and phrases
+    never become rows. The runs of a hot document are split by adaptive execution.
     """
     k = list(keys)
-    base = (
-        texts.withColumn("_s", strip_ws(F.col("text")))
-        .withColumn("_n", F.regexp_replace("_s", FOOTNOTE_ANY, ""))
-    )
-    exact = tmap.select(*k, F.col("source").alias("_s"), F.col("target").alias("_t1"))
-    plain = tmap.select(*k, F.col("source").alias("_n"), F.col("target").alias("_t2"))
-    joined = (
-        base.join(exact, [*k, "_s"], "left")
-        .join(plain, [*k, "_n"], "left")
-        .withColumn("_hit", F.coalesce("_t1", "_t2"))
-    )
-    kind = F.when(F.col("_t1").isNotNull(), "exact").when(F.col("_t2").isNotNull(), "plain")
-    whole = joined.filter("_hit IS NOT NULL").select(
-        *texts.columns, F.col("_hit").alias("translated_text"), kind.alias("match_kind")
-    )
-
-    open_texts = (
-        joined.filter("_hit IS NULL")
-        .groupBy(*k, bucket_of("seq", TEXTS_PER_GROUP).alias("_run"))
-        .agg(F.collect_list(F.struct("seq", "text", F.col("_n").alias("plain"))).alias("_texts"))
+    trimmed = strip_ws(F.col("text"))
+    bare = F.when(F.col("text").rlike(TAG), strip_ws(strip_tags(F.col("text"))))
+    forms = {
+        "_text": trimmed,
+        "_plain": F.regexp_replace(trimmed, FOOTNOTE_ANY, ""),
+        "_bare": bare if untagged else F.lit(None).cast("string"),
+        "_bare_plain": F.regexp_replace(bare, FOOTNOTE_ANY, "")
+        if untagged
+        else F.lit(None).cast("string"),
+    }
+    own = [c for c in texts.columns if c not in keys]
+    entry = F.struct(*own, *[c.alias(name) for name, c in forms.items()])
+    runs = texts.groupBy(*k, bucket_of("seq", TEXTS_PER_GROUP).alias("_run")).agg(
+        F.collect_list(entry).alias("_texts")
     )
     maps = tmap.groupBy(*k).agg(
         F.collect_list(F.struct("source", "target", "seq")).alias("_map")
@@ -91,38 +102,25 @@ def apply_translation_map(
         table = PhraseTable(run["_map"] or [])
         ids = {key: run[key] for key in k}
         for t in run["_texts"]:
-            found = table.replace(t["plain"]) if t["plain"] else None
-            yield ids | {"seq": t["seq"], "text": t["text"], "translated_text": found}
+            found, kind = table.find(t["_text"], t["_plain"])
+            if found is None and t["_bare"] is not None:
+                found, kind = table.find(t["_bare"], t["_bare_plain"])
+                kind = None if kind is None else f"untagged_{kind}"
+            yield ids | {c: t[c] for c in own} | {"translated_text": found, "match_kind": kind}
 
     schema = T.StructType(
         [
-            *[texts.schema[key] for key in k],
-            texts.schema["seq"],
-            texts.schema["text"],
+            *[texts.schema[c] for c in (*k, *own)],
             T.StructField("translated_text", T.StringType()),
+            T.StructField("match_kind", T.StringType()),
         ]
     )
-    partial = explode_rows(
-        open_texts.join(maps, k, "left").select(*k, "_texts", "_map"), work, schema
-    ).withColumn("match_kind", F.when(F.col("translated_text").isNotNull(), "phrase"))
-    return whole.select(*k, "seq", "text", "translated_text", "match_kind").unionByName(
-        partial.select(*k, "seq", "text", "translated_text", "match_kind")
-    )
+    return explode_rows(runs.join(maps, k, "left").select(*k, "_texts", "_map"), work, schema)
 
 
 def translate_paragraphs(
     paragraphs: DataFrame, tmap: DataFrame, keys: tuple[str, ...] = ("doc_id",)
 ) -> DataFrame:
-    """Tagged paragraphs (``keys, seq, text``) through the map; those that nothing applies
-    to are tried again without their tags. ``match_kind`` of the second try begins with
-    ``untagged_``."""
-    columns = [*keys, "seq", "text", "translated_text", "match_kind"]
-    tagged = apply_translation_map(paragraphs, tmap, keys)
-    has_tags = F.col("text").rlike(TAG)
-    again = F.col("translated_text").isNull() & has_tags
-    plain = apply_translation_map(
-        tagged.filter(again).select(*keys, "seq", strip_tags(F.col("text")).alias("text")),
-        tmap,
-        keys,
-    ).withColumn("match_kind", F.concat(F.lit("untagged_"), "match_kind"))
-    return tagged.filter(~again).select(*columns).unionByName(plain.select(*columns))
+    """Tagged paragraphs through the map; ``match_kind`` of those that are only found
+    without their tags begins with ``untagged_``."""
+    return apply_translation_map(paragraphs, tmap, keys, untagged=True)

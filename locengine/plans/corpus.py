@@ -166,10 +166,7 @@ def rebuilt_paragraphs(paragraphs: DataFrame, classified: DataFrame) -> DataFram
         "doc_id", "seq", "part", "kind", "ordinal", tagged_text(F.col("runs")).alias("text")
     ).filter("text <> ''")
     office = classified.filter(F.col("file_type").isin(*OFFICE_TYPES))
-    done = translate_paragraphs(
-        tagged.select("doc_id", "seq", "text"), build_translation_map(office)
-    )
-    return tagged.join(done.drop("text"), ["doc_id", "seq"])
+    return translate_paragraphs(tagged, build_translation_map(office))
 
 
 def translate_corpus(
@@ -197,6 +194,9 @@ def translate_corpus(
         raise ValueError(f"unknown mode: {mode}")
     # Segments are read for the lookup, for the final join and by every output, so they are
     # extracted and written once; the same holds for the scored segments below.
+    # Packages are parsed once as well.
+    if paragraphs is not None:
+        paragraphs = materialise(paragraphs, "paragraphs")
     segments = materialise(corpus_segments(docs, paragraphs, p), "segments")
     names = docs.select(
         "doc_id",

@@ -949,3 +949,40 @@ FROM segs s LEFT JOIN (SELECT DISTINCT text AS source, {fold('text')} AS target
     ).replace(fold("text") + " AS target\n  FROM segs", fold("segs.text") + " AS target\n  FROM segs"),
     extra=_STREAM,
 )
+
+# ---- column types ---------------------------------------------------------------------
+
+# Where the comparison engine would give a wider type than the operator.
+_INTS = {
+    "line_idx": [
+        "lines", "has_script", "translatable", "script_leak", "fence_state", "diagram_blocks",
+        "latin_spacing", "visual_width", "cell_replace", "diagram_replace",
+    ],
+    "ordinal": ["office_runs", "footnote_runs", "tag_numbers", "locations", "run_boundary_space"],
+    "kept_idx": ["footnote_runs"],
+    "run_idx": ["tag_numbers"],
+    "tag": ["tag_numbers"],
+    "width": ["visual_width"],
+    "chars": ["rebuild_documents", "translate_corpus_documents"],
+    "n": ["ordered_attempts"],
+    "segments": ["batch_translate"],
+}
+_LONGS = {
+    "sent": ["batch_check"],
+    "received": ["batch_check"],
+    "segments": ["job_summary"],
+    "done": ["job_progress"],
+}
+
+
+def _cast(name: str, column: str, kind: str) -> None:
+    ORACLES[name] = (
+        f"SELECT * REPLACE (CAST({column} AS {kind}) AS {column}) FROM (\n{ORACLES[name]})"
+    )
+
+
+for _kind, _columns in (("int", _INTS), ("bigint", _LONGS)):
+    for _column, _names in _columns.items():
+        for _name in _names:
+            _cast(_name, _column, _kind)
+_cast("translate_corpus_import", "confidence", "double")
