@@ -37,7 +37,7 @@ def text_columns(
     text: str,
     fields: list[StructField],
     compute: Callable[[list[bytes | None]], list[list]],
-    most: int = 1 << 21,
+    most: int = 1 << 20,
     extra: tuple[str, ...] = (),
 ) -> DataFrame:
     """The table's columns and `fields`, computed from one text column in slices of limited size.
@@ -56,11 +56,10 @@ def text_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(kept)).to_pylist()
-            for a, b in grouped([t or b"" for t in texts], most):
-                part = batch.slice(a, b - a)
+            for a, _, texts in slices(batch.column(len(kept)), most):
+                part = batch.slice(a, len(texts))
                 more = [part.column(len(kept) + 1 + i).to_pylist() for i in range(len(extra))]
-                made = compute(texts[a:b], *more)
+                made = compute(texts, *more)
                 arrays = [part.column(i).cast(arrow.field(i).type) for i in range(len(kept))]
                 arrays += [
                     pa.array(v, type=arrow.field(len(kept) + i).type) for i, v in enumerate(made)
@@ -128,5 +127,10 @@ def sieve(df: DataFrame, key: str, bits: np.ndarray, hit: bool = True) -> DataFr
     return df.mapInArrow(run, df.schema)
 
 
-def as_binary(array: pa.Array) -> list[bytes | None]:
-    return pc.cast(array, pa.binary()).to_pylist()
+def slices(
+    texts: pa.Array, most: int = 1 << 20
+) -> Iterator[tuple[int, int, list[bytes | None]]]:
+    """Bounds and values of slices of about `most` bytes of a column, one slice in memory."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    for a, b in grouped(sizes, most):
+        yield a, b, texts.slice(a, b - a).to_pylist()

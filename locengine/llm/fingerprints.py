@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
-from locengine.llm.common import text_columns
+from locengine.llm.common import slices, text_columns
 from locengine.llm.words import Words, grouped
 
 K, WORDS = 128, 5
@@ -85,9 +85,9 @@ def from_text(text: str) -> np.ndarray:
 
 
 def sketches(texts: list[bytes], n: int = WORDS, k: int = K) -> list[np.ndarray]:
-    """Sketches of whole texts; a long one is hashed in pieces by its words."""
+    """Sketches of whole texts."""
     out = []
-    for a, b in grouped(texts):
+    for a, b in grouped([len(t) for t in texts]):
         words = Words(texts[a:b])
         h, _ = words.windows(n)
         for i, j in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True):
@@ -170,22 +170,19 @@ def _compared(n: int, k: int, arrow: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # bucket, (id, text, sketch)
         for batch in batches:
-            raws = [r or b"" for r in batch.column(3).to_pylist()]
-            columns = (batch.column(i).to_pylist() for i in (0, 4, 5))
-            rows = []
-            at = 0
-            owns = (s for a, b in grouped(raws) for s in sketches(raws[a:b], n, k))
-            for number, bucket, tail in zip(*columns, strict=True):
-                now = (number, raws[at].decode("utf-8", "replace"), next(owns))
-                at += 1
-                if last is not None and last[0] == bucket:
-                    rows.append(row(last[1], now))
-                last = None if tail or (last is None and tail) else (bucket, now)
-                if len(rows) >= 1024:
+            for a, b, texts in slices(batch.column(3)):
+                raws = [r or b"" for r in texts]
+                columns = (batch.column(i).slice(a, b - a).to_pylist() for i in (0, 4, 5))
+                rows = []
+                for number, bucket, tail, raw, own in zip(
+                    *columns, raws, sketches(raws, n, k), strict=True
+                ):
+                    now = (number, raw.decode("utf-8", "replace"), own)
+                    if last is not None and last[0] == bucket:
+                        rows.append(row(last[1], now))
+                    last = None if tail else (bucket, now)
+                if rows:
                     yield _batch(rows, arrow)
-                    rows = []
-            if rows:
-                yield _batch(rows, arrow)
 
     return run
 

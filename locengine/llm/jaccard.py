@@ -36,13 +36,20 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from locengine.config import materialise
-from locengine.llm.common import as_binary, bitmap, free_name, marked, sieve, text_keys, without
+from locengine.llm.common import (
+    bitmap,
+    free_name,
+    marked,
+    sieve,
+    slices,
+    text_keys,
+    without,
+)
 from locengine.llm.components import components
-from locengine.llm.words import Words, grouped, mixed
+from locengine.llm.words import Words, mixed
 
 SMALL = 32
 _SLOTS = 1 << 20
-_SLICE = 1 << 21
 # One row per document (signature null) and one per signature of a text.
 _SIGNED = "signature long, t1 long, t2 long, id long, n long, salt int, twice boolean"
 _SETS = "t1 long, t2 long, n long, elements array<long>"
@@ -93,8 +100,8 @@ def _sign(sums: np.ndarray, part: np.ndarray, tag: np.ndarray) -> np.ndarray:
     return mixed(sums + mixed(where + np.uint64(1)))
 
 
-def _lowered(array: pa.Array) -> list[bytes]:
-    return [t.lower() if t else b"" for t in as_binary(array)]
+def _shingles(texts: list[bytes | None], n: int) -> list[np.ndarray]:
+    return Words([t.lower() if t else b"" for t in texts]).shingles(n)
 
 
 def _signed(n: int, percent: int, arrow: pa.Schema):
@@ -102,10 +109,10 @@ def _signed(n: int, percent: int, arrow: pa.Schema):
         seed = 0
         for batch in batches:
             t1, t2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            ids, texts = batch.column(2), _lowered(batch.column(3))
-            count = np.zeros(len(texts), dtype=np.int64)
-            for a, b in grouped(texts, _SLICE):
-                sets = Words(texts[a:b]).shingles(n)
+            rows = batch.num_rows
+            count = np.zeros(rows, dtype=np.int64)
+            for a, b, texts in slices(batch.column(3)):
+                sets = _shingles(texts, n)
                 count[a:b] = [len(s) for s in sets]
                 _, alone = np.unique(t1[a:b], return_index=True)  # a text once a slice
                 mark, of = signatures([sets[i] for i in alone], percent)
@@ -124,17 +131,17 @@ def _signed(n: int, percent: int, arrow: pa.Schema):
                     ],
                     schema=arrow,
                 )
-            salt = np.arange(seed, seed + len(texts)) % 4096
-            seed += len(texts)
+            salt = np.arange(seed, seed + rows) % 4096
+            seed += rows
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.nulls(len(texts), pa.int64()),
+                    pa.nulls(rows, pa.int64()),
                     pa.array(t1),
                     pa.array(t2),
-                    ids,
+                    batch.column(2),
                     pa.array(count),
                     pa.array(salt.astype(np.int32)),
-                    pa.array(np.ones(len(texts), dtype=bool)),
+                    pa.array(np.ones(rows, dtype=bool)),
                 ],
                 schema=arrow,
             )
@@ -147,9 +154,8 @@ def _sets(n: int, arrow: pa.Schema):
         for batch in batches:
             _, alone = np.unique(batch.column(0).to_numpy(), return_index=True)
             batch = batch.take(pa.array(alone))
-            texts = _lowered(batch.column(2))
-            for a, b in grouped(texts, _SLICE):
-                sets = Words(texts[a:b]).shingles(n)
+            for a, b, texts in slices(batch.column(2)):
+                sets = _shingles(texts, n)
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
                 offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
                 values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)

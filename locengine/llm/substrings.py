@@ -35,19 +35,18 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 
 from locengine.config import materialise
 from locengine.llm.common import (
-    as_binary,
     bitmap,
     free_name,
     marked,
     sieve,
+    slices,
     text_columns,
     text_keys,
     without,
 )
-from locengine.llm.words import Words, grouped
+from locengine.llm.words import Words
 
 GRAM = 8
-_SLICE = 1 << 21
 _RUNS = "gram long, t1 long, first int, after int, salt int, twice boolean"
 _WINDOWS = "h1 long, h2 int, t1 long, t2 long, start int, salt int, twice boolean"
 _SPAN = StructType([StructField("first", LongType()), StructField("after", LongType())])
@@ -84,9 +83,9 @@ def _runs(window: int, arrow: pa.Schema):
         for batch in batches:
             own = _distinct(batch.column(0).to_pylist())  # a text once a batch
             batch = batch.take(pa.array(own))
-            keys, texts = batch.column(0).to_numpy(), as_binary(batch.column(1))
-            for a, b in grouped(texts, _SLICE):
-                words = Words(texts[a:b])
+            keys = batch.column(0).to_numpy()
+            for a, b, texts in slices(batch.column(1)):
+                words = Words(texts)
                 h, inside = words.windows(window)
                 if not inside.any():
                     continue
@@ -127,18 +126,17 @@ def _windows(window: int, arrow: pa.Schema):
             own = _distinct([x ^ y for x, y in zip(*(batch.column(i).to_pylist() for i in (0, 1)))])
             batch = batch.take(pa.array(own))
             t1, t2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            texts = as_binary(batch.column(2))
-            runs = batch.column(3).to_pylist()
-            for a, b in grouped(texts, _SLICE):
-                words = Words(texts[a:b])
+            for a, b, texts in slices(batch.column(2)):
+                runs = batch.column(3).slice(a, b - a).to_pylist()
+                words = Words(texts)
                 h1, inside = words.windows(window, salt=1)
                 h2, _ = words.windows(window, salt=3)
                 size = np.diff(words.bounds)
                 text = np.repeat(np.arange(b - a), size)[: len(h1)]
                 step = np.zeros(len(h1) + 1, dtype=np.int64)
-                for i in range(a, b):
+                for i in range(b - a):
                     bounds = np.array([(r["first"], r["after"]) for r in runs[i]]).T
-                    bounds = np.minimum(bounds, size[i - a]) + words.bounds[i - a]
+                    bounds = np.minimum(bounds, size[i]) + words.bounds[i]
                     np.add.at(step, np.minimum(bounds[0], len(h1)), 1)
                     np.add.at(step, np.minimum(bounds[1], len(h1)), -1)
                 at = np.flatnonzero((np.cumsum(step)[:-1] > 0) & inside)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-_PIECE = 1 << 20  # bytes that are hashed at a time
+_PIECE = 1 << 18  # bytes that are hashed at a time
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 _BYTES = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASES = [int(x) * 8 + 5 for x in _RANDOM.integers(1 << 40, 1 << 60, 4)]
@@ -127,13 +127,13 @@ class Words:
             return mixed(np.array([h * np.uint64(_BASES[2])]))
 
 
-def grouped(texts: list[bytes], most: int = 1 << 21):
-    """Slices of texts of about `most` bytes, a longer text alone."""
+def grouped(sizes: list[int], most: int = 1 << 20):
+    """Bounds of slices of about `most` bytes, a longer text alone."""
     at = 0
-    while at < len(texts):
-        to, size = at + 1, len(texts[at])
-        while to < len(texts) and size + len(texts[to]) <= most:
-            size += len(texts[to])
+    while at < len(sizes):
+        to, size = at + 1, sizes[at]
+        while to < len(sizes) and size + sizes[to] <= most:
+            size += sizes[to]
             to += 1
         yield at, to
         at = to
