@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from locengine.config import materialise
 from locengine.llm import decontaminate, jaccard, langid, mixing, substrings
+from locengine.llm.common import prepare
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 MIN_SCORE = 0.3  # below it no learned language fits
@@ -20,12 +21,14 @@ MIN_SCORE = 0.3  # below it no learned language fits
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: no letters, or no learned language fits."""
+    prepare(spark)
     known = docs.where(~langid.held_out("doc_id")).select("text", "lang")
     return langid.drop_unknown(docs, langid.fit(known), least=MIN_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by shingles of five words at 0.8 or more, that with the least id stays."""
+    prepare(spark)
     return jaccard.keep_one(docs, n=5, percent=80)
 
 
@@ -34,6 +37,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A text that loses words is its other words joined by one space; n_chars follows.
     """
+    prepare(spark)
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     text = f"c{docs.columns.index('text')}"
     made = substrings.remove_repeats(plain, text=text)
@@ -49,6 +53,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
+    prepare(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     made = decontaminate.decontaminate(
@@ -60,6 +65,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed by temperature: every document is used, none of a source more than twice."""
+    prepare(spark)
     return mixing.mix(docs, max_repeats=2.0)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
@@ -18,6 +18,15 @@ BITMAP_BITS = 1 << 24  # 2 MB; what is broadcast never exceeds it, whatever the
 SALTS = 64
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Smaller batches for Python workers: rows here hold whole texts.
+
+    The registered queries and the pipeline's stages call it; others may, as with configure().
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return spark
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that the table does not have."""
     have = {c.lower() for c in df.columns}

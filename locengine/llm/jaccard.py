@@ -9,11 +9,12 @@ Sizes are cut into bands so that linked sets lie in the same or in neighbouring
 each set works in its own band and the next one. In a band, linked sets differ in at most k
 elements. The domain of hashes is cut into more than k parts, so that linked sets agree in a
 whole part; the signature of a set in a part is a hash of its elements there (the subsets of
-parts enumerated are the single ones: second-level sets of one part give the fewest
-signatures for these thresholds). Sets of k or fewer non-empty parts also sign their empty
-ones. No link can be missed, and every candidate is verified on the sets themselves.
+parts enumerated are the single ones, which gives the fewest signatures for these
+thresholds). No link can be missed, and every candidate is verified on the sets themselves.
 
-Equal texts are one node. A bucket of at most `SMALL` nodes gives all its pairs. In a larger
+Equal texts are one node. Nodes that buckets connect form a group; the sets of a small group are
+brought together once and compared. Of a large group, a bucket of at most `SMALL` nodes gives
+all its pairs. In a larger
 bucket each node is compared with one pivot only. Nodes that are not linked with the pivot
 may be linked with other nodes of the bucket. Two of them that are near the pivot have nearly
 the same difference from it, so they share one of the rarest elements of it; two that are far
@@ -26,7 +27,9 @@ results.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,46 +58,96 @@ _SIGNED = "signature long, t1 long, t2 long, id long, n long, salt int, twice bo
 _SETS = "t1 long, t2 long, n long, elements array<long>"
 
 
-def bands(percent: int, most: int) -> np.ndarray:
-    """First size of each band, up to two bands beyond `most`."""
-    first = [1]
-    while first[-1] <= most:
-        first.append(first[-1] * 100 // percent + 1)
-    for _ in range(2):
-        first.append(first[-1] * 100 // percent + 1)
-    return np.array(first, dtype=np.int64)
+@lru_cache(64)
+def bands(percent: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """First size of each band, and its number of parts.
 
-
-def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of sorted sets and the index of the set that each belongs to."""
+    There are so many parts that a set nearly always has more than k that are not empty: the
+    mean of their number lies three deviations above.
+    """
+    first, parts = [1], []
+    for _ in range(count):
+        most = first[-1] * 100 // percent
+        first.append(most + 1)
+        k = most * (100 - percent) // percent
+        n = k + 1
+        while k and n < 8 * (k + 2):
+            empty = math.exp(-most / n)
+            spread = n * empty * (1 - empty * (1 + most / n))
+            if n * (1 - empty) - 3 * math.sqrt(max(0.0, spread)) >= k + 1:
+                break
+            n += 1
+        parts.append(n)
+    return np.array(first, dtype=np.int64), np.array(parts, dtype=np.int64)
+
+
+def signatures(
+    sets: list[np.ndarray], percent: int, frequent: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of sorted sets and the index of the set that each belongs to.
+
+    A set of size s differs from a smaller or equal linked one in at most k(s) elements, so it
+    signs its first k(s) + 1 parts that are not empty. Of two linked sets, all parts before the
+    first non-empty one in which they agree differ or are empty in both; so either set has
+    at most k of the smaller one before it, and both sign it.
+
+    Linked sets agree as well where `frequent` elements are left out of both, so signatures
+    are first made without them. Sets that then have k or fewer parts meet sets that have more
+    in those, and each other by parts of all elements and, if still too few, by empty parts.
+    """
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     if not sizes.sum():
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     elements = np.concatenate(sets)
     of = np.repeat(np.arange(len(sets)), sizes)
-    first = bands(percent, int(sizes.max()))
+    count = 8
+    while bands(percent, count)[0][-3] <= sizes.max():
+        count *= 2
+    first, numbers = bands(percent, count)
     own = np.searchsorted(first, np.maximum(sizes, 1), side="right") - 1
-    values = mixed(elements)
+    k = sizes * (100 - percent) // percent
     made, belongs = [], []
+    rare = np.ones(len(elements), dtype=bool)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, elements), len(frequent) - 1)
+        rare = frequent[at] != elements
     for tag in (own, own + 1):
-        k = (first[tag + 1] - 1) * (100 - percent) // percent
-        parts = np.where(k == 0, 1, k + 2 + k // 32)
-        # Elements are sorted, so a part is a range of them.
-        part = (elements >> np.uint64(33)).astype(np.int64) * parts[of] >> 31
-        edge = np.flatnonzero(
-            np.concatenate(([True], (part[1:] != part[:-1]) | (of[1:] != of[:-1])))
-        )
-        sums = np.add.reduceat(values, edge)
-        made.append(_sign(sums, part[edge], tag[of[edge]]))
-        belongs.append(of[edge])
-        full = np.bincount(of[edge], minlength=len(sets))
-        for i in np.flatnonzero((full <= k) & (sizes > 0)).tolist():
-            empty = np.setdiff1d(np.arange(parts[i]), part[edge][of[edge] == i])
-            made.append(_sign(np.zeros(len(empty), np.uint64), empty, np.full(len(empty), tag[i])))
+        parts = numbers[tag]
+        mark, at, _, full = _parts(elements[rare], of[rare], parts, 2 * tag, k)
+        made.append(mark)
+        belongs.append(at)
+        few = (full <= k) & (sizes > 0)
+        some = few[of]
+        mark, at, part, full = _parts(elements[some], of[some], parts, 2 * tag + 1, k)
+        made.append(mark)
+        belongs.append(at)
+        for i in np.flatnonzero((full <= k) & few).tolist():
+            empty = np.setdiff1d(np.arange(parts[i]), part[at == i])
+            tags = np.full(len(empty), 2 * tag[i] + 1)
+            made.append(_sign(np.zeros(len(empty), np.uint64), empty, tags))
             belongs.append(np.full(len(empty), i))
     return np.concatenate(made), np.concatenate(belongs)
 
 
+def _parts(
+    elements: np.ndarray, of: np.ndarray, parts: np.ndarray, tag: np.ndarray, k: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signature, set and number of the first k + 1 non-empty parts of each set, and how many
+    each set has in all. Elements are sorted, so a part is a range of them."""
+    if not len(elements):
+        none = np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.uint64), none, none, np.zeros(len(k), dtype=np.int64)
+    part = (elements >> np.uint64(33)).astype(np.int64) * parts[of] >> 31
+    edge = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (of[1:] != of[:-1]))))
+    sums = np.add.reduceat(mixed(elements), edge)
+    at, number = of[edge], part[edge]
+    full = np.bincount(at, minlength=len(k))
+    place = np.arange(len(at)) - np.repeat(np.cumsum(full) - full, full)
+    early = place <= k[at]
+    mark = _sign(sums[early], number[early], tag[at[early]])
+    return mark, at[early], number[early], full
+
+
 def _sign(sums: np.ndarray, part: np.ndarray, tag: np.ndarray) -> np.ndarray:
     where = part.astype(np.uint64) << np.uint64(20) | tag.astype(np.uint64)
     return mixed(sums + mixed(where + np.uint64(1)))
@@ -104,7 +157,30 @@ def _shingles(texts: list[bytes | None], n: int) -> list[np.ndarray]:
     return Words([t.lower() if t else b"" for t in texts]).shingles(n)
 
 
-def _signed(n: int, percent: int, arrow: pa.Schema):
+def _frequent(rows: DataFrame, n: int, sample: int, most: int = 1 << 18) -> np.ndarray:
+    """Sorted elements that stand in four or more of about `sample` texts, `most` at most.
+
+    They are left out of signatures to spare candidates; no link depends on which they are.
+    """
+    share = min(1.0, sample / max(1, rows.count()))
+    chosen = rows.where(F.pmod("t2", F.lit(1 << 20)) < share * (1 << 20)).select("raw")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, texts in slices(batch.column(0)):
+                each = np.concatenate([*_shingles(texts, n), np.zeros(0, dtype=np.uint64)])
+                value, count = np.unique(each, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(value.view(np.int64)), pa.array(count)], names=["element", "seen"]
+                )
+
+    found = chosen.mapInArrow(run, "element long, seen long").groupBy("element")
+    found = found.agg(F.sum("seen").alias("seen")).where("seen >= 4")
+    table = found.orderBy(F.desc("seen"), "element").limit(most).select("element").toArrow()
+    return np.sort(table.column("element").to_numpy().view(np.uint64))
+
+
+def _signed(n: int, percent: int, frequent, arrow: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seed = 0
         for batch in batches:
@@ -115,7 +191,7 @@ def _signed(n: int, percent: int, arrow: pa.Schema):
                 sets = _shingles(texts, n)
                 count[a:b] = [len(s) for s in sets]
                 _, alone = np.unique(t1[a:b], return_index=True)  # a text once a slice
-                mark, of = signatures([sets[i] for i in alone], percent)
+                mark, of = signatures([sets[i] for i in alone], percent, frequent.value)
                 salt, twice = marked(mark)
                 at = a + alone[of] if len(of) else np.zeros(0, dtype=np.int64)
                 empty = pa.nulls(len(mark), pa.int64())
@@ -334,8 +410,77 @@ def _by_rare_elements(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFr
     return own.mapInArrow(run, "bucket long, t1 long").distinct()
 
 
-def links_of(signed: DataFrame, sets: DataFrame, percent: int, rounds: int = 8) -> DataFrame:
-    """Links (a, b) between different texts, as structs of both keys."""
+def _verified(percent: int, arrow: pa.Schema):
+    """Links within groups of sets that come one after the other: label, t1, t2, n, elements."""
+
+    def links(group: list[tuple]) -> Iterator[tuple]:
+        group.sort(key=lambda x: x[2])
+        for i, (a1, a2, n, own) in enumerate(group):
+            for b1, b2, m, other in group[i + 1 :]:
+                if n * 100 < m * percent:
+                    break
+                shared = len(np.intersect1d(own, other, assume_unique=True))
+                if (100 + percent) * shared >= percent * (n + m):
+                    yield a1, a2, b1, b2
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * 4
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, type=pa.int64()) for c in columns], schema=arrow
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label, group = None, []
+        for one in batches:
+            rows: list[tuple] = []
+            offsets = one.column(4).offsets.to_numpy()
+            values = one.column(4).values.to_numpy()
+            columns = (one.column(i).to_pylist() for i in range(4))
+            for i, (now, t1, t2, n) in enumerate(zip(*columns, strict=True)):
+                if now != label:
+                    rows += links(group)
+                    label, group = now, []
+                group.append((t1, t2, n, values[offsets[i] : offsets[i + 1]].copy()))
+            yield batch(rows)
+        yield batch(list(links(group)))
+
+    return run
+
+
+def links_of(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different texts, as structs of both keys, from (bucket, t1).
+
+    Texts that buckets connect form a group. The sets of a group of at most 2 * SMALL texts
+    are brought together and compared; larger groups are split.
+    """
+    least = buckets.groupBy("bucket").agg(F.min("t1").alias("a"))
+    stars = buckets.join(least, "bucket").select("a", F.col("t1").alias("b"))
+    label = components(stars)
+    sizes = label.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
+    label = materialise(label.join(sizes, "label").withColumnRenamed("node", "t1"), "labels")
+    small = label.where(F.col("members") <= 2 * SMALL).select("t1", "label")
+    ddl = "a1 long, a2 long, b1 long, b2 long"
+    arrow = to_arrow_schema(StructType.fromDDL(ddl))
+    near = (
+        sets.join(small, "t1")
+        .select("label", "t1", "t2", "n", "elements")
+        .repartition("label")
+        .sortWithinPartitions("label")
+        .mapInArrow(_verified(percent, arrow), ddl)
+    )
+    a = F.struct(F.col("a1").alias("t1"), F.col("a2").alias("t2")).alias("a")
+    b = F.struct(F.col("b1").alias("t1"), F.col("b2").alias("t2")).alias("b")
+    near = materialise(near.select(a, b), "near")
+    large = label.where(F.col("members") > 2 * SMALL).select("t1")
+    if large.limit(1).isEmpty():
+        return near
+    rest = materialise(buckets.join(large, "t1", "left_semi").select("bucket", "t1"), "rest")
+    sets = materialise(sets.join(large, "t1", "left_semi"), "sets")
+    return near.unionByName(_split_links(rest, sets, percent))
+
+
+def _split_links(signed: DataFrame, sets: DataFrame, percent: int, rounds: int = 8) -> DataFrame:
+    """Links of texts in large groups, by small buckets and by pivots of large ones."""
     sized = materialise(_sized(signed), "buckets")
     found = _links(_pairs_of(sized.where(F.col("members") <= SMALL)), sets, percent)
     large = sized.where(F.col("members") > SMALL)
@@ -374,7 +519,9 @@ def links_of(signed: DataFrame, sets: DataFrame, percent: int, rounds: int = 8)
     return found.unionByName(_links(_pairs_of(large), sets, percent))
 
 
-def _grouped(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
+def _grouped(
+    docs: DataFrame, doc_id: str, text: str, n: int, percent: int, sample: int = 4096
+) -> DataFrame:
     """(id, t1, t2, n, label) of every document; label names its group."""
     k1, k2 = text_keys(text)
     rows = docs.select(
@@ -384,7 +531,8 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> D
         F.col(f"`{text}`").cast("binary").alias("raw"),
     )
     arrow = to_arrow_schema(StructType.fromDDL(_SIGNED))
-    signed = rows.mapInArrow(_signed(n, percent, arrow), _SIGNED)
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(rows, n, sample))
+    signed = rows.mapInArrow(_signed(n, percent, frequent, arrow), _SIGNED)
     group = Window.partitionBy("signature", "salt")
     kept = materialise(
         signed.withColumns({"least": F.min("t1").over(group), "most": F.max("t1").over(group)})

@@ -20,6 +20,7 @@ from locengine.llm import (
     urls,
     warc,
 )
+from locengine.llm.common import prepare
 
 RULES = [
     urls.Rule("com", "/", "allow"),
@@ -32,7 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
+    QUERIES[fn.__name__] = lambda spark, d: fn(prepare(spark), d)
     return fn
 
 
