@@ -129,13 +129,16 @@ class _Reader(HTMLParser):
             if tag in _BLOCKS:
                 self.flush()
             return
+        if tag not in _BLOCKS:  # a script may stand within a line
+            self.open.append(self._element(tag, attrs))
+            return
         self.flush()
         self.links = 0
         while len(self.open) > 1 and self.open[-1].tag in _SIBLINGS.get(tag, ()):
             self.open.pop()
         if tag not in _HEAD and self.open[-1].tag == "head":
             self.open.pop()
-        if tag in _BLOCKS and tag != "p" and self.open[-1].tag == "p":
+        if tag != "p" and self.open[-1].tag == "p":
             self.open.pop()
         self.open.append(self._element(tag, attrs))
 
@@ -165,7 +168,8 @@ class _Reader(HTMLParser):
         if tag == "a":
             self.links = max(0, self.links - 1)
         elif tag in _BLOCKS or tag in _DROPPED:
-            self.flush()
+            if tag in _BLOCKS:
+                self.flush()
             for i in range(len(self.open) - 1, 0, -1):
                 if self.open[i].tag == tag:
                     del self.open[i:]
