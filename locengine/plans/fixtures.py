@@ -38,18 +38,19 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 
 def md_docs(spark: SparkSession, d: str) -> DataFrame:
     """Documents with fences, diagrams, table rows and headings at fixed line positions,
-    and a file type; one in nine has a type that is not a text type."""
+    and a file type; one in nine has a type that is not a text type. Marks are added to the
+    lines, which stay whole."""
 
     def line(raw, i):
         at = i % 12
         return (
-            F.when(at.isin(3, 6), "```")
+            F.when(at.isin(3, 6), F.concat(F.lit("```\n"), raw))
             .when((at == 5) & (F.col("doc_id") % 2 == 0), F.concat(F.lit("│ "), raw, F.lit(" │")))
             .when(
                 at == 8,
                 F.concat(
                     F.lit("| "), F.substring(raw, 1, 12), F.lit(" | "),
-                    F.substring(raw, 13, 12), F.lit(" |"),
+                    F.substring(raw, F.lit(13), F.length(raw)), F.lit(" |"),
                 ),
             )
             .when(at == 9, F.concat(F.lit("# "), raw))

@@ -49,10 +49,12 @@ PARTS["lines"] = f"""
 SELECT doc_id, generate_subscripts(string_split(text, {NL}), 1) - 1 AS line_idx,
        unnest(string_split(text, {NL})) AS raw FROM documents"""
 PARTS["md_lines"] = """
-SELECT doc_id, line_idx, CASE
-  WHEN line_idx % 12 IN (3, 6) THEN '```'
+SELECT doc_id, CAST(line_idx + (line_idx + 9) // 12 + (line_idx + 6) // 12 - 1 AS int) AS line_idx,
+  '```' AS raw FROM lines WHERE line_idx % 12 IN (3, 6)
+UNION ALL
+SELECT doc_id, CAST(line_idx + (line_idx + 9) // 12 + (line_idx + 6) // 12 AS int) AS line_idx, CASE
   WHEN line_idx % 12 = 5 AND doc_id % 2 = 0 THEN concat('│ ', raw, ' │')
-  WHEN line_idx % 12 = 8 THEN concat('| ', substr(raw, 1, 12), ' | ', substr(raw, 13, 12), ' |')
+  WHEN line_idx % 12 = 8 THEN concat('| ', substr(raw, 1, 12), ' | ', substr(raw, 13), ' |')
   WHEN line_idx % 12 = 9 THEN concat('# ', raw)
   ELSE raw END AS raw FROM lines"""
 PARTS["file_types"] = """

