@@ -133,14 +133,17 @@ def reply_parts(reply: Column) -> Column:
 
 
 def check_batches(replies: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Per document: batches, segments sent, pieces returned, batches with another count."""
+    """Per document: batches, segments sent, pieces returned, batches with another count, and
+    those without a reply, which returned none."""
     sent = F.size("entries")
-    got = F.size(reply_parts(F.col("reply")))
+    lost = F.col("reply").isNull()
+    got = F.when(lost, 0).otherwise(F.size(reply_parts(F.col("reply"))))
     return replies.groupBy(*keys).agg(
         F.count("*").alias("batches"),
         F.sum(sent).alias("sent"),
         F.sum(got).alias("received"),
         F.count_if(sent != got).alias("mismatched"),
+        F.count_if(lost).alias("timeouts"),
     )
 
 

@@ -788,8 +788,9 @@ ORACLES["pack_batches"] = sql("SELECT doc_id, seq, batch_id FROM packing", *SEGS
 ORACLES["batch_check"] = sql(
     """
 SELECT doc_id, count(*) AS batches, sum(n) AS sent, sum(got) AS received,
-  count(*) FILTER (got <> n) AS mismatched
-FROM (SELECT doc_id, batch_id, any_value(n) AS n, len(string_split(any_value(reply), '|||')) AS got
+  count(*) FILTER (got <> n) AS mismatched, count(*) FILTER (lost) AS timeouts
+FROM (SELECT doc_id, batch_id, any_value(n) AS n, bool_and(reply IS NULL) AS lost,
+    coalesce(len(string_split(any_value(reply), '|||')), 0) AS got
   FROM batched JOIN replies USING (doc_id, batch_id) GROUP BY ALL) GROUP BY doc_id""",
     *SEGS, extra=_REPLIES,
 )

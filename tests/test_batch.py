@@ -73,10 +73,14 @@ def test_routing(spark):
 
 def test_count_check(spark):
     df = spark.createDataFrame(
-        [("d", 0, [(0, "a"), (1, "b")], "x|||y"), ("d", 1, [(2, "c")], "x|||y")],
+        [
+            ("d", 0, [(0, "a"), (1, "b")], "x|||y"),
+            ("d", 1, [(2, "c")], "x|||y"),
+            ("d", 2, [(3, "e")], None),
+        ],
         "doc_id string, batch_id long, entries array<struct<seq:long,text:string>>, reply string",
     )
-    assert tuple(batch.check_batches(df).head()) == ("d", 2, 3, 4, 1)
+    assert tuple(batch.check_batches(df).head()) == ("d", 3, 4, 4, 2, 1)
 
 
 def answer(request):
