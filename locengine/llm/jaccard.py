@@ -157,13 +157,15 @@ def _shingles(texts: list[bytes | None], n: int) -> list[np.ndarray]:
     return Words([t.lower() if t else b"" for t in texts]).shingles(n)
 
 
-def _frequent(rows: DataFrame, n: int, sample: int, most: int = 1 << 18) -> np.ndarray:
-    """Sorted elements that stand in four or more of about `sample` texts, `most` at most.
+def _frequent(rows: DataFrame, n: int, share: float, most: int = 1 << 20) -> np.ndarray:
+    """Sorted elements that stand in four or more different texts of a share of all texts.
 
-    They are left out of signatures to spare candidates; no link depends on which they are.
+    The share is fixed, so an element's number of texts, not the size of the table, decides. Such
+    elements are left out of signatures to spare candidates; no link depends on which they
+    are. `most` of them are kept, the commonest ones: 8 MB to broadcast.
     """
-    share = min(1.0, sample / max(1, rows.count()))
-    chosen = rows.where(F.pmod("t2", F.lit(1 << 20)) < share * (1 << 20)).select("raw")
+    chosen = rows.where(F.pmod("t2", F.lit(1 << 20)) < share * (1 << 20))
+    chosen = chosen.dropDuplicates(["t1", "t2"]).select("raw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -520,7 +522,7 @@ def _split_links(signed: DataFrame, sets: DataFrame, percent: int, rounds: int =
 
 
 def _grouped(
-    docs: DataFrame, doc_id: str, text: str, n: int, percent: int, sample: int = 4096
+    docs: DataFrame, doc_id: str, text: str, n: int, percent: int, share: float = 1 / 16
 ) -> DataFrame:
     """(id, t1, t2, n, label) of every document; label names its group."""
     k1, k2 = text_keys(text)
@@ -531,7 +533,7 @@ def _grouped(
         F.col(f"`{text}`").cast("binary").alias("raw"),
     )
     arrow = to_arrow_schema(StructType.fromDDL(_SIGNED))
-    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(rows, n, sample))
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(rows, n, share))
     signed = rows.mapInArrow(_signed(n, percent, frequent, arrow), _SIGNED)
     group = Window.partitionBy("signature", "salt")
     kept = materialise(
