@@ -12,9 +12,12 @@ whole part; the signature of a set in a part is a hash of its elements there (th
 parts enumerated are the single ones, which gives the fewest signatures for these
 thresholds). No link can be missed, and every candidate is verified on the sets themselves.
 
-Equal texts are one node. Nodes that buckets connect form a group; the sets of a small group are
-brought together once and compared. Of a large group, a bucket of at most `SMALL` nodes gives
-all its pairs. In a larger
+Equal texts are one node. A bucket of at most `SMALL` nodes gives all its pairs. Each set has a
+sketch, one bit per element or more: whether an odd number of its elements falls on the bit. Two
+sets differ in at least as many elements as their sketches in bits, so a pair whose sketches
+differ in too many is dropped before any set is moved, and no link is lost. Pairs that are left
+form groups; the sets of a small group are brought together once and compared. Of a large group,
+the pairs that verified links have not connected yet are compared. In a larger
 bucket each node is compared with one pivot only. Nodes that are not linked with the pivot
 may be linked with other nodes of the bucket. Two of them that are near the pivot have nearly
 the same difference from it, so they share one of the rarest elements of it; two that are far
@@ -56,6 +59,7 @@ _SLOTS = 1 << 20
 # One row per document (signature null) and one per signature of a text.
 _SIGNED = "signature long, t1 long, t2 long, id long, n long, salt int, twice boolean"
 _SETS = "t1 long, t2 long, n long, elements array<long>"
+_SKETCHES = "t1 long, t2 long, n long, sketch binary"
 
 
 @lru_cache(64)
@@ -252,6 +256,81 @@ def _sets(n: int, arrow: pa.Schema):
     return run
 
 
+def sketch(elements: np.ndarray) -> bytes:
+    """Parity of the number of elements on each bit; as many bits as elements or up to twice that.
+
+    The number of bits is a power of two, 64 or more.
+    """
+    bits = max(64, 1 << (len(elements) - 1).bit_length()) if len(elements) else 64
+    odd = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ: their sets differ in as many elements or more.
+
+    The longer sketch is folded: the parity of two bits together is their sum's.
+    """
+    if len(a) < len(b):
+        a, b = b, a
+    x, size = int.from_bytes(a, "little"), len(a)
+    while size > len(b):
+        size //= 2
+        x = x >> 8 * size ^ x & (1 << 8 * size) - 1
+    return (x ^ int.from_bytes(b, "little")).bit_count()
+
+
+def _sketched(n: int, arrow: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, alone = np.unique(batch.column(0).to_numpy(), return_index=True)
+            batch = batch.take(pa.array(alone))
+            for a, b, texts in slices(batch.column(2)):
+                sets = _shingles(texts, n)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(a, b - a),
+                        batch.column(1).slice(a, b - a),
+                        pa.array([len(s) for s in sets], type=pa.int64()),
+                        pa.array([sketch(s) for s in sets], type=pa.binary()),
+                    ],
+                    schema=arrow,
+                )
+
+    return run
+
+
+def _of_texts(rows: DataFrame, nodes: DataFrame, made, n: int, ddl: str) -> DataFrame:
+    """What `made` computes of the text of each node (t1)."""
+    arrow = to_arrow_schema(StructType.fromDDL(ddl))
+    texts = sieve(rows.select("t1", "t2", "raw"), "t1", bitmap(nodes, "t1"))
+    found = texts.mapInArrow(made(n, arrow), ddl)
+    return found.join(nodes, "t1", "left_semi").dropDuplicates(["t1", "t2"])
+
+
+def _alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (t1, u1) whose sizes and sketches allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, other = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            least = np.fromiter(
+                map(least_difference, first, other), dtype=np.int64, count=len(first)
+            )
+            most = (100 - percent) * batch.column(2).to_numpy()
+            kept = batch.filter(pa.array((100 + percent) * least <= most))
+            yield kept.select(["t1", "u1"])
+
+    left = sketches.select("t1", "n", F.col("sketch").alias("first"))
+    right = sketches.select(
+        F.col("t1").alias("u1"), F.col("n").alias("m"), F.col("sketch").alias("other")
+    )
+    near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    rows = pairs.join(left, "t1").join(right, "u1").where(near)
+    rows = rows.select("t1", "u1", (F.col("n") + F.col("m")).alias("sizes"), "first", "other")
+    return rows.mapInArrow(run, "t1 long, u1 long").distinct()
+
+
 def _pairs_of(buckets: DataFrame) -> DataFrame:
     """All pairs t1 < u1 of buckets (bucket, t1) of limited size."""
     other = buckets.select("bucket", F.col("t1").alias("u1"))
@@ -449,15 +528,15 @@ def _verified(percent: int, arrow: pa.Schema):
     return run
 
 
-def links_of(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between different texts, as structs of both keys, from (bucket, t1).
+def links_of(pairs: DataFrame, large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different texts, as structs of both keys, that connect all that are
+    linked; from pairs (t1, u1) and large buckets (bucket, t1, members).
 
-    Texts that buckets connect form a group. The sets of a group of at most 2 * SMALL texts
-    are brought together and compared; larger groups are split.
+    Texts that pairs connect form a group. The sets of a group of at most 2 * SMALL texts are
+    brought together and compared. Large buckets are split, and of larger groups those pairs are
+    compared whose ends the links found before leave apart.
     """
-    least = buckets.groupBy("bucket").agg(F.min("t1").alias("a"))
-    stars = buckets.join(least, "bucket").select("a", F.col("t1").alias("b"))
-    label = components(stars)
+    label = components(pairs.select(F.col("t1").alias("a"), F.col("u1").alias("b")))
     sizes = label.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
     label = materialise(label.join(sizes, "label").withColumnRenamed("node", "t1"), "labels")
     small = label.where(F.col("members") <= 2 * SMALL).select("t1", "label")
@@ -472,22 +551,29 @@ def links_of(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
     a = F.struct(F.col("a1").alias("t1"), F.col("a2").alias("t2")).alias("a")
     b = F.struct(F.col("b1").alias("t1"), F.col("b2").alias("t2")).alias("b")
-    near = materialise(near.select(a, b), "near")
-    large = label.where(F.col("members") > 2 * SMALL).select("t1")
-    if large.limit(1).isEmpty():
-        return near
-    rest = materialise(buckets.join(large, "t1", "left_semi").select("bucket", "t1"), "rest")
-    sets = materialise(sets.join(large, "t1", "left_semi"), "sets")
-    return near.unionByName(_split_links(rest, sets, percent))
-
-
-def _split_links(signed: DataFrame, sets: DataFrame, percent: int, rounds: int = 8) -> DataFrame:
-    """Links of texts in large groups, by small buckets and by pivots of large ones."""
-    sized = materialise(_sized(signed), "buckets")
-    found = _links(_pairs_of(sized.where(F.col("members") <= SMALL)), sets, percent)
-    large = sized.where(F.col("members") > SMALL)
+    found = materialise(near.select(a, b), "near")
+    if not large.limit(1).isEmpty():
+        hot = materialise(sets.join(large.select("t1").distinct(), "t1", "left_semi"), "sets")
+        found = materialise(found.unionByName(_split_links(large, hot, percent)), "found")
+    many = label.where(F.col("members") > 2 * SMALL).select("t1")
+    if many.limit(1).isEmpty():
+        return found
+    done = components(found).select(F.col("node.t1").alias("t1"), F.col("label").alias("l"))
+    apart = (
+        pairs.join(many, "t1", "left_semi")
+        .join(done, "t1", "left")
+        .join(done.select(F.col("t1").alias("u1"), F.col("l").alias("r")), "u1", "left")
+        .where("l is null or r is null or l <> r")
+        .select("t1", "u1")
+    )
+    return found.unionByName(_links(apart, sets, percent))
+
+
+def _split_links(large: DataFrame, sets: DataFrame, percent: int, rounds: int = 8) -> DataFrame:
+    """Links of texts in large buckets (bucket, t1, members), by pivots and smaller buckets."""
+    found = None
     for turn in range(rounds):
-        if large.limit(1).isEmpty():
+        if found is not None and large.limit(1).isEmpty():
             return found
         links, near, far = _refined(large, sets, percent)
         near = materialise(near, "near")
@@ -511,8 +597,8 @@ def _split_links(signed: DataFrame, sets: DataFrame, percent: int, rounds: int =
         far = materialise(far.where("members > 1"), "far")
         most = SMALL << turn
         pairs = pairs.unionByName(_pairs_of(far.where(F.col("members") <= most))).distinct()
-        found = found.unionByName(links).unionByName(_links(pairs, sets, percent))
-        found = materialise(found, "links")
+        links = links.unionByName(_links(pairs, sets, percent))
+        found = materialise(links if found is None else found.unionByName(links), "links")
         large = sized.where(~few).select("bucket", "t1", "members").unionByName(
             far.where(F.col("members") > most).select("bucket", "t1", "members")
         )
@@ -549,15 +635,15 @@ def _grouped(
         .distinct(),
         "signatures",
     )
-    texts = sieve(rows.select("t1", "t2", "raw"), "t1", bitmap(buckets, "t1"))
-    arrow = to_arrow_schema(StructType.fromDDL(_SETS))
-    sets = (
-        texts.mapInArrow(_sets(n, arrow), _SETS)
-        .join(buckets.select("t1").distinct(), "t1", "left_semi")
-        .dropDuplicates(["t1", "t2"])
-    )
-    sets = materialise(sets, "sets")
-    label = components(links_of(buckets, sets, percent)).select(
+    candidates = buckets.select("t1").distinct()
+    sketches = materialise(_of_texts(rows, candidates, _sketched, n, _SKETCHES), "sketches")
+    sized = materialise(_sized(buckets).where("members > 1"), "buckets")
+    pairs = _pairs_of(sized.where(F.col("members") <= SMALL))
+    pairs = materialise(_alike(pairs, sketches, percent), "pairs")
+    large = sized.where(F.col("members") > SMALL)
+    nodes = pairs.select("t1").union(pairs.select("u1")).union(large.select("t1")).distinct()
+    sets = materialise(_of_texts(rows, nodes, _sets, n, _SETS), "sets")
+    label = components(links_of(pairs, large, sets, percent)).select(
         F.col("node.t1").alias("t1"), F.col("node.t2").alias("t2"), "label"
     )
     return documents.join(label, ["t1", "t2"], "left").select(
