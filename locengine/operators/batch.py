@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from locengine.functions.text import TAG, Profile, has_leak, strip_ws, tags_match
 from locengine.operators.extract import OFFICE_TYPES, TEXT_TYPES
-from locengine.operators.ordering import bucket_of
 
 # Fixed value: what separates the segments of a batch in prompt and reply.
 DELIMITER = "|||"
@@ -38,9 +37,6 @@ GLOSSARY_TAIL = "Every term of the table must be translated as given there."
 TAG_WARNING = "The last translation lost tags. Keep exactly these tags: "
 LEAK_WARNING = "Translate everything; leave no word in the source script."
 
-GLOSSARY_PAGE = 500
-GLOSSARY_MAX_CHARS = 65_536
-
 
 def base_prompts() -> dict[str, str]:
     """Prompt per file type without glossary."""
@@ -51,24 +47,20 @@ def base_prompts() -> dict[str, str]:
     }
 
 
-def glossary_prompt(terms: DataFrame, page_terms: int = GLOSSARY_PAGE) -> DataFrame:
-    """Glossary as table text in ``id`` order: ``page, terms, text``.
+def glossary_prompt(terms: DataFrame) -> DataFrame:
+    """Glossary as one table in ``id`` order: ``terms, text``; no row when there are no terms.
 
-    A page holds at most ``page_terms`` terms, so a glossary of any size is rendered
-    without gathering it in one task; a usual one has a single page.
+    It is one text because a prompt holds it whole.
     """
     row = F.concat(
         F.lit("| "), "jp", F.lit(" | "), "vi", F.lit(" | "), F.coalesce("context", F.lit("")),
         F.lit(" |"),
     )
+    rows = F.array_sort(F.collect_list(F.struct("id", row.alias("row"))))
     return (
-        terms.groupBy(bucket_of("id", page_terms).alias("page"))
-        .agg(
-            F.count("*").alias("terms"),
-            F.array_sort(F.collect_list(F.struct("id", row.alias("row")))).alias("_rows"),
-        )
+        terms.agg(F.count("*").alias("terms"), rows.alias("_rows"))
+        .where("terms > 0")
         .select(
-            "page",
             "terms",
             F.concat(
                 F.lit(GLOSSARY_HEAD + "\n"),
@@ -79,25 +71,28 @@ def glossary_prompt(terms: DataFrame, page_terms: int = GLOSSARY_PAGE) -> DataFr
     )
 
 
-def glossary_text(terms: DataFrame | None) -> str:
+def glossary_text(terms: DataFrame | None, max_chars: int | None = None) -> str:
     """Glossary for one prompt, "" when empty.
 
-    A prompt has to fit the model's context, so the length is measured first and a
-    glossary that no prompt can hold is refused instead of being cut.
+    With ``max_chars``, the terms are measured first and a glossary of more characters is
+    refused instead of being cut.
     """
     if terms is None:
         return ""
-    length = F.length("jp") + F.length("vi") + F.length(F.coalesce("context", F.lit("")))
-    chars = terms.agg(F.coalesce(F.sum(length), F.lit(0))).head()[0]
-    if chars > GLOSSARY_MAX_CHARS:
-        raise ValueError(f"glossary of {chars} characters does not fit a prompt")
-    pages = glossary_prompt(terms, GLOSSARY_MAX_CHARS).orderBy("page").select("text").collect()
-    return "\n\n".join(r.text for r in pages)
+    if max_chars is not None:
+        length = F.length("jp") + F.length("vi") + F.length(F.coalesce("context", F.lit("")))
+        chars = terms.agg(F.coalesce(F.sum(length), F.lit(0))).head()[0]
+        if chars > max_chars:
+            raise ValueError(f"glossary of {chars} characters does not fit a prompt")
+    row = glossary_prompt(terms).head()
+    return row.text if row else ""
 
 
-def build_prompts(spark: SparkSession, terms: DataFrame | None = None) -> DataFrame:
+def build_prompts(
+    spark: SparkSession, terms: DataFrame | None = None, max_chars: int | None = None
+) -> DataFrame:
     """``file_type, system``: one row per supported file type."""
-    glossary = glossary_text(terms)
+    glossary = glossary_text(terms, max_chars)
     rows = [
         (file_type, prompt + ("\n" + glossary if glossary else ""))
         for file_type, prompt in base_prompts().items()

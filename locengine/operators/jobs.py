@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locengine.operators.ordering import bucket_of, running_sum
+from locengine.operators.ordering import running_sum
 
 # Statuses that no later progress event may overwrite.
 TERMINAL = ("completed", "failed")
-ATTEMPTS_PER_PAGE = 1000
 
 
 def recent_jobs(jobs: DataFrame, limit: int = 20) -> DataFrame:
@@ -23,31 +22,30 @@ def attempt_text() -> Column:
     )
 
 
-def ordered_attempts(attempts: DataFrame, page_size: int = ATTEMPTS_PER_PAGE) -> DataFrame:
-    """Attempts of a job by number, nested in pages of ``page_size`` attempt numbers.
-
-    A job normally has one page; one with very many attempts gets several rows instead of
-    one array that no task could hold.
-    """
-    return attempts.groupBy(
-        "job_id", bucket_of("attempt_number", page_size).alias("page")
-    ).agg(
-        F.array_sort(
-            F.collect_list(F.struct("attempt_number", "phase", "success", "duration"))
-        ).alias("attempts")
+def ordered_attempts(attempts: DataFrame) -> DataFrame:
+    """All attempts, a row each, by job and number."""
+    return attempts.select("job_id", "attempt_number", "phase", "success", "duration").orderBy(
+        "job_id", "attempt_number", "phase", "success", "duration"
     )
 
 
-def job_detail(jobs: DataFrame, attempts: DataFrame) -> DataFrame:
-    """Each job with its ordered attempts; a job without any has one row with none."""
+def job_detail(jobs: DataFrame, attempts: DataFrame, nested: bool = False) -> DataFrame:
+    """Each job with its attempts in order, a row each; a job without any has one row of nulls.
+
+    ``nested`` gives one row per job with an array of attempts, which has to fit a task.
+    """
+    columns = ("attempt_number", "phase", "success", "duration")
+    flat = attempts.select("job_id", *columns)
+    if not nested:
+        return jobs.join(flat, "job_id", "left").orderBy("job_id", *columns)
+    gathered = flat.groupBy("job_id").agg(
+        F.array_sort(F.collect_list(F.struct(*columns))).alias("attempts")
+    )
     empty = F.array().cast(
         "array<struct<attempt_number:bigint,phase:string,success:boolean,duration:double>>"
     )
-    pages = ordered_attempts(attempts)
-    return jobs.join(pages, "job_id", "left").select(
-        *jobs.columns,
-        F.coalesce("page", F.lit(0)).alias("page"),
-        F.coalesce("attempts", empty).alias("attempts"),
+    return jobs.join(gathered, "job_id", "left").select(
+        *jobs.columns, F.coalesce("attempts", empty).alias("attempts")
     )
 
 

@@ -21,7 +21,6 @@ NAMESPACE = {
     "2.1": "urn:oasis:names:tc:xliff:document:2.1",
 }
 TOOL = "locengine"
-UNITS_PER_FILE = 50_000
 
 
 def with_state(segments: DataFrame) -> DataFrame:
@@ -121,16 +120,19 @@ def xliff_lines(
     version: str = "1.2",
     source_lang: str = "ja",
     target_lang: str = "vi",
+    units_per_file: int | None = None,
 ) -> DataFrame:
     """Lines of the exchange files: ``doc_id, file_no, line_no, line``.
 
-    A file holds at most ``UNITS_PER_FILE`` units, so a document of any size becomes a
-    series of complete files and no file has to fit into memory. ``documents`` has
-    ``doc_id, filename, file_type``.
+    A document is one file; with ``units_per_file`` it becomes a series of complete files of
+    at most as many units. ``documents`` has ``doc_id, filename, file_type``.
     """
+    number = F.lit(0).cast("bigint")
+    if units_per_file is not None:
+        number = bucket_of("seq", units_per_file).cast("bigint")
     units = xliff_units(segments, version, source_lang, target_lang).select(
         "doc_id",
-        bucket_of("seq", UNITS_PER_FILE).alias("file_no"),
+        number.alias("file_no"),
         (F.col("seq") + 1).alias("line_no"),
         F.col("unit").alias("line"),
     )
@@ -155,8 +157,8 @@ def xliff_lines(
 
 
 def xliff_documents(lines: DataFrame) -> DataFrame:
-    """Whole files as rows ``doc_id, file_no, content``; at most ``UNITS_PER_FILE`` units
-    are gathered per row."""
+    """Whole files as rows ``doc_id, file_no, content``; the units of a file are
+    gathered in one row, so documents of any size need ``units_per_file``."""
     return (
         lines.groupBy("doc_id", "file_no")
         .agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))

@@ -219,8 +219,8 @@ def phrase_pairs(spark: SparkSession, d: str) -> DataFrame:
 def glossary_terms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(
         F.col("item_id").alias("id"),
-        F.regexp_replace(F.substring("text", 1, 24), "\n", " ").alias("jp"),
-        F.regexp_replace(F.substring("text", 25, 24), "\n", " ").alias("vi"),
+        F.expr("replace(substring(text, 1, length(text) div 2), '\n', ' ')").alias("jp"),
+        F.expr("replace(substring(text, length(text) div 2 + 1), '\n', ' ')").alias("vi"),
         F.when(F.col("item_id") % 2 == 0, "general").alias("context"),
     )
 
@@ -308,19 +308,19 @@ KANA = "アイウエオカキクケコサシスセソタチツテトナニヌネ
 
 
 def byte_files(spark: SparkSession, d: str) -> DataFrame:
-    """Documents written in kana as bytes of three charsets in turn."""
+    """Documents written in kana as bytes of six charsets in turn."""
     kana = F.translate(
         F.regexp_replace(F.lower("text"), "[^a-z ]", ""), LETTERS, KANA
     )
 
     def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        charsets = ("utf-8", "shift_jis", "euc_jp")
+        charsets = ("utf-8", "utf-8-sig", "cp932", "euc_jp", "iso2022_jp", "utf-16")
         for pdf in parts:
             yield pd.DataFrame(
                 {
                     "doc_id": pdf["doc_id"],
                     "content": [
-                        t.encode(charsets[i % 3]) for i, t in zip(pdf["doc_id"], pdf["kana"])
+                        t.encode(charsets[i % 6]) for i, t in zip(pdf["doc_id"], pdf["kana"])
                     ],
                 }
             )

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from locengine.functions.text import WHITESPACE, WS
 from locengine.operators import batch
-from locengine.operators.review import UNITS_PER_FILE
 from locengine.plans import fixtures as fx
 
 ORACLES: dict[str, str] = {}
@@ -177,8 +176,10 @@ SELECT page_id, CASE WHEN ext IN ('docx', 'xlsx', 'pptx', 'pdf', 'md', 'txt', 'c
   AS file_type
 FROM (SELECT page_id, lower(regexp_extract({URL}, '[^/.][^/]*\.([^./]*)$', 1)) AS ext FROM pages)"""
 ORACLES["decode_corpus"] = f"""
-SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR NOT regexp_matches(kana, '[^ ]') THEN 'utf-8'
-    WHEN doc_id % 3 = 1 THEN 'shift_jis' ELSE 'euc_jp' END AS encoding, md5(kana) AS text_md5
+SELECT doc_id, CASE WHEN doc_id % 6 = 5 THEN 'utf-16'
+    WHEN doc_id % 6 < 2 OR NOT regexp_matches(kana, '[^ ]') THEN 'utf-8'
+    WHEN doc_id % 6 = 2 THEN 'cp932' WHEN doc_id % 6 = 3 THEN 'euc_jp' ELSE 'iso2022_jp'
+  END AS encoding, md5(kana) AS text_md5
 FROM (SELECT doc_id, translate(regexp_replace(lower(text), '[^a-z ]', '', 'g'),
   {lit(fx.LETTERS)}, {lit(fx.KANA)}) AS kana FROM documents)"""
 ORACLES["lines"] = sql(
@@ -693,19 +694,20 @@ WHERE NOT r.hit AND (r.rk < r.n OR (r.stage = 1 AND r.w = r.start))""",
     },
 )
 STAMP = "strftime(created_at, '%Y-%m-%d %H:%M:%S.%f')"
-PARTS["pages_of_attempts"] = """
-SELECT job_id, attempt_number // 1000 AS page, count(*) AS n,
-  string_agg(concat(attempt_number, ':', phase, ':', success), ' ' ORDER BY attempt_number) AS attempts
-FROM attempts GROUP BY ALL"""
-JOBS = ("job_events", "jobs", "attempts", "pages_of_attempts")
+JOBS = ("job_events", "jobs", "attempts")
+ATTEMPT = "concat(attempt_number, ':', phase, ':', success)"
 ORACLES["job_detail"] = sql(
     f"""
-SELECT job_id, filename, {STAMP} AS created_at, coalesce(page, 0) AS page,
-  coalesce(attempts, '') AS attempts FROM jobs LEFT JOIN pages_of_attempts USING (job_id)""",
+SELECT job_id, filename, {STAMP} AS created_at,
+  CASE WHEN attempt_number IS NULL THEN '' ELSE {ATTEMPT} END AS attempt
+FROM jobs LEFT JOIN attempts USING (job_id)""",
     *JOBS,
 )
 ORACLES["ordered_attempts"] = sql(
-    "SELECT job_id, page, n, attempts FROM pages_of_attempts", *JOBS
+    f"""
+SELECT job_id, CAST(attempt_number AS bigint) AS attempt_number, {ATTEMPT} AS attempt
+FROM attempts""",
+    *JOBS,
 )
 
 # ---- aggregations, windows, top-k -----------------------------------------------------
@@ -749,12 +751,12 @@ FROM documents d LEFT JOIN (SELECT doc_id, type, count(*) AS n FROM segs GROUP B
     *SEGS,
 )
 ORACLES["glossary_table"] = f"""
-SELECT item_id // 500 AS page, count(*) AS terms, md5(concat({lit(batch.GLOSSARY_HEAD)}, {NL},
-  string_agg(concat('| ', replace(substr(text, 1, 24), {NL}, ' '), ' | ',
-    replace(substr(text, 25, 24), {NL}, ' '), ' | ',
+SELECT count(*) AS terms, md5(concat({lit(batch.GLOSSARY_HEAD)}, {NL},
+  string_agg(concat('| ', replace(substr(text, 1, length(text) // 2), {NL}, ' '), ' | ',
+    replace(substr(text, length(text) // 2 + 1), {NL}, ' '), ' | ',
     CASE WHEN item_id % 2 = 0 THEN 'general' ELSE '' END, ' |'), {NL} ORDER BY item_id),
   {NL}, {NL}, {lit(batch.GLOSSARY_TAIL)})) AS text_md5
-FROM benchmark GROUP BY item_id // 500"""
+FROM benchmark"""
 
 
 def _prompt_sql() -> str:
@@ -967,7 +969,6 @@ _INTS = {
     "tag": ["tag_numbers"],
     "width": ["visual_width"],
     "chars": ["rebuild_documents", "translate_corpus_documents"],
-    "n": ["ordered_attempts"],
     "segments": ["batch_translate"],
 }
 _LONGS = {

@@ -446,33 +446,22 @@ def paragraph_rebuild(spark, d):
     return done.select("doc_id", "seq", F.md5("translated_text").alias("target_md5"))
 
 
-def _attempts_text(column: str = "attempts") -> Column:
-    return F.array_join(
-        F.transform(
-            column,
-            lambda a: F.concat_ws(
-                ":", a["attempt_number"].cast("string"), a["phase"], a["success"].cast("string")
-            ),
-        ),
-        " ",
-    )
-
-
 @query
 def job_detail(spark, d):
     return jobs.job_detail(fx.jobs(spark, d), fx.attempts(spark, d)).select(
         "job_id",
         "filename",
         F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("created_at"),
-        "page",
-        _attempts_text().alias("attempts"),
+        jobs.attempt_text().alias("attempt"),
     )
 
 
 @query
 def ordered_attempts(spark, d):
     return jobs.ordered_attempts(fx.attempts(spark, d)).select(
-        "job_id", "page", F.size("attempts").alias("n"), _attempts_text().alias("attempts")
+        "job_id",
+        F.col("attempt_number").cast("bigint").alias("attempt_number"),
+        jobs.attempt_text().alias("attempt"),
     )
 
 
@@ -538,7 +527,7 @@ def segment_counts(spark, d):
 @query
 def glossary_table(spark, d):
     return batch.glossary_prompt(fx.glossary_terms(spark, d)).select(
-        "page", "terms", F.md5("text").alias("text_md5")
+        "terms", F.md5("text").alias("text_md5")
     )
 
 

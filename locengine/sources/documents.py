@@ -77,26 +77,44 @@ def write_documents(docs: DataFrame, path: str, suffix: str = "_vi") -> None:
 
 # ---- charsets -------------------------------------------------------------------------
 
-# Charsets tried on bytes that are not valid UTF-8, in this order.
-CANDIDATES = ("shift_jis", "euc_jp")
+# Marks at the start of a file and their charsets, then the charsets tried on
+# other bytes that are not valid UTF-8, in this order.
+MARKS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
+CANDIDATES = ("cp932", "euc_jp")
+ESCAPE, SHIFT = b"\x1b", b"\x1b$"  # the shift to two-byte signs of ISO-2022-JP, valid UTF-8
 
 
 _WIDE = re.compile("[\u3040-\u30ff\u4e00-\u9fff]+")
+# What the codec makes of single bytes that CP932 has no sign for.
+_NO_SIGN = re.compile("[\x80\uf8f0-\uf8f3]")
 _NON_ASCII = re.compile("[^\x00-\x7f]+")
 
 
 def decode_bytes(raw: bytes) -> tuple[str, str]:
-    """Text and charset of bytes that are not UTF-8.
+    """Text and charset of bytes that have a mark, an escape or are not UTF-8.
 
-    Short texts are often valid in both candidates; the reading with the larger share of
+    A mark decides and is dropped; ASCII bytes with shifts are tried as ISO-2022-JP. Short texts are often valid in both candidates; the reading with the larger share of
     kana and kanji wins, as a wrong one shows halfwidth kana and rare characters.
     """
+    for mark, charset in MARKS:
+        if raw.startswith(mark):
+            name = "utf-8-sig" if charset == "utf-8" else charset
+            return raw.decode(name, errors="replace"), charset
+    if ESCAPE in raw:
+        shifted = raw.isascii() and SHIFT in raw
+        for charset in ("iso2022_jp", "utf-8") if shifted else ("utf-8",):
+            try:
+                return raw.decode(charset), charset
+            except UnicodeDecodeError:
+                continue
     best: tuple[float, str, str] | None = None
     for charset in CANDIDATES:
         try:
             text = raw.decode(charset)
         except UnicodeDecodeError:
             continue
+        if _NO_SIGN.search(text):
+            continue
         wide = sum(map(len, _WIDE.findall(text)))
         share = wide / max(sum(map(len, _NON_ASCII.findall(text))), 1)
         if best is None or share > best[0]:
@@ -116,10 +134,11 @@ def _decode(contents: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 def decode_corpus(files: DataFrame) -> DataFrame:
     """``content`` bytes to ``text`` and ``encoding``.
 
-    Valid UTF-8 is decoded by Spark; only other files are sent to the Python decoder.
+    Valid UTF-8 without a mark or an escape is decoded by Spark; only other files are sent to the Python decoder.
     """
     as_text = F.col("content").cast("string")
-    valid = F.is_valid_utf8(as_text)
+    marked = as_text.startswith("\ufeff") | as_text.contains("\x1b")
+    valid = F.is_valid_utf8(as_text) & ~marked
     other = F.when(~valid, F.col("content"))
     keep = [c for c in files.columns if c != "content"]
     return (

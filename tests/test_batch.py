@@ -27,11 +27,12 @@ def test_glossary(spark):
     whole = batch.glossary_text(terms)
     assert whole.index("| 甲 | A | x |") < whole.index("| 乙 | B |  |") < whole.index("| 丙 | C |  |")
     assert batch.glossary_text(None) == "" and batch.glossary_text(terms.filter("false")) == ""
-    pages = batch.glossary_prompt(terms, 5).orderBy("page").collect()
-    assert [(p.page, p.terms) for p in pages] == [(0, 2), (1, 1)]
-    huge = terms.withColumn("vi", F.repeat(F.lit("x"), 70_000))
+    apart = terms.withColumn("id", F.col("id") * 100_000).withColumn("vi", F.repeat("vi", 70_000))
+    whole = batch.glossary_text(apart)
+    assert whole.count(batch.GLOSSARY_HEAD) == whole.count(batch.GLOSSARY_TAIL) == 1
+    assert len(whole) > 210_000
     with pytest.raises(ValueError, match="does not fit"):
-        batch.glossary_text(huge)
+        batch.glossary_text(apart, max_chars=65_536)
 
 
 def test_prompts(spark):

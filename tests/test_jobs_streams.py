@@ -76,16 +76,19 @@ def test_recent_jobs(spark):
     assert [r.job_id for r in out] == list(range(29, 9, -1))
 
 
-def test_detail_pages(spark):
+def test_detail(spark):
     many = spark.createDataFrame([(1, "a", at(0)), (2, "b", at(1))], JOB)
     attempts = spark.createDataFrame(
         [(1, n, "translating", n == 2, 1.0) for n in (2, 0, 1)] + [(1, 1000, "x", True, 1.0)],
         "job_id long, attempt_number long, phase string, success boolean, duration double",
     )
-    out = jobs.job_detail(many, attempts).orderBy("job_id", "page").collect()
-    assert [(r.job_id, r.page, [a.attempt_number for a in r.attempts]) for r in out] == [
-        (1, 0, [0, 1, 2]), (1, 1, [1000]), (2, 0, []),
+    out = jobs.job_detail(many, attempts).collect()
+    assert [(r.job_id, r.attempt_number) for r in out] == [
+        (1, 0), (1, 1), (1, 2), (1, 1000), (2, None)
     ]
+    out = jobs.job_detail(many, attempts, nested=True).orderBy("job_id").collect()
+    assert [[a.attempt_number for a in r.attempts] for r in out] == [[0, 1, 2, 1000], []]
+    assert [r.attempt_number for r in jobs.ordered_attempts(attempts).collect()] == [0, 1, 2, 1000]
 
 
 def test_summary_and_progress(spark):

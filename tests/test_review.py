@@ -18,10 +18,10 @@ ROWS = [
 DOCS = [(1, "a & b.md", "md"), (2, "<c>.docx", "docx"), (3, "unused.md", "md")]
 
 
-def exported(spark, version):
+def exported(spark, version, **options):
     segments = spark.createDataFrame(ROWS, SEGMENT)
     documents = spark.createDataFrame(DOCS, "doc_id long, filename string, file_type string")
-    return review.xliff_lines(segments, documents, version)
+    return review.xliff_lines(segments, documents, version, **options)
 
 
 def test_files_are_valid(spark):
@@ -74,9 +74,11 @@ def test_written_files(spark, tmp_path):
     assert len({r.doc_id for r in out}) == 2
 
 
-def test_large_documents_become_several_files(spark, monkeypatch):
-    monkeypatch.setattr(review, "UNITS_PER_FILE", 2)
-    files = review.xliff_documents(exported(spark, "1.2")).orderBy("doc_id", "file_no").collect()
+def test_large_documents_become_several_files_on_request(spark):
+    whole = review.xliff_documents(exported(spark, "1.2")).orderBy("doc_id").collect()
+    assert [(f.doc_id, f.file_no) for f in whole] == [(1, 0), (2, 0)]
+    lines = exported(spark, "1.2", units_per_file=2)
+    files = review.xliff_documents(lines).orderBy("doc_id", "file_no").collect()
     assert [(f.doc_id, f.file_no) for f in files] == [(1, 0), (1, 1), (1, 2), (2, 0)]
     for f in files:
         ET.fromstring(f.content.encode())

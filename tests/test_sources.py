@@ -135,10 +135,15 @@ def test_written_documents(spark, tmp_path):
     "text, charset, expected",
     [
         ("日本語テキスト", "utf-8", "utf-8"),
-        ("テストデータ", "shift_jis", "shift_jis"),
+        ("テストデータ", "shift_jis", "cp932"),
         ("漢字テスト", "euc_jp", "euc_jp"),
-        ("これは日本語の文章です。", "shift_jis", "shift_jis"),
+        ("これは日本語の文章です。", "shift_jis", "cp932"),
         ("これは日本語の文章です。", "euc_jp", "euc_jp"),
+        ("①㈱テスト", "cp932", "cp932"),
+        ("日本語テキスト", "utf-8-sig", "utf-8"),
+        ("これは日本語の文章です。", "iso2022_jp", "iso2022_jp"),
+        ("日本語 text", "utf-16", "utf-16"),
+        ("\x1b[1mbold é", "utf-8", "utf-8"),
         ("", "utf-8", "utf-8"),
         ("plain ascii", "ascii", "utf-8"),
     ],
