@@ -131,6 +131,19 @@ def test_signatures_meet_for_linked_sets():
                 assert set(mark[of == 0]) & set(mark[of == 1])
 
 
+def test_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(5)
+    for size, other in [(0, 0), (0, 3), (1, 1), (60, 70), (64, 65), (300, 250), (5000, 4100)]:
+        pool = np.unique(rng.integers(0, 1 << 63, size + other, dtype=np.uint64))
+        a, b = pool[:size], np.sort(np.concatenate((pool[size // 2 : size], pool[size:])))[:other]
+        least = jaccard.least_difference(jaccard.sketch(a), jaccard.sketch(b))
+        assert least == jaccard.least_difference(jaccard.sketch(b), jaccard.sketch(a))
+        assert least <= len(np.setxor1d(a, b))
+        assert jaccard.least_difference(jaccard.sketch(a), jaccard.sketch(a)) == 0
+    far = rng.integers(0, 1 << 63, (2, 1000), dtype=np.uint64)
+    assert jaccard.least_difference(*map(jaccard.sketch, far)) > 300
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (5, 4), (4, 6), (9, 9), (3, 1), (7, 6)]
     got = components(spark.createDataFrame(links, "a long, b long")).collect()
