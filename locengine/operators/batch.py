@@ -37,6 +37,8 @@ GLOSSARY_TAIL = "Every term of the table must be translated as given there."
 TAG_WARNING = "The last translation lost tags. Keep exactly these tags: "
 LEAK_WARNING = "Translate everything; leave no word in the source script."
 
+BROADCAST_CHARS = 1 << 22  # longer prompts are joined without a hint
+
 
 def base_prompts() -> dict[str, str]:
     """Prompt per file type without glossary."""
@@ -97,12 +99,14 @@ def build_prompts(
         (file_type, prompt + ("\n" + glossary if glossary else ""))
         for file_type, prompt in base_prompts().items()
     ]
-    return spark.createDataFrame(rows, "file_type string, system string")
+    prompts = spark.createDataFrame(rows, "file_type string, system string")
+    small = sum(len(system) for _, system in rows) <= BROADCAST_CHARS
+    return F.broadcast(prompts) if small else prompts
 
 
 def with_prompt(segments: DataFrame, prompts: DataFrame) -> DataFrame:
     """Add ``system`` by file type; the prompt table has one row per supported type."""
-    return segments.join(F.broadcast(prompts), "file_type", "left")
+    return segments.join(prompts, "file_type", "left")
 
 
 def retry_warning(text: Column, attempt: Column) -> Column:
