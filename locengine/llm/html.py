@@ -2,12 +2,12 @@
 
 The standard library's parser streams events; every block of text is a line. A line's
 ratio is its text outside links by its tags. The ratios are smoothed with a Gaussian; lines above
-the spread of the smoothed ratios are content. The content region is the deepest element
-that holds nearly all text of content lines; without such an element below the body, it
-reaches from the first content line to the last one, headings before it included. All
-lines of the region are kept, short ones too, but for those in menus, headers, footers,
-sidebars, notices, adverts, forms, comments of readers and scripts, which are known by their
-elements, roles, class names, and lists of nothing but links.
+the spread of the smoothed ratios are content. The content region is the outermost article,
+main or element with such an id that holds nearly all text outside links. All its lines are kept,
+short ones too, but for those in headers, footers, sidebars, notices, adverts, forms, comments
+of readers and scripts, which are known by their elements, roles and class names. Without such
+a region all other lines of the page are kept, lines of nothing but links only as paragraphs,
+as headings, and between the first content line and the last one; lists of links are dropped.
 
 Null and empty pages, and pages without text, give the empty string. Unclosed and stray tags
 are tolerated. Repeated rows are extracted one by one.
@@ -53,6 +53,7 @@ _NAMES = set(
 _CONTENT = set("article body content entry main post story".split())
 _NEGATED = {"has", "no", "with", "without"}
 _SECTIONS = {"html", "body", "main", "article"}
+_WHOLE = _SECTIONS - {"html", "body"}
 # Elements that an opening tag of the same kind ends.
 _SIBLINGS = {
     "p": {"p"},
@@ -74,7 +75,8 @@ class Element:
     dropped: bool = False
     header: bool = False  # only its headings count
     inside: bool = False  # in an article
-    chars: int = 0
+    whole: bool = False  # an article, main or element with such an id
+    chars: int = 0  # outside links
 
 
 @dataclass
@@ -149,7 +151,8 @@ class _Reader(HTMLParser):
             return Element(tag, above, True)
         if not attrs:
             dropped = tag in _DROPPED or tag == "header" and not inside
-            return Element(tag, above, dropped, above.header or tag == "header", inside)
+            header = above.header or tag == "header"
+            return Element(tag, above, dropped, header, inside, tag in _WHOLE)
         attrs = dict(attrs)
         names = _names(attrs.get("class")) | _names(attrs.get("id"))
         bad = tag not in _SECTIONS and bool(names & _NAMES) and not names & _CONTENT
@@ -158,7 +161,9 @@ class _Reader(HTMLParser):
         bad |= hidden or bool(_HIDDEN.search(attrs.get("style") or ""))
         header = tag == "header" or "header" in names and tag not in _SECTIONS
         dropped = tag in _DROPPED or bad or header and not inside
-        return Element(tag, above, dropped, above.header or header, inside)
+        whole = tag in _WHOLE or (attrs.get("role") or "").lower() == "main"
+        whole |= tag == "div" and bool(named := _names(attrs.get("id")) - {""}) and named <= _CONTENT
+        return Element(tag, above, dropped, above.header or header, inside, whole)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # browsers take <p/> for <p>
@@ -209,6 +214,36 @@ def content_lines(lines: list[Line], factor: float = 1.0) -> np.ndarray:
     return found if found.any() else ratios > 0
 
 
+def _only_links(line: Line) -> bool:
+    return line.linked >= line.chars and line.element.tag not in ("p", *_HEADINGS)
+
+
+def _within(element: Element | None, best: Element) -> bool:
+    while element is not None and element is not best:
+        element = element.parent
+    return element is not None
+
+
+def _region(lines: list[Line], share: float) -> Element | None:
+    """The outermost article, main or element named so with that share of the text outside links."""
+    total = sum(max(0, x.chars - x.linked) for x in lines)
+    best = None
+    for line in lines:
+        above = line.element
+        while above is not None:
+            above.chars += max(0, line.chars - line.linked)
+            if above.whole and (best is None or above.chars > best.chars):
+                best = above
+            above = above.parent
+    if best is None or not total or best.chars < share * total:
+        return None
+    above = best.parent
+    while above is not None:
+        best = above if above.whole else best
+        above = above.parent
+    return best
+
+
 def main_text(page: str, share: float = 0.85) -> str:
     """The article's lines, joined by line ends."""
     reader = _Reader()
@@ -222,40 +257,12 @@ def main_text(page: str, share: float = 0.85) -> str:
     if not lines:
         return ""
     content = content_lines(lines)
-    total = 0
-    for line, good in zip(lines, content.tolist(), strict=True):
-        if good:
-            total += line.chars
-            above = line.element
-            while above is not None:
-                above.chars += line.chars
-                above = above.parent
-    # From a content line upwards, the first element that holds enough.
-    good = [x for x, good in zip(lines, content.tolist(), strict=True) if good]
-    best, above = reader.root, max(good, key=lambda x: x.chars).element
-    while above is not None:
-        if above.chars >= share * total and above.tag not in ("p", *_HEADINGS):
-            best = above
-            break
-        above = above.parent
-
-    def within(element: Element | None) -> bool:
-        while element is not None:
-            if element is best:
-                return True
-            element = element.parent
-        return False
-
-    if best.tag in ("", "html", "body"):
-        first, last = (int(x) for x in np.flatnonzero(content)[[0, -1]])
-        while first and lines[first - 1].element.tag in _HEADINGS:
-            first -= 1
-        while last + 1 < len(lines) and lines[last + 1].element.tag == "p":
-            last += 1
-        chosen = lines[first : last + 1]
-    else:
-        chosen = [x for x in lines if within(x.element)]
-    return "\n".join(x.text for x in chosen)
+    best = _region(lines, share)
+    if best is not None:
+        return "\n".join(x.text for x in lines if _within(x.element, best))
+    first, last = (int(x) for x in np.flatnonzero(content)[[0, -1]])
+    kept = (x for i, x in enumerate(lines) if first <= i <= last or not _only_links(x))
+    return "\n".join(x.text for x in kept)
 
 
 def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:

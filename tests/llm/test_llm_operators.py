@@ -270,6 +270,25 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+LONG = "<section>" + "<p>A long paragraph of the article, with many words in it.</p>" * 40 + "</section>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<nav><a href=x>x</a></nav><article><h1>T</h1><p>Lead</p>{LONG}<p>End</p></article>no",
+        f"<article><h1>T</h1><p>Lead</p>{LONG}<section><p>End</p></section></article><p>no",
+        f"<main><h1>T</h1><article><p>Lead</p>{LONG}</article><p>End</p></main><footer>no</footer>",
+        f"<div><h1>T</h1><p>Lead</p></div><div>{LONG}</div><footer>no</footer><ul><li>End</ul>",
+        f"<div id=content><h1>T</h1><p>Lead</p>{LONG}<pre>End</pre></div><div>no</div>",
+        f"<td><a href=x>no</a></td><h1>T</h1><p>Lead</p>{LONG}<div>End</div>",
+    ],
+)
+def test_main_text_keeps_all_of_the_region(page):
+    lines = html.main_text(page).split("\n")
+    assert (lines[:2], lines[-1], len(lines)) == (["T", "Lead"], "End", 43)
+
+
 def test_pages_with_nulls(spark):
     pages = spark.createDataFrame([(1, None, "x"), (2, "<p>hé", "y")], "page_id long, html string, n_chars string")
     got = {r.page_id: (r.main_text, r.n_chars) for r in html.extract_text(pages).collect()}
