@@ -1,11 +1,11 @@
 """License scans by conditional compression.
 
-A candidate block is the text around words that license notices use. Each block is compressed
-alone and with every template as a zstandard raw dictionary; the bytes that a template saves, by
-the bytes of the template, rank the templates. The best ones are confirmed on the
-words: the template is aligned with the block, the exact differences are listed, and it counts
-if nearly all its words stand there in order and none that names the license or its version
-differs.
+A candidate block is the words around those that license notices use. Every template that has
+nearly all its words in a block is confirmed on the words, whatever their case and spacing: it is
+aligned with the block, the exact differences are listed, and it counts if nearly all its words
+stand there in order and none that names the license or its version differs. The block in small
+letters, with single spaces, is compressed alone and with each of these templates as a zstandard
+raw dictionary; the bytes that a template saves, by the bytes of the template, rank them.
 
 Null and empty texts have no license. Repeated rows are scanned one by one. Whole texts are
 read; long ones have more blocks, not longer ones. Several notices in a text are all found.
@@ -14,6 +14,8 @@ read; long ones have more blocks, not longer ones. Several notices in a text are
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from difflib import SequenceMatcher
 
 import zstandard
@@ -84,7 +86,7 @@ TEMPLATES: list[tuple[str, str]] = [
     ),
 ]
 _CUES = re.compile(
-    r"licen[sc]|permission|redistribut|copyright|public domain|\bcc[ -]?(?:by|0)\b|\bgpl\b",
+    r"licen[sc]|permission|redistribut|copyright|public\W+domain|\bcc\W*(?:by|0)\b|\bgpl\b",
     re.IGNORECASE,
 )
 _WORD = re.compile(r"[\w.]*\w")
@@ -93,7 +95,7 @@ _NAMING = re.compile(
     r"(?:apache|mit|gnu|lesser|affero|general|cc|cc0|by|nc|sa|bsd|mozilla|public|domain|fee"
     r"|sublicense|redistribution|unencumbered|v?\d.*|\d-clause|clause)$"
 )
-_BEFORE, _AFTER, _MOST = 200, 600, 4096
+_BEFORE, _AFTER, _MOST = 40, 120, 800  # words
 _DIFFERENCE = StructType(
     [StructField("template", StringType()), StructField("text", StringType())]
 )
@@ -108,11 +110,13 @@ _FOUND = StructType(
 )
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """Stretches around cues; overlapping ones are merged up to a limit, then overlap."""
+def blocks(text: str, places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Stretches of words around cues; overlapping ones are merged up to a limit, then overlap."""
     out: list[list[int]] = []
+    starts = [first for first, _ in places]
     for cue in _CUES.finditer(text):
-        first, after = max(0, cue.start() - _BEFORE), min(len(text), cue.end() + _AFTER)
+        at = bisect_right(starts, cue.start()) - 1
+        first, after = max(0, at - _BEFORE), min(len(places), at + _AFTER)
         if out and first <= out[-1][1] and after - out[-1][0] <= _MOST:
             out[-1][1] = after
         else:
@@ -120,13 +124,17 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _plain(text: str) -> bytes:
+    return " ".join(text.lower().split()).encode()
+
+
 class Scanner:
-    def __init__(self, templates: list[tuple[str, str]] = TEMPLATES, least: float = 0.2):
-        self.least = least
+    def __init__(self, templates: list[tuple[str, str]] = TEMPLATES, share: float = 0.9):
+        self.share = share
         self.alone = zstandard.ZstdCompressor(level=3)
         self.templates = []
         for name, wording in templates:
-            raw = wording.encode()
+            raw = _plain(wording)
             words = [w.lower() for w in _WORD.findall(wording)]
             dictionary = zstandard.ZstdCompressionDict(
                 raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT
@@ -134,26 +142,33 @@ class Scanner:
             coder = zstandard.ZstdCompressor(level=3, dict_data=dictionary)
             self.templates.append((name, words, len(raw), coder))
 
-    def ranked(self, block: str) -> list[tuple[float, str, list[str]]]:
-        """Templates by saved share of their bytes, the best first."""
-        raw = block.encode()
+    def ranked(self, block: str, words: list[str]) -> list[tuple[float, str, list[str]]]:
+        """Templates that may stand in the block, by saved share of their bytes, the best first."""
+        known = set(words)
+        possible = [
+            t for t in self.templates if sum(w in known for w in t[1]) >= self.share * len(t[1])
+        ]
+        if not possible:
+            return []
+        raw = _plain(block)
         plain = len(self.alone.compress(raw))
-        out = []
-        for name, words, size, coder in self.templates:
-            saved = (plain - len(coder.compress(raw))) / size
-            if saved >= self.least:
-                out.append((saved, name, words))
+        out = [
+            ((plain - len(coder.compress(raw))) / size, name, template)
+            for name, template, size, coder in possible
+        ]
         return sorted(out, key=lambda x: (-x[0] * len(x[2]), x[1]))
 
     def scan(self, text: str) -> list[dict]:
-        """Confirmed notices by position; a word counts for one notice, the longest first."""
+        """Confirmed notices by position; a word counts for one notice, the best ranked first."""
+        if not _CUES.search(text):
+            return []
         found: dict[tuple[int, int], dict] = {}
-        for a, b in blocks(text):
-            block = text[a:b]
-            places = [(m.start() + a, m.end() + a) for m in _WORD.finditer(block)]
+        every = [m.span() for m in _WORD.finditer(text)]
+        for a, b in blocks(text, every):
+            places = every[a:b]
             words = [text[x:y].lower() for x, y in places]
-            for saved, name, template in self.ranked(block):
-                for first, after, differences in confirmed(template, words):
+            for saved, name, template in self.ranked(text[places[0][0] : places[-1][1]], words):
+                for first, after, differences in confirmed(template, words, self.share):
                     span = (places[first][0], places[after - 1][1])
                     if any(x < span[1] and span[0] < y for x, y in found):
                         continue
@@ -170,6 +185,8 @@ class Scanner:
 def aligned(template: list[str], words: list[str], share: float):
     """The template's words that stand in order at the start of `words`, the end of the place
     and the differences; None unless enough stand there and no naming word differs."""
+    if (Counter(template) & Counter(words)).total() < share * len(template):
+        return None
     found = SequenceMatcher(None, template, words, autojunk=False)
     same = [m for m in found.get_matching_blocks() if m.size]
     matched = sum(m.size for m in same)

@@ -313,6 +313,16 @@ def test_licenses(spark):
     assert [tuple(d) for d in got[6].licenses[0].differences] == [("obtaining", "getting")]
 
 
+@pytest.mark.parametrize("change", [str.upper, str.title, lambda t: t.replace(" ", "  \n * ")])
+def test_licenses_in_any_case_and_spacing(change):
+    rng = random.Random(11)
+    scanner = licenses.Scanner()
+    for name, wording in licenses.TEMPLATES:
+        around = [" ".join(words(rng, rng.randrange(3, 90))) for _ in range(2)]
+        found = scanner.scan(f"{around[0]} {change(wording)} {around[1]}")
+        assert [x["license"] for x in found] == [name], wording
+
+
 RULES = [urls.Rule("com", "/", "allow"), urls.Rule("example.com", "/en/", "block")]
 
 
