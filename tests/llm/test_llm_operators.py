@@ -323,6 +323,54 @@ def test_licenses_in_any_case_and_spacing(change):
         assert [x["license"] for x in found] == [name], wording
 
 
+BSD = """Redistribution and use in source and binary forms, with or without modification, are
+permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions
+   and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of
+   conditions and the following disclaimer in the documentation and/or other materials.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"."""
+THIRD = """Neither the name of the holder nor the names of its contributors may be used to
+endorse or promote products derived from this software without specific prior written permission."""
+ADVERTS = """All advertising materials mentioning features or use of this software must display the
+following acknowledgement: This product includes software developed by the holder."""
+GNU = """This {} is free software; you can redistribute it and/or modify it under the terms of the
+GNU {} Public License as published by the Free Software Foundation; either version {} of the
+License, or (at your option) any later version."""
+
+
+@pytest.mark.parametrize(
+    "text,names",
+    [
+        (BSD.format(""), ["BSD-2-Clause"]),
+        (BSD.format("3. " + THIRD), ["BSD-3-Clause"]),
+        (BSD.format("3. " + ADVERTS + "\n4. " + THIRD), ["BSD-4-Clause"]),
+        (BSD.format("") + " word" * 400 + " " + BSD.format(THIRD), ["BSD-2-Clause", "BSD-3-Clause"]),
+        (THIRD, []),
+        (GNU.format("program", "General", "2"), ["GPL-2.0"]),
+        (GNU.format("program", "General", "3"), ["GPL-3.0"]),
+        (GNU.format("library", "Library General", "2"), ["LGPL-2.0"]),
+        (GNU.format("library", "Lesser General", "2.1"), ["LGPL-2.1"]),
+        (GNU.format("program", "Lesser General", "3"), ["LGPL-3.0"]),
+        (GNU.format("program", "Affero General", "3"), ["AGPL-3.0"]),
+        (GNU.format("program", "General", "4"), []),
+        ("under a Creative Commons Attribution 4.0 International License", ["CC-BY-4.0"]),
+        ("Creative Commons Attribution-NonCommercial-ShareAlike 3.0", ["CC-BY-NC-SA-3.0"]),
+        ("Creative Commons Attribution-Share Alike 2.5 Generic", ["CC-BY-SA-2.5"]),
+        ("see https://creativecommons.org/licenses/by-nd/4.0/", ["CC-BY-ND-4.0"]),
+        ("GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991", ["GPL-2.0"]),
+        ("Mozilla Public License Version 2.0\n=====", ["MPL-2.0"]),
+        ("Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n"
+         "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION", ["Apache-2.0"]),
+        ("# SPDX-License-Identifier: LGPL-2.1-only", ["LGPL-2.1"]),
+    ],
+)
+def test_licenses_by_their_notices_and_texts(text, names):
+    found = licenses.Scanner().scan(f"some words before {text} and after")
+    assert [x["license"] for x in found] == names
+
+
 RULES = [urls.Rule("com", "/", "allow"), urls.Rule("example.com", "/en/", "block")]
 
 
