@@ -5,9 +5,11 @@ ratio is its text outside links by its tags. The ratios are smoothed with a Gaus
 the spread of the smoothed ratios are content. The content region is the outermost article,
 main or element with such an id that holds nearly all text outside links. All its lines are kept,
 short ones too, but for those in headers, footers, sidebars, notices, adverts, forms, comments
-of readers and scripts, which are known by their elements, roles and class names. Without such
-a region all other lines of the page are kept, lines of nothing but links only as paragraphs,
-as headings, and between the first content line and the last one; lists of links are dropped.
+of readers and scripts, which are known by their elements, roles and class names. A form with
+nearly all text is not dropped, and an article ends the drop of an element around it unless
+that is closed and may hold other articles, such as comments. Without such a region all other
+lines of the page are kept, lines and lists of nothing but links only as paragraphs, as headings,
+and between the first content line and the last one.
 
 Null and empty pages, and pages without text, give the empty string. Unclosed and stray tags
 are tolerated. Repeated rows are extracted one by one.
@@ -16,6 +18,7 @@ are tolerated. Repeated rows are extracted one by one.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -51,6 +54,13 @@ _NAMES = set(
     "signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
 _CONTENT = set("article body content entry main post story".split())
+# What may hold other articles than the page's own, and what is never shown.
+_OTHERS = set(
+    "aside dialog footer alertdialog complementary contentinfo comment comments disqus modal "
+    "overlay popup promo promoted promotion recommended related replies reply respond sidebar "
+    "sponsored widget widgets".split()
+)
+_UNSEEN = _DROPPED - _BLOCKS | {"head", "option", "select", "title"}
 _NEGATED = {"has", "no", "with", "without"}
 _SECTIONS = {"html", "body", "main", "article"}
 _WHOLE = _SECTIONS - {"html", "body"}
@@ -72,7 +82,11 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class Element:
     tag: str
     parent: Element | None
-    dropped: bool = False
+    own: int = 0  # dropped for itself: 1, as one that may hold other articles: 2
+    unseen: bool = False
+    form: bool = False  # dropped only as a form
+    dropped: int = 0
+    closed: bool = False
     header: bool = False  # only its headings count
     inside: bool = False  # in an article
     whole: bool = False  # an article, main or element with such an id
@@ -85,7 +99,7 @@ class Line:
     text: str
     chars: int  # without spaces
     linked: int
-    tags: int
+    tags: int  # so far in the page, later since the line before
 
 
 @lru_cache(4096)
@@ -99,6 +113,7 @@ class _Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Element("", None)
         self.open = [self.root]
+        self.elements: list[Element] = []
         self.lines: list[Line] = []
         self.parts: list[str] = []
         self.links = self.linked = self.tags = 0
@@ -111,7 +126,6 @@ class _Reader(HTMLParser):
                 text = " ".join(words)
                 chars = len(text) - len(words) + 1
                 self.lines.append(Line(self.open[-1], text, chars, self.linked, self.tags))
-                self.tags = 0
         self.linked = 0
 
     def updatepos(self, i, j):
@@ -146,24 +160,30 @@ class _Reader(HTMLParser):
 
     def _element(self, tag: str, attrs: list) -> Element:
         above = self.open[-1]
-        inside = above.inside or tag in ("article", "main")
-        if above.dropped:
-            return Element(tag, above, True)
-        if not attrs:
-            dropped = tag in _DROPPED or tag == "header" and not inside
-            header = above.header or tag == "header"
-            return Element(tag, above, dropped, header, inside, tag in _WHOLE)
-        attrs = dict(attrs)
-        names = _names(attrs.get("class")) | _names(attrs.get("id"))
-        bad = tag not in _SECTIONS and bool(names & _NAMES) and not names & _CONTENT
-        bad |= (attrs.get("role") or "").lower() in _ROLES and tag not in _SECTIONS
-        hidden = "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true"
-        bad |= hidden or bool(_HIDDEN.search(attrs.get("style") or ""))
-        header = tag == "header" or "header" in names and tag not in _SECTIONS
-        dropped = tag in _DROPPED or bad or header and not inside
-        whole = tag in _WHOLE or (attrs.get("role") or "").lower() == "main"
-        whole |= tag == "div" and bool(named := _names(attrs.get("id")) - {""}) and named <= _CONTENT
-        return Element(tag, above, dropped, above.header or header, inside, whole)
+        element = Element(tag, above, unseen=above.unseen or tag in _UNSEEN)
+        self.elements.append(element)
+        element.inside = above.inside or tag in ("article", "main")
+        element.whole = tag in _WHOLE
+        bad, header, others = False, tag == "header", tag in _OTHERS
+        if attrs:
+            attrs = dict(attrs)
+            names = _names(attrs.get("class")) | _names(attrs.get("id"))
+            role = (attrs.get("role") or "").lower()
+            bad = tag not in _SECTIONS and bool(names & _NAMES) and not names & _CONTENT
+            bad |= role in _ROLES and tag not in _SECTIONS
+            hidden = "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true"
+            element.unseen |= hidden or bool(_HIDDEN.search(attrs.get("style") or ""))
+            header |= "header" in names and tag not in _SECTIONS
+            others |= bad and bool(names & _OTHERS or role in _OTHERS)
+            element.whole |= role == "main"
+            named = _names(attrs.get("id")) - {""}
+            element.whole |= tag == "div" and bool(named) and named <= _CONTENT
+        element.header = above.header or header
+        bad |= header and not element.inside
+        element.form = tag == "form" and not bad
+        if bad or tag in _DROPPED or element.unseen:
+            element.own = 2 if others else 1
+        return element
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # browsers take <p/> for <p>
@@ -177,17 +197,51 @@ class _Reader(HTMLParser):
                 self.flush()
             for i in range(len(self.open) - 1, 0, -1):
                 if self.open[i].tag == tag:
+                    self.open[i].closed = True
                     del self.open[i:]
                     break
 
     def handle_data(self, data):
-        if self.open[-1].dropped:
+        if self.open[-1].unseen:
             return
         self.parts.append(data)
         if self.links:
             self.linked += sum(map(len, data.split()))
 
 
+    def settle(self, kept: set[int], others: bool = False) -> list[Line]:
+        """Lines that are not dropped. An article ends the drop that it stands in, unless that may
+        hold other articles and is closed; main ends both. Forms in `kept` are not dropped."""
+        for x in self.elements:
+            above = x.parent.dropped
+            if x.tag == "main" or x.tag == "article" and (above == 1 or others):
+                above = 0
+            own = 1 if x.own == 2 and not x.closed else x.own
+            x.dropped = max(above, 0 if id(x) in kept else own)
+        return [x for x in self.lines if not (x.element.dropped or x.element.unseen)]
+
+    def shown(self, share: float) -> list[Line]:
+        """Lines that are not dropped; a form with that share of the text is the page itself."""
+        lines = self.settle(set())
+        forms = {id(x) for x in self.elements if x.form}
+        if forms:
+            free = self.settle(forms)
+            held = Counter()
+            for line in free:
+                above = line.element
+                while above is not None:
+                    if above.form:
+                        held[id(above)] += line.chars
+                    above = above.parent
+            total = sum(x.chars for x in free)
+            lines = self.settle({k for k, n in held.items() if n >= share * total})
+        lines = lines or self.settle(set(), others=True)
+        before = 0
+        for line in lines:
+            line.tags, before = line.tags - before, line.tags
+        return lines
+
+
 def _menus(lines: list[Line]) -> set[int]:
     """Lists of at least three entries that hold nothing but links."""
     lists: dict[int, list[bool]] = {}
@@ -250,18 +304,25 @@ def main_text(page: str, share: float = 0.85) -> str:
     reader.feed(page)
     reader.close()
     reader.flush()
-    lines = [x for x in reader.lines if not x.element.dropped]
-    menus = _menus(lines)
-    lines = [x for x in lines if id(x.element.parent) not in menus]
+    lines = reader.shown(share)
     lines = [x for x in lines if not x.element.header or x.element.tag in _HEADINGS]
     if not lines:
         return ""
-    content = content_lines(lines)
     best = _region(lines, share)
     if best is not None:
         return "\n".join(x.text for x in lines if _within(x.element, best))
-    first, last = (int(x) for x in np.flatnonzero(content)[[0, -1]])
-    kept = (x for i, x in enumerate(lines) if first <= i <= last or not _only_links(x))
+    menus = _menus(lines)
+    listed = [id(x.element.parent) in menus for x in lines]
+    rest = [i for i, menu in enumerate(listed) if not menu]
+    if not rest:
+        return ""
+    content = np.flatnonzero(content_lines([lines[i] for i in rest]))
+    first, last = rest[content[0]], rest[content[-1]]
+    kept = (
+        x
+        for i, x in enumerate(lines)
+        if first <= i <= last or not (listed[i] or _only_links(x))
+    )
     return "\n".join(x.text for x in kept)
 
 

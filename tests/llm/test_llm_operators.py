@@ -289,6 +289,30 @@ def test_main_text_keeps_all_of_the_region(page):
     assert (lines[:2], lines[-1], len(lines)) == (["T", "Lead"], "End", 43)
 
 
+TEXT = "<p>Words of the article, long enough to count.</p><p>More of them in it.</p>"
+WORDS = "Words of the article, long enough to count.\nMore of them in it."
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<body><form><nav><a href=x>x</a></nav><input><div>{TEXT}</div></form></body>", WORDS),
+        (f"<form><article>{TEXT}</article><footer>no</footer></form>", WORDS),
+        (f"<div class=ad>no<article>{TEXT}</article>", WORDS),
+        (f"<div class=ad>no<article>{TEXT}</article></div><p>no", WORDS),
+        (f"<nav><ul><li><a href=x>x</a></ul><article>{TEXT}</article>", WORDS),
+        (f"<aside>no<main>{TEXT}</main>", WORDS),
+        (f"<article>{TEXT}</article><div class=comments><article>no {TEXT}</article></div>", WORDS),
+        (f"<article>{TEXT}</article><aside><article>no {TEXT}</article></aside>", WORDS),
+        (f"<div hidden><article>no</article></div><article>{TEXT}</article>", WORDS),
+        (f"<article>{TEXT}<ul>{'<li><a href=x>a</a>' * 3}</ul></article>", WORDS + "\na" * 3),
+        (f"<ul>{'<li><a href=x>a</a>' * 3}</ul>{TEXT}", WORDS),
+    ],
+)
+def test_main_text_of_wrapped_and_unclosed(page, text):
+    assert html.main_text(page) == text
+
+
 def test_pages_with_nulls(spark):
     pages = spark.createDataFrame([(1, None, "x"), (2, "<p>hé", "y")], "page_id long, html string, n_chars string")
     got = {r.page_id: (r.main_text, r.n_chars) for r in html.extract_text(pages).collect()}
