@@ -263,7 +263,7 @@ def training_sample(
 ) -> tuple[list[bytes], list[str]]:
     """At most per_language texts of each language, of each a stretch of at most `chars`.
 
-    Only the 200 languages with most rows are learned.
+    Every language is learned; of more than 200, fewer texts of each, to hold the sample's size.
     """
     rows = labelled.where(
         F.col(f"`{lang}`").isNotNull() & (F.length(F.trim(F.col(f"`{text}`"))) > 0)
@@ -278,10 +278,10 @@ def training_sample(
         "key",
         F.substring(F.col("text"), (F.pmod("key", room) + 1).cast("int"), F.lit(chars)).alias("text"),
     )
+    languages = rows.select("lang").distinct().count()
+    per_language = max(1, min(per_language, 200 * per_language // max(1, languages)))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))
     kept = rows.withColumn("place", place).where(F.col("place") <= per_language).drop("place")
-    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200)
-    kept = kept.join(F.broadcast(known.select("lang")), "lang", "left_semi")
     table = kept.orderBy("lang", "key").toArrow().to_pydict()
     return [t.encode() for t in table["text"]], table["lang"]
 

@@ -482,6 +482,16 @@ def test_language_id_held_out(spark):
     assert {r.lang_pred for r in langid.identify(odd, None).collect()} == {"und"}
 
 
+def test_every_language_is_sampled(spark):
+    rows = [(f"text {i} {j} of it", f"l{i}") for i in range(450) for j in range(4)]
+    labelled = spark.createDataFrame(rows, "text string, lang string")
+    texts, langs = langid.training_sample(labelled, "text", "lang", per_language=4)
+    counts = collections.Counter(langs)
+    assert len(texts) == len(langs) and len(counts) == 450 and set(counts.values()) == {1}
+    few = labelled.where("lang in ('l1', 'l2')")
+    assert len(langid.training_sample(few, "text", "lang", per_language=3)[0]) == 6
+
+
 def test_mixing(docs, none):
     made = mixing.mix(docs, max_repeats=2.0).collect()
     ids = collections.Counter(r.doc_id for r in made)
