@@ -146,10 +146,46 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+OP12 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, regexp_replace(replace(text, '\', '\\'),
+      '<s>|</s>|<<SYS>>|<</SYS>>|\[/?INST\]|\[/?ROLE\]|\[TEXT\]', '\0 ', 'g') AS esc,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i,
+    count(*) OVER (PARTITION BY conv_id) AS n
+  FROM t
+), f AS (
+  SELECT *, CASE role
+      WHEN 'user' THEN length('<s>[INST]  [/INST]')
+      WHEN 'assistant' THEN length('  </s>')
+      WHEN 'system' THEN length('<<SYS>><</SYS>>') + 4
+      ELSE length('[ROLE][TEXT][/ROLE]') + length(role) END + length(esc) AS chars,
+    CASE WHEN CASE role
+        WHEN 'system' THEN i > 0
+        WHEN 'user' THEN NOT (i = 0 OR prev IN ('system', 'assistant'))
+        WHEN 'assistant' THEN i = 0 OR prev <> 'user'
+        ELSE true END THEN i
+      WHEN i = n - 1 AND role <> 'assistant' THEN n END AS wrong
+  FROM e
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars,
+  min(wrong) IS NULL AS valid, CAST(min(wrong) AS BIGINT) AS wrong_turn
+FROM f GROUP BY conv_id
+"""
+
 ORACLES = {
     "op2_decontamination": OP2,
     "op6_jaccard_join": OP6,
     "op7_warc": OP7,
     "op9_mixing": OP9,
     "op10_substring_dedup": OP10,
+    "op12_chat_format": OP12,
 }

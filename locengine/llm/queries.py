@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from locengine.config import new_path
 from locengine.llm import (
+    chat,
     decontaminate,
     fingerprints,
     html,
@@ -19,6 +20,7 @@ from locengine.llm import (
     substrings,
     urls,
     warc,
+    whitening,
 )
 from locengine.llm.common import prepare
 
@@ -136,3 +138,24 @@ def op10_substring_dedup(spark, d):
     return made.select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query
+def op11_whitening(spark, d):
+    return whitening.whiten(_table(spark, d, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op12_chat_format(spark, d):
+    turns = _table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(text).alias("text"),
+    )
+    both = turns.unionByName(more)
+    made = chat.digest(chat.format_turns(both)).alias("d")
+    checked = chat.validate(both).alias("v")
+    return made.join(checked, F.expr("d.conv_id <=> v.conv_id")).select("d.*", "v.valid", "v.wrong_turn")
