@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from locengine.config import new_path
 from locengine.llm import (
     chat,
+    collocations,
     decontaminate,
     fingerprints,
     html,
@@ -159,3 +160,8 @@ def op12_chat_format(spark, d):
     made = chat.digest(chat.format_turns(both)).alias("d")
     checked = chat.validate(both).alias("v")
     return made.join(checked, F.expr("d.conv_id <=> v.conv_id")).select("d.*", "v.valid", "v.wrong_turn")
+
+
+@query
+def op13_collocations(spark, d):
+    return collocations.collocations(_table(spark, d, "documents").select("text", "lang"))
