@@ -2,19 +2,21 @@
 
 A piece of a text lies between the marks `. , ; : ! ?` and line ends; phrases lie in a piece.
 
-1. `_bounds`, level by level: a phrase can only be frequent if its first and its last words but
-   one are. Of the positions that pass, hashes of phrases are counted in Spark. A hash may
-   stand for several phrases, so its count is an upper bound: no frequent phrase is missed.
-   What passes a level is sent on as a bitmap of fixed size, which lets some others through.
-2. `candidates`: phrases whose bound is high enough, by a join with the bounds, and their words.
-3. `build`, one task per shard of at most about ENTRIES candidates: a double array. Symbols are
-   the group and then words, as two digits each; a state's number is its cell.
-4. `_walk`: a shard is broadcast; numpy moves the states of all positions of a block of text
+1. `_words` counts words. `_level`, level by level: a phrase can only be frequent if all but its
+   last word and all but its first are. Positions that pass are counted in Spark by the hash of
+   the phrase without its last word and the hash of that word; a hash may stand for several
+   phrases, so a count is an upper bound and no frequent phrase is missed. What passes a level
+   is sent on as a bitmap of fixed size, which lets some others through. Joins on the hashes
+   give the phrases: the candidates.
+2. `build`, one task per shard of about ENTRIES candidates and their words: a double array.
+   Symbols are the group and then words, as two digits each; a state's number is its cell.
+3. `_walk`: a shard is broadcast; numpy moves the states of all positions of a block of text
    one digit on at a time, drops those without a cell, and counts accepting states. Spark adds
    up the counts of tasks. These counts, exact on words, are the only ones that are used.
 
 Scores, containment and ranks are joins and windows on the counts. Broadcasts never exceed a
-bitmap or a shard; more candidates mean more passes over the texts.
+bitmap or a shard; more candidates mean more shards, each a pass over the texts, so `entries`
+should be what workers have memory for (some 60 bytes each).
 
 Defined results: a null text has no words, a null group is `und`; empty tables, and groups
 without a frequent phrase, give no rows; repeated rows count again; ties of score go by count,
@@ -24,6 +26,7 @@ then by phrase in byte order; other columns are not read, whatever their names.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -38,8 +41,9 @@ from locengine.config import materialise
 from locengine.llm.common import BITMAP_BITS, bitmap, slices
 from locengine.llm.words import mixed
 
-ENTRIES = 1 << 21  # of a shard: some 130 MB in a worker
-BLOCK = 1 << 20  # bytes of text that are walked at a time
+ENTRIES = 1 << 20  # of a shard: some 60 MB in a worker
+BLOCK = 1 << 22  # bytes of text that are walked at a time
+CHUNK = 1 << 22  # bytes of a shard that pass through the driver at a time
 SALTS = 64
 _KIND = np.zeros(256, dtype=np.uint8)  # 0 of a word, 1 space, 2 end of a piece
 _KIND[[0x20, 0x09]] = 1
@@ -66,23 +70,34 @@ class Block:
                 pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)]
             ).dictionary_encode()
             self.ids = cells.indices.to_numpy()[::2]
-            self.names = cells.dictionary.to_pylist()
+            self.cells = cells.dictionary
         else:
-            self.ids, self.names = np.zeros(0, dtype=np.int32), []
+            self.ids, self.cells = np.zeros(0, dtype=np.int32), pa.array([], pa.binary())
+        self.names = self.cells.to_pylist()
         ends = np.cumsum(kind == 2, dtype=np.int32)
         self.joined = np.zeros(len(first), dtype=bool)
         self.joined[:-1] = ends[first[1:]] == ends[first[:-1]] if len(first) else False
         self.groups = groups[np.searchsorted(bounds, first + at, side="right") - 1]
 
-    def hashes(self, group_hashes: np.ndarray) -> np.ndarray:
+    def hashes(self, groups: list[str]) -> np.ndarray:
         """One hash per word and group."""
-        own = np.array([xxhash.xxh3_64_intdigest(w) for w in self.names], dtype=np.uint64)
-        return mixed(own[self.ids] ^ group_hashes[self.groups]) if len(own) else own
+        return _hashes(self.names, groups, self.ids, self.groups)
 
     def phrase(self, i: int, n: int) -> bytes:
         return b" ".join(self.names[k] for k in self.ids[i : i + n].tolist())
 
 
+def _hashes(words: list[bytes], groups: list[str], ids: np.ndarray, of: np.ndarray) -> np.ndarray:
+    own = np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
+    salt = np.array([xxhash.xxh3_64_intdigest(g.encode(), seed=1) for g in groups], dtype=np.uint64)
+    return mixed(own[ids] ^ salt[of]) if len(ids) else np.zeros(0, dtype=np.uint64)
+
+
+def _longer(before: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hash of a phrase from that of all its words but the last, and of the last."""
+    return mixed(before * _STEP + last)
+
+
 def _ahead(longest: int) -> re.Pattern:
     return re.compile(rb"(?:[ \t]*[^ \t.,;:!?\n-\r]+){0,%d}" % (longest - 1))
 
@@ -133,84 +148,109 @@ def _bits(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (words[slot // 64] >> (slot % 64)) & 1 == 1
 
 
-def _levels(block: Block, groups: list[str], passed: list[np.ndarray], n: int) -> tuple[np.ndarray, ...]:
-    """Per start of a phrase of n words: its hash, and whether all shorter ones within it pass."""
-    salt = np.array([xxhash.xxh3_64_intdigest(g.encode(), seed=1) for g in groups], dtype=np.uint64)
-    word = keys = block.hashes(salt)
-    good = np.ones(len(keys), dtype=bool)
-    for k in range(1, n):
-        good &= _bits(passed[k - 1], keys)
-        good = good[:-1] & good[1:] & block.joined[: len(good) - 1]
-        keys = mixed(keys[:-1] * _STEP + word[k:])
-    return keys, good
-
-
-def _bounds(df: DataFrame, longest: int, n: int, passed: list, least: int) -> DataFrame:
-    """(key): hashes of phrases of n words whose count, summed over what shares it, is enough."""
-    shared = df.sparkSession.sparkContext.broadcast(passed)
+def _words(df: DataFrame) -> DataFrame:
+    """(grp, word, n): occurrences of every word, and, with a null word, of all."""
 
     def compute(found):
         for block, groups in found:
-            keys, good = _levels(block, groups, shared.value, n)
-            some, counts = np.unique(keys[: block.starts][good[: block.starts]], return_counts=True)
-            if len(some):
-                yield [pa.array(some.view(np.int64)), pa.array(counts)]
+            if not block.starts:
+                continue
+            size = len(block.names)
+            own = block.groups[: block.starts].astype(np.int64) * size + block.ids[: block.starts]
+            both, counts = np.unique(own, return_counts=True)
+            of = pa.array(groups)
+            yield [of.take(pa.array(both // size)), block.cells.take(pa.array(both % size)), pa.array(counts)]
+            sums = np.bincount(block.groups[: block.starts], minlength=len(groups))
+            yield [of, pa.nulls(len(groups), pa.binary()), pa.array(sums)]
 
-    summed = _scan(df, longest, compute, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return materialise(summed.where(F.col("n") >= least).select("key"), f"bounds{n}")
+    found = _scan(df, 1, compute, "grp string, word binary, n long")
+    return found.groupBy("grp", F.col("word").cast("string").alias("word")).agg(F.sum("n").alias("n"))
 
 
-def _totals(df: DataFrame) -> DataFrame:
-    """(grp, n): all words."""
+def _keyed(df: DataFrame) -> DataFrame:
+    """(grp, phrase) with the hash of a word, or of a phrase from its parts (before, last)."""
+    parts = "before" in df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grp, phrase = batch.column(0), batch.column(1)
+            if parts:
+                before, last = (batch.column(i).to_numpy().view(np.uint64) for i in (2, 3))
+                key = _longer(before, last)
+            else:
+                of = grp.dictionary_encode()
+                words = [w.encode() for w in phrase.to_pylist()]
+                at = np.arange(len(words))
+                key = _hashes(words, of.dictionary.to_pylist(), at, of.indices.to_numpy())
+            yield pa.RecordBatch.from_arrays(
+                [grp, phrase, pa.array(key.view(np.int64))], ["grp", "phrase", "key"]
+            )
+
+    return df.mapInArrow(run, "grp string, phrase string, key long")
 
-    def compute(found):
-        total: dict[str, int] = {}
-        for block, groups in found:
-            counts = np.bincount(block.groups[: block.starts], minlength=len(groups))
-            for g, c in zip(groups, counts.tolist(), strict=True):
-                total[g] = total.get(g, 0) + c
-        yield [pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())]
 
-    return _scan(df, 1, compute, "grp string, n long").groupBy("grp").agg(F.sum("n").alias("n"))
+def _positions(block: Block, groups: list[str], passed: list, n: int) -> tuple[np.ndarray, ...]:
+    """Of phrases of n words that may be frequent, by all shorter ones in them: the hash of all
+    words but the last, and of the last."""
+    word = keys = block.hashes(groups)
+    good = np.ones(len(keys), dtype=bool)
+    for k in range(1, n):
+        before = keys
+        good &= _bits(passed[k - 1], keys)
+        good = good[:-1] & good[1:] & block.joined[: len(good) - 1]
+        keys = _longer(keys[:-1], word[k:])
+    at = np.flatnonzero(good[: block.starts])
+    return before[at], word[at + n - 1]
 
 
-def candidates(df: DataFrame, longest: int, least: int) -> DataFrame:
-    """(grp, phrase): every phrase of 2 to `longest` words that `least` occurrences can have,
-    some with fewer, and all their words."""
-    passed, bounds = [], []
-    for n in range(1, longest + 1):
-        bounds.append(_bounds(df, longest, n, passed, least))
-        passed.append(bitmap(bounds[-1], "key"))
+def _counted(before: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct pairs and how often they occur; pairs are compared, not only their hashes."""
+    key = _longer(before, last)
+    order = np.argsort(key)
+    before, last, key = before[order], last[order], key[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (before[1:] != before[:-1]) | (last[1:] != last[:-1])
+    starts = np.flatnonzero(new)
+    return before[starts], last[starts], np.diff(np.append(starts, len(key)))
+
+
+def _level(df: DataFrame, longest: int, n: int, passed: list, least: int) -> DataFrame:
+    """(before, last): of phrases of n words that occur often enough, or share hashes that do."""
     shared = df.sparkSession.sparkContext.broadcast(passed)
 
     def compute(found):
         for block, groups in found:
-            for n in range(2, longest + 1):
-                keys, good = _levels(block, groups, shared.value, n)
-                good &= _bits(shared.value[n - 1], keys)
-                at = np.flatnonzero(good[: block.starts])
-                if not len(at):
-                    continue
-                at = at[np.argsort(keys[at], kind="stable")]
-                # Of equal neighbours one is enough; phrases that share a hash are not equal.
-                same = keys[at][1:] == keys[at][:-1]
-                for k in range(n):
-                    same &= block.ids[at + k][1:] == block.ids[at + k][:-1]
-                at = at[np.concatenate(([True], ~same))]
-                of = pa.array(groups).take(pa.array(block.groups[at]))
-                phrases = [block.phrase(i, n) for i in at.tolist()]
-                size = pa.array(np.full(len(at), n, dtype=np.int32))
-                yield [size, pa.array(keys[at].view(np.int64)), of, pa.array(phrases, pa.binary())]
-
-    seen = _scan(df, longest, compute, "size int, key long, grp string, phrase binary")
-    seen = seen.select("size", "key", "grp", F.col("phrase").cast("string").alias("phrase")).distinct()
-    enough = None
-    for n, keys in enumerate(bounds[1:], 2):
-        part = keys.select(F.lit(n).alias("size"), "key")
-        enough = part if enough is None else enough.unionByName(part)
-    phrases = materialise(seen.join(enough, ["size", "key"], "left_semi").select("grp", "phrase"), "phrases")
-    words = phrases.select("grp", F.explode(F.split("phrase", " ")).alias("phrase"))
-    return phrases.unionByName(words).distinct()
+            before, last = _positions(block, groups, shared.value, n)
+            if len(before):
+                first, second, counts = _counted(before, last)
+                yield [pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.array(counts)]
+
+    found = _scan(df, longest, compute, "before long, last long, n long")
+    summed = found.groupBy("before", "last").agg(F.sum("n").alias("n"))
+    return summed.where(F.col("n") >= least).select("before", "last")
+
+
+def candidates(df: DataFrame, longest: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """(grp, phrase): every phrase of 2 to `longest` words that `least` occurrences can have, some
+    with fewer, and all their words; and (grp, n): all words."""
+    counted = materialise(_words(df).where((F.col("n") >= least) | F.col("word").isNull()), "words")
+    totals = counted.where("word is null").select("grp", "n")
+    frequent = counted.where("word is not null").where(F.col("n") >= least)
+    words = materialise(_keyed(frequent.select("grp", F.col("word").alias("phrase"))), "words")
+    last = words.select(F.col("grp").alias("of"), F.col("phrase").alias("word"), F.col("key").alias("last"))
+    passed, have, phrases = [bitmap(words, "key")], words, None
+    for n in range(2, longest + 1):
+        found = _level(df, longest, n, passed, least)
+        before = have.withColumnRenamed("key", "before")
+        both = found.join(before, "before").join(last, "last").where("of = grp")
+        longer = F.concat_ws(" ", "phrase", "word").alias("phrase")
+        have = materialise(_keyed(both.select("grp", longer, "before", "last")), "phrases")
+        phrases = have if phrases is None else phrases.unionByName(have)
+        if n < longest:
+            passed.append(bitmap(have, "key"))
+    found = phrases.select("grp", "phrase")
+    words = found.select("grp", F.explode(F.split("phrase", " ")).alias("phrase"))
+    return found.unionByName(words).distinct(), totals
 
 
 def _first_fit(taken: np.ndarray, low: int, top: int, digits: np.ndarray) -> tuple[int, int]:
@@ -297,30 +337,42 @@ def _build_shard(table: pa.Table) -> pa.Table:
         words.indices.to_numpy()
     )
     radix = max(2, math.isqrt(len(words.dictionary) + len(groups.dictionary)) + 1)
-    arrays = build(symbols, radix)
-    n, shard = len(phrase), table.column("shard")[0].as_py()
-    blob = [a.tobytes() for a in arrays] + [b"\n".join(w.encode() for w in words.dictionary.to_pylist())]
-    gap = pa.nulls(1, pa.string())
+    vocabulary = b"\n".join(w.encode() for w in words.dictionary.to_pylist())
+    made = pickle.dumps((radix, *build(symbols, radix), vocabulary, groups.dictionary.to_pylist()))
+    chunks = [made[a : a + CHUNK] for a in range(0, len(made), CHUNK)]
+    n, m, shard = len(phrase), len(chunks), table.column("shard")[0].as_py()
     return pa.table(
         {
-            "shard": pa.array([shard] * (n + 1), pa.int32()),
-            "at": pa.array([None, *range(n)], pa.int32()),
-            "grp": pa.concat_arrays([gap, grp.cast(pa.string())]),
-            "phrase": pa.concat_arrays([gap, phrase.cast(pa.string())]),
-            "radix": pa.array([radix] + [None] * n, pa.int32()),
-            "arrays": pa.array([blob] + [None] * n, pa.list_(pa.binary())),
-            "groups": pa.array([groups.dictionary.to_pylist()] + [None] * n, pa.list_(pa.string())),
+            "shard": pa.array([shard] * (m + n), pa.int32()),
+            "at": pa.array([None] * m + list(range(n)), pa.int32()),
+            "grp": pa.concat_arrays([pa.nulls(m, pa.string()), grp.cast(pa.string())]),
+            "phrase": pa.concat_arrays([pa.nulls(m, pa.string()), phrase.cast(pa.string())]),
+            "chunk": pa.array([*range(m)] + [None] * n, pa.int32()),
+            "chunks": pa.array([m] * m + [None] * n, pa.int32()),
+            "trie": pa.array(chunks + [None] * n, pa.binary()),
         }
     )
 
 
+def _fetch(rows: DataFrame) -> bytes:
+    """A shard, put together from chunks of which one at a time passes through the driver."""
+    own = rows.select("chunk", "chunks", "trie")
+    size = own.agg(F.max("chunks")).first()[0]
+    chunks = {}
+    for row in own.repartition(size, "chunk").toLocalIterator():
+        chunks[row["chunk"]] = bytes(row["trie"])
+    if sorted(chunks) != list(range(size)):
+        raise RuntimeError(f"a shard came back with {len(chunks)} of {size} chunks")
+    return b"".join(chunks[i] for i in range(size))
+
+
 class Trie:
     """A shard as workers use it."""
 
-    def __init__(self, radix: int, arrays: list[bytes], groups: list[str]):
-        self.base, self.check, self.accept = (np.frombuffer(a, dtype=np.int32) for a in arrays[:3])
+    def __init__(self, made: bytes):
+        radix, self.base, self.check, self.accept, vocabulary, groups = pickle.loads(made)
         self.radix = radix
-        names = arrays[3].split(b"\n")
+        names = vocabulary.split(b"\n")
         self.words = {w: i for i, w in enumerate(names)}
         self.roots = {}
         for i, g in enumerate(groups, len(names)):
@@ -357,12 +409,12 @@ class Trie:
             keep = np.ones(len(at), dtype=bool)
 
 
-def _walk(df: DataFrame, longest: int, trie: tuple) -> DataFrame:
+def _walk(df: DataFrame, longest: int, trie: bytes) -> DataFrame:
     """(at, n): occurrences of the phrases of one shard."""
     shared = df.sparkSession.sparkContext.broadcast(trie)
 
     def compute(found):
-        made, total, held, waiting = Trie(*shared.value), None, [], 0
+        made, held, waiting = Trie(shared.value), [], 0
         total = np.zeros(len(made.accept), dtype=np.int64)
         for block, groups in found:
             held += made.accepted(block, groups, longest)
@@ -378,33 +430,27 @@ def _walk(df: DataFrame, longest: int, trie: tuple) -> DataFrame:
     return _scan(df, longest, compute, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
 
 
-def phrase_counts(df: DataFrame, longest: int = 3, least: int = 10, entries: int = ENTRIES) -> DataFrame:
-    """(grp, phrase, f) of all candidates and their words, from a table (text, grp).
-
-    Texts are read once a level, once for the candidates, and once a shard.
-    """
-    found = materialise(candidates(df, longest, least), "candidates")
+def phrase_counts(
+    df: DataFrame, longest: int = 3, least: int = 10, entries: int = ENTRIES
+) -> tuple[DataFrame, DataFrame]:
+    """(grp, phrase, f) of all candidates and their words, and (grp, n), all words, from a table
+    (text, grp). Texts are read once a level and once a shard."""
+    made, totals = candidates(df, longest, least)
+    found = materialise(made, "candidates")
     shards = -(-found.count() // entries)
-    empty = df.sparkSession.createDataFrame([], "grp string, phrase string, f long")
+    counts = df.sparkSession.createDataFrame([], "grp string, phrase string, f long")
     if not shards:
-        return empty
+        return counts, totals
     shard = F.pmod(F.xxhash64("grp", "phrase"), F.lit(shards)).cast("int")
-    schema = (
-        "shard int, at int, grp string, phrase string, radix int, arrays array<binary>, groups array<string>"
-    )
+    schema = "shard int, at int, grp string, phrase string, chunk int, chunks int, trie binary"
     built = found.withColumn("shard", shard).groupBy("shard").applyInArrow(_build_shard, schema)
     built = materialise(built, "tries")
-    made = empty
-    for i in range(shards):
+    for i in sorted(r[0] for r in built.where("chunk = 0").select("shard").collect()):
         own = built.where(F.col("shard") == i)
-        row = own.where("at is null").select("radix", "arrays", "groups").first()
-        if row is None:  # no phrase has this remainder
-            continue
-        trie = (row["radix"], [bytes(a) for a in row["arrays"]], list(row["groups"]))
-        counts = _walk(df, longest, trie)
-        part = own.where("at is not null").join(counts, "at").select("grp", "phrase", F.col("n").alias("f"))
-        made = made.unionByName(materialise(part, "counts"))
-    return made
+        walked = _walk(df, longest, _fetch(own.where("chunk is not null")))
+        part = own.where("at is not null").join(walked, "at").select("grp", "phrase", F.col("n").alias("f"))
+        counts = counts.unionByName(materialise(part, "counts"))
+    return counts, totals
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -434,7 +480,7 @@ def collocations(
         F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text"),
         F.coalesce(F.col(f"`{group}`").cast("string"), F.lit("und")).alias("grp"),
     )
-    counts = phrase_counts(texts, longest, least, entries)
+    counts, totals = phrase_counts(texts, longest, least, entries)
     words = F.split("phrase", " ")
     all_ = counts.where(F.instr("phrase", " ") > 0).where(F.col("f") >= least)
     all_ = all_.select("grp", "phrase", F.col("f").alias("a"), words.alias("w"))
@@ -468,7 +514,7 @@ def collocations(
     own = weakest.join(most, ["grp", "phrase"], "left")
     own = own.where(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * inside))
     own = own.select("grp", "phrase", "a", "c.l", "c.r", "c.score")
-    return _ranked(own, first).join(_totals(texts), "grp").select(
+    return _ranked(own, first).join(totals, "grp").select(
         F.col("grp").alias(group), "rank", "phrase", "a", "l", "r", "n", "score"
     )
 
