@@ -37,6 +37,7 @@ GLOSSARY_TAIL = "Every term of the table must be translated as given there."
 TAG_WARNING = "The last translation lost tags. Keep exactly these tags: "
 LEAK_WARNING = "Translate everything; leave no word in the source script."
 
+GLOSSARY_CHARS = 1 << 20  # of a glossary in a prompt, unless the caller allows more
 BROADCAST_CHARS = 1 << 22  # longer prompts are joined without a hint
 
 
@@ -49,49 +50,45 @@ def base_prompts() -> dict[str, str]:
     }
 
 
-def glossary_prompt(terms: DataFrame) -> DataFrame:
-    """Glossary as one table in ``id`` order: ``terms, text``; no row when there are no terms.
-
-    It is one text because a prompt holds it whole.
-    """
+def glossary_lines(terms: DataFrame) -> DataFrame:
+    """Glossary as the ordered rows ``part, id, line`` of one table: a head, the terms by ``id``
+    and a tail; no rows when there are no terms. Sorted in ranges, so no task holds it all."""
     row = F.concat(
         F.lit("| "), "jp", F.lit(" | "), "vi", F.lit(" | "), F.coalesce("context", F.lit("")),
         F.lit(" |"),
     )
-    rows = F.array_sort(F.collect_list(F.struct("id", row.alias("row"))))
-    return (
-        terms.agg(F.count("*").alias("terms"), rows.alias("_rows"))
-        .where("terms > 0")
-        .select(
-            "terms",
-            F.concat(
-                F.lit(GLOSSARY_HEAD + "\n"),
-                F.array_join(F.transform("_rows", lambda r: r["row"]), "\n"),
-                F.lit("\n\n" + GLOSSARY_TAIL),
-            ).alias("text"),
+    any_term = terms.limit(1).select(F.lit(1))
+    frame = any_term.select(
+        F.inline(
+            F.array(
+                *(
+                    F.struct(F.lit(part).alias("part"), F.lit(None).cast("bigint").alias("id"), F.lit(line).alias("line"))
+                    for part, line in ((0, GLOSSARY_HEAD), (2, "\n" + GLOSSARY_TAIL))
+                )
+            )
         )
     )
+    own = terms.select(F.lit(1).alias("part"), F.col("id").cast("bigint").alias("id"), row.alias("line"))
+    return own.unionByName(frame).orderBy("part", "id", "line")
 
 
-def glossary_text(terms: DataFrame | None, max_chars: int | None = None) -> str:
+def glossary_text(terms: DataFrame | None, max_chars: int = GLOSSARY_CHARS) -> str:
     """Glossary for one prompt, "" when empty.
 
-    With ``max_chars``, the terms are measured first and a glossary of more characters is
-    refused instead of being cut.
+    A prompt holds it whole, so the terms are measured first: a glossary of more than
+    ``max_chars`` characters is refused instead of being cut.
     """
     if terms is None:
         return ""
-    if max_chars is not None:
-        length = F.length("jp") + F.length("vi") + F.length(F.coalesce("context", F.lit("")))
-        chars = terms.agg(F.coalesce(F.sum(length), F.lit(0))).head()[0]
-        if chars > max_chars:
-            raise ValueError(f"glossary of {chars} characters does not fit a prompt")
-    row = glossary_prompt(terms).head()
-    return row.text if row else ""
+    lines = glossary_lines(terms)
+    chars = lines.agg(F.coalesce(F.sum(F.length("line") + 1), F.lit(0))).head()[0]
+    if chars > max_chars:
+        raise ValueError(f"glossary of {chars} characters does not fit a prompt")
+    return "\n".join(r["line"] for r in lines.select("line").toLocalIterator())
 
 
 def build_prompts(
-    spark: SparkSession, terms: DataFrame | None = None, max_chars: int | None = None
+    spark: SparkSession, terms: DataFrame | None = None, max_chars: int = GLOSSARY_CHARS
 ) -> DataFrame:
     """``file_type, system``: one row per supported file type."""
     glossary = glossary_text(terms, max_chars)
@@ -136,13 +133,14 @@ def check_batches(replies: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> Da
     those without a reply, which returned none."""
     sent = F.size("entries")
     lost = F.col("reply").isNull()
+    fault = F.col("error").isNotNull() if "error" in replies.columns else F.lit(False)
     got = F.when(lost, 0).otherwise(F.size(reply_parts(F.col("reply"))))
     return replies.groupBy(*keys).agg(
         F.count("*").alias("batches"),
         F.sum(sent).alias("sent"),
         F.sum(got).alias("received"),
         F.count_if(sent != got).alias("mismatched"),
-        F.count_if(lost).alias("timeouts"),
+        F.count_if(lost & ~fault).alias("timeouts"),
     )
 
 
@@ -151,9 +149,11 @@ def route_replies(
 ) -> DataFrame:
     """One row per segment with ``translated_text`` and ``route``.
 
-    ``accept``; ``count``, ``leak`` or ``tags`` when it has to be retried; ``timeout``
-    when the batch got no reply and keeps its source text.
+    ``accept``; ``error``, ``count``, ``leak`` or ``tags`` when it has to be retried;
+    ``timeout`` when the batch got no reply and keeps its source text.
     """
+    if "error" not in replies.columns:
+        replies = replies.withColumn("error", F.lit(None).cast("string"))
     parts = reply_parts(F.col("reply"))
     matching = F.size("entries") == F.size("parts")
     rows = replies.withColumn("parts", parts).select(
@@ -173,7 +173,8 @@ def route_replies(
         piece.alias("_piece"),
     )
     route = (
-        F.when(F.col("_timeout"), "timeout")
+        F.when(F.col("error").isNotNull(), "error")
+        .when(F.col("_timeout"), "timeout")
         .when(~F.coalesce("_matching", F.lit(False)), "count")
         .when(has_leak(F.col("_piece"), p), "leak")
         .when(~tags_match(F.col("text"), F.col("_piece")), "tags")

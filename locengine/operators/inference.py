@@ -1,9 +1,11 @@
 """Calling the translation function, with retries.
 
 The function is any callable ``fn(Request) -> str`` that raises ``TimeoutError`` when the
-model does not answer. It runs inside ``mapInPandas``; replies are written to a table
-before anything else reads them, so a lost executor never changes an answer that has
-already been used.
+model does not answer. Any other exception is kept with its row: it costs that row's
+translation and never the run. The function runs inside ``mapInPandas``; replies are written to
+a table before anything else reads them, so a lost executor never changes an answer that has
+already been used. Rows carry their file type; the prompt, one per file type, is looked up
+where the model is called and is never shuffled.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +27,6 @@ from locengine.operators.batch import (
     batch_rows,
     retry_warning,
     route_replies,
-    with_prompt,
 )
 
 
@@ -51,27 +53,46 @@ def spread_calls(df: DataFrame, concurrency: int | None) -> DataFrame:
     return df.repartition(concurrency or max(cores, shuffles))
 
 
+def _systems(prompts: DataFrame) -> Broadcast[dict[str, str]]:
+    """The prompt of every file type, one row each, for the workers."""
+    rows = prompts.select("file_type", "system").collect()
+    return prompts.sparkSession.sparkContext.broadcast({r.file_type: r.system for r in rows})
+
+
+def _fault(error: Exception) -> str:
+    return f"{type(error).__name__}: {error}"
+
+
 def translate_batches(
     batches: DataFrame,
     fn: Translate,
+    prompts: DataFrame,
     concurrency: int | None = None,
     limits: Limits = LIMITS,
 ) -> DataFrame:
-    """Add ``reply`` to rows with ``system`` and ``entries``; null after a timeout."""
-    temperature = limits.temperature
+    """Add ``reply`` and ``error`` to rows with ``file_type`` and ``entries``; the reply is null
+    after a timeout, and after a fault, which ``error`` tells."""
+    temperature, systems = limits.temperature, _systems(prompts)
 
     def call(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            replies = []
-            for system, entries in zip(pdf["system"], pdf["entries"]):
+            replies, errors = [], []
+            for file_type, entries in zip(pdf["file_type"], pdf["entries"]):
                 prompt = DELIMITER.join(e["text"] for e in entries)
+                reply, error = None, None
                 try:
-                    replies.append(fn(Request(system, prompt, temperature, 0)))
+                    reply = fn(Request(systems.value.get(file_type), prompt, temperature, 0))
                 except TimeoutError:
-                    replies.append(None)
-            yield pdf.assign(reply=pd.Series(replies, index=pdf.index, dtype=object))
-
-    schema = T.StructType([*batches.schema.fields, T.StructField("reply", T.StringType())])
+                    pass
+                except Exception as e:  # whatever the caller's function raises is its row's
+                    error = _fault(e)
+                replies.append(reply)
+                errors.append(error)
+            made = {"reply": replies, "error": errors}
+            yield pdf.assign(**{k: pd.Series(v, index=pdf.index, dtype=object) for k, v in made.items()})
+
+    added = [T.StructField(n, T.StringType()) for n in ("reply", "error")]
+    schema = T.StructType([*batches.schema.fields, *added])
     return spread_calls(batches, concurrency).mapInPandas(call, schema)
 
 
@@ -83,50 +104,60 @@ def python_class(chars: str) -> str:
 def retry_single(
     rows: DataFrame,
     fn: Translate,
+    prompts: DataFrame,
     p: str | Profile = "ja",
     concurrency: int | None = None,
     limits: Limits = LIMITS,
 ) -> DataFrame:
     """Retry rows one by one until script and tags are right, at most ``max_retries``
-    times. The last answer is kept either way; ``accepted`` tells which it is."""
+    times. The last answer is kept either way; ``accepted`` tells which it is, and ``error``
+    what the last attempt raised, with the source as the answer."""
     leak = re.compile(f"[{python_class(profile(p).leak)}]")
     tag = re.compile(r"</?tag[0-9]+>")
     attempts, temperature = limits.max_retries, max(limits.temperature - 0.1, 0.1)
+    systems = _systems(prompts)
 
-    def attempt_row(system: str, warning: str, text: str) -> tuple[str, int, bool]:
+    def attempt_row(file_type: str, warning: str, text: str) -> tuple[str, int, bool, str | None]:
         wanted = sorted(tag.findall(text))
-        answer = text
+        answer, error, system = text, None, systems.value.get(file_type)
         for n in range(1, attempts + 1):
-            request = Request(system + (warning if n > 1 else ""), text, temperature, n)
+            prompt = system if n == 1 or system is None else system + warning
+            error = None
             try:
-                answer = fn(request).strip()
+                answer = fn(Request(prompt, text, temperature, n)).strip()
             except TimeoutError:
                 answer = text
-            if not leak.search(answer) and sorted(tag.findall(answer)) == wanted:
-                return answer, n, True
-        return answer, attempts, False
+            except Exception as e:  # whatever the caller's function raises is its row's
+                answer, error = text, _fault(e)
+            if error is None and not leak.search(answer) and sorted(tag.findall(answer)) == wanted:
+                return answer, n, True, None
+        return answer, attempts, False, error
 
     def call(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             done = [
-                attempt_row(*row) for row in zip(pdf["system"], pdf["_warning"], pdf["text"])
+                attempt_row(*row) for row in zip(pdf["file_type"], pdf["_warning"], pdf["text"])
             ]
-            yield pdf.drop(columns=["_warning", "translated_text"]).assign(
-                translated_text=[d[0] for d in done],
-                retry_count=[d[1] for d in done],
-                accepted=[d[2] for d in done],
-            )
-
-    base = rows.select(*[c for c in rows.columns if c != "translated_text"])
+            made = {
+                "translated_text": [d[0] for d in done],
+                "retry_count": [d[1] for d in done],
+                "accepted": [d[2] for d in done],
+                "error": pd.Series([d[3] for d in done], index=pdf.index, dtype=object),
+            }
+            yield pdf[names].assign(**made)
+
+    base = rows.select(*[c for c in rows.columns if c not in ("translated_text", "error")])
     schema = T.StructType(
         [
             *base.schema.fields,
             T.StructField("translated_text", T.StringType()),
             T.StructField("retry_count", T.IntegerType()),
             T.StructField("accepted", T.BooleanType()),
+            T.StructField("error", T.StringType()),
         ]
     )
-    warned = rows.withColumn("_warning", retry_warning(F.col("text"), F.lit(2)))
+    warned = base.withColumn("_warning", retry_warning(F.col("text"), F.lit(2)))
+    names = base.columns
     return spread_calls(warned, concurrency).mapInPandas(call, schema)
 
 
@@ -140,24 +171,27 @@ def translate_with_retries(
     limits: Limits = LIMITS,
 ) -> DataFrame:
     """Batches, routing and single retries: ``keys, seq, text, translated_text,
-    retry_count, status``.
+    retry_count, status, error``.
 
-    ``status`` is ``accepted``, ``timeout`` or ``best_effort``; only accepted pairs may
-    enter the memory. Both rounds of model calls are written before they are read again.
+    ``status`` is ``accepted``, ``timeout``, ``best_effort`` or ``error``, where every attempt
+    ended in the function's own exception or with a wrong answer, the last one in the former;
+    only accepted pairs may enter the memory. Both rounds of model calls are written before
+    they are read again.
     """
-    batches = with_prompt(batch_rows(packed, keys), prompts)
-    replies = materialise(translate_batches(batches, fn, concurrency, limits), "replies")
+    batches = batch_rows(packed, keys)
+    replies = materialise(translate_batches(batches, fn, prompts, concurrency, limits), "replies")
     routed = route_replies(replies, p, keys)
     settled = F.col("route").isin("accept", "timeout")
-    columns = [*keys, "seq", "text", "translated_text", "retry_count", "status"]
+    columns = [*keys, "seq", "text", "translated_text", "retry_count", "status", "error"]
     first = (
         routed.filter(settled)
         .withColumn("retry_count", F.lit(0))
         .withColumn("status", F.when(F.col("route") == "accept", "accepted").otherwise("timeout"))
     )
-    failing = routed.filter(~settled).select(*keys, "seq", "system", "text", "translated_text")
-    again = materialise(retry_single(failing, fn, p, concurrency, limits), "retries")
+    failing = routed.filter(~settled).select(*keys, "seq", "file_type", "text", "translated_text")
+    again = materialise(retry_single(failing, fn, prompts, p, concurrency, limits), "retries")
     second = again.withColumn(
-        "status", F.when(F.col("accepted"), "accepted").otherwise("best_effort")
+        "status",
+        F.when(F.col("accepted"), "accepted").when(F.col("error").isNotNull(), "error").otherwise("best_effort"),
     )
     return first.select(*columns).unionByName(second.select(*columns))

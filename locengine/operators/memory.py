@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locengine.functions.text import strip_ws
@@ -56,15 +56,33 @@ def write_memory(memory: DataFrame, path: str, version: int) -> str:
     return target
 
 
+def latest_memory(spark: SparkSession, path: str) -> DataFrame:
+    """The last version that ``write_memory`` finished; one that is being written is not seen."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, "version=*/_SUCCESS"))
+    versions = [int(f.getPath().getParent().getName().partition("=")[2]) for f in found or []]
+    if not versions:
+        raise ValueError(f"no memory version below {path}")
+    return spark.read.parquet(f"{path.rstrip('/')}/version={max(versions)}")
+
+
 def build_translation_map(segments: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Distinct trimmed source to target; blanks and identity pairs dropped, last wins."""
+    """Distinct trimmed source to target; blanks and identity pairs dropped, last wins.
+
+    ``seq`` is that of the pair that won, ``first_seq`` the first place of the source: phrases
+    of equal length are replaced in the order of their first places.
+    """
     pairs = segments.select(
         *keys,
         "seq",
         strip_ws(F.col("text")).alias("source"),
         strip_ws(F.col("translated_text")).alias("target"),
     ).filter("source <> '' AND target <> '' AND source <> target")
-    return latest_by(pairs, [*keys, "source"], ["seq"])
+    last = F.max(F.struct("seq", "target")).alias("last")
+    return pairs.groupBy(*keys, "source").agg(last, F.min("seq").alias("first_seq")).select(
+        *keys, "last.seq", "source", "last.target", "first_seq"
+    )
 
 
 def merge_reviewed(segments: DataFrame, reviewed: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

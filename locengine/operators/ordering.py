@@ -8,10 +8,14 @@ tasks as it has buckets.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from locengine.functions.text import let
+from pyspark.sql import types as T
 
 BUCKET = 2048
 
@@ -75,6 +79,52 @@ def renumber(
     ).withColumn(out, F.col(out) - 1)
 
 
+class _Bucket:
+    """Greedy batches over the lengths of one bucket, for every row that may begin one.
+
+    A batch that begins at row i ends before row ``next[i]``, which two running sums and a
+    search give; following these pointers by doubling them gives, for all rows at once, the
+    batches up to the end of the bucket, or the rows that a given start leads to.
+    """
+
+    def __init__(self, lens: np.ndarray, max_chars: int, max_segs: int):
+        self.n, at = len(lens), np.arange(len(lens))
+        self.sums = np.concatenate(([0], np.cumsum(lens, dtype=np.int64)))
+        fits = np.searchsorted(self.sums[1:], self.sums[:-1] + max_chars, side="right")
+        self.next = np.append(np.clip(fits, at + 1, np.minimum(at + max_segs, self.n)), self.n)
+        self.rounds = max(1, self.n.bit_length())
+
+    def last(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each start: how many batches follow, and the first row of the last of them."""
+        jump, count, last = self.next.copy(), np.ones(self.n + 1, dtype=np.int64), np.arange(self.n + 1)
+        count[-1] = 0
+        for _ in range(self.rounds):
+            more = jump < self.n
+            last = np.where(more, last[jump], last)
+            count = count + np.where(more, count[jump], 0)
+            jump = jump[jump]
+        return count[:-1], last[:-1]
+
+    def starts(self, first: int) -> np.ndarray:
+        """Which rows begin a batch, if row ``first`` does."""
+        found, jump = np.zeros(self.n + 1, dtype=bool), self.next
+        found[first] = True
+        for _ in range(self.rounds):
+            found[jump[found]] = True
+            jump = jump[jump]
+        return found[:-1]
+
+
+def _lists(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The fields of each list of (number, length), by number."""
+    fields = column.flatten()
+    numbers, lens = (fields.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+    ends = np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))
+    for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        order = np.argsort(numbers[a:b], kind="stable")
+        yield numbers[a:b][order], lens[a:b][order]
+
+
 def pack_batches(
     segments: DataFrame,
     max_chars: int = 3000,
@@ -85,10 +135,11 @@ def pack_batches(
     """``batch_id`` per segment: greedy packing in ``seq`` order within each document.
 
     A batch closes when it holds ``max_segs`` segments or when the next one would exceed
-    ``max_chars``. Packing is sequential, so a bucket of segments is summarised as a
-    function: for each possible first row of a new batch (at most ``max_segs``) the number
-    of batches opened and the open batch at the end. Chaining these functions gives the
-    open batch with which every bucket starts, and each bucket is then packed by itself.
+    ``max_chars``. Packing is sequential, so a bucket of segments is summarised as a function:
+    for each row that can begin its first batch (at most ``max_segs``) the batches opened and
+    the open one at the end. One task follows these functions through a document, one small
+    row per bucket and without holding them, and each bucket is then packed by itself. Time
+    grows with the segments, whatever the size of a bucket.
 
     Only ``seq`` and text lengths are shuffled. Returns ``keys, seq, batch_id``; ``seq`` is
     a unique non-negative integer per document.
@@ -101,157 +152,85 @@ def pack_batches(
         .select(
             *k,
             bucket_of("seq", bucket).alias("_bucket"),
-            F.struct(F.col("seq"), F.length("text").alias("len")).alias("_row"),
+            F.struct(
+                F.col("seq").cast("bigint").alias("seq"), F.length("text").cast("bigint").alias("len")
+            ).alias("_row"),
         )
         .filter("_bucket IS NOT NULL")
         .groupBy(*k, "_bucket")
-        .agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
+        .agg(F.collect_list("_row").alias("_rows"))
     )
-
-    def advance(state: Column, length: Column) -> Column:
-        opens = (state["segs"] == 0) | (state["chars"] + length > max_chars) | (
-            state["segs"] >= max_segs
-        )
-        return F.struct(
-            (state["batches"] + F.when(opens, 1).otherwise(0)).alias("batches"),
-            F.when(opens, 1).otherwise(state["segs"] + 1).alias("segs"),
-            F.when(opens, length).otherwise(state["chars"] + length).alias("chars"),
-        )
-
-    def state(batches: Column, segs: Column, chars: Column) -> Column:
-        return F.struct(
-            batches.cast("bigint").alias("batches"),
-            segs.cast("int").alias("segs"),
-            chars.cast("bigint").alias("chars"),
-        )
-
-    def cast_state(s: Column) -> Column:
-        return state(s["batches"], s["segs"], s["chars"])
-
-    empty = state(F.lit(0), F.lit(0), F.lit(0))
-    lengths = F.transform("_rows", lambda r: r["len"])
-
-    def fold(lens: Column, start: Column) -> Column:
-        return F.aggregate(lens, start, lambda acc, x: cast_state(advance(acc, x)))
-
-    # A new batch can begin at any of the first max_segs rows of a bucket; bucket 0 starts
-    # a document and so begins with one.
-    n = F.size("_rows")
-    last_start = F.when(F.col("_bucket") == 0, F.lit(0)).otherwise(
-        F.least(F.lit(max_segs), n) - 1
-    )
-    summary = bounded.withColumn("_lens", lengths).select(
-        *k,
-        "_bucket",
-        n.alias("n"),
-        F.slice("_lens", 1, max_segs).alias("head"),
-        F.expr("aggregate(_lens, 0L, (a, x) -> a + x)").alias("total"),
-        F.transform(
-            F.sequence(F.lit(0), last_start),
-            lambda r: fold(F.slice(F.col("_lens"), r + 1, n - r), empty),
-        ).alias("exits"),
+    ids = [T.StructField(c, segments.schema[c].dataType) for c in k]
+    longs = lambda *names: [T.StructField(n, T.LongType()) for n in names]
+    arrays = ["_head", "_count", "_segs", "_chars"]
+    functions = T.StructType(
+        [*ids, *longs("_bucket", "_n", "_total")]
+        + [T.StructField(c, T.ArrayType(T.LongType())) for c in arrays]
     )
 
-    def enter(acc: Column, b: Column) -> Column:
-        """State after bucket ``b`` when it starts with the open batch of ``acc``."""
-        first = F.aggregate(
-            b["head"],
-            F.struct(
-                F.lit(0).alias("taken"),
-                acc["segs"].alias("segs"),
-                acc["chars"].alias("chars"),
-                F.lit(True).alias("open"),
-            ),
-            lambda h, x: F.struct(
-                (h["taken"] + F.when(_joins(h, x), 1).otherwise(0)).alias("taken"),
-                (h["segs"] + F.when(_joins(h, x), 1).otherwise(0)).alias("segs"),
-                (h["chars"] + F.when(_joins(h, x), x.cast("bigint")).otherwise(F.lit(0))).alias(
-                    "chars"
-                ),
-                _joins(h, x).alias("open"),
-            ),
-            lambda h: h["taken"],
-        )
-
-        def leave(taken: Column) -> Column:
-            end = F.get(b["exits"], taken)
-            return F.when(
-                taken >= b["n"],
-                state(acc["batches"], acc["segs"] + b["n"], acc["chars"] + b["total"]),
-            ).otherwise(state(acc["batches"] + end["batches"], end["segs"], end["chars"]))
-
-        return let(first, leave)
-
-    def _joins(h: Column, x: Column) -> Column:
-        return (
-            h["open"] & (h["segs"] > 0) & (h["segs"] < max_segs) & (h["chars"] + x <= max_chars)
-        )
-
-    entries = (
-        summary.groupBy(*k)
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct("_bucket", "n", "head", "total", "exits"))
-            ).alias("_b")
-        )
-        .select(
-            *k,
-            F.aggregate(
-                "_b",
-                F.struct(
-                    empty.alias("s"),
-                    F.array()
-                    .cast("array<struct<_bucket:bigint,batches:bigint,segs:int,chars:bigint>>")
-                    .alias("out"),
-                ),
-                lambda acc, b: F.struct(
-                    enter(acc["s"], b).alias("s"),
-                    F.concat(
-                        acc["out"],
-                        F.array(
-                            F.struct(
-                                b["_bucket"].alias("_bucket"),
-                                acc["s"]["batches"].alias("batches"),
-                                acc["s"]["segs"].alias("segs"),
-                                acc["s"]["chars"].alias("chars"),
-                            )
-                        ),
-                    ).alias("out"),
-                ),
-                lambda acc: acc["out"],
-            ).alias("_entries"),
-        )
-        .select(*k, F.inline("_entries"))
-    )
-
-    packed = F.aggregate(
-        "_rows",
-        F.struct(
-            state(F.col("batches"), F.col("segs"), F.col("chars")).alias("s"),
-            F.array().cast("array<struct<seq:bigint,batch_id:bigint>>").alias("out"),
-        ),
-        lambda acc, r: _emit(acc, r, lambda s, x: cast_state(advance(s, x))),
-        lambda acc: acc["out"],
-    )
-    return (
-        bounded.join(entries, [*k, "_bucket"])
-        .select(*k, F.inline(packed))
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for _, lens in _lists(batch.column(len(k) + 1)):
+                b = _Bucket(lens, max_chars, max_segs)
+                count, last = b.last()
+                m = min(max_segs, b.n)
+                chars = b.sums[-1] - b.sums[last[:m]]
+                made.append((b.n, int(b.sums[-1]), lens[:m], count[:m], b.n - last[:m], chars))
+            columns = [pa.array(c) for c in zip(*made, strict=True)]
+            if made:
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(k) + 1], *columns], functions.names)
+
+    entries = T.StructType([*ids, *longs("_bucket", "_taken", "_before")])
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        document, opened, segs, chars = None, 0, 0, 0
+        for batch in batches:
+            taken_, before = [], []
+            own = list(zip(*(c.to_pylist() for c in batch.columns[: len(k)]), strict=True))
+            rest = zip(*(c.to_pylist() for c in batch.columns[len(k) + 1 :]), strict=True)
+            for key, (n, total, head, count, end_segs, end_chars) in zip(own, rest, strict=True):
+                if key != document:
+                    document, opened, segs, chars = key, 0, 0, 0
+                taken, room = 0, chars
+                while segs and taken < len(head) and segs + taken < max_segs and room + head[taken] <= max_chars:
+                    room += head[taken]
+                    taken += 1
+                taken_.append(taken)
+                before.append(opened)
+                if taken == n:
+                    segs, chars = segs + n, chars + total
+                else:
+                    opened, segs, chars = opened + count[taken], end_segs[taken], end_chars[taken]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[: len(k) + 1], pa.array(taken_, pa.int64()), pa.array(before, pa.int64())],
+                entries.names,
+            )
+
+    packed = T.StructType([*ids, *longs("seq", "batch_id")])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seqs, numbers = [], []
+            lists = _lists(batch.column(len(k) + 1))
+            entry = zip(*(batch.column(len(k) + i).to_pylist() for i in (2, 3)), strict=True)
+            for (seq, lens), (taken, before) in zip(lists, entry, strict=True):
+                opens = np.zeros(len(seq), dtype=bool)
+                if taken < len(seq):
+                    opens = _Bucket(lens, max_chars, max_segs).starts(taken)
+                seqs.append(seq)
+                numbers.append(before - 1 + np.cumsum(opens))
+            if seqs:
+                row = pa.array(np.repeat(np.arange(len(seqs)), [len(x) for x in seqs]))
+                own = [c.take(row) for c in batch.columns[: len(k)]]
+                made = [pa.array(np.concatenate(x)) for x in (seqs, numbers)]
+                yield pa.RecordBatch.from_arrays([*own, *made], packed.names)
+
+    order = [*k, "_bucket"]
+    chained = (
+        bounded.mapInArrow(summarise, functions)
+        .repartition(*k)
+        .sortWithinPartitions(*order)
+        .mapInArrow(follow, entries)
     )
-
-
-def _emit(acc: Column, r: Column, advance) -> Column:
-    def emitted(s: Column) -> Column:
-        return F.struct(
-            s.alias("s"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        r["seq"].cast("bigint").alias("seq"),
-                        (s["batches"] - 1).alias("batch_id"),
-                    )
-                ),
-            ).alias("out"),
-        )
-
-    return let(advance(acc["s"], r["len"]), emitted)
+    return bounded.join(chained, order).select(*order, "_rows", "_taken", "_before").mapInArrow(pack, packed)

@@ -1,63 +1,288 @@
-"""Replacement of known texts and phrases by the translation map of their document."""
+"""Replacement of known texts and phrases by the translation map of their document.
+
+A phrase is indexed by its head: its first 2**k characters, with the greatest k that fits. The
+windows of a text of the same lengths meet the heads of their document in an equi join on a
+hash, so a text is paired only with phrases that begin in it alike, however many its document
+has. Heads are at least half their phrase, so hardly any other phrase shares one.
+
+Texts are worked on in runs of a document. Phrases are replaced one after the other, longest
+first, and a replacement can make others occur that no text of the run held before. `missing`
+reports windows around replacements that may be such heads; those that are bring their
+phrases, and their runs are worked on again, until no run needs another phrase.
+"""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from locengine.config import materialise
 from locengine.functions.text import TAG, strip_tags, strip_ws
 from locengine.operators.ordering import bucket_of
 from locengine.operators.runs import FOOTNOTE_ANY
-from locengine.sources.arrow import explode_rows
 
-TEXTS_PER_GROUP = 1024
+TEXTS_PER_RUN = 256
+PIECE = 1 << 20  # characters that are hashed at a time
+BITS = 1 << 24  # 2 MB; it spares rows without a partner, the join decides
+_BASE = 0x9E3779B97F4A7C15
+_UNBASE = pow(_BASE, -1, 1 << 64)
+
+
+def head_length(n: Column) -> Column:
+    """Greatest power of two that is at most n."""
+    return F.pow(F.lit(2.0), F.floor(F.log2(n.cast("double")) + F.lit(1e-12))).cast("int")
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
 
+@functools.cache
+def _powers(base: int, bits: int) -> np.ndarray:
+    made = np.full(1 << bits, base, dtype=np.uint64)
+    made[0] = 1
+    return np.multiply.accumulate(made)
 
-class PhraseTable:
-    """The map of one document, and its phrases in replacement order: longest first, then
-    by ``seq``.
 
-    A replacement can create or destroy later phrases, so after each one the text is
-    searched again for the next phrase in order. The automaton finds every phrase in one
-    pass over the text, so the cost follows the replacements made and not the size of the
-    map. It is built when the first text needs it.
+def _hashed(parts: list[tuple[int, int, str]], groups: np.ndarray, sizes: list[int], keep):
+    codes = np.frombuffer("".join(p for *_, p in parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(codes)
+    up, down = (_powers(b, n.bit_length()) for b in (_BASE, _UNBASE))
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+    lengths = np.array([len(p) for *_, p in parts])
+    owner = np.repeat(np.arange(len(parts)), lengths)
+    text = np.array([i for i, *_ in parts])
+    shift = np.array([at for _, at, _ in parts]) - (np.cumsum(lengths) - lengths)
+    for size in sizes:
+        if n < size:
+            continue
+        own = owner[: n - size + 1]
+        h = (sums[size:] - sums[:-size]) * down[: n - size + 1]
+        h = _mixed(h ^ _mixed(groups + np.uint64(size))[text[own]]).view(np.int64)
+        at = np.flatnonzero((own == owner[size - 1 :]) & keep(h))
+        yield h[at], text[own[at]], at + shift[own[at]]
+
+
+def windows(texts: list[str], groups: list[int], sizes: list[int], keep):
+    """Hash, text and first place of the windows of some sizes whose hash `keep` takes.
+
+    Arrays of limited size: long texts are cut into pieces that overlap by a window.
     """
+    own = np.array([g & (1 << 64) - 1 for g in groups], dtype=np.uint64)
+    parts, total = [], 0
+    for i, text in enumerate(texts):
+        for at in range(0, len(text), PIECE):
+            parts.append((i, at, text[at : at + PIECE + sizes[-1] - 1]))
+            total += len(parts[-1][2])
+            if total >= PIECE:
+                yield from _hashed(parts, own, sizes, keep)
+                parts, total = [], 0
+    if parts:
+        yield from _hashed(parts, own, sizes, keep)
+
+
+def _may_be(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys % BITS
+    return (bits[slot // 64] >> (slot % 64)) & 1 == 1
+
+
+def _any(keys: np.ndarray) -> np.ndarray:
+    return np.ones(len(keys), dtype=bool)
+
+
+def _index(tmap: DataFrame, keys: list[str]) -> DataFrame:
+    """The map's rows with the hash of their head, `_key`, and their place among equals."""
+    first = F.col("first_seq") if "first_seq" in tmap.columns else F.col("seq")
+    found = tmap.filter("source <> ''").select(
+        F.xxhash64(*keys).alias("_group"),
+        "source",
+        "target",
+        first.cast("bigint").alias("_first"),
+        head_length(F.length("source")).alias("_size"),
+    )
+    schema = "_group long, source string, target string, _first long, _size int, _key long"
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups, sources, *_, sizes = (c.to_pylist() for c in batch.columns)
+            made = np.zeros(len(sizes), dtype=np.int64)
+            for size in set(sizes):
+                own = [i for i, n in enumerate(sizes) if n == size]
+                heads = [sources[i][:size] for i in own]
+                for keys, text, _ in windows(heads, [groups[i] for i in own], [size], _any):
+                    made[np.array(own)[text]] = keys
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(made)], [*batch.schema.names, "_key"]
+            )
+
+    return found.mapInArrow(hashed, schema)
+
+
+def _bits_of(index: DataFrame) -> np.ndarray:
+    slot = F.pmod(F.col("_key"), F.lit(BITS))
+    rows = (
+        index.select((slot / 64).cast("long").alias("word"), (slot % 64).cast("int").alias("bit"))
+        .groupBy("word")
+        .agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+        .toArrow()
+    )
+    words = np.zeros(BITS // 64, dtype=np.int64)
+    words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return words
+
+
+def _probes(texts: DataFrame, keys: list[str], sizes: list[int], bits) -> DataFrame:
+    """(keys, _run, _key): windows of a run's texts that may be heads."""
+    names = [*keys, "_run", "_key"]
+    schema = T.StructType(
+        [*(texts.schema[c] for c in [*keys, "_run"]), T.StructField("_key", T.LongType())]
+    )
 
-    def __init__(self, entries: list[dict]):
-        ordered = sorted(entries, key=lambda e: (-len(e["source"]), e["seq"]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups = batch.column(len(keys) + 1).to_pylist()
+            forms = batch.column(len(keys) + 2).to_pylist()
+            owner = [i for i, own in enumerate(forms) for _ in own]
+            texts_, of = [t for own in forms for t in own], [groups[i] for i in owner]
+            for made, text, _ in windows(texts_, of, sizes, lambda h: _may_be(bits.value, h)):
+                both = np.unique(np.stack([np.array(owner)[text], made]), axis=1)
+                own = [batch.column(k).take(pa.array(both[0])) for k in range(len(keys) + 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(both[1])], names)
+
+    forms = F.array_distinct(
+        F.filter(F.array("_text", "_plain", "_bare", "_bare_plain"), lambda c: c.isNotNull())
+    )
+    return texts.select(
+        *keys, "_run", F.xxhash64(*keys).alias("_group"), forms.alias("_forms")
+    ).mapInArrow(run, schema).distinct()
+
+
+class Phrases:
+    """The phrases that a run's texts may hold: found by head, replaced in order."""
+
+    def __init__(self, entries: list[dict], sizes: list[int], group: int):
+        ordered = sorted(entries, key=lambda e: (-len(e["source"]), e["_first"], e["source"]))
         self.pairs = [(e["source"], e["target"]) for e in ordered]
         self.whole = dict(self.pairs)
-        self.automaton = None
-
-    def phrases(self, text: str) -> str | None:
-        if not self.pairs:
-            return None
-        if self.automaton is None:
-            import ahocorasick
-
-            self.automaton = ahocorasick.Automaton()
-            for rank, (source, _) in enumerate(self.pairs):
-                self.automaton.add_word(source, rank)
-            self.automaton.make_automaton()
-        working, done = text, -1
-        while True:
-            ahead = [rank for _, rank in self.automaton.iter(working) if rank > done]
-            if not ahead:
-                return None if working == text else working
-            done = min(ahead)
-            working = working.replace(*self.pairs[done])
-
-    def find(self, text: str, plain: str) -> tuple[str | None, str | None]:
-        """Translation and the way it was found; ``plain`` is without footnote marks."""
+        self.sizes, self.group = sizes, group
+        self.heads: dict[str, list[int]] = {}
+        self.by_key: dict[int, list[int]] = {}
+        for rank, e in enumerate(ordered):
+            self.heads.setdefault(e["source"][: e["_size"]], []).append(rank)
+            self.by_key.setdefault(e["_key"], []).append(rank)
+        self.keys = np.array(sorted(self.by_key), dtype=np.int64)
+        self.changed: dict[int, list[str]] = {}
+
+    def known(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys), dtype=bool)
+        return self.keys[np.searchsorted(self.keys[:-1], keys)] == keys
+
+    def contained(self, texts: list[str]) -> list[set[int]]:
+        """Per text the phrases that it holds."""
+        out: list[set[int]] = [set() for _ in texts]
+        for keys, text, at in windows(texts, [self.group] * len(texts), self.sizes, self.known):
+            for key, i, place in zip(keys.tolist(), text.tolist(), at.tolist(), strict=True):
+                out[i].update(r for r in self.by_key[key] if texts[i].startswith(self.pairs[r][0], place))
+        return out
+
+    def replaced(self, text: str, waiting: set[int]) -> str | None:
+        """The text with the phrases that it holds, and those that come up, replaced."""
+        working = text
+        while waiting:
+            done = min(waiting)
+            waiting.remove(done)
+            source, target = self.pairs[done]
+            parts = working.split(source)
+            if len(parts) == 1:
+                continue
+            working, longest, at = target.join(parts), len(source), 0
+            sizes = [n for n in self.sizes if n <= longest]
+            for part in parts[:-1]:
+                # What comes up holds a character of the target, or reaches over its place.
+                at += len(part)
+                near, far = max(0, at - longest + 1), at + len(target)
+                for n in sizes:
+                    for i in range(near, far):
+                        for rank in self.heads.get(working[i : i + n], ()):
+                            if rank > done and working.startswith(self.pairs[rank][0], i):
+                                waiting.add(rank)
+                self.changed.setdefault(sizes[-1], []).append(working[near : far + sizes[-1] - 1])
+                at = far
+        return None if working == text else working
+
+    def missing(self, bits: np.ndarray) -> set[int]:
+        """Windows around replacements that may be heads of phrases that are not here."""
+        found: set[int] = set()
+        for size, texts in self.changed.items():
+            sizes = [n for n in self.sizes if n <= size]
+            for keys, *_ in windows(texts, [self.group] * len(texts), sizes, lambda h: _may_be(bits, h)):
+                found.update(keys[~self.known(keys)].tolist())
+        return found
+
+    def whole_text(self, text: str, plain: str) -> tuple[str, str] | None:
+        """Translation of a text as a whole, and how; ``plain`` is without footnote marks."""
         if text in self.whole:
             return self.whole[text], "exact"
-        if plain in self.whole:
-            return self.whole[plain], "plain"
-        replaced = self.phrases(plain) if plain else None
-        return replaced, None if replaced is None else "phrase"
+        return (self.whole[plain], "plain") if plain in self.whole else None
+
+
+def _replace(runs: DataFrame, keys: list[str], out: T.StructType, sizes: list[int], bits) -> DataFrame:
+    """Rows of `out` per text, or, with only keys, _run and _missing, windows to look up."""
+    arrow = to_arrow_schema(out)
+
+    def rows_of(run: dict) -> Iterator[dict]:
+        table = Phrases(run["_entries"] or [], sizes, run["_group"])
+        ids = {c: run[c] for c in [*keys, "_run"]}
+        done: dict[int, tuple[str, str]] = {}
+        for text, plain, prefix in (("_text", "_plain", ""), ("_bare", "_bare_plain", "untagged_")):
+            left = [i for i, t in enumerate(run["_texts"]) if i not in done and t[text] is not None]
+            for i in left:
+                if whole := table.whole_text(run["_texts"][i][text], run["_texts"][i][plain]):
+                    done[i] = whole[0], prefix + whole[1]
+            left = [i for i in left if i not in done]
+            plains = [run["_texts"][i][plain] for i in left]
+            for i, own, waiting in zip(left, plains, table.contained(plains), strict=True):
+                if (made := table.replaced(own, waiting)) is not None:
+                    done[i] = made, prefix + "phrase"
+        for i, t in enumerate(run["_texts"]):
+            found, kind = done.get(i, (None, None))
+            yield ids | t | {"translated_text": found, "match_kind": kind}
+        for key in table.missing(bits.value):
+            yield ids | {"_missing": key}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending = []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                for row in rows_of(batch.slice(i, 1).to_pylist()[0]):
+                    pending.append({f: row.get(f) for f in arrow.names})
+                    if len(pending) >= 4096:
+                        yield pa.RecordBatch.from_pylist(pending, schema=arrow)
+                        pending = []
+        if pending:
+            yield pa.RecordBatch.from_pylist(pending, schema=arrow)
+
+    return runs.mapInArrow(run, out)
+
+
+def _on(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on keys of which nulls are equal; columns of the left side, then the others."""
+    both = left.alias("x").join(
+        right.alias("y"), [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in keys], how
+    )
+    rest = [F.col(f"y.{c}") for c in right.columns if c not in keys and how != "left_semi"]
+    return both.select("x.*", *rest)
 
 
 def apply_translation_map(
@@ -69,53 +294,70 @@ def apply_translation_map(
     """Map texts through the translation map of their document.
 
     A text is taken as a whole, then without ``[N]`` marks, and else has every contained
-    phrase replaced, longest first. With ``untagged``, a text with inline tags that
-    nothing applies to is tried again without them. ``texts`` has ``keys, seq, text`` and
-    any other columns, ``tmap`` has ``keys, source, target, seq``; adds
+    phrase replaced, longest first, equally long ones in the order of their first place in the
+    map (``first_seq``, or ``seq`` where the map has none). With ``untagged``, a text with
+    inline tags that nothing applies to is tried again without them. ``texts`` has ``keys, seq,
+    text`` and any other columns, ``tmap`` has ``keys, source, target, seq``; adds
     ``translated_text`` (null when nothing applies) and ``match_kind``.
 
-    Texts are grouped in runs of at most ``TEXTS_PER_GROUP`` positions and meet the map of
-    their document once per run: texts are shuffled once, and pairs of texts and phrases
-    never become rows. The runs of a hot document are split by adaptive execution.
+    A run holds at most ``TEXTS_PER_RUN`` positions of a document and the phrases that begin
+    like a window of its texts, so the work grows with the texts and not with texts times
+    phrases. Results are written to a table, once per round of phrases that come up.
     """
     k = list(keys)
+    ids = [*k, "_run"]
+    spark = texts.sparkSession
     trimmed = strip_ws(F.col("text"))
     bare = F.when(F.col("text").rlike(TAG), strip_ws(strip_tags(F.col("text"))))
+    no = F.lit(None).cast("string")
     forms = {
         "_text": trimmed,
         "_plain": F.regexp_replace(trimmed, FOOTNOTE_ANY, ""),
-        "_bare": bare if untagged else F.lit(None).cast("string"),
-        "_bare_plain": F.regexp_replace(bare, FOOTNOTE_ANY, "")
-        if untagged
-        else F.lit(None).cast("string"),
+        "_bare": bare if untagged else no,
+        "_bare_plain": F.regexp_replace(bare, FOOTNOTE_ANY, "") if untagged else no,
     }
     own = [c for c in texts.columns if c not in keys]
-    entry = F.struct(*own, *[c.alias(name) for name, c in forms.items()])
-    runs = texts.groupBy(*k, bucket_of("seq", TEXTS_PER_GROUP).alias("_run")).agg(
-        F.collect_list(entry).alias("_texts")
-    )
-    maps = tmap.groupBy(*k).agg(
-        F.collect_list(F.struct("source", "target", "seq")).alias("_map")
-    )
-
-    def work(run: dict) -> Iterator[dict]:
-        table = PhraseTable(run["_map"] or [])
-        ids = {key: run[key] for key in k}
-        for t in run["_texts"]:
-            found, kind = table.find(t["_text"], t["_plain"])
-            if found is None and t["_bare"] is not None:
-                found, kind = table.find(t["_bare"], t["_bare_plain"])
-                kind = None if kind is None else f"untagged_{kind}"
-            yield ids | {c: t[c] for c in own} | {"translated_text": found, "match_kind": kind}
-
-    schema = T.StructType(
+    cut = texts.withColumn("_run", bucket_of("seq", TEXTS_PER_RUN)).withColumns(forms)
+    index = materialise(_index(tmap, k), "phrases")
+    sizes = sorted(r[0] for r in index.select("_size").distinct().collect())  # powers of two
+    out = T.StructType(
         [
-            *[texts.schema[c] for c in (*k, *own)],
+            *[T.StructField(c, cut.schema[c].dataType) for c in [*k, "_run", *own]],
             T.StructField("translated_text", T.StringType()),
             T.StructField("match_kind", T.StringType()),
+            T.StructField("_missing", T.LongType()),
         ]
     )
-    return explode_rows(runs.join(maps, k, "left").select(*k, "_texts", "_map"), work, schema)
+    result = [*texts.columns, "translated_text", "match_kind"]
+    if not sizes:
+        return texts.select("*", *(F.lit(None).cast("string").alias(c) for c in result[-2:])).select(*result)
+    bits = spark.sparkContext.broadcast(_bits_of(index))
+    entries = F.struct("source", "target", "_first", "_size", "_key")
+    phrases = index.select("_key", entries.alias("_entry"))
+
+    def bring(windows: DataFrame) -> DataFrame:
+        return windows.join(phrases, "_key").select(*ids, "_entry")
+
+    runs = cut.groupBy(*ids).agg(
+        F.collect_list(F.struct(*own, *forms)).alias("_texts")
+    ).withColumn("_group", F.xxhash64(*k))
+    found = materialise(bring(_probes(cut, k, sizes, bits)), "run_phrases")
+    todo, made = runs, None
+    while True:
+        gathered = found.groupBy(*ids).agg(F.collect_set("_entry").alias("_entries"))
+        done = materialise(_replace(_on(todo, gathered, ids, "left"), k, out, sizes, bits), "replaced")
+        asked = bring(done.filter("_missing IS NOT NULL").select(*ids, F.col("_missing").alias("_key")))
+        more = materialise(asked, "run_phrases")
+        settled = done.filter("_missing IS NULL")
+        again = more.select(*ids).distinct()
+        if more.isEmpty():
+            return (settled if made is None else made.unionByName(settled)).select(*result)
+        kept = settled.alias("x").join(
+            again.alias("y"), [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in ids], "left_anti"
+        )
+        made = kept if made is None else made.unionByName(kept)
+        todo = _on(runs, again, ids, "left_semi")
+        found = _on(found, again, ids, "left_semi").unionByName(more)
 
 
 def translate_paragraphs(

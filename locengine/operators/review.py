@@ -14,6 +14,7 @@ from locengine.functions.markup import (
 )
 from locengine.functions.text import is_blank
 from locengine.operators.ordering import bucket_of
+from locengine.sources.named_files import relative_path, write_named
 
 # Namespaces of the two versions.
 NAMESPACE = {
@@ -170,12 +171,30 @@ def xliff_documents(lines: DataFrame) -> DataFrame:
     )
 
 
-def write_xliff(lines: DataFrame, path: str) -> None:
-    """One directory per document and file, its lines in order."""
-    (
-        lines.repartition("doc_id", "file_no")
+def exchange_name(filename: Column, file_no: Column, several: bool = False) -> Column:
+    """Name of a document's exchange file; of a series of files, each with its number."""
+    base = relative_path(filename)
+    number = F.concat(F.lit("-"), file_no.cast("string")) if several else F.lit("")
+    return F.concat(base, number, F.lit(".xlf"))
+
+
+def write_xliff(
+    lines: DataFrame, documents: DataFrame, path: str, several: bool = False, overwrite: bool = False
+) -> None:
+    """One named exchange file per document, or, with ``several``, per document and file number.
+
+    ``documents`` has ``doc_id, filename``. The lines of a file are sorted in one task and
+    written as they come, so a file never has to fit a row. Equal file names are an error.
+    """
+    named = documents.select(relative_path(F.col("filename")).alias("name")).groupBy("name").count()
+    twice = named.filter("count > 1").limit(3).collect()
+    if twice:
+        raise ValueError(f"names that stand more than once: {[r['name'] for r in twice]}")
+    name = exchange_name(F.col("filename"), F.col("file_no"), several)
+    rows = (
+        lines.join(documents.select("doc_id", "filename"), "doc_id")
+        .select("doc_id", "file_no", "line_no", name.alias("name"), F.concat("line", F.lit("\n")).alias("content"))
+        .repartition("doc_id", "file_no")
         .sortWithinPartitions("doc_id", "file_no", "line_no")
-        .select("doc_id", "file_no", "line")
-        .write.partitionBy("doc_id", "file_no")
-        .text(path)
     )
+    write_named(rows, path, overwrite, ordered=True)

@@ -32,7 +32,9 @@ UNSUPPORTED = "unsupported type"
 @dataclass
 class CorpusResult:
     """``documents`` is null without write-back, ``paragraphs`` without office paragraphs,
-    ``exchange`` without an export, ``memory`` when no model was called."""
+    ``exchange`` without an export, ``memory`` when no model was called. ``failures`` are the
+    segments on which the model's function raised at the last attempt; their documents fail and
+    are not among ``documents``."""
 
     segments: DataFrame
     status: DataFrame
@@ -40,6 +42,7 @@ class CorpusResult:
     paragraphs: DataFrame | None = None
     exchange: DataFrame | None = None
     memory: DataFrame | None = None
+    failures: DataFrame | None = None
 
 
 def extract_documents(
@@ -75,7 +78,7 @@ def infer_misses(
     """Translate each text that the memory lacks once.
 
     A text that occurs in many documents belongs to its first occurrence; only owners are
-    packed and sent. Returns ``text, translated_text, retry_count, status``.
+    packed and sent. Returns ``text, translated_text, retry_count, status, error``.
     """
     # Repeated texts collapse in each task before the shuffle, and the memory is then joined
     # on the same key: no text is hot any more when it meets the memory.
@@ -92,7 +95,7 @@ def infer_misses(
     prompts = build_prompts(segments.sparkSession, glossary)
     return translate_with_retries(
         packed, prompts, fn, p, concurrency=concurrency, limits=limits
-    ).select("text", "translated_text", "retry_count", "status")
+    ).select("text", "translated_text", "retry_count", "status", "error")
 
 
 def answers(memory: DataFrame, results: DataFrame) -> DataFrame:
@@ -102,6 +105,7 @@ def answers(memory: DataFrame, results: DataFrame) -> DataFrame:
         F.col("target").alias("translated_text"),
         F.lit(0).alias("retry_count"),
         F.lit("memory").alias("status"),
+        F.lit(None).cast("string").alias("error"),
     )
     return hits.unionByName(results)
 
@@ -113,27 +117,44 @@ def translated_segments(segments: DataFrame, answered: DataFrame) -> DataFrame:
     )
 
 
+def failures(segments: DataFrame) -> DataFrame:
+    """``doc_id, seq, text, retry_count, error`` of the segments that the model failed on."""
+    return segments.filter("status = 'error'").select("doc_id", "seq", "text", "retry_count", "error")
+
+
 def document_status(
     docs: DataFrame, classified: DataFrame, paragraphs: DataFrame | None = None
 ) -> DataFrame:
-    """Status, segment count and confidence of every document, failed ones included."""
+    """Status, segment count and confidence of every document, failed ones included.
+
+    A document of which a part could not be read is ``partial``, with that part's fault.
+    """
     stats = confidence_stats(classified, ("doc_id",))
+    faults = failures(classified).groupBy("doc_id").agg(F.min("error").alias("_fault"))
     found = F.col("total").isNotNull()
+    fault = F.col("_fault").isNotNull()
     supported = F.col("file_type").isin(*TEXT_TYPES, *OFFICE_TYPES)
     joined = docs.select("doc_id", "file_type").join(stats, "doc_id", "left")
+    joined = joined.join(faults, "doc_id", "left")
     if paragraphs is None:
         joined = joined.withColumn("_unread", F.lit(None).cast("string"))
     else:
-        unread = paragraphs.filter("error IS NOT NULL").select(
-            "doc_id", F.col("error").alias("_unread")
+        unread = paragraphs.filter("error IS NOT NULL").groupBy("doc_id").agg(
+            F.min(F.concat_ws(": ", "part", "error")).alias("_unread")
         )
         joined = joined.join(unread, "doc_id", "left")
     return joined.select(
         "doc_id",
-        F.when(found, "completed").otherwise("failed").alias("status"),
+        F.when(fault, "failed")
+        .when(found & F.col("_unread").isNotNull(), "partial")
+        .when(found, "completed")
+        .otherwise("failed")
+        .alias("status"),
         F.coalesce("total", F.lit(0)).alias("segments_count"),
         F.when(~F.coalesce(supported, F.lit(False)), UNSUPPORTED)
         .when(~found, F.coalesce("_unread", F.lit(NO_TEXT)))
+        .when(fault, F.col("_fault"))
+        .otherwise(F.col("_unread"))
         .alias("error"),
         "high_count",
         "medium_count",
@@ -187,7 +208,8 @@ def translate_corpus(
     Office documents have no text there; their ``paragraphs`` come from the office source.
 
     ``auto`` calls the model and writes back, ``export`` also gives exchange lines,
-    ``import`` takes targets from ``reviewed`` instead of the model, and ``no_translate``
+    ``import`` takes targets from ``reviewed`` instead of the model, per document where
+    ``reviewed`` has a ``doc_id``, and ``no_translate``
     only gives exchange lines with empty targets.
     """
     if mode not in ("auto", "export", "import", "no_translate"):
@@ -207,6 +229,7 @@ def translate_corpus(
         segments.withColumn("translated_text", F.lit(None).cast("string"))
         .withColumn("retry_count", F.lit(0))
         .withColumn("status", F.lit(None).cast("string"))
+        .withColumn("error", F.lit(None).cast("string"))
         .withColumn("cache_hit", F.lit(False))
     )
 
@@ -222,7 +245,8 @@ def translate_corpus(
 
     merged, new_memory = None, None
     if mode == "import":
-        merged = merge_reviewed(blank, reviewed).drop("reviewed")
+        own = ("doc_id",) if "doc_id" in reviewed.columns else ()
+        merged = merge_reviewed(blank, reviewed, own).drop("reviewed")
     else:
         results = infer_misses(segments, memory, fn, glossary, p, concurrency, limits)
         merged = translated_segments(segments, answers(memory, results))
@@ -236,14 +260,14 @@ def translate_corpus(
     classified = materialise(
         classify(merged, p, limits.high_threshold, limits.low_threshold), "scored"
     )
+    failed = failures(classified).select("doc_id").distinct()
+    good = docs.filter(F.col("file_type").isin(*TEXT_TYPES)).join(failed, "doc_id", "left_anti")
     return CorpusResult(
         classified,
         document_status(docs, classified, paragraphs),
-        documents=rebuild_documents(
-            docs.filter(F.col("file_type").isin(*TEXT_TYPES)),
-            classified.filter(F.col("file_type").isin(*TEXT_TYPES)),
-        ),
+        documents=rebuild_documents(good, classified.filter(F.col("file_type").isin(*TEXT_TYPES))),
         paragraphs=None if paragraphs is None else rebuilt_paragraphs(paragraphs, classified),
         exchange=exchange(classified) if mode == "export" else None,
         memory=new_memory,
+        failures=failures(classified),
     )

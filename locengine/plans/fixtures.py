@@ -150,15 +150,21 @@ def scored_input(spark: SparkSession, d: str) -> DataFrame:
 
 
 def paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    """Each document line as a paragraph; its words are runs, some formatted, some
-    footnote marks, some inside links."""
+    """Each document line as a paragraph; its words are runs, some formatted, some inside
+    links. A footnote mark is added as a run of its own after the fifth of nine words."""
 
-    def run(word, i):
-        return F.struct(
-            F.when(i % 9 == 4, "[1]").otherwise(F.concat(word, F.lit(" "))).alias("text"),
+    def runs(word, i):
+        own = F.struct(
+            F.concat(word, F.lit(" ")).alias("text"),
             ((i + F.col("line_idx")) % 3 == 0).alias("has_format"),
             (i % 11 == 10).alias("in_link"),
         )
+        mark = F.struct(
+            F.lit("[1]").alias("text"),
+            (i % 2 == 0).alias("has_format"),
+            F.lit(False).alias("in_link"),
+        )
+        return F.when(i % 9 == 4, F.array(own, mark)).otherwise(F.array(own))
 
     lines = documents(spark, d).select(
         "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_idx", "raw")
@@ -169,7 +175,7 @@ def paragraphs(spark: SparkSession, d: str) -> DataFrame:
         F.lit("p").alias("kind"),
         F.col("line_idx").cast("bigint").alias("seq"),
         F.col("line_idx").alias("ordinal"),
-        F.transform(F.split("raw", " ", -1), run).alias("runs"),
+        F.flatten(F.transform(F.split("raw", " ", -1), runs)).alias("runs"),
     )
 
 
@@ -255,6 +261,13 @@ def stand_in(request: Request) -> str:
     return request.prompt.translate(_TABLE)
 
 
+def failing(request: Request) -> str:
+    """The stand-in model, but for texts whose length is a multiple of 17 it raises."""
+    if any(len(t) % 17 == 0 for t in request.prompt.split(DELIMITER)):
+        raise RuntimeError("refused")
+    return stand_in(request)
+
+
 def _batch_piece(text: str) -> str:
     return text if len(text) % 5 == 0 else f" {text.translate(_TABLE)} "
 
@@ -302,29 +315,115 @@ def docx_files(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-# A kana for each small letter, to have text of the older charsets.
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
-KANA = "アイウエオカキクケコサシスセソタチツテトナニヌネノハ"
+def _packages(spark: SparkSession, d: str, file_type: str, parts_of) -> DataFrame:
+    """Packages of the parts that ``parts_of(lines)`` gives, of every document."""
 
+    def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+        import zipfile
 
-def byte_files(spark: SparkSession, d: str) -> DataFrame:
-    """Documents written in kana as bytes of six charsets in turn."""
-    kana = F.translate(
-        F.regexp_replace(F.lower("text"), "[^a-z ]", ""), LETTERS, KANA
+        for pdf in frames:
+            packages = []
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as package:
+                    for name, content in parts_of(doc_id, text.split("\n")):
+                        package.writestr(name, content)
+                packages.append(out.getvalue())
+            yield pd.DataFrame(
+                {"doc_id": pdf["doc_id"], "file_type": file_type, "content": packages}
+            )
+
+    return documents(spark, d).mapInPandas(
+        build, "doc_id bigint, file_type string, content binary"
     )
 
+
+def _types(*parts: tuple[str, str]) -> tuple[str, str]:
+    own = "".join(
+        f'<Override PartName="/{name}" ContentType="application/vnd.openxmlformats-officedocument.{kind}+xml"/>'
+        for name, kind in parts
+    )
+    ns = "http://schemas.openxmlformats.org/package/2006/content-types"
+    return "[Content_Types].xml", f'<Types xmlns="{ns}">{own}</Types>'
+
+
+def xlsx_files(spark: SparkSession, d: str) -> DataFrame:
+    """Each document as a workbook: a sheet named by its id, lines at even places as shared
+    strings, the others as inline strings."""
+
+    def parts(doc_id, lines):
+        from xml.sax.saxutils import escape
+
+        ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+        cell = lambda t: f'<t xml:space="preserve">{escape(t)}</t>'
+        shared = "".join(f"<si>{cell(t)}</si>" for t in lines[::2])
+        rows = "".join(f'<row><c t="inlineStr"><is>{cell(t)}</is></c></row>' for t in lines[1::2])
+        yield _types(
+            ("xl/worksheets/one.xml", "spreadsheetml.worksheet"),
+            ("xl/sharedStrings.xml", "spreadsheetml.sharedStrings"),
+            ("xl/workbook.xml", "spreadsheetml.sheet.main"),
+        )
+        yield "xl/worksheets/one.xml", f"<worksheet {ns}><sheetData>{rows}</sheetData></worksheet>"
+        yield "xl/sharedStrings.xml", f"<sst {ns}>{shared}</sst>"
+        yield "xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="S{doc_id}"/></sheets></workbook>'
+        yield "docProps/core.xml", "<core/>"
+
+    return _packages(spark, d, "xlsx", parts)
+
+
+def pptx_files(spark: SparkSession, d: str) -> DataFrame:
+    """Each document as slides of twenty lines; the text before the first space of a line is
+    formatted. Of every fifth document the second slide is cut off."""
+
+    def parts(doc_id, lines):
+        from xml.sax.saxutils import escape
+
+        ns = (
+            'xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" '
+            'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
+        )
+        slides = [lines[i : i + 20] for i in range(0, len(lines), 20)]
+        names = [f"ppt/slides/slide{i}.xml" for i in range(len(slides))]
+        yield _types(*((n, "presentationml.slide") for n in names))
+        for i, (name, own) in enumerate(zip(names, slides)):
+            made = ""
+            for line in own:
+                first, space, rest = line.partition(" ")
+                made += f"<a:p><a:r><a:rPr b=\"1\"/><a:t>{escape(first)}</a:t></a:r>"
+                made += f"<a:r><a:t>{escape(space + rest)}</a:t></a:r></a:p>"
+            whole = f"<p:sld {ns}><p:txBody>{made}</p:txBody></p:sld>"
+            yield name, whole[:-9] if i == 1 and doc_id % 5 == 0 else whole
+
+    return _packages(spark, d, "pptx", parts)
+
+
+# A kana for each accented letter, which the older Japanese charsets lack.
+KANA = "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワンガギグゲゴザジズゼゾダデドバビブベ"
+CHARSETS = (
+    "utf-8", "utf-8-sig", "cp932", "euc_jp", "iso2022_jp", "utf-16", "utf-16-le", "utf-16-be", "cp1252",
+)
+JAPANESE = ("cp932", "euc_jp", "iso2022_jp")
+
+
+def byte_files(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents as bytes of nine charsets in turn; for the Japanese ones accented
+    letters become kana."""
+    number = F.col("doc_id") % len(CHARSETS)
+    japanese = number.isin([CHARSETS.index(c) for c in JAPANESE])
+    text = F.when(japanese, F.translate("text", ACCENTED, KANA)).otherwise(F.col("text"))
+
     def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        charsets = ("utf-8", "utf-8-sig", "cp932", "euc_jp", "iso2022_jp", "utf-16")
         for pdf in parts:
             yield pd.DataFrame(
                 {
                     "doc_id": pdf["doc_id"],
                     "content": [
-                        t.encode(charsets[i % 6]) for i, t in zip(pdf["doc_id"], pdf["kana"])
+                        t.encode(CHARSETS[i % len(CHARSETS)]) for i, t in zip(pdf["doc_id"], pdf["text"])
                     ],
                 }
             )
 
-    return documents(spark, d).select("doc_id", kana.alias("kana")).mapInPandas(
+    return documents(spark, d).select("doc_id", text.alias("text")).mapInPandas(
         encode, "doc_id bigint, content binary"
     )

@@ -175,13 +175,17 @@ ORACLES["detect_types"] = rf"""
 SELECT page_id, CASE WHEN ext IN ('docx', 'xlsx', 'pptx', 'pdf', 'md', 'txt', 'csv') THEN ext END
   AS file_type
 FROM (SELECT page_id, lower(regexp_extract({URL}, '[^/.][^/]*\.([^./]*)$', 1)) AS ext FROM pages)"""
+_PLACE = {c: i for i, c in enumerate(fx.CHARSETS)}
+_JAPANESE = ", ".join(str(_PLACE[c]) for c in fx.JAPANESE)
+# A text of ASCII alone has the same bytes in all charsets of one-byte units.
 ORACLES["decode_corpus"] = f"""
-SELECT doc_id, CASE WHEN doc_id % 6 = 5 THEN 'utf-16'
-    WHEN doc_id % 6 < 2 OR NOT regexp_matches(kana, '[^ ]') THEN 'utf-8'
-    WHEN doc_id % 6 = 2 THEN 'cp932' WHEN doc_id % 6 = 3 THEN 'euc_jp' ELSE 'iso2022_jp'
-  END AS encoding, md5(kana) AS text_md5
-FROM (SELECT doc_id, translate(regexp_replace(lower(text), '[^a-z ]', '', 'g'),
-  {lit(fx.LETTERS)}, {lit(fx.KANA)}) AS kana FROM documents)"""
+SELECT doc_id, CASE n WHEN {_PLACE['utf-16']} THEN 'utf-16' WHEN {_PLACE['utf-16-le']} THEN 'utf-16-le'
+    WHEN {_PLACE['utf-16-be']} THEN 'utf-16-be' ELSE CASE WHEN n < 2 OR regexp_full_match(text, '[\\x00-\\x7F]*')
+    THEN 'utf-8' WHEN n = {_PLACE['cp932']} THEN 'cp932' WHEN n = {_PLACE['euc_jp']} THEN 'euc_jp'
+    WHEN n = {_PLACE['iso2022_jp']} THEN 'iso2022_jp' ELSE 'cp1252' END END AS encoding, md5(text) AS text_md5
+FROM (SELECT doc_id, n, CASE WHEN n IN ({_JAPANESE})
+    THEN translate(text, {lit(fx.ACCENTED)}, {lit(fx.KANA)}) ELSE text END AS text
+  FROM (SELECT *, doc_id % {len(fx.CHARSETS)} AS n FROM documents))"""
 ORACLES["lines"] = sql(
     f"""
 SELECT doc_id, line_idx, raw, {strip('raw')} AS text FROM lines l
@@ -198,6 +202,29 @@ FROM lines WHERE length(raw) > 10""",
     "lines",
 )
 
+ORACLES["office_runs_xlsx"] = sql(
+    """
+SELECT doc_id, 'xl/workbook.xml' AS part, 'sheet' AS kind, 0 AS ordinal, concat('S', doc_id) AS text FROM documents
+UNION ALL
+SELECT doc_id, CASE WHEN line_idx % 2 = 0 THEN 'xl/sharedStrings.xml' ELSE 'xl/worksheets/one.xml' END,
+  CASE WHEN line_idx % 2 = 0 THEN 'si' ELSE 'is' END, CAST(line_idx // 2 AS int), raw FROM lines WHERE raw <> ''""",
+    "lines",
+)
+ORACLES["office_partial"] = sql(
+    """
+SELECT doc_id, concat('ppt/slides/slide', line_idx // 20, '.xml') AS part, CAST(line_idx % 20 AS int) AS ordinal,
+  CASE WHEN k = 1 AND NOT starts_with(raw, ' ') THEN 1 ELSE 0 END AS run_idx,
+  CASE WHEN k = 0 THEN string_split(raw, ' ')[1] ELSE substr(raw, length(string_split(raw, ' ')[1]) + 1) END AS text,
+  k = 0 AS has_format, false AS unread
+FROM lines, (SELECT unnest([0, 1]) AS k)
+WHERE NOT (line_idx // 20 = 1 AND doc_id % 5 = 0)
+  AND CASE WHEN k = 0 THEN string_split(raw, ' ')[1] <> '' ELSE contains(raw, ' ') END
+UNION ALL
+SELECT DISTINCT doc_id, 'ppt/slides/slide1.xml', NULL, NULL, NULL, NULL, true FROM lines
+WHERE line_idx = 20 AND doc_id % 5 = 0""",
+    "lines",
+)
+
 CONF = f"""
 SELECT *, CASE WHEN blank THEN 0.0 ELSE greatest(0.0, least(1.0, round(
     CASE WHEN cache_hit THEN least(base + 0.2, 1.0) ELSE base END, 2))) END AS confidence
@@ -285,6 +312,18 @@ FROM (SELECT page_id, name, CASE WHEN regexp_matches(name, '^\.*[^.].*\.[^.]*$')
     THEN regexp_extract(name, '\.[^.]*$') ELSE '' END AS ext
   FROM (SELECT page_id, regexp_extract(url, '[^/]*$') AS name FROM pages))"""
 
+ORACLES["document_files"] = """
+SELECT concat('in/', source, '/', doc_id // 10, '/', doc_id % 10, '_vi.md') AS name, md5(text) AS md5,
+  CAST(strlen(text) AS bigint) AS bytes FROM documents"""
+_HEAD = """concat('<?xml version="1.0" encoding="UTF-8"?>', chr(10),
+  '<xliff version="1.2" xmlns="urn:oasis:names:tc:xliff:document:1.2">', chr(10), '<file original="talks/', doc_id,
+  '.md" source-language="ja" target-language="vi" datatype="x-md" tool-id="locengine">', chr(10),
+  '<header><tool tool-id="locengine" tool-name="locengine"/></header>', chr(10), '<body>', chr(10))"""
+ORACLES["exchange_files"] = f"""
+SELECT concat('talks/', doc_id, '.md.xlf') AS name, md5(content) AS md5, CAST(strlen(content) AS bigint) AS bytes
+FROM (SELECT doc_id, concat({_HEAD}, string_agg(concat(unit, chr(10)), '' ORDER BY seq), '</body>', chr(10), '</file>',
+    chr(10), '</xliff>', chr(10)) AS content FROM ({ORACLES['xliff_export']}) GROUP BY doc_id)"""
+
 # ---- filters and projections ----------------------------------------------------------
 
 REAL_LINES = """
@@ -304,12 +343,14 @@ ORACLES["script_leak"] = sql(
     *LINES,
 )
 
+PARTS["word_rows"] = """
+SELECT doc_id, line_idx, generate_subscripts(string_split(raw, ' '), 1) - 1 AS i,
+  unnest(string_split(raw, ' ')) AS word FROM lines"""
 PARTS["run_rows"] = """
-SELECT doc_id, line_idx, run_idx,
-  CASE WHEN run_idx % 9 = 4 THEN '[1]' ELSE concat(word, ' ') END AS text,
-  (run_idx + line_idx) % 3 = 0 AS has_format, run_idx % 11 = 10 AS in_link
-FROM (SELECT doc_id, line_idx, generate_subscripts(string_split(raw, ' '), 1) - 1 AS run_idx,
-        unnest(string_split(raw, ' ')) AS word FROM lines)"""
+SELECT doc_id, line_idx, i + (i + 4) // 9 AS run_idx, concat(word, ' ') AS text,
+  (i + line_idx) % 3 = 0 AS has_format, i % 11 = 10 AS in_link FROM word_rows
+UNION ALL
+SELECT doc_id, line_idx, i + (i + 4) // 9 + 1, '[1]', i % 2 = 0, false FROM word_rows WHERE i % 9 = 4"""
 PARTS["kept_runs"] = f"""
 SELECT *, row_number() OVER p - 1 AS kept_idx,
   sum(has_format::int) OVER (p ROWS UNBOUNDED PRECEDING) AS tag
@@ -320,7 +361,7 @@ SELECT * FROM (
   SELECT doc_id, line_idx, {strip('''string_agg(CASE WHEN has_format
     THEN concat('<tag', tag, '>', text, '</tag', tag, '>') ELSE text END, '' ORDER BY run_idx)''')} AS text
   FROM kept_runs GROUP BY doc_id, line_idx) WHERE {translatable('text')}"""
-RUNS = ("lines", "run_rows", "kept_runs")
+RUNS = ("lines", "word_rows", "run_rows", "kept_runs")
 ORACLES["footnote_runs"] = sql(
     "SELECT doc_id, line_idx AS ordinal, kept_idx, text, has_format FROM kept_runs", *RUNS
 )
@@ -328,7 +369,7 @@ ORACLES["tag_numbers"] = sql(
     """
 SELECT doc_id, line_idx AS ordinal, run_idx, CASE WHEN has_format THEN
   sum(has_format::int) OVER (PARTITION BY doc_id, line_idx ORDER BY run_idx) END AS tag FROM run_rows""",
-    "lines", "run_rows",
+    "lines", "word_rows", "run_rows",
 )
 ORACLES["tag_runs"] = sql(
     """
@@ -343,7 +384,7 @@ SELECT doc_id, line_idx AS ordinal, string_agg(CASE WHEN regexp_matches(text, '\
 FROM (SELECT *, lead(text) OVER (PARTITION BY doc_id, line_idx ORDER BY run_idx) AS following
   FROM (SELECT doc_id, line_idx, run_idx, rtrim(text, ' ') AS text FROM run_rows))
 GROUP BY doc_id, line_idx""",
-    "lines", "run_rows",
+    "lines", "word_rows", "run_rows",
 )
 
 # An empty last line of a document is not a line.
@@ -585,6 +626,20 @@ FROM (SELECT m.doc_id, m.line_idx, coalesce(c.line, b.line, k.line, m.raw) AS li
 ORACLES["rebuild_documents"] = sql(
     "SELECT * FROM rebuilt", *SEGS, "translated", *REBUILD_PARTS, "rebuilt"
 )
+ORACLES["review_roundtrip"] = sql(
+    "SELECT doc_id, text_md5 FROM rebuilt",
+    *SEGS,
+    extra={
+        "sent": PARTS["translated"],
+        "reviewed": f"""
+SELECT doc_id, {strip('text')} AS source, target FROM sent WHERE coalesce({strip('target')}, '') <> ''
+QUALIFY row_number() OVER (PARTITION BY doc_id, {strip('text')} ORDER BY seq DESC) = 1""",
+        "translated": f"""
+SELECT s.doc_id, s.seq, s.line_idx, s.type, s.text, {strip('r.target')} AS target
+FROM segs s LEFT JOIN reviewed r ON r.doc_id = s.doc_id AND r.source = {strip('s.text')}""",
+    }
+    | {n: PARTS[n] for n in (*REBUILD_PARTS, "rebuilt")},
+)
 ORACLES["translation_map"] = sql(
     f"""
 SELECT doc_id, {strip('text')} AS source, {strip('target')} AS target, seq FROM translated
@@ -635,8 +690,9 @@ FROM (SELECT *, CASE seq % 3 WHEN 0 THEN line WHEN 1 THEN substr(line, 1, 10)
     ELSE substr(line, 5, 4) END AS source
   FROM (SELECT doc_id, seq, {strip('raw')} AS line FROM texts))""",
         "tmap": """
-SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY -length(source), seq) AS rk FROM (
-  SELECT doc_id, source, target, seq FROM pairs WHERE source <> '' AND target <> '' AND source <> target
+SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY -length(source), first_seq) AS rk FROM (
+  SELECT doc_id, source, target, min(seq) OVER (PARTITION BY doc_id, source) AS first_seq
+  FROM pairs WHERE source <> '' AND target <> '' AND source <> target
   QUALIFY row_number() OVER (PARTITION BY doc_id, source ORDER BY seq DESC) = 1)""",
         "replacing": """
 SELECT t.doc_id, t.seq, t.plain, coalesce(a.target, b.target) AS hit, CAST(0 AS bigint) AS rk, t.plain AS w
@@ -673,8 +729,8 @@ FROM (SELECT doc_id, seq, start, w FROM replacing
         "p": """
 SELECT doc_id, line_idx AS seq, text, regexp_replace(text, '</?tag[0-9]+>', '', 'g') AS plain FROM tag_segs""",
         "tmap": f"""
-SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY -length(source), seq) AS rk FROM (
-  SELECT doc_id, source, {strip(fold('source'))} AS target, max(seq) AS seq FROM (
+SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY -length(source), first_seq) AS rk FROM (
+  SELECT doc_id, source, {strip(fold('source'))} AS target, min(seq) AS first_seq FROM (
     SELECT doc_id, seq, {strip("CASE seq % 3 WHEN 0 THEN text WHEN 1 THEN plain ELSE substr(plain, 1, 12) END")} AS source
     FROM p) GROUP BY doc_id, source) WHERE source <> '' AND source <> target AND target <> ''""",
         "last": "SELECT doc_id, max(rk) AS n FROM tmap GROUP BY doc_id",
@@ -751,12 +807,11 @@ FROM documents d LEFT JOIN (SELECT doc_id, type, count(*) AS n FROM segs GROUP B
     *SEGS,
 )
 ORACLES["glossary_table"] = f"""
-SELECT count(*) AS terms, md5(concat({lit(batch.GLOSSARY_HEAD)}, {NL},
-  string_agg(concat('| ', replace(substr(text, 1, length(text) // 2), {NL}, ' '), ' | ',
-    replace(substr(text, length(text) // 2 + 1), {NL}, ' '), ' | ',
-    CASE WHEN item_id % 2 = 0 THEN 'general' ELSE '' END, ' |'), {NL} ORDER BY item_id),
-  {NL}, {NL}, {lit(batch.GLOSSARY_TAIL)})) AS text_md5
-FROM benchmark"""
+SELECT 1 AS part, item_id AS id, concat('| ', replace(substr(text, 1, length(text) // 2), {NL}, ' '), ' | ',
+  replace(substr(text, length(text) // 2 + 1), {NL}, ' '), ' | ',
+  CASE WHEN item_id % 2 = 0 THEN 'general' ELSE '' END, ' |') AS line FROM benchmark
+UNION ALL SELECT 0, NULL, {lit(batch.GLOSSARY_HEAD)} WHERE EXISTS (SELECT 1 FROM benchmark)
+UNION ALL SELECT 2, NULL, concat({NL}, {lit(batch.GLOSSARY_TAIL)}) WHERE EXISTS (SELECT 1 FROM benchmark)"""
 
 
 def _prompt_sql() -> str:
@@ -853,6 +908,8 @@ SELECT doc_id, 'docx', location, 'body', NULL, text, NULL FROM (
 WHERE {translatable('text')}
 QUALIFY row_number() OVER (PARTITION BY doc_id, text ORDER BY line_idx) = 1
 UNION ALL
+SELECT doc_id, 'docx', NULL, NULL, NULL, NULL, 'unbound prefix: line 1, column 0' FROM documents
+UNION ALL
 SELECT doc_id, file_type, NULL, NULL, NULL, NULL, 'unsupported type' FROM file_types
 WHERE file_type = 'pdf'""",
     *SEGS, "file_types",
@@ -941,6 +998,17 @@ UNION ALL
 SELECT text, translated_text, 2 FROM settled WHERE status = 'accepted'""",
     *CORPUS, extra=replies_of("owners"),
 )
+ORACLES["corpus_failures"] = sql(
+    f"""
+SELECT f.doc_id, CASE WHEN total IS NULL OR refused > 0 THEN 'failed' ELSE 'completed' END AS status,
+  CASE WHEN file_type = 'pdf' THEN 'unsupported type' WHEN total IS NULL THEN 'no translatable text'
+    WHEN refused > 0 THEN 'RuntimeError: refused' END AS error,
+  coalesce(refused, 0) AS refused, file_type <> 'pdf' AND coalesce(refused, 0) = 0 AS written
+FROM file_types f LEFT JOIN (SELECT doc_id, count(*) AS total, count(*) FILTER (length(text) % 17 = 0
+    AND NOT EXISTS (SELECT 1 FROM known k WHERE k.source = text AND k.target <> '')) AS refused
+  FROM text_segs GROUP BY doc_id) USING (doc_id)""",
+    *SEGS, "file_types", "text_segs", "known",
+)
 _STREAM = {
     k: (PARTS[k].replace("md_lines", "lines") if k == "fences" else PARTS[k])
     for k in ("lines", "fences", "marked", "items", "segs")

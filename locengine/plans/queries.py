@@ -83,6 +83,29 @@ def office_runs(spark, d):
     )
 
 
+@query
+def office_runs_xlsx(spark, d):
+    found = office_paragraphs(fx.xlsx_files(spark, d))
+    return found.select("doc_id", "part", "kind", "ordinal", F.explode("runs").alias("r")).select(
+        "doc_id", "part", "kind", "ordinal", F.col("r.text").alias("text")
+    )
+
+
+@query
+def office_partial(spark, d):
+    """Runs of slides, and the slides that could not be read."""
+    found = office_paragraphs(fx.pptx_files(spark, d))
+    return found.select("doc_id", "part", "ordinal", F.posexplode_outer("runs"), "error").select(
+        "doc_id",
+        "part",
+        "ordinal",
+        F.col("pos").alias("run_idx"),
+        F.col("col.text").alias("text"),
+        F.col("col.has_format").alias("has_format"),
+        F.col("error").isNotNull().alias("unread"),
+    )
+
+
 def _exchange_input(spark, d) -> DataFrame:
     """Bilingual segments with positions, locations, scores and some explicit states."""
     scored = quality.score(fx.scored_input(spark, d), P)
@@ -149,6 +172,57 @@ def write_documents(spark, d):
     return pages.select("page_id", files.output_name(F.col("url")).alias("name"))
 
 
+def _read_back(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """Names below ``path``, and the digests of the files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    found = files.option("pathGlobFilter", glob).load(path)
+    folder = path.removeprefix("file:").rstrip("/").rpartition("/")[2]
+    name = F.substring_index("path", f"/{folder}/", -1)
+    return found.select(name.alias("name"), F.md5("content").alias("md5"), F.col("length").alias("bytes"))
+
+
+@query
+def document_files(spark, d):
+    """Documents written to named files and read back; every name stands in many folders."""
+    docs = fx.table(spark, d, "documents").select(
+        F.concat_ws(
+            "/", F.lit("file:"), F.lit("in"), "source", F.expr("doc_id div 10"),
+            F.concat((F.col("doc_id") % 10).cast("string"), F.lit(".md")),
+        ).alias("filename"),
+        "text",
+    )
+    path = new_path(spark, "documents-out")
+    files.write_documents(docs, path)
+    return _read_back(spark, path, "*.md")
+
+
+@query
+def exchange_files(spark, d):
+    """Exchange files written, one per conversation, and read back."""
+    docs = _exchange_documents(spark, d).withColumn(
+        "filename", F.concat(F.lit("talks/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    )
+    path = new_path(spark, "exchange-out")
+    review.write_xliff(review.xliff_lines(_exchange_input(spark, d), docs), docs, path)
+    return _read_back(spark, path, "*.xlf")
+
+
+@query
+def review_roundtrip(spark, d):
+    """Translations go out as exchange files and come back into the untranslated segments of
+    their documents, which are rebuilt."""
+    docs = fx.md_docs(spark, d)
+    done = _translated(spark, d).withColumns(
+        {"confidence": F.lit(0.9), "xliff_state": F.lit(None).cast("string")}
+    )
+    names = docs.select("doc_id", F.col("doc_id").cast("string").alias("filename"), "file_type")
+    sent = review.xliff_documents(review.xliff_lines(done, names, "2.1"))
+    back = xliff_segments(sent).withColumn("seq", F.col("unit_no"))
+    plain = _segments(spark, d).withColumn("translated_text", F.lit(None).cast("string"))
+    merged = memory.merge_reviewed(plain, back, ("doc_id",))
+    return rebuild_documents(docs, merged).select("doc_id", F.md5("text").alias("text_md5"))
+
+
 # ---- filters and projections ----------------------------------------------------------
 
 
@@ -424,7 +498,7 @@ def paragraph_fallback(spark, d):
         "doc_id", "seq", key.alias("text"), fx.fold(key).alias("translated_text")
     )
     tmap = memory.build_translation_map(pairs)
-    return runs.match_paragraphs(paragraphs, tmap.drop("seq")).select(
+    return runs.match_paragraphs(paragraphs, tmap.drop("seq", "first_seq")).select(
         "doc_id", "seq", "match_kind", F.md5("translated_text").alias("target_md5")
     )
 
@@ -526,9 +600,7 @@ def segment_counts(spark, d):
 
 @query
 def glossary_table(spark, d):
-    return batch.glossary_prompt(fx.glossary_terms(spark, d)).select(
-        "terms", F.md5("text").alias("text_md5")
-    )
+    return batch.glossary_lines(fx.glossary_terms(spark, d))
 
 
 def _packed(spark, d) -> DataFrame:
@@ -539,8 +611,7 @@ def _packed(spark, d) -> DataFrame:
 
 def _replies(spark, d) -> DataFrame:
     prompts = batch.build_prompts(spark)
-    rows = batch.with_prompt(batch.batch_rows(_packed(spark, d)), prompts)
-    return translate_batches(rows, fx.stand_in)
+    return translate_batches(batch.batch_rows(_packed(spark, d)), fx.stand_in, prompts)
 
 
 @query
@@ -658,12 +729,12 @@ def _reviewed(spark, d) -> DataFrame:
     )
 
 
-def _corpus(spark, d, mode="auto", reviewed=None) -> corpus.CorpusResult:
+def _corpus(spark, d, mode="auto", reviewed=None, fn=fx.stand_in) -> corpus.CorpusResult:
     limits = corpus.Limits(batch_max_chars=BATCH_CHARS, batch_max_segments=BATCH_SEGMENTS)
     return corpus.translate_corpus(
         fx.md_docs(spark, d),
         materialise(_french_memory(spark, d), "memory"),
-        fx.stand_in,
+        fn,
         mode,
         reviewed=reviewed,
         p=P,
@@ -707,6 +778,20 @@ def translate_corpus_import(spark, d):
     return result.segments.select("doc_id", "seq", "translated_text", "confidence")
 
 
+@query
+def corpus_failures(spark, d):
+    """Documents that a raising model fails on: their status, and the segments it refused."""
+    result = _corpus(spark, d, fn=fx.failing)
+    refused = result.failures.groupBy("doc_id").agg(F.count("*").alias("refused"))
+    written = result.documents.select("doc_id", F.lit(True).alias("written"))
+    status = result.status.select("doc_id", "status", "error")
+    joined = status.join(refused, "doc_id", "left").join(written, "doc_id", "left")
+    return joined.select(
+        "doc_id", "status", "error", F.coalesce("refused", F.lit(0)).alias("refused"),
+        F.coalesce("written", F.lit(False)).alias("written"),
+    )
+
+
 @query
 def stream_job_status(spark, d):
     events = fx.table(spark, d, "events")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from locengine.sources import charsets
+from locengine.sources.named_files import relative_path, write_named
+
 # Supported file types.
 SUPPORTED = ("docx", "xlsx", "pptx", "pdf", "md", "txt", "csv")
 
@@ -56,72 +58,63 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """``path, content`` of all supported files below ``path``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def read_files(spark: SparkSession, path: str, types: tuple[str, ...] = SUPPORTED) -> DataFrame:
+    """``path, content, file_type`` of the files of these types below ``path``; no other file is
+    opened."""
+    any_case = ("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in t) for t in types)
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.{" + ",".join(any_case) + "}")
+        .load(path)
+    )
     return files.withColumn("file_type", detect_file_type(F.col("path"))).filter(
         "file_type IS NOT NULL"
     )
 
 
-def write_documents(docs: DataFrame, path: str, suffix: str = "_vi") -> None:
-    """One directory per document named ``{base}{suffix}{ext}`` with its text, which ends
-    in one line end as text files do. A document is one row, so nothing is shuffled."""
-    text = F.regexp_replace("text", r"\n\z", "")
-    (
-        docs.select(output_name(F.col("filename"), suffix).alias("name"), text.alias("text"))
-        .write.partitionBy("name")
-        .text(path)
-    )
+def output_path(path: Column, suffix: str = "_vi") -> Column:
+    """Path of a document's output: its folder, and its name with ``suffix``."""
+    own = relative_path(path)
+    folder = own.substr(F.lit(1), F.length(own) - F.length(file_name(own)))
+    return F.concat(folder, output_name(own, suffix))
+
+
+def write_documents(docs: DataFrame, path: str, suffix: str = "_vi", overwrite: bool = False) -> None:
+    """One file per document (``filename, text``), in the folder that ``filename`` names, with
+    ``suffix`` before the extension. Documents of equal names in different folders stay apart.
+    """
+    rows = docs.select(output_path(F.col("filename"), suffix).alias("name"), F.col("text").alias("content"))
+    write_named(rows, path, overwrite)
 
 
 # ---- charsets -------------------------------------------------------------------------
 
-# Marks at the start of a file and their charsets, then the charsets tried on
-# other bytes that are not valid UTF-8, in this order.
+# Marks at the start of a file and their charsets.
 MARKS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
-CANDIDATES = ("cp932", "euc_jp")
 ESCAPE, SHIFT = b"\x1b", b"\x1b$"  # the shift to two-byte signs of ISO-2022-JP, valid UTF-8
 
 
-_WIDE = re.compile("[\u3040-\u30ff\u4e00-\u9fff]+")
-# What the codec makes of single bytes that CP932 has no sign for.
-_NO_SIGN = re.compile("[\x80\uf8f0-\uf8f3]")
-_NON_ASCII = re.compile("[^\x00-\x7f]+")
-
-
 def decode_bytes(raw: bytes) -> tuple[str, str]:
-    """Text and charset of bytes that have a mark, an escape or are not UTF-8.
+    """Text and charset of bytes.
 
-    A mark decides and is dropped; ASCII bytes with shifts are tried as ISO-2022-JP. Short texts are often valid in both candidates; the reading with the larger share of
-    kana and kanji wins, as a wrong one shows halfwidth kana and rare characters.
+    A mark decides and is dropped; ASCII bytes with shifts are tried as ISO-2022-JP; valid UTF-8
+    is UTF-8, unless it is more likely units of two bytes. Anything else is
+    told by the likelihood of its neighbouring bytes (see ``charsets``); what no charset can
+    read is UTF-8 with replacements, ``unknown``.
     """
     for mark, charset in MARKS:
         if raw.startswith(mark):
             name = "utf-8-sig" if charset == "utf-8" else charset
             return raw.decode(name, errors="replace"), charset
-    if ESCAPE in raw:
-        shifted = raw.isascii() and SHIFT in raw
-        for charset in ("iso2022_jp", "utf-8") if shifted else ("utf-8",):
-            try:
-                return raw.decode(charset), charset
-            except UnicodeDecodeError:
-                continue
-    best: tuple[float, str, str] | None = None
-    for charset in CANDIDATES:
-        try:
-            text = raw.decode(charset)
-        except UnicodeDecodeError:
-            continue
-        if _NO_SIGN.search(text):
-            continue
-        wide = sum(map(len, _WIDE.findall(text)))
-        share = wide / max(sum(map(len, _NON_ASCII.findall(text))), 1)
-        if best is None or share > best[0]:
-            best = (share, text, charset)
-    if best is None:
-        return raw.decode("utf-8", errors="replace"), "unknown"
-    return best[1], best[2]
+    if ESCAPE in raw and raw.isascii() and SHIFT in raw:
+        text = charsets.read(raw, "iso2022_jp")
+        if text is not None:
+            return text, "iso2022_jp"
+    try:
+        return charsets.wide_units(raw) or (raw.decode("utf-8"), "utf-8")
+    except UnicodeDecodeError:
+        return charsets.most_likely(raw) or (raw.decode("utf-8", errors="replace"), "unknown")
 
 
 @F.pandas_udf(T.StructType().add("text", "string").add("encoding", "string"))
@@ -134,10 +127,18 @@ def _decode(contents: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 def decode_corpus(files: DataFrame) -> DataFrame:
     """``content`` bytes to ``text`` and ``encoding``.
 
-    Valid UTF-8 without a mark or an escape is decoded by Spark; only other files are sent to the Python decoder.
+    Valid UTF-8 is decoded by Spark. The Python decoder gets other files, and those that have a
+    mark, an escape, null bytes, or zeros in a third of their bytes: kana in units of two bytes
+    read like ASCII with a 0 after every byte.
     """
     as_text = F.col("content").cast("string")
-    marked = as_text.startswith("\ufeff") | as_text.contains("\x1b")
+    zeros = F.length(as_text) - F.length(F.replace(as_text, F.lit("0"), F.lit("")))
+    marked = (
+        as_text.startswith("\ufeff")
+        | as_text.contains("\x1b")
+        | as_text.contains("\x00")
+        | ((zeros * 3 >= F.length(as_text)) & (zeros > 0))
+    )
     valid = F.is_valid_utf8(as_text) & ~marked
     other = F.when(~valid, F.col("content"))
     keep = [c for c in files.columns if c != "content"]

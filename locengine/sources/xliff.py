@@ -1,13 +1,12 @@
 """Bilingual exchange files to segments.
 
-One file is parsed at a time inside an Arrow map and gives one row per unit with the
-raw element contents; tags, states and notes are resolved by column expressions.
+A file is fed to a pull parser piece by piece, which hands over one unit at a time; its inline
+elements are walked node by node and become tags. Units before a fault in a file are kept, and
+the fault is a row of its own with ``error``: a bad file never ends a job.
 """
 
 from __future__ import annotations
 
-import io
-import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
@@ -15,9 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from locengine.functions.markup import map_state, unescape_xml, xliff_to_tags
+from locengine.functions.inline import Numbers, local_name, tagged_text
+from locengine.functions.markup import map_state
 from locengine.functions.text import is_blank
-from locengine.operators.review import NAMESPACE
 from locengine.sources.arrow import explode_rows
 
 UNITS = (
@@ -29,47 +28,76 @@ UNITS = (
     .add("target", "string")
     .add("state", "string")
     .add("notes", T.ArrayType(T.StringType()))
+    .add("error", "string")
 )
-_NS_DECLARATION = re.compile(r' xmlns(?::\w+)?="[^"]*"')
+_NAMESPACE = "urn:oasis:names:tc:xliff:document:"
+_CHUNK = 1 << 16
 
 
-def _inner(node: ET.Element | None) -> str | None:
-    """Content of an element as XML without namespaces."""
-    if node is None:
-        return None
-    whole = ET.tostring(node, encoding="unicode")
-    body = whole[whole.index(">") + 1 : whole.rindex("<")] if len(node) or node.text else ""
-    return re.sub(r"(</?)\w+:", r"\1", _NS_DECLARATION.sub("", body))
+def _version(root: ET.Element) -> str:
+    """Version attribute, else the namespace's, else 1.2."""
+    space = root.tag[1:].partition("}")[0] if root.tag.startswith("{") else ""
+    return root.get("version") or space.removeprefix(_NAMESPACE).partition(":")[0] or "1.2"
 
 
-def _version(root: ET.Element) -> str:
-    """Version attribute, else by namespace, else 1.2."""
-    named = root.get("version", "")
-    return named or ("2.1" if NAMESPACE["2.1"] in root.tag else "1.2")
+def _child(node: ET.Element, name: str) -> ET.Element | None:
+    return next((c for c in node if local_name(c) == name), None)
 
 
-def file_units(content: bytes) -> Iterator[dict]:
-    """Units of one file in order, with the raw contents of source and target."""
-    root = ET.parse(io.BytesIO(content)).getroot()
-    version = _version(root)
+def _rows(unit: ET.Element, version: str, first: int) -> Iterator[dict]:
     second = version.startswith("2")
-    ns = "{%s}" % NAMESPACE["2.1" if second else "1.2"]
-    number = 0
-    for unit in root.iter(f"{ns}unit" if second else f"{ns}trans-unit"):
-        notes = [n.text or "" for n in unit.findall(f"{ns}note")]
-        for pair in unit.findall(f"{ns}segment") if second else [unit]:
-            target = pair.find(f"{ns}target")
-            holder = pair if second else target
-            yield {
-                "version": version,
-                "unit_no": number,
-                "unit_id": unit.get("id"),
-                "source": _inner(pair.find(f"{ns}source")),
-                "target": _inner(target),
-                "state": None if holder is None else holder.get("state"),
-                "notes": notes,
-            }
-            number += 1
+    pairs = [c for c in unit if local_name(c) == "segment"] if second else [unit]
+    notes = [
+        "".join(n.itertext())
+        for holder in [unit, *(c for c in unit if local_name(c) == "notes")]
+        for n in holder
+        if local_name(n) == "note"
+    ]
+    numbers = Numbers()
+    for number, pair in enumerate(pairs, first):
+        source, target = _child(pair, "source"), _child(pair, "target")
+        holder = pair if second else target
+        yield {
+            "version": version,
+            "unit_no": number,
+            "unit_id": unit.get("id"),
+            "source": None if source is None else tagged_text(source, numbers),
+            "target": None if target is None else tagged_text(target, numbers),
+            "state": None if holder is None else holder.get("state"),
+            "notes": notes,
+        }
+
+
+def file_units(content: bytes) -> Iterator[dict]:
+    """Rows of one file in order; the last one tells what was wrong with it, if anything was."""
+    parser = ET.XMLPullParser(("start", "end"))
+
+    def events() -> Iterator[tuple[str, ET.Element]]:
+        for at in range(0, len(content), _CHUNK):
+            parser.feed(content[at : at + _CHUNK])
+            yield from parser.read_events()
+        parser.close()
+        yield from parser.read_events()
+
+    path: list[ET.Element] = []
+    version, number = "1.2", 0
+    try:
+        for event, node in events():
+            if event == "start":
+                if not path:
+                    version = _version(node)
+                    if local_name(node) != "xliff":
+                        raise ValueError(f"not an exchange file: {local_name(node)}")
+                path.append(node)
+                continue
+            path.pop()
+            if local_name(node) == ("unit" if version.startswith("2") else "trans-unit"):
+                for row in _rows(node, version, number):
+                    yield row
+                    number += 1
+                path[-1].remove(node)
+    except (ET.ParseError, ValueError, LookupError) as fault:
+        yield {"version": version, "unit_no": number, "error": str(fault)}
 
 
 _CONFIDENCE = (
@@ -82,49 +110,53 @@ def _note(prefix: str) -> Column:
     return F.substring(F.try_element_at(found, F.lit(-1)), len(prefix) + 1, 1 << 30)
 
 
-def xliff_segments(files: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keys, content`` of exchange files to segments in file order.
+def xliff_rows(files: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keys, content`` of exchange files to segments and faults, in file order.
 
     Columns: ``keys, version, unit_no, unit_id, text, translated_text, xliff_state,
-    location, type, confidence``.
+    location, type, confidence, error``. A row with ``error`` has no text.
     """
     k = list(keys)
 
     def rows(file: dict) -> Iterator[dict]:
         ids = {c: file[c] for c in k}
-        for unit in file_units(file["content"]):
+        for unit in file_units(file["content"] or b""):
             yield ids | unit
 
     schema = T.StructType([*[files.schema[c] for c in k], *UNITS.fields])
     units = explode_rows(files.select(*k, F.col("content").cast("binary")), rows, schema)
     second = F.col("version").startswith("2")
-
-    def text(name: str) -> Column:
-        raw = F.col(name)
-        tagged = F.when(second, xliff_to_tags(raw, "2.1")).otherwise(xliff_to_tags(raw, "1.2"))
-        return F.coalesce(unescape_xml(tagged), F.lit(""))
-
-    target = text("target")
+    good = F.col("error").isNull()
+    target = F.coalesce("target", F.lit(""))
     state = F.when(F.col("state") != "", F.col("state"))
     return units.select(
         *k,
         "version",
         "unit_no",
         "unit_id",
-        text("source").alias("text"),
-        F.when(is_blank(target), "").otherwise(target).alias("translated_text"),
+        F.when(good, F.coalesce("source", F.lit(""))).alias("text"),
+        F.when(good, F.when(is_blank(target), "").otherwise(target)).alias("translated_text"),
         F.when(second & state.isNotNull(), map_state(state, "1.2"))
         .otherwise(state)
         .alias("xliff_state"),
         _note("location: ").alias("location"),
         _note("type: ").alias("type"),
         F.expr(f"try_cast({_CONFIDENCE} AS double)").alias("confidence"),
+        "error",
     )
 
 
+def xliff_segments(files: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The segments among ``xliff_rows``."""
+    return xliff_rows(files, keys).filter("error IS NULL").drop("error")
+
+
 def read_xliff(spark: SparkSession, path: str) -> DataFrame:
-    """Segments of all exchange files below ``path``, keyed by file path."""
+    """Segments and faults of all exchange files below ``path``, keyed by file path."""
     files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.{xlf,xliff,txt}")
+        .load(path)
     ).withColumnRenamed("path", "doc_id")
-    return xliff_segments(files)
+    return xliff_rows(files)

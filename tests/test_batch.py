@@ -129,8 +129,8 @@ def test_retry_limit(spark):
 
 
 def test_concurrency_sets_the_parallel_calls(spark):
-    rows = batch.with_prompt(batch.batch_rows(packed(spark, (0, "a"), (1, "b"))), batch.build_prompts(spark))
-    calls = translate_batches(rows, answer, concurrency=3)
+    rows = batch.batch_rows(packed(spark, (0, "a"), (1, "b")))
+    calls = translate_batches(rows, answer, batch.build_prompts(spark), concurrency=3)
     assert calls.rdd.getNumPartitions() == 3
 
 

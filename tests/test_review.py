@@ -1,7 +1,10 @@
 import xml.etree.ElementTree as ET
 
+import pytest
+from pyspark.sql import functions as F
+
 from locengine.operators import review
-from locengine.sources.xliff import read_xliff, xliff_segments
+from locengine.sources.xliff import read_xliff, xliff_rows, xliff_segments
 
 SEGMENT = (
     "doc_id long, seq long, location string, type string, text string, translated_text string, "
@@ -67,11 +70,78 @@ def test_round_trip(spark):
 
 
 def test_written_files(spark, tmp_path):
+    """One file per document under its name, its lines in order; nothing else is left."""
     path = str(tmp_path / "exchange")
-    review.write_xliff(exported(spark, "2.1"), path)
+    documents = spark.createDataFrame(
+        [(1, "one/a & b.md"), (2, "two/a & b.md")], "doc_id long, filename string"
+    )
+    review.write_xliff(exported(spark, "2.1"), documents, path)
+    made = sorted(str(f.relative_to(path)) for f in (tmp_path / "exchange").rglob("*") if f.is_file())
+    assert made == ["_SUCCESS", "one/a & b.md.xlf", "two/a & b.md.xlf"]
     out = read_xliff(spark, path).collect()
     assert sorted((r.text, r.translated_text) for r in out) == sorted((e[1], e[2]) for e in EXPECTED)
-    assert len({r.doc_id for r in out}) == 2
+    assert len({r.doc_id for r in out}) == 2 and not any(r.error for r in out)
+    same = documents.withColumn("filename", F.lit("a.md"))
+    with pytest.raises(ValueError, match="more than once"):
+        review.write_xliff(exported(spark, "2.1"), same, str(tmp_path / "other"))
+    several = str(tmp_path / "several")
+    review.write_xliff(exported(spark, "1.2", units_per_file=2), documents, several, several=True)
+    assert len(list((tmp_path / "several").rglob("*.xlf"))) == 4
+    assert read_xliff(spark, several).count() == len(EXPECTED)
+
+
+def test_faults_of_files_are_rows(spark):
+    """Units before a fault are kept, and other files are not touched."""
+    ns = review.NAMESPACE["1.2"]
+    unit = '<trans-unit id="1"><source>A</source><target state="final">B</target></trans-unit>'
+    good = f'<xliff version="1.2" xmlns="{ns}"><file><body>{unit}{unit}</body></file></xliff>'
+    files = [
+        ("good", good), ("cut", good[: good.rindex("<trans-unit") + 30]), ("empty", ""), ("null", None),
+        ("other", "<html><body/></html>"), ("text", "no markup"), ("charset", '<?xml version="1.0" encoding="nope"?><a/>'),
+        ("long", good.replace("A", "x" * 200_000)),
+    ]
+    rows = xliff_rows(spark.createDataFrame(files, "doc_id string, content string")).collect()
+    found = {}
+    for r in rows:
+        found.setdefault(r.doc_id, []).append((r.text, r.translated_text, r.xliff_state, r.error is not None))
+    fault = (None, None, None, True)
+    assert found["good"] == [("A", "B", "final", False)] * 2
+    assert found["cut"] == [("A", "B", "final", False), fault]
+    assert found["long"] == [("x" * 200_000, "B", "final", False)] * 2
+    assert all(found[n] == [fault] for n in ("empty", "null", "other", "text", "charset"))
+
+
+def test_inline_elements_of_any_shape(spark):
+    body = (
+        '<source>a<bpt rid="7" ctype="x/y" id="7"><sub>s</sub></bpt>b<ept id="8" rid="7"/>'
+        'c<x ctype="image/png" id="2"/>&lt;b&gt; &amp;amp;<g id="k">d<mrk mtype="term">e</mrk></g>'
+        '<x id="0007" ctype="x-cp-0007"/><!-- c --><![CDATA[<i>]]></source>'
+    )
+    first = (
+        f'<xliff xmlns="{review.NAMESPACE["1.2"]}"><file><body><trans-unit id="1">{body}'
+        f'<target><g id="k">t</g></target></trans-unit></body></file></xliff>'
+    )
+    assert parsed(spark, first) == [
+        ("1.2", "a<tag7>b</tag7>c<tag2/><b> &amp;<tag1001>de</tag1001>\x07<i>", "<tag1001>t</tag1001>", None)
+    ]
+    second = (
+        '<xliff xmlns="urn:oasis:names:tc:xliff:document:2.0"><file id="f"><group id="g"><unit id="u"><notes>'
+        '<note>location: line[3]</note></notes><segment state="final"><source>a<sc type="fmt" id="4"/>b'
+        '<ec startRef="4"/><ph dataRef="d/1" id="5"/><cp hex="001F"/></source></segment></unit></group></file></xliff>'
+    )
+    assert parsed(spark, second) == [("2.0", "a<tag4>b</tag4><tag5/>\x1f", "", "final")]
+
+
+def test_any_text_survives_the_exchange(spark):
+    texts = ["a\x00b\x1f", "\r\n\r", "]]>", "&#13;", "<tag1>x", "<pc id=\"1\">", "\ufffe", "&lt;", "<b>&amp;</b>", "x\x0by"]
+    rows = [(1, i, None, None, t, t, None, None) for i, t in enumerate(texts)]
+    documents = spark.createDataFrame([(1, "a\x01.md", "md")], "doc_id long, filename string, file_type string")
+    for version in ("1.2", "2.1"):
+        lines = review.xliff_lines(spark.createDataFrame(rows, SEGMENT), documents, version)
+        back = xliff_rows(review.xliff_documents(lines)).orderBy("unit_no").collect()
+        blank = [t for t in texts if not t.strip()]
+        assert [r.text for r in back] == [t for t in texts if t not in blank]
+        assert [r.translated_text for r in back] == [r.text for r in back] and not any(r.error for r in back)
 
 
 def test_large_documents_become_several_files_on_request(spark):

@@ -62,7 +62,7 @@ def pptx():
 
 def segments(spark, file_type, content):
     df = spark.createDataFrame([("f", file_type, bytearray(content))], "doc_id string, file_type string, content binary")
-    rows = office_segments(office_paragraphs(df)).orderBy("seq", "piece").collect()
+    rows = office_segments(office_paragraphs(df)).filter("text IS NOT NULL").orderBy("seq", "piece").collect()
     return [(r.type, r.location, r.text) for r in rows]
 
 
@@ -104,7 +104,7 @@ def test_reading_and_errors(spark, tmp_path):
     for r in rows:
         by_name.setdefault(r.doc_id.rsplit("/", 1)[-1], []).append(r)
     assert set(by_name) == {"a.DOCX", "b.pptx", "c.xlsx", "t", "u", "v"}
-    assert len(by_name["a.DOCX"]) == 3
+    assert [r.error is None for r in sorted(by_name["a.DOCX"], key=str)].count(True) == 3
     assert "zip" in by_name["c.xlsx"][0].error and by_name["c.xlsx"][0].text is None
     assert [by_name[n][0].error for n in "tuv"] == [None, "unsupported type", "unsupported type"]
 
@@ -124,11 +124,29 @@ def test_types_and_names(spark):
 
 
 def test_written_documents(spark, tmp_path):
-    df = spark.createDataFrame([("a.md", "一\n二"), ("b.txt", "三\n")], "filename string, text string")
-    documents.write_documents(df, str(tmp_path / "out"))
-    for name, text in (("a_vi.md", "一\n二\n"), ("b_vi.txt", "三\n")):
-        files = list((tmp_path / "out" / f"name={name}").glob("*.txt"))
-        assert [f.read_text(encoding="utf-8") for f in files] == [text]
+    """One file per document, under its name and in its folder, and nothing else."""
+    rows = [("in/a.md", "一\n二"), ("other/a.md", "三\n"), ("file:/x/b.txt", ""), ("/y/c", None)]
+    df = spark.createDataFrame(rows, "filename string, text string").repartition(3)
+    out = tmp_path / "out"
+    documents.write_documents(df, str(out))
+    found = {str(f.relative_to(out)): f.read_text() for f in out.rglob("*") if f.is_file()}
+    assert found == {
+        "_SUCCESS": "", "in/a_vi.md": "一\n二", "other/a_vi.md": "三\n", "x/b_vi.txt": "", "y/c_vi": "",
+    }
+    with pytest.raises(Exception, match="FileExistsError"):
+        documents.write_documents(df, str(out))
+    documents.write_documents(df.withColumn("text", F.lit("new")), str(out), overwrite=True)
+    assert (out / "in/a_vi.md").read_text() == "new"
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    twice = spark.createDataFrame([("a.md", "1"), ("/a.md", "2")], "filename string, text string")
+    with pytest.raises(ValueError, match="more than once"):
+        documents.write_documents(twice, str(tmp_path / "out"))
+    outside = spark.createDataFrame([("a.md", "1"), ("../b.md", "2")], "filename string, text string")
+    with pytest.raises(Exception, match="not a file name"):
+        documents.write_documents(outside.repartition(2), str(tmp_path / "out"))
+    assert [f for f in (tmp_path / "out").rglob("*") if f.is_file()] == []
 
 
 @pytest.mark.parametrize(
@@ -146,6 +164,17 @@ def test_written_documents(spark, tmp_path):
         ("\x1b[1mbold é", "utf-8", "utf-8"),
         ("", "utf-8", "utf-8"),
         ("plain ascii", "ascii", "utf-8"),
+        ("café", "cp1252", "cp1252"),
+        ("Crème brûlée, très “bon” – 12 €\n", "cp1252", "cp1252"),
+        ("Größe und Straße", "latin-1", "cp1252"),
+        ("日本語のテキスト", "utf-16-le", "utf-16-le"),
+        ("ニケトの表\n", "utf-16-be", "utf-16-be"),
+        ("あいう", "utf-16-le", "utf-16-le"),
+        ("plain text", "utf-16-le", "utf-16-le"),
+        ("a\x00b, valid", "utf-8", "utf-8"),
+        ("100000", "utf-8", "utf-8"),
+        ("サービス", "cp932", "cp932"),
+        ("10年間のサービス利用規約", "euc_jp", "euc_jp"),
     ],
 )
 def test_decoding(spark, text, charset, expected):
@@ -155,7 +184,7 @@ def test_decoding(spark, text, charset, expected):
 
 
 def test_undecodable_bytes_are_replaced(spark):
-    df = spark.createDataFrame([("f", bytearray(b"a\xff\xfe\xfd"))], "path string, content binary")
+    df = spark.createDataFrame([("f", bytearray(b"a\xff\xfe\xfd\x01"))], "path string, content binary")
     decoded = documents.decode_corpus(df)
     assert decoded.head().text.startswith("a�")
     assert [tuple(r) for r in documents.encoding_report(decoded).collect()] == [("unknown", 1)]
