@@ -54,7 +54,9 @@ def extract_documents(
     none = F.lit(None)
     is_text = F.coalesce(F.col("file_type").isin(*TEXT_TYPES), F.lit(False))
     text = extract_text(docs.filter(is_text), p, ("doc_id", "file_type"))
-    office = office_segments(paragraphs, p)
+    office = office_segments(paragraphs, p).withColumn(
+        "type", F.when(F.col("error").isNull(), F.col("type"))
+    )
     unsupported = docs.filter(~is_text).select(
         "doc_id", "file_type", F.lit(UNSUPPORTED).alias("error")
     )

@@ -64,6 +64,11 @@ def stream_lookup(
     )
 
 
+def _rows(jobs: list, statuses: list, events: list) -> pd.DataFrame:
+    columns = {"job_id": jobs, "status": statuses, "events": events}
+    return pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in columns.items()})
+
+
 class JobStatus(StatefulProcessor):
     """The last status of a job; a terminal one outranks every progress event.
 
@@ -98,11 +103,11 @@ class JobStatus(StatefulProcessor):
             self.handle.deleteTimer(timer)
         wait = self.keep_ms if best[0] else self.idle_ms
         self.handle.registerTimer(int(pd.Timestamp(best[1], tz="UTC").timestamp() * 1000) + wait)
-        yield pd.DataFrame({"job_id": [key[0]], "status": [best[3]], "events": [events]})
+        yield _rows([key[0]], [best[3]], [events])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.state.clear()
-        yield pd.DataFrame({"job_id": [], "status": [], "events": []})
+        yield _rows([], [], [])
 
     def close(self) -> None:
         pass

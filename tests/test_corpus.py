@@ -136,3 +136,61 @@ def test_office_paragraphs(spark):
     assert status["o"] == ("completed", 2, None) and status["bad"] == ("failed", 0, "broken")
     assert {r.doc_id for r in result.documents.collect()} == {"a", "b", "c"}
     assert result.exchange.filter("doc_id = 'o' AND line LIKE '<trans-unit%'").count() == 2
+
+
+def test_a_raising_model_fails_documents_and_no_run(spark):
+    def raising(request):
+        if "文一" in request.prompt:
+            raise KeyError("no such word")
+        return model(request)
+
+    result = run(spark, fn=raising)
+    status = {r.doc_id: (r.status, r.error) for r in result.status.collect()}
+    fault = "KeyError: 'no such word'"
+    assert status["a"] == ("failed", fault) and status["b"] == ("failed", fault)
+    assert {r.doc_id for r in result.documents.collect()} == {"c"}
+    assert sorted((r.doc_id, r.text, r.retry_count, r.error) for r in result.failures.collect()) == [
+        ("a", "文一", 3, fault), ("b", "文一", 3, fault), ("b", "文一", 3, fault),
+    ]
+    # What was translated is kept: another run asks only for the rest.
+    assert "文一" not in {r.source for r in result.memory.collect()}
+    assert "名" in {r.source for r in result.memory.collect()}
+
+
+def test_prompts_are_not_shuffled(spark):
+    from locengine.operators import batch
+    from locengine.operators.inference import translate_batches
+
+    packed = spark.createDataFrame(
+        [(1, 0, 0, "md", "文"), (1, 1, 1, "other", "表")],
+        "doc_id long, seq long, batch_id long, file_type string, text string",
+    )
+    calls = translate_batches(
+        batch.batch_rows(packed), lambda r: f"{r.system is None}", batch.build_prompts(spark)
+    )
+    assert "system" not in calls._jdf.queryExecution().executedPlan().toString()
+    assert {r.file_type: r.reply for r in calls.collect()} == {"md": "False", "other": "True"}
+
+
+def test_reviews_stay_in_their_document(spark):
+    reviewed = spark.createDataFrame(
+        [("a", "文一", "Eins", 0), ("b", "文一", "Uno", 0)],
+        "doc_id string, text string, translated_text string, seq long",
+    )
+    texts = {r.doc_id: r.text for r in run(spark, mode="import", reviewed=reviewed).documents.collect()}
+    assert "Eins" in texts["a"] and texts["b"] == "Uno\n文二\nUno"
+
+
+def test_a_partial_document(spark):
+    part = "word/document.xml"
+    rows = [
+        ("o", "docx", part, "p", 0, 0, [("文一", False, False)], None),
+        ("o", "docx", "word/x.xml", None, 1, None, None, "bad checksum"),
+        ("o", "docx", "word/y.xml", None, 2, None, None, "bad checksum"),
+    ]
+    docs = spark.createDataFrame([("o", "docx", None)], "doc_id string, file_type string, text string")
+    memory = spark.createDataFrame([], "source string, target string, seq long")
+    result = translate_corpus(docs, memory, fn=model, paragraphs=spark.createDataFrame(rows, PARAGRAPH))
+    assert [(r.status, r.segments_count, r.error) for r in result.status.collect()] == [
+        ("partial", 1, "word/x.xml: bad checksum")
+    ]

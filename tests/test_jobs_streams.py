@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from locengine.operators import jobs
 from locengine.operators.extract import extract_text
-from locengine.operators.memory import lookup_memory
-from locengine.streaming.streams import arriving, stream_lookup, stream_status
+from locengine.operators.memory import latest_memory, lookup_memory, write_memory
+from locengine.streaming.streams import arriving, stream_lookup, stream_status, write_batch
 
 T0 = dt.datetime(2024, 1, 1)
 EVENT = "job_id long, event_id long, ts timestamp, status string"
@@ -101,3 +101,77 @@ def test_summary_and_progress(spark):
     batches = spark.createDataFrame([(1, 0, 5), (1, 1, 5), (1, 2, 2)], "job_id long, batch_id long, segments int")
     out = jobs.job_progress(batches).orderBy("batch_id").collect()
     assert [(r.done, round(r.progress, 4)) for r in out] == [(5, 0.5083), (10, 0.7167), (12, 0.8)]
+
+
+def status_run(spark, tmp_path, name, rows, seen):
+    """One more file of events, and a run of the stream over what is new."""
+    source = tmp_path / "events"
+    source.mkdir(exist_ok=True)
+    (spark.createDataFrame(rows, EVENT).coalesce(1).write.mode("append").parquet(str(source)))
+    stream = spark.readStream.schema(EVENT).parquet(str(source))
+
+    def sink(changed, number):
+        seen.extend((name, r.job_id, r.status, r.events) for r in changed.collect())
+
+    stream_status(stream, str(tmp_path / "state"), sink, late="1 hour", keep_hours=2).awaitTermination()
+
+
+def test_status_state_is_bounded(spark, tmp_path):
+    """Ended jobs leave the state; late events after that are dropped, newer ones begin anew."""
+    seen = []
+    hour = lambda n: at(60 * n)
+    status_run(spark, tmp_path, "a", [(1, 1, hour(0), "completed"), (1, 2, hour(1), "translating"), (2, 3, hour(0), "pending")], seen)
+    status_run(spark, tmp_path, "b", [(3, 4, hour(50), "pending"), (2, 5, hour(49), "translating")], seen)
+
+    def held():
+        state = spark.read.format("statestore").option("stateVarName", "last")
+        rows = state.load(str(tmp_path / "state")).collect()
+        return sorted(r.key.job_id for r in rows)
+
+    status_run(spark, tmp_path, "c", [(4, 6, hour(51), "pending")], seen)
+    assert held() == [2, 3, 4]
+    status_run(spark, tmp_path, "d", [(1, 7, hour(2), "translating"), (4, 8, hour(52), "failed")], seen)
+    status_run(spark, tmp_path, "e", [(1, 9, hour(60), "pending")], seen)
+    assert [s for s in seen if s[0] == "a"] and {s[1:] for s in seen if s[0] == "a"} == {
+        (1, "completed", 2), (2, "pending", 1),
+    }
+    assert {s[1:] for s in seen if s[0] == "b"} == {(3, "pending", 1), (2, "translating", 2)}
+    assert {s[1:] for s in seen if s[0] == "d"} == {(4, "failed", 2)}
+    assert {s[1:] for s in seen if s[0] == "e"} == {(1, "pending", 1)}
+
+
+def test_lookup_sees_the_memory_of_its_batch(spark, tmp_path):
+    schema = "doc_id long, text string"
+    source, out, versions = (str(tmp_path / n) for n in ("in", "out", "memory"))
+
+    def known(target, version):
+        rows = spark.createDataFrame([("文", target, 1)], "source string, target string, seq long")
+        write_memory(rows, versions, version)
+
+    def run(doc_id):
+        spark.createDataFrame([(doc_id, "文")], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        stream_lookup(
+            stream, lambda: latest_memory(spark, versions), out, str(tmp_path / "state")
+        ).awaitTermination()
+
+    known("one", 1)
+    run(1)
+    known("two", 2)
+    (tmp_path / "memory" / "version=3").mkdir()  # a version that is being written is not seen
+    run(2)
+    found = {r.doc_id: (r.translated_text, r.batch) for r in spark.read.parquet(out).collect()}
+    assert found == {1: ("one", 0), 2: ("two", 1)}
+    # A batch that is run again replaces what it wrote.
+    write_batch(spark.read.parquet(f"{out}/batch=1").limit(0).unionByName(
+        spark.createDataFrame([(2, 0, "文", "again", True)], "doc_id long, seq long, text string, translated_text string, cache_hit boolean"),
+        allowMissingColumns=True,
+    ), out, 1)
+    assert sorted(r.translated_text for r in spark.read.parquet(out).collect()) == ["again", "one"]
+
+
+def test_a_setting_is_given_back(spark, tmp_path):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    status_run(spark, tmp_path, "a", [(1, 1, T0, "pending")], [])
+    assert spark.conf.get(key) == before

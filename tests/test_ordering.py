@@ -1,9 +1,11 @@
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from locengine.operators.ordering import latest_by, pack_batches, renumber, running_sum
+from locengine.operators.ordering import _Bucket, latest_by, pack_batches, renumber, running_sum
 
 
 def greedy(lengths, max_chars, max_segs):
@@ -85,3 +87,32 @@ def test_latest(spark):
     assert sorted(map(tuple, latest_by(df, ["k"], ["seq"]).collect())) == [
         ("a", 3, "y"), ("b", 1, "w"),
     ]
+
+
+def test_pointers_of_a_bucket():
+    """Batches from every start, as one pass gives them."""
+    rng = random.Random(3)
+    for _ in range(60):
+        lens = [rng.choice([0, 1, 5, 20, 60, 130]) for _ in range(rng.randint(1, 40))]
+        most = rng.choice([1, 2, 5, 100])
+        bucket = _Bucket(np.array(lens), 100, most)
+        count, last = bucket.last()
+        for first in range(len(lens)):
+            batches = greedy(lens[first:], 100, most)
+            starts = [first + i for i, b in enumerate(batches) if i == 0 or b != batches[i - 1]]
+            assert count[first] == batches[-1] + 1 and last[first] == starts[-1]
+            assert np.flatnonzero(bucket.starts(first)).tolist() == starts
+
+
+def test_packing_time_does_not_depend_on_the_bucket(spark):
+    """A document of 200,000 segments, in buckets of 64 and of 8,192."""
+    df = spark.range(200_000).selectExpr("1L doc_id", "id seq", "repeat('x', cast(id * 7919 % 900 as int)) text")
+    df = df.repartition(8).cache()
+    df.count()
+    seconds, found = {}, []
+    for bucket in (2048, 64, 8192):
+        started = time.perf_counter()
+        found.append(pack_batches(df, bucket=bucket).selectExpr("sum(seq * batch_id)", "max(batch_id)").first())
+        seconds[bucket] = time.perf_counter() - started
+    assert found[0] == found[1] == found[2]
+    assert seconds[8192] < 1.5 * seconds[64] + 1

@@ -1,8 +1,10 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from locengine.operators.extract import extract_text
+from locengine.operators.memory import build_translation_map
 from locengine.operators.phrases import apply_translation_map
 from locengine.operators.rebuild import rebuild_documents, rewrite_lines
 
@@ -138,3 +140,66 @@ def test_phrases_equal_brute_force(spark):
     assert len(out) == len(texts)
     for d, i, text in texts:
         assert got[(d, i)] == brute_force(text, list(pairs[d].items()))
+
+
+def test_ties_follow_the_first_place(spark):
+    """Of phrases of equal length the one that came first in the document is replaced first,
+    also where its last translation came later."""
+    pairs = [("d", 0, "ab", "1"), ("d", 1, "bc", "2"), ("d", 2, "ab", "3")]
+    segments = spark.createDataFrame(pairs, "doc_id string, seq long, text string, translated_text string")
+    tmap = build_translation_map(segments)
+    assert {(r.source, r.target, r.seq, r.first_seq) for r in tmap.collect()} == {
+        ("ab", "3", 2, 0), ("bc", "2", 1, 1),
+    }
+    texts = spark.createDataFrame([("d", 9, "abc")], "doc_id string, seq long, text string")
+    assert apply_translation_map(texts, tmap).head().translated_text == "3c"
+
+
+def test_phrases_that_only_replacements_make(spark):
+    """A chain of phrases of which only the first stands in any text, in a run of its own; long
+    phrases over the edges of replacements; a null document."""
+    texts = [("d", 5, "see abcd here"), ("d", 5000, "pq"), (None, 0, "abcd"), ("e", 0, "xx")]
+    pairs = [("d", "abcd", "klm", 0), ("d", "klm", "no", 1), ("d", "o ", "p", 2), ("d", "ee n", "!", 3),
+             (None, "abcd", "null", 0), ("d", "p", "q", 9)]
+    out = apply_translation_map(
+        spark.createDataFrame(texts, "doc_id string, seq long, text string"),
+        spark.createDataFrame(pairs, "doc_id string, source string, target string, seq long"),
+    ).collect()
+    got = {(r.doc_id, r.seq): r.translated_text for r in out}
+    assert got == {
+        ("d", 5): brute_force("see abcd here", [p[1:3] for p in pairs if p[0] == "d"]),
+        ("d", 5000): "qq", (None, 0): "null", ("e", 0): None,
+    }
+    none = spark.createDataFrame([], "doc_id string, source string, target string, seq long")
+    left = apply_translation_map(spark.createDataFrame(texts, "doc_id string, seq long, text string"), none)
+    assert [r.translated_text for r in left.collect()] == [None] * 4
+
+
+def test_very_long_texts_and_phrases(spark, monkeypatch):
+    rng = random.Random(9)
+    long = "".join(rng.choices("ab ", k=5000))
+    pairs = {long[1000:1900]: "X", long[2000:2003]: "yy", long[10:12]: "b", "zzz": long[:50]}
+    text = long + "zzz" + long[900:2100]
+    out = apply_translation_map(
+        spark.createDataFrame([(1, 0, text)], "doc_id long, seq long, text string"),
+        spark.createDataFrame([(1, s, t, i) for i, (s, t) in enumerate(pairs.items())],
+                              "doc_id long, source string, target string, seq long"),
+    )
+    assert out.head().translated_text == brute_force(text.strip(), list(pairs.items()))
+
+
+def test_a_hot_document_takes_time_by_its_texts(spark):
+    """Twice the texts, with as many phrases as texts: about twice the work, not four times."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    lines = [" ".join(word() for _ in range(8)) for _ in range(16_000)]
+    seconds = []
+    for n in (200, 8_000, 16_000):
+        texts = spark.createDataFrame([(1, i, t) for i, t in enumerate(lines[:n])], "doc_id long, seq long, text string")
+        pairs = [(1, t[:13] if i % 2 else t[7:11], "x", i) for i, t in enumerate(lines[:n])]
+        tmap = spark.createDataFrame(pairs, "doc_id long, source string, target string, seq long")
+        started = time.perf_counter()
+        rows = apply_translation_map(texts, tmap.dropDuplicates(["source"])).filter("translated_text LIKE '%x%'")
+        assert rows.count() == n
+        seconds.append(time.perf_counter() - started)
+    assert seconds[2] < 2 * seconds[1] + 2

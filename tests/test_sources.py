@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from locengine.config import new_path, work_dir
 from locengine.operators.runs import office_segments
+from locengine.plans import fixtures
 from locengine.plans.corpus import extract_documents
 from locengine.sources import documents
 from locengine.sources.arrow import explode_rows
@@ -221,3 +222,60 @@ def test_work_dir_is_required_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         work_dir(Session())
+
+
+def test_a_bad_part_costs_its_own_row(spark):
+    """Checksums, encryption, unknown packing and markup that is cut: other parts are read."""
+    para = "<w:p><w:r><w:t>文{0}</w:t></w:r></w:p>"
+    parts = {f"word/p{i}.xml": f"<w:document {W}>{para.format(i)}</w:document>" for i in range(6)}
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, content in parts.items():
+            z.writestr(name, content)
+    raw = bytearray(out.getvalue())
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        infos = {i.filename: i for i in z.infolist()}
+    directory, at = {}, 0
+    for name in parts:
+        at = raw.index(b"PK\x01\x02", at) + 4
+        directory[name] = at - 4
+    raw[directory["word/p1.xml"] + 16] ^= 1  # checksum
+    raw[directory["word/p2.xml"] + 8] |= 1  # encrypted
+    raw[directory["word/p3.xml"] + 10] = 97  # packed by a method that nothing reads
+    raw[infos["word/p4.xml"].header_offset + 45] ^= 255  # packed bytes
+    schema = "doc_id string, file_type string, content binary"
+    files = [("f", "docx", raw), ("cut", "docx", raw[:200]), ("other", "pdf", raw), ("null", "docx", None)]
+    rows = office_paragraphs(spark.createDataFrame(files, schema)).collect()
+    own = {r.part: r for r in rows if r.doc_id == "f"}
+    assert set(own) == set(parts)
+    assert [own[f"word/p{i}.xml"].error is None for i in range(6)] == [True, False, False, False, False, True]
+    assert own["word/p5.xml"].runs[0].text == "文5" and own["word/p0.xml"].seq < own["word/p5.xml"].seq
+    faults = [r for r in rows if r.doc_id != "f"]
+    assert sorted(r.doc_id for r in faults) == ["cut", "null", "other"] and all(r.error for r in faults)
+
+
+def test_parts_are_chosen_by_content_type(spark):
+    kind = "application/vnd.openxmlformats-officedocument"
+    types = (
+        '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
+        f'<Override PartName="/odd/main.xml" ContentType="{kind}.wordprocessingml.document.main+xml"/>'
+        '<Override PartName="/word/theme.xml" ContentType="application/xml"/></Types>'
+    )
+    body = f"<w:document {W}><w:p><w:r><w:t>文</w:t></w:r></w:p></w:document>"
+    content = package({"[Content_Types].xml": types, "word/theme.xml": body, "odd/main.xml": body})
+    assert segments(spark, "docx", content) == [("body", "odd/main.xml:p[0]", "文")]
+
+
+def test_inputs_keep_their_texts(spark):
+    """Marks are added to the inputs of the queries; without them the documents come back."""
+    d = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in fixtures.documents(spark, d).collect()}
+    lines = {}
+    for r in fixtures.paragraphs(spark, d).collect():
+        words = [x.text for x in r.runs if x.text != "[1]"]
+        assert len(r.runs) - len(words) == sum(i % 9 == 4 for i in range(len(words)))
+        lines.setdefault(r.doc_id, {})[r.ordinal] = "".join(words)[:-1]
+    assert {k: "\n".join(v[i] for i in sorted(v)) for k, v in lines.items()} == texts
+    back = str.maketrans(fixtures.KANA, fixtures.ACCENTED)
+    for r in documents.decode_corpus(fixtures.byte_files(spark, d)).collect():
+        assert r.text.translate(back) == texts[r.doc_id]
