@@ -45,6 +45,9 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_LOCAL: dict[str, str] = {}  # folders of local sessions without the setting, by application
+
+
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for written tables: ``spark.checkpoint.dir`` of the session.
 
@@ -53,10 +56,13 @@ def work_dir(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        root = tempfile.mkdtemp(prefix="locengine-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        own = spark.sparkContext.applicationId
+        if own not in _LOCAL:
+            _LOCAL[own] = tempfile.mkdtemp(prefix="locengine-")
+        root = _LOCAL[own]
     return root.rstrip("/")
 
 

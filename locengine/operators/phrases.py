@@ -1,9 +1,9 @@
 """Replacement of known texts and phrases by the translation map of their document.
 
-A phrase is indexed by its head: its first 2**k characters, with the greatest k that fits. The
+A phrase is indexed by its head: its first 1, 2, 4, ... or 64 characters, as many as it has. The
 windows of a text of the same lengths meet the heads of their document in an equi join on a
 hash, so a text is paired only with phrases that begin in it alike, however many its document
-has. Heads are at least half their phrase, so hardly any other phrase shares one.
+has. A head is 64 characters or at least half its phrase, so hardly any other shares it.
 
 Texts are worked on in runs of a document. Phrases are replaced one after the other, longest
 first, and a replacement can make others occur that no text of the run held before. `missing`
@@ -28,7 +28,9 @@ from locengine.functions.text import TAG, strip_tags, strip_ws
 from locengine.operators.ordering import bucket_of
 from locengine.operators.runs import FOOTNOTE_ANY
 
+HEADS = (1, 2, 4, 8, 16, 32, 64)
 TEXTS_PER_RUN = 256
+RUNS_AT_A_TIME = 64
 PIECE = 1 << 20  # characters that are hashed at a time
 BITS = 1 << 24  # 2 MB; it spares rows without a partner, the join decides
 _BASE = 0x9E3779B97F4A7C15
@@ -36,8 +38,11 @@ _UNBASE = pow(_BASE, -1, 1 << 64)
 
 
 def head_length(n: Column) -> Column:
-    """Greatest power of two that is at most n."""
-    return F.pow(F.lit(2.0), F.floor(F.log2(n.cast("double")) + F.lit(1e-12))).cast("int")
+    """Greatest of the lengths of heads that is at most n."""
+    found = F.lit(HEADS[0])
+    for size in HEADS[1:]:
+        found = F.when(n >= size, F.lit(size)).otherwise(found)
+    return found
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -92,8 +97,8 @@ def windows(texts: list[str], groups: list[int], sizes: list[int], keep):
 
 
 def _may_be(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = keys % BITS
-    return (bits[slot // 64] >> (slot % 64)) & 1 == 1
+    slot = keys & (BITS - 1)
+    return (bits[slot >> 6] >> (slot & 63)) & 1 == 1
 
 
 def _any(keys: np.ndarray) -> np.ndarray:
@@ -154,10 +159,18 @@ def _probes(texts: DataFrame, keys: list[str], sizes: list[int], bits) -> DataFr
             forms = batch.column(len(keys) + 2).to_pylist()
             owner = [i for i, own in enumerate(forms) for _ in own]
             texts_, of = [t for own in forms for t in own], [groups[i] for i in owner]
+            # Texts of a run mostly stand together; each of its windows is sent once from here.
+            ids = list(zip(*(batch.column(k).to_pylist() for k in range(len(keys) + 1)), strict=True))
+            first: dict[tuple, int] = {}
+            run_of = np.array([first.setdefault(ids[i], i) for i in owner], dtype=np.int64)
             for made, text, _ in windows(texts_, of, sizes, lambda h: _may_be(bits.value, h)):
-                both = np.unique(np.stack([np.array(owner)[text], made]), axis=1)
-                own = [batch.column(k).take(pa.array(both[0])) for k in range(len(keys) + 1)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(both[1])], names)
+                at = run_of[text]
+                order = np.lexsort((made, at))
+                made, at = made[order], at[order]
+                new = np.ones(len(made), dtype=bool)
+                new[1:] = (made[1:] != made[:-1]) | (at[1:] != at[:-1])
+                own = [batch.column(k).take(pa.array(at[new])) for k in range(len(keys) + 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(made[new])], names)
 
     forms = F.array_distinct(
         F.filter(F.array("_text", "_plain", "_bare", "_bare_plain"), lambda c: c.isNotNull())
@@ -180,21 +193,11 @@ class Phrases:
         for rank, e in enumerate(ordered):
             self.heads.setdefault(e["source"][: e["_size"]], []).append(rank)
             self.by_key.setdefault(e["_key"], []).append(rank)
-        self.keys = np.array(sorted(self.by_key), dtype=np.int64)
-        self.changed: dict[int, list[str]] = {}
-
-    def known(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys), dtype=bool)
-        return self.keys[np.searchsorted(self.keys[:-1], keys)] == keys
-
-    def contained(self, texts: list[str]) -> list[set[int]]:
-        """Per text the phrases that it holds."""
-        out: list[set[int]] = [set() for _ in texts]
-        for keys, text, at in windows(texts, [self.group] * len(texts), self.sizes, self.known):
-            for key, i, place in zip(keys.tolist(), text.tolist(), at.tolist(), strict=True):
-                out[i].update(r for r in self.by_key[key] if texts[i].startswith(self.pairs[r][0], place))
-        return out
+        self.changed: list[tuple[int, str]] = []
+
+    def begins(self, key: int, text: str, at: int) -> Iterator[int]:
+        """Phrases with this key that begin there."""
+        return (r for r in self.by_key.get(key, ()) if text.startswith(self.pairs[r][0], at))
 
     def replaced(self, text: str, waiting: set[int]) -> str | None:
         """The text with the phrases that it holds, and those that come up, replaced."""
@@ -217,19 +220,10 @@ class Phrases:
                         for rank in self.heads.get(working[i : i + n], ()):
                             if rank > done and working.startswith(self.pairs[rank][0], i):
                                 waiting.add(rank)
-                self.changed.setdefault(sizes[-1], []).append(working[near : far + sizes[-1] - 1])
+                self.changed.append((sizes[-1], working[near : far + sizes[-1] - 1]))
                 at = far
         return None if working == text else working
 
-    def missing(self, bits: np.ndarray) -> set[int]:
-        """Windows around replacements that may be heads of phrases that are not here."""
-        found: set[int] = set()
-        for size, texts in self.changed.items():
-            sizes = [n for n in self.sizes if n <= size]
-            for keys, *_ in windows(texts, [self.group] * len(texts), sizes, lambda h: _may_be(bits, h)):
-                found.update(keys[~self.known(keys)].tolist())
-        return found
-
     def whole_text(self, text: str, plain: str) -> tuple[str, str] | None:
         """Translation of a text as a whole, and how; ``plain`` is without footnote marks."""
         if text in self.whole:
@@ -237,41 +231,79 @@ class Phrases:
         return (self.whole[plain], "plain") if plain in self.whole else None
 
 
+def _contained(
+    texts: list[str], tables: list[Phrases], sizes: list[int], bits: np.ndarray
+) -> list[set[int]]:
+    """Per text the phrases of its table that it holds."""
+    keys = np.unique(np.array([k for t in {id(t): t for t in tables}.values() for k in t.by_key], dtype=np.int64))
+    out: list[set[int]] = [set() for _ in texts]
+    if not len(keys):
+        return out
+
+    def known(found: np.ndarray) -> np.ndarray:
+        may = _may_be(bits, found)
+        some = found[may]
+        may[may] = keys[np.searchsorted(keys[:-1], some)] == some
+        return may
+
+    for found, text, at in windows(texts, [t.group for t in tables], sizes, known):
+        for key, i, place in zip(found.tolist(), text.tolist(), at.tolist(), strict=True):
+            out[i].update(tables[i].begins(key, texts[i], place))
+    return out
+
+
+def _missing(tables: list[Phrases], sizes: list[int], bits: np.ndarray) -> set[tuple[int, int]]:
+    """(table, key) of windows around replacements that may be heads of phrases it has not."""
+    out: set[tuple[int, int]] = set()
+    for size in sizes:
+        own = [(i, text) for i, t in enumerate(tables) for n, text in t.changed if n == size]
+        groups = [tables[i].group for i, _ in own]
+        few = [n for n in sizes if n <= size]
+        for keys, text, _ in windows([t for _, t in own], groups, few, lambda h: _may_be(bits, h)):
+            for key, i in zip(keys.tolist(), text.tolist(), strict=True):
+                if key not in tables[own[i][0]].by_key:
+                    out.add((own[i][0], key))
+    return out
+
+
+def _work(runs: list[dict], ids: list[str], sizes: list[int], bits: np.ndarray) -> Iterator[dict]:
+    """Rows of some runs: texts with their translation, then windows to look up."""
+    tables = [Phrases(r["_entries"] or [], sizes, r["_group"]) for r in runs]
+    texts = [(i, t) for i, r in enumerate(runs) for t in r["_texts"]]
+    done: list[tuple[str | None, str | None]] = [(None, None)] * len(texts)
+    for text, plain, prefix in (("_text", "_plain", ""), ("_bare", "_bare_plain", "untagged_")):
+        left = []
+        for j, (i, t) in enumerate(texts):
+            if done[j][1] is None and t[text] is not None:
+                whole = tables[i].whole_text(t[text], t[plain])
+                if whole is None:
+                    left.append(j)
+                else:
+                    done[j] = whole[0], prefix + whole[1]
+        own = [tables[texts[j][0]] for j in left]
+        plains = [texts[j][1][plain] for j in left]
+        for j, table, form, waiting in zip(left, own, plains, _contained(plains, own, sizes, bits), strict=True):
+            made = table.replaced(form, waiting)
+            if made is not None:
+                done[j] = made, prefix + "phrase"
+    for (i, t), (found, kind) in zip(texts, done, strict=True):
+        yield {c: runs[i][c] for c in ids} | t | {"translated_text": found, "match_kind": kind}
+    for i, key in _missing(tables, sizes, bits):
+        yield {c: runs[i][c] for c in ids} | {"_missing": key}
+
+
 def _replace(runs: DataFrame, keys: list[str], out: T.StructType, sizes: list[int], bits) -> DataFrame:
     """Rows of `out` per text, or, with only keys, _run and _missing, windows to look up."""
     arrow = to_arrow_schema(out)
 
-    def rows_of(run: dict) -> Iterator[dict]:
-        table = Phrases(run["_entries"] or [], sizes, run["_group"])
-        ids = {c: run[c] for c in [*keys, "_run"]}
-        done: dict[int, tuple[str, str]] = {}
-        for text, plain, prefix in (("_text", "_plain", ""), ("_bare", "_bare_plain", "untagged_")):
-            left = [i for i, t in enumerate(run["_texts"]) if i not in done and t[text] is not None]
-            for i in left:
-                if whole := table.whole_text(run["_texts"][i][text], run["_texts"][i][plain]):
-                    done[i] = whole[0], prefix + whole[1]
-            left = [i for i in left if i not in done]
-            plains = [run["_texts"][i][plain] for i in left]
-            for i, own, waiting in zip(left, plains, table.contained(plains), strict=True):
-                if (made := table.replaced(own, waiting)) is not None:
-                    done[i] = made, prefix + "phrase"
-        for i, t in enumerate(run["_texts"]):
-            found, kind = done.get(i, (None, None))
-            yield ids | t | {"translated_text": found, "match_kind": kind}
-        for key in table.missing(bits.value):
-            yield ids | {"_missing": key}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending = []
         for batch in batches:
-            for i in range(batch.num_rows):
-                for row in rows_of(batch.slice(i, 1).to_pylist()[0]):
-                    pending.append({f: row.get(f) for f in arrow.names})
-                    if len(pending) >= 4096:
-                        yield pa.RecordBatch.from_pylist(pending, schema=arrow)
-                        pending = []
-        if pending:
-            yield pa.RecordBatch.from_pylist(pending, schema=arrow)
+            for a in range(0, batch.num_rows, RUNS_AT_A_TIME):
+                some = batch.slice(a, RUNS_AT_A_TIME).to_pylist()
+                rows = list(_work(some, [*keys, "_run"], sizes, bits.value))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r.get(f.name) for r in rows], f.type) for f in arrow], schema=arrow
+                )
 
     return runs.mapInArrow(run, out)
 

@@ -1,8 +1,8 @@
 """Translated segments back into their documents.
 
-A rebuilt document is one output row, so its translated segments are grouped by document
-once and everything else - cells, diagram tokens, line prefixes, reassembly - happens
-inside the document's row. Lines that do not change are never shuffled.
+Documents are cut into ranges of lines. Translated segments are grouped by document and range
+once and everything else - cells, diagram tokens, line prefixes - happens inside the row of a
+range; a rebuilt document is one output row, joined from its ranges.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locengine.functions.text import fix_spacing, let, line_array, rebuild_line, visual_width
+from locengine.operators.ordering import bucket_of
 
+LINES = 4096  # of a range
 _NO_PAIRS = "array<struct<seq:bigint,text:string,target:string>>"
 
 
@@ -123,9 +125,10 @@ def replace_tokens(raw: Column, tokens: Column) -> Column:
 
 
 def line_edits(segments: DataFrame) -> DataFrame:
-    """Per document the array ``edits`` of ``line_idx, cells, body, tokens``.
+    """Per document and range of LINES lines, ``_range``, the array ``edits`` of ``line_idx, cells,
+    body, tokens``.
 
-    Partitioned by document once; both groupings use that partitioning.
+    Partitioned by range once; both groupings use that partitioning.
     """
     changed = F.col("text") != F.col("translated_text")
     pair = F.struct("seq", "text", F.col("translated_text").alias("target"))
@@ -138,11 +141,15 @@ def line_edits(segments: DataFrame) -> DataFrame:
     body = F.when(~F.col("type").isin("table_cell", "diagram_token"), F.struct("seq", "translated_text"))
     return (
         segments.filter("translated_text <> ''")
-        .select("doc_id", "line_idx", "seq", "type", "text", "translated_text")
-        .repartition("doc_id")
-        .groupBy("doc_id", "line_idx")
+        .select(
+            "doc_id",
+            bucket_of("line_idx", LINES).cast("int").alias("_range"),
+            "line_idx", "seq", "type", "text", "translated_text",
+        )
+        .repartition("doc_id", "_range")
+        .groupBy("doc_id", "_range", "line_idx")
         .agg(pairs("table_cell"), pairs("diagram_token"), F.max(body).alias("body"))
-        .groupBy("doc_id")
+        .groupBy("doc_id", "_range")
         .agg(
             F.array_sort(
                 F.collect_list(
@@ -178,28 +185,41 @@ def _rewritten(raw: Column, e: Column) -> Column:
     )
 
 
-def _with_edits(docs: DataFrame, segments: DataFrame, how: str) -> DataFrame:
-    joined = docs.join(line_edits(segments), "doc_id", how).withColumn(
-        "_lines", line_array(F.col("text"))
-    )
-    known = F.filter("edits", lambda e: e["line_idx"] < F.size("_lines"))
-    return joined.withColumn("edits", F.coalesce(known, F.array().cast(_EDITS)))
-
-
 _EDITS = (
     f"array<struct<line_idx:int,cells:{_NO_PAIRS},tokens:{_NO_PAIRS},body:string>>"
 )
 
 
+def line_ranges(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep, _range, _lines``: the lines of every document in ranges of LINES, at least one."""
+    lines = F.col("_all")
+
+    def cut(k: Column) -> Column:
+        return F.slice(lines, k * LINES + 1, F.lit(LINES))
+
+    last = F.greatest((F.size(lines) - 1) / LINES, F.lit(0)).cast("int")
+    ranges = F.transform(F.sequence(F.lit(0), last), cut)
+    return docs.select(*keep, line_array(F.col("text")).alias("_all")).select(
+        *keep, F.posexplode(ranges).alias("_range", "_lines")
+    )
+
+
+def _with_edits(ranges: DataFrame, segments: DataFrame, how: str) -> DataFrame:
+    joined = ranges.join(line_edits(segments), ["doc_id", "_range"], how)
+    first = F.col("_range") * LINES
+    known = F.filter("edits", lambda e: e["line_idx"] < first + F.size("_lines"))
+    return joined.withColumn("edits", F.coalesce(known, F.array().cast(_EDITS)))
+
+
 def rewrite_lines(docs: DataFrame, segments: DataFrame) -> DataFrame:
     """Edited lines only: ``doc_id, line_idx, raw, line, kind, overflow``."""
     return (
-        _with_edits(docs.select("doc_id", "text"), segments, "inner")
-        .select("doc_id", "_lines", F.explode("edits").alias("e"))
+        _with_edits(line_ranges(docs, ["doc_id"]), segments, "inner")
+        .select("doc_id", "_range", "_lines", F.explode("edits").alias("e"))
         .select(
             "doc_id",
             F.col("e.line_idx").alias("line_idx"),
-            F.get("_lines", F.col("e.line_idx")).alias("raw"),
+            F.get("_lines", F.col("e.line_idx") - F.col("_range") * LINES).alias("raw"),
             "e",
         )
         .select("*", F.explode(F.array(_rewritten(F.col("raw"), F.col("e")))).alias("r"))
@@ -210,15 +230,19 @@ def rewrite_lines(docs: DataFrame, segments: DataFrame) -> DataFrame:
 def rebuild_documents(docs: DataFrame, segments: DataFrame) -> DataFrame:
     """``docs`` with ``text`` rebuilt; documents without segments stay as they are.
 
-    The unchanged stretches between edited lines are taken over as slices, so the work is
-    linear in the lines of a document.
+    Edits are applied range by range, so a document of many lines is spread over tasks; at the
+    end its ranges are joined. The unchanged stretches between edited lines are taken over as
+    slices, so the work is linear in the lines. ``doc_id`` is unique; rows without one have no
+    segments.
     """
+    own = [c for c in docs.columns if c not in ("doc_id", "text")]
+    ends = F.when(F.col("text").rlike(r"[\r\n]\z"), "\n").otherwise("").alias("_end")
 
     def piece(lines: Column, edits: Column, k: Column) -> Column:
-        start = F.when(k == 0, F.lit(0)).otherwise(F.get(edits, k - 1)["line_idx"] + 1)
-        stop = F.when(k == F.size(edits), F.size(lines)).otherwise(F.get(edits, k)["line_idx"])
-        edit = F.get(edits, k)
-        new = _rewritten(F.get(lines, edit["line_idx"]), edit)["line"]
+        at = lambda j: F.get(edits, j)["line_idx"] - F.col("_range") * LINES
+        start = F.when(k == 0, F.lit(0)).otherwise(at(k - 1) + 1)
+        stop = F.when(k == F.size(edits), F.size(lines)).otherwise(at(k))
+        new = _rewritten(F.get(lines, at(k)), F.get(edits, k))["line"]
         return F.concat(
             F.slice(lines, start + 1, stop - start),
             F.when(k < F.size(edits), F.array(new)).otherwise(
@@ -230,8 +254,18 @@ def rebuild_documents(docs: DataFrame, segments: DataFrame) -> DataFrame:
     pieces = F.transform(
         F.sequence(F.lit(0), F.size(edits)), lambda k: piece(lines, edits, k)
     )
-    final = F.when(F.col("text").rlike(r"[\r\n]\z"), "\n").otherwise("")
-    return _with_edits(docs, segments, "left").select(
-        *[c for c in docs.columns if c != "text"],
-        F.concat(F.array_join(F.flatten(pieces), "\n"), final).alias("text"),
+    known = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    kept = known.withColumn("_own", F.struct(*own, ends))
+    ranges = line_ranges(kept, ["doc_id", "_own"])
+    done = _with_edits(ranges, segments, "left").select(
+        "doc_id",
+        F.when(F.col("_range") == 0, F.col("_own")).alias("_own"),
+        F.struct("_range", F.array_join(F.flatten(pieces), "\n").alias("text")).alias("_part"),
+    )
+    whole = done.groupBy("doc_id").agg(
+        F.any_value("_own", True).alias("_own"), F.array_sort(F.collect_list("_part")).alias("_parts")
     )
+    text = F.concat(F.array_join(F.transform("_parts", lambda x: x["text"]), "\n"), F.col("_own._end"))
+    rebuilt = whole.select("doc_id", *(F.col(f"_own.`{c}`").alias(c) for c in own), text.alias("text"))
+    others = docs.filter("doc_id IS NULL OR text IS NULL")
+    return rebuilt.unionByName(others).select(*[c for c in docs.columns if c != "text"], "text")

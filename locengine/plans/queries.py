@@ -604,7 +604,8 @@ def glossary_table(spark, d):
 
 
 def _packed(spark, d) -> DataFrame:
-    segments = _segments(spark, d)
+    # Written once: their positions are packed and their texts joined to the batches.
+    segments = materialise(_segments(spark, d), "segments")
     batches = pack_batches(segments, BATCH_CHARS, BATCH_SEGMENTS)
     return segments.join(batches, ["doc_id", "seq"])
 
@@ -632,7 +633,7 @@ def job_summary(spark, d):
 @query
 def job_progress(spark, d):
     batches = (
-        _packed(spark, d)
+        pack_batches(_segments(spark, d), BATCH_CHARS, BATCH_SEGMENTS)
         .groupBy(F.col("doc_id").alias("job_id"), "batch_id")
         .agg(F.count("*").alias("segments"))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from locengine.operators.extract import extract_text
 from locengine.operators.memory import build_translation_map
 from locengine.operators.phrases import apply_translation_map
-from locengine.operators.rebuild import rebuild_documents, rewrite_lines
+from locengine.operators.rebuild import LINES, rebuild_documents, rewrite_lines
 
 DOC = "doc_id string, text string"
 SEGMENT = (
@@ -203,3 +203,27 @@ def test_a_hot_document_takes_time_by_its_texts(spark):
         assert rows.count() == n
         seconds.append(time.perf_counter() - started)
     assert seconds[2] < 2 * seconds[1] + 2
+
+
+def test_edits_of_many_ranges(spark):
+    """A document of many ranges equals its lines replaced one by one, whatever the line ends."""
+    n = 2 * LINES + 7
+    lines = [f"文{i}" if i % 3 else f"| 名{i} | x |" for i in range(n)]
+    texts = {"0": "\n".join(lines) + "\n", "1": "文", "2": "", "3": "\r\n".join(lines[:LINES]), "4": None}
+    schema = "doc_id string, file_type string, text string"
+    docs = spark.createDataFrame([(k, f"t{k}", t) for k, t in texts.items()] + [(None, "n", "文")], schema)
+    rows = [("0", i, i, "body", None, f"文{i}", f"v{i}") for i in range(n) if i % 3 and i % 5 == 0]
+    rows += [("0", i, i, "table_cell", 0, f"名{i}", f"c{i}") for i in range(n) if i % 30 == 0]
+    rows += [("0", n + 9, n + 9, "body", None, "x", "beyond"), ("1", 0, 0, "body", None, "文", "v")]
+    out = rebuild_documents(docs, spark.createDataFrame(rows, SEGMENT))
+    assert out.columns == ["doc_id", "file_type", "text"]
+    got = {r.doc_id: (r.file_type, r.text) for r in out.collect()}
+    want = [
+        (f"| c{i} | x |" if i % 30 == 0 else t) if i % 3 == 0 else (f"v{i}" if i % 5 == 0 else t)
+        for i, t in enumerate(lines)
+    ]
+    assert got["0"] == ("t0", "\n".join(want) + "\n")
+    assert got["3"] == ("t3", "\n".join(lines[:LINES]))
+    assert (got["1"], got["2"], got["4"], got[None]) == (("t1", "v"), ("t2", ""), ("t4", None), ("n", "文"))
+    edits = rewrite_lines(docs, spark.createDataFrame(rows, SEGMENT)).collect()
+    assert len(edits) == len(rows) - 1 and all(r.line != r.raw for r in edits)

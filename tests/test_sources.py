@@ -224,6 +224,20 @@ def test_work_dir_is_required_on_a_cluster():
         work_dir(Session())
 
 
+def test_a_local_session_needs_no_setting():
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "local[2]"}.get(key, default)
+
+    class Context:
+        applicationId = "local-test"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    assert work_dir(Session()) == work_dir(Session()) and "locengine-" in work_dir(Session())
+
+
 def test_a_bad_part_costs_its_own_row(spark):
     """Checksums, encryption, unknown packing and markup that is cut: other parts are read."""
     para = "<w:p><w:r><w:t>文{0}</w:t></w:r></w:p>"
