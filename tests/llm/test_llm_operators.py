@@ -503,3 +503,20 @@ def test_mixing(docs, none):
     sources = docs.groupBy("source").agg({"text": "count"}).toDF("source", "tokens")
     flat = mixing.fit_exponent(sources, target_entropy=1.0)
     assert flat.exponent > 1
+
+
+def thue_morse(n, a, b):
+    return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+
+
+def test_long_words_that_polynomials_take_for_equal(spark):
+    """Different words whose polynomials modulo 2**64 are the same for every odd base."""
+    one, two = thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")
+    rows = [(1, " ".join([one] * 35), None, None), (2, " ".join([two] * 35), None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    made = substrings.remove_repeats(df.select("doc_id", "text"), window=35)
+    assert {r.doc_id: r.n_removed for r in made.collect()} == {1: 0, 2: 0}
+    linked = jaccard.near_groups(df.select("doc_id", "text"), n=3, percent=90).collect()
+    assert sorted(r.component_id for r in linked) == [1, 2]
+    words = Words([one.encode(), two.encode()])
+    assert words.hashes[0] != words.hashes[1]
