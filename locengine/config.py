@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,12 +71,43 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_scratch: list[str] | None = None
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back.
 
     Used after model calls: a written table is never inferred again when an executor is
-    lost or when several consumers read it, and it cuts the lineage.
+    lost or when several consumers read it, and it cuts the lineage. The shuffle files of the
+    write are removed as soon as it is done, since nothing reads them again.
     """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    before = spark.conf.get(_SHUFFLES, None)
+    spark.conf.set(_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_SHUFFLES) if before is None else spark.conf.set(_SHUFFLES, before)
+    if _scratch is not None:
+        _scratch.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(paths: list[str]):
+    """Note the tables that ``materialise`` writes meanwhile, for ``release``."""
+    global _scratch
+    before, _scratch = _scratch, paths
+    try:
+        yield paths
+    finally:
+        _scratch = before
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Remove written tables that no DataFrame needs any more."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
