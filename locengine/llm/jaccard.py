@@ -18,7 +18,8 @@ sets differ in at least as many elements as their sketches in bits, so a pair wh
 differ in too many is dropped before any set is moved, and no link is lost. Pairs that are left
 form groups; the sets of a small group are brought together once and compared. Of a large group,
 the pairs that verified links have not connected yet are compared. In a larger
-bucket each node is compared with one pivot only. Nodes that are not linked with the pivot
+bucket each node is compared with one pivot only, first with the one of its heaviest bucket; a
+bucket whose nodes are all connected by that is done. Nodes that are not linked with the pivot
 may be linked with other nodes of the bucket. Two of them that are near the pivot have nearly
 the same difference from it, so they share one of the rarest elements of it; two that are far
 from it share one of their own rarest elements. Those meet in new, smaller buckets, and so on
@@ -370,6 +371,31 @@ def _sized(buckets: DataFrame) -> DataFrame:
     return buckets.join(sizes, "bucket")
 
 
+def _pivots(large: DataFrame) -> DataFrame:
+    """(bucket, weight, u1): of each bucket the member that stands in most large buckets."""
+    weight = large.groupBy("t1").agg(F.sum("members").alias("weight"))
+    best = large.join(weight, "t1").groupBy("bucket").agg(F.max(F.struct("weight", "t1")).alias("p"))
+    return best.select("bucket", F.col("p.weight").alias("weight"), F.col("p.t1").alias("u1"))
+
+
+def _stars(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of nodes with one pivot each: the heaviest of their buckets."""
+    own = large.select("bucket", "t1").join(_pivots(large), "bucket").groupBy("t1")
+    pairs = own.agg(F.max(F.struct("weight", "u1"))["u1"].alias("u1")).where("t1 <> u1")
+    return _links(pairs, sets, percent)
+
+
+def _unsettled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Buckets (bucket, t1, members) whose nodes links have not connected yet, whole."""
+    own = buckets.select("bucket", "t1").join(labels, "t1", "left")
+    label = F.coalesce("label", "t1")
+    ends = own.groupBy("bucket").agg(
+        F.min(label).alias("low"), F.max(label).alias("high"), F.count(F.lit(1)).alias("members")
+    )
+    open_ = ends.where("low <> high").select("bucket", "members")
+    return buckets.select("bucket", "t1").join(open_, "bucket")
+
+
 def _refined(large: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, ...]:
     """Of large buckets (bucket, t1, members): links with the pivots, buckets of nodes near the
     pivots, and the nodes far from them.
@@ -383,12 +409,7 @@ def _refined(large: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame
     t = (|X| + |Y| - c * (nx + ny)) / 2 elements. With the least |X| - c * nx of the pivot's
     nodes that are not linked, any |Y| - t + 1 elements of Y hold a shared one: the rarest.
     """
-    weight = large.groupBy("t1").agg(F.sum("members").alias("weight"))
-    best = (
-        large.join(weight, "t1")
-        .groupBy("bucket")
-        .agg(F.max(F.struct("weight", "t1"))["t1"].alias("u1"))
-    )
+    best = _pivots(large).select("bucket", "u1")
     pivoted = materialise(
         large.select("bucket", "t1").join(best, "bucket").where("t1 <> u1"), "pivots"
     )
@@ -570,12 +591,20 @@ def links_of(pairs: DataFrame, large: DataFrame, sets: DataFrame, percent: int)
 
 
 def _split_links(large: DataFrame, sets: DataFrame, percent: int, rounds: int = 8) -> DataFrame:
-    """Links of texts in large buckets (bucket, t1, members), by pivots and smaller buckets."""
-    found = None
+    """Links of texts in large buckets (bucket, t1, members), by pivots and smaller buckets.
+
+    First every node is compared with one pivot. Nodes that these links connect need no others
+    between them: buckets of which all are connected are left out, and so are their pairs.
+    """
+    found = materialise(_stars(large, sets, percent), "links")
+    joined = components(found).select(F.col("node.t1").alias("t1"), F.col("label.t1").alias("label"))
+    labels = materialise(joined.dropDuplicates(["t1"]), "labels")
+    large = materialise(_unsettled(large, labels), "large")
     for turn in range(rounds):
-        if found is not None and large.limit(1).isEmpty():
+        if large.limit(1).isEmpty():
             return found
         links, near, far = _refined(large, sets, percent)
+        near = near.join(labels, "t1", "left").withColumn("label", F.coalesce("label", "t1"))
         near = materialise(near, "near")
         sizes = near.groupBy("bucket").agg(
             F.sum(F.col("index").cast("long")).alias("indexed"),
@@ -587,9 +616,12 @@ def _split_links(large: DataFrame, sets: DataFrame, percent: int, rounds: int =
         ends = sized.where(few)
         pairs = (
             ends.where("index")
-            .select("bucket", F.col("t1").alias("x"))
-            .join(ends.where("probe").select("bucket", F.col("t1").alias("y")), "bucket")
-            .where("x <> y")
+            .select("bucket", F.col("t1").alias("x"), F.col("label").alias("l"))
+            .join(
+                ends.where("probe").select("bucket", F.col("t1").alias("y"), F.col("label").alias("r")),
+                "bucket",
+            )
+            .where("x <> y and l <> r")
             .select(F.least("x", "y").alias("t1"), F.greatest("x", "y").alias("u1"))
         )
         # Far nodes meet by their own rarest elements, later without the pivots' near ones.
@@ -598,7 +630,7 @@ def _split_links(large: DataFrame, sets: DataFrame, percent: int, rounds: int =
         most = SMALL << turn
         pairs = pairs.unionByName(_pairs_of(far.where(F.col("members") <= most))).distinct()
         links = links.unionByName(_links(pairs, sets, percent))
-        found = materialise(links if found is None else found.unionByName(links), "links")
+        found = materialise(found.unionByName(links), "links")
         large = sized.where(~few).select("bucket", "t1", "members").unionByName(
             far.where(F.col("members") > most).select("bucket", "t1", "members")
         )
