@@ -19,6 +19,7 @@ class Limits:
     batch_max_segments: int = 5
     max_retries: int = 3
     temperature: float = 0.3
+    context_tokens: int = 8192  # what a model is asked to keep of prompt and reply
     high_threshold: float = 0.85
     low_threshold: float = 0.60
     review_threshold: float = 0.6

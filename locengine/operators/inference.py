@@ -36,6 +36,7 @@ class Request:
     prompt: str
     temperature: float
     attempt: int  # 0 for a batch, then 1, 2, ... for a single segment
+    context_tokens: int = LIMITS.context_tokens
 
 
 Translate = Callable[[Request], str]
@@ -72,7 +73,7 @@ def translate_batches(
 ) -> DataFrame:
     """Add ``reply`` and ``error`` to rows with ``file_type`` and ``entries``; the reply is null
     after a timeout, and after a fault, which ``error`` tells."""
-    temperature, systems = limits.temperature, _systems(prompts)
+    temperature, context, systems = limits.temperature, limits.context_tokens, _systems(prompts)
 
     def call(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -81,7 +82,7 @@ def translate_batches(
                 prompt = DELIMITER.join(e["text"] for e in entries)
                 reply, error = None, None
                 try:
-                    reply = fn(Request(systems.value.get(file_type), prompt, temperature, 0))
+                    reply = fn(Request(systems.value.get(file_type), prompt, temperature, 0, context))
                 except TimeoutError:
                     pass
                 except Exception as e:  # whatever the caller's function raises is its row's
@@ -124,7 +125,7 @@ def retry_single(
             prompt = system if n == 1 or system is None else system + warning
             error = None
             try:
-                answer = fn(Request(prompt, text, temperature, n)).strip()
+                answer = fn(Request(prompt, text, temperature, n, limits.context_tokens)).strip()
             except TimeoutError:
                 answer = text
             except Exception as e:  # whatever the caller's function raises is its row's
