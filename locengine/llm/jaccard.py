@@ -575,7 +575,7 @@ def links_of(pairs: DataFrame, large: DataFrame, sets: DataFrame, percent: int)
     found = materialise(near.select(a, b), "near")
     if not large.limit(1).isEmpty():
         hot = materialise(sets.join(large.select("t1").distinct(), "t1", "left_semi"), "sets")
-        found = materialise(found.unionByName(_split_links(large, hot, percent)), "found")
+        found = materialise(_split_links(large, hot, percent, found), "found")
     many = label.where(F.col("members") > 2 * SMALL).select("t1")
     if many.limit(1).isEmpty():
         return found
@@ -590,17 +590,20 @@ def links_of(pairs: DataFrame, large: DataFrame, sets: DataFrame, percent: int)
     return found.unionByName(_links(apart, sets, percent))
 
 
-def _split_links(large: DataFrame, sets: DataFrame, percent: int, rounds: int = 8) -> DataFrame:
-    """Links of texts in large buckets (bucket, t1, members), by pivots and smaller buckets.
+def _split_links(
+    large: DataFrame, sets: DataFrame, percent: int, found: DataFrame, rounds: int = 8
+) -> DataFrame:
+    """The links found so far, and those of texts in large buckets (bucket, t1, members), by pivots
+    and smaller buckets.
 
-    First every node is compared with one pivot. Nodes that these links connect need no others
-    between them: buckets of which all are connected are left out, and so are their pairs.
+    First every node is compared with one pivot. Nodes that links connect need no others between
+    them: buckets of which all are connected are left out, and so are their pairs.
     """
-    found = materialise(_stars(large, sets, percent), "links")
-    joined = components(found).select(F.col("node.t1").alias("t1"), F.col("label.t1").alias("label"))
-    labels = materialise(joined.dropDuplicates(["t1"]), "labels")
-    large = materialise(_unsettled(large, labels), "large")
+    found = materialise(found.unionByName(_stars(large, sets, percent)), "links")
     for turn in range(rounds):
+        joined = components(found).select(F.col("node.t1").alias("t1"), F.col("label.t1").alias("label"))
+        labels = materialise(joined.dropDuplicates(["t1"]), "labels")
+        large = materialise(_unsettled(large, labels), "large")
         if large.limit(1).isEmpty():
             return found
         links, near, far = _refined(large, sets, percent)
@@ -610,8 +613,11 @@ def _split_links(large: DataFrame, sets: DataFrame, percent: int, rounds: int =
             F.sum(F.col("index").cast("long")).alias("indexed"),
             F.sum(F.col("probe").cast("long")).alias("probes"),
             F.count(F.lit(1)).alias("members"),
+            F.min("label").alias("low"),
+            F.max("label").alias("high"),
         )
-        sized = near.join(sizes.where("indexed > 0 and probes > 0 and members > 1"), "bucket")
+        open_ = sizes.where("indexed > 0 and probes > 0 and low <> high").drop("low", "high")
+        sized = near.join(open_, "bucket")
         few = F.col("indexed") * F.col("probes") <= 2 * SMALL * F.col("members")
         ends = sized.where(few)
         pairs = (

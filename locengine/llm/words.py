@@ -1,16 +1,14 @@
 """Hashes of words, shingles and windows of many texts at once, in numpy.
 
 Texts are UTF-8 bytes. Words are what ASCII white space (space, tab to carriage return)
-leaves, as bytes.split() has it. A word has its XXH3 hash: a polynomial modulo 2**64 over its
-bytes would be the same for certain long words, whatever its base. Shingles and windows, of few
-words, are Rabin-Karp polynomials over word hashes.
+leaves, as bytes.split() has it. A word's hash is the sum of a mixed value for each of its bytes
+and places; a polynomial modulo 2**64 would be the same for certain long words, whatever its base.
+Shingles and windows, of few words, are Rabin-Karp polynomials over word hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-import xxhash
 
 _PIECE = 1 << 18  # bytes that are hashed at a time
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
@@ -52,17 +50,17 @@ def _polynomials(values: np.ndarray, first: np.ndarray, after: np.ndarray, base:
     return (sums[after] - sums[first]) * powers(inverse, n + 1)[first]
 
 
-def _piece(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    word = ~_SPACE[np.frombuffer(blob, dtype=np.uint8)]
+def _piece(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    word = ~_SPACE[data]
     edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
-    if not len(edge):
-        return np.zeros(0, dtype=np.uint64), edge, edge
-    # Words and the gaps between them, each different one hashed once.
-    offsets = pa.py_buffer(edge.astype(np.int32))
-    cells = pa.BinaryArray.from_buffers(pa.binary(), len(edge) - 1, [None, offsets, pa.py_buffer(blob)])
-    cells = cells.dictionary_encode()
-    own = np.array([xxhash.xxh3_64_intdigest(w) for w in cells.dictionary.to_pylist()], dtype=np.uint64)
-    return own[cells.indices.to_numpy()[::2]], edge[::2], edge[1::2]
+    first, after = edge[::2], edge[1::2]
+    sizes = after - first
+    ends = np.cumsum(sizes)
+    place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+    each = place.astype(np.uint64) << np.uint64(8) | data[word].astype(np.uint64)
+    sums = np.zeros(len(each) + 1, dtype=np.uint64)
+    np.cumsum(mixed(each + np.uint64(_BASES[0])), out=sums[1:])
+    return sums[ends] - sums[ends - sizes], first, after
 
 
 def word_hashes(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,7 +70,7 @@ def word_hashes(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         to = min(len(blob), at + _PIECE)
         while to < len(blob) and not _SPACE[blob[to]]:
             to += 1
-        h, first, after = _piece(blob[at:to])
+        h, first, after = _piece(np.frombuffer(blob, dtype=np.uint8, count=to - at, offset=at))
         parts.append((h, first + at, after + at))
         at = to
     if not parts:
