@@ -11,6 +11,7 @@ where the model is called and is never shuffled.
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -60,6 +61,9 @@ def _systems(prompts: DataFrame) -> Broadcast[dict[str, str]]:
     return prompts.sparkSession.sparkContext.broadcast({r.file_type: r.system for r in rows})
 
 
+_TIMES = [T.StructField(n, T.DoubleType()) for n in ("finished", "seconds")]
+
+
 def _fault(error: Exception) -> str:
     return f"{type(error).__name__}: {error}"
 
@@ -72,15 +76,16 @@ def translate_batches(
     limits: Limits = LIMITS,
 ) -> DataFrame:
     """Add ``reply`` and ``error`` to rows with ``file_type`` and ``entries``; the reply is null
-    after a timeout, and after a fault, which ``error`` tells."""
+    after a timeout, and after a fault, which ``error`` tells. ``finished`` (seconds since 1970)
+    and ``seconds`` are the time of the call."""
     temperature, context, systems = limits.temperature, limits.context_tokens, _systems(prompts)
 
     def call(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            replies, errors = [], []
+            replies, errors, times = [], [], []
             for file_type, entries in zip(pdf["file_type"], pdf["entries"]):
                 prompt = DELIMITER.join(e["text"] for e in entries)
-                reply, error = None, None
+                reply, error, began = None, None, time.time()
                 try:
                     reply = fn(Request(systems.value.get(file_type), prompt, temperature, 0, context))
                 except TimeoutError:
@@ -89,11 +94,13 @@ def translate_batches(
                     error = _fault(e)
                 replies.append(reply)
                 errors.append(error)
+                times.append((time.time(), time.time() - began))
             made = {"reply": replies, "error": errors}
-            yield pdf.assign(**{k: pd.Series(v, index=pdf.index, dtype=object) for k, v in made.items()})
+            made = {k: pd.Series(v, index=pdf.index, dtype=object) for k, v in made.items()}
+            yield pdf.assign(**made, finished=[t[0] for t in times], seconds=[t[1] for t in times])
 
     added = [T.StructField(n, T.StringType()) for n in ("reply", "error")]
-    schema = T.StructType([*batches.schema.fields, *added])
+    schema = T.StructType([*batches.schema.fields, *added, *_TIMES])
     return spread_calls(batches, concurrency).mapInPandas(call, schema)
 
 
@@ -136,14 +143,18 @@ def retry_single(
 
     def call(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            done = [
-                attempt_row(*row) for row in zip(pdf["file_type"], pdf["_warning"], pdf["text"])
-            ]
+            done, times = [], []
+            for row in zip(pdf["file_type"], pdf["_warning"], pdf["text"]):
+                began = time.time()
+                done.append(attempt_row(*row))
+                times.append((time.time(), time.time() - began))
             made = {
                 "translated_text": [d[0] for d in done],
                 "retry_count": [d[1] for d in done],
                 "accepted": [d[2] for d in done],
                 "error": pd.Series([d[3] for d in done], index=pdf.index, dtype=object),
+                "finished": [t[0] for t in times],
+                "seconds": [t[1] for t in times],
             }
             yield pdf[names].assign(**made)
 
@@ -155,6 +166,7 @@ def retry_single(
             T.StructField("retry_count", T.IntegerType()),
             T.StructField("accepted", T.BooleanType()),
             T.StructField("error", T.StringType()),
+            *_TIMES,
         ]
     )
     warned = base.withColumn("_warning", retry_warning(F.col("text"), F.lit(2)))
@@ -162,7 +174,17 @@ def retry_single(
     return spread_calls(warned, concurrency).mapInPandas(call, schema)
 
 
-def translate_with_retries(
+@dataclass(frozen=True)
+class Translations:
+    """``segments``: ``keys, seq, text, translated_text, retry_count, status, error``.
+    ``calls``: ``keys, segments, finished, seconds, error``, one row per batch and per segment
+    that was sent by itself."""
+
+    segments: DataFrame
+    calls: DataFrame
+
+
+def translate(
     packed: DataFrame,
     prompts: DataFrame,
     fn: Translate,
@@ -170,9 +192,8 @@ def translate_with_retries(
     keys: tuple[str, ...] = ("doc_id",),
     concurrency: int | None = None,
     limits: Limits = LIMITS,
-) -> DataFrame:
-    """Batches, routing and single retries: ``keys, seq, text, translated_text,
-    retry_count, status, error``.
+) -> Translations:
+    """Batches, routing and single retries.
 
     ``status`` is ``accepted``, ``timeout``, ``best_effort`` or ``error``, where every attempt
     ended in the function's own exception or with a wrong answer, the last one in the former;
@@ -195,4 +216,13 @@ def translate_with_retries(
         "status",
         F.when(F.col("accepted"), "accepted").when(F.col("error").isNotNull(), "error").otherwise("best_effort"),
     )
-    return first.select(*columns).unionByName(second.select(*columns))
+    times = ["finished", "seconds", "error"]
+    calls = replies.select(*keys, F.size("entries").alias("segments"), *times).unionByName(
+        again.select(*keys, F.lit(1).alias("segments"), *times)
+    )
+    return Translations(first.select(*columns).unionByName(second.select(*columns)), calls)
+
+
+def translate_with_retries(packed: DataFrame, prompts: DataFrame, fn: Translate, *args, **kwargs) -> DataFrame:
+    """The segments of ``translate``."""
+    return translate(packed, prompts, fn, *args, **kwargs).segments

@@ -85,3 +85,24 @@ def latest_status(events: DataFrame) -> DataFrame:
         F.max_by("status", F.struct(terminal.alias("t"), "ts", "event_id")).alias("status"),
         F.count("*").alias("events"),
     )
+
+
+def corpus_events(calls: DataFrame, status: DataFrame) -> DataFrame:
+    """Progress events of a run, ``job_id, ts, status, progress``: one after each model call of a
+    document, and its last one.
+
+    ``calls`` has ``doc_id, segments, finished``, ``status`` has ``doc_id, status``. The last event
+    comes with the document's last call, or with the run's, where it needed none.
+    """
+    micros = (F.col("finished") * 1_000_000).cast("bigint")
+    batches = calls.select(F.col("doc_id").alias("job_id"), micros.alias("batch_id"), "segments")
+    time = F.timestamp_micros("batch_id").alias("ts")
+    during = job_progress(batches.groupBy("job_id", "batch_id").agg(F.sum("segments").alias("segments"))).select(
+        "job_id", time, F.lit("translating").alias("status"), "progress"
+    )
+    last = batches.groupBy("job_id").agg(F.max("batch_id").alias("own"))
+    end = batches.agg(F.max("batch_id").alias("run"))
+    ends = status.select(F.col("doc_id").alias("job_id"), "status").join(last, "job_id", "left")
+    at = F.timestamp_micros(F.coalesce("own", F.lit(end.head()["run"]).cast("bigint"))).alias("ts")
+    done = F.when(F.col("status") == "failed", 0.0).otherwise(1.0).alias("progress")
+    return during.unionByName(ends.select("job_id", at, "status", done))

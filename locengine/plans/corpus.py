@@ -11,7 +11,7 @@ from locengine.config import LIMITS, Limits, materialise
 from locengine.functions.text import Profile
 from locengine.operators.batch import build_prompts
 from locengine.operators.extract import OFFICE_TYPES, TEXT_TYPES, extract_text
-from locengine.operators.inference import Translate, translate_with_retries
+from locengine.operators.inference import Translate, Translations, translate
 from locengine.operators.memory import (
     build_translation_map,
     merge_reviewed,
@@ -22,8 +22,9 @@ from locengine.operators.ordering import pack_batches, renumber
 from locengine.operators.phrases import translate_paragraphs
 from locengine.operators.quality import classify, confidence_stats
 from locengine.operators.rebuild import rebuild_documents
-from locengine.operators.review import xliff_lines
+from locengine.operators.review import exchange_name, write_xliff, xliff_lines
 from locengine.operators.runs import drop_noise_runs, office_segments, tagged_text
+from locengine.sources.documents import output_path, write_documents
 
 NO_TEXT = "no translatable text"
 UNSUPPORTED = "unsupported type"
@@ -34,7 +35,8 @@ class CorpusResult:
     """``documents`` is null without write-back, ``paragraphs`` without office paragraphs,
     ``exchange`` without an export, ``memory`` when no model was called. ``failures`` are the
     segments on which the model's function raised at the last attempt; their documents fail and
-    are not among ``documents``."""
+    are not among ``documents``. ``calls`` are the model's calls with their times, of the document
+    in which a text stands first (see ``jobs.corpus_events``)."""
 
     segments: DataFrame
     status: DataFrame
@@ -43,6 +45,7 @@ class CorpusResult:
     exchange: DataFrame | None = None
     memory: DataFrame | None = None
     failures: DataFrame | None = None
+    calls: DataFrame | None = None
 
 
 def extract_documents(
@@ -76,11 +79,11 @@ def infer_misses(
     p: str | Profile = "ja",
     concurrency: int | None = None,
     limits: Limits = LIMITS,
-) -> DataFrame:
+) -> Translations:
     """Translate each text that the memory lacks once.
 
     A text that occurs in many documents belongs to its first occurrence; only owners are
-    packed and sent. Returns ``text, translated_text, retry_count, status, error``.
+    packed and sent. The segments are ``text, translated_text, retry_count, status, error``.
     """
     # Repeated texts collapse in each task before the shuffle, and the memory is then joined
     # on the same key: no text is hot any more when it meets the memory.
@@ -95,9 +98,9 @@ def infer_misses(
     batches = pack_batches(owners, limits.batch_max_chars, limits.batch_max_segments)
     packed = owners.join(batches, ["doc_id", "seq"])
     prompts = build_prompts(segments.sparkSession, glossary)
-    return translate_with_retries(
-        packed, prompts, fn, p, concurrency=concurrency, limits=limits
-    ).select("text", "translated_text", "retry_count", "status", "error")
+    made = translate(packed, prompts, fn, p, concurrency=concurrency, limits=limits)
+    columns = ["text", "translated_text", "retry_count", "status", "error"]
+    return Translations(made.segments.select(*columns), made.calls)
 
 
 def answers(memory: DataFrame, results: DataFrame) -> DataFrame:
@@ -245,12 +248,13 @@ def translate_corpus(
         status = document_status(docs, unscored, paragraphs)
         return CorpusResult(empty, status, exchange=exchange(empty))
 
-    merged, new_memory = None, None
+    merged, new_memory, calls = None, None, None
     if mode == "import":
         own = ("doc_id",) if "doc_id" in reviewed.columns else ()
         merged = merge_reviewed(blank, reviewed, own).drop("reviewed")
     else:
-        results = infer_misses(segments, memory, fn, glossary, p, concurrency, limits)
+        inferred = infer_misses(segments, memory, fn, glossary, p, concurrency, limits)
+        results, calls = inferred.segments, inferred.calls
         merged = translated_segments(segments, answers(memory, results))
         last = memory.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("_last"))
         accepted = results.filter("status = 'accepted'").select(
@@ -272,4 +276,40 @@ def translate_corpus(
         exchange=exchange(classified) if mode == "export" else None,
         memory=new_memory,
         failures=failures(classified),
+        calls=calls,
+    )
+
+
+def write_corpus(result: CorpusResult, names: DataFrame, path: str, suffix: str = "_vi") -> DataFrame:
+    """Write the documents, and the exchange files if there are any, below ``path``.
+
+    ``names`` has ``doc_id, filename``. Gives the status of every document with ``output_path``,
+    ``xliff_path`` and ``duration_seconds`` (of its model calls); null where there is none.
+    """
+    names = names.select("doc_id", "filename")
+    made = result.status.join(names, "doc_id", "left")
+    none = F.lit(None).cast("string")
+    output, exchange, seconds = none, none, F.lit(None).cast("double")
+    if result.documents is not None:
+        documents = result.documents.join(names, "doc_id")
+        write_documents(documents, f"{path}/documents", suffix)
+        own = documents.select("doc_id", F.lit(True).alias("_written"))
+        made = made.join(own, "doc_id", "left")
+        place = F.concat(F.lit(f"{path}/documents/"), output_path(F.col("filename"), suffix))
+        output = F.when(F.col("_written"), place)
+    if result.exchange is not None:
+        write_xliff(result.exchange, names, f"{path}/exchange")
+        own = result.exchange.select("doc_id").distinct().withColumn("_sent", F.lit(True))
+        made = made.join(own, "doc_id", "left")
+        place = F.concat(F.lit(f"{path}/exchange/"), exchange_name(F.col("filename"), F.lit(0)))
+        exchange = F.when(F.col("_sent"), place)
+    if result.calls is not None:
+        spent = result.calls.groupBy("doc_id").agg(F.sum("seconds").alias("_seconds"))
+        made = made.join(spent, "doc_id", "left")
+        seconds = F.col("_seconds")
+    return made.select(
+        *result.status.columns,
+        output.alias("output_path"),
+        exchange.alias("xliff_path"),
+        seconds.alias("duration_seconds"),
     )

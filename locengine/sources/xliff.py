@@ -113,7 +113,7 @@ def _note(prefix: str) -> Column:
 def xliff_rows(files: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keys, content`` of exchange files to segments and faults, in file order.
 
-    Columns: ``keys, version, unit_no, unit_id, text, translated_text, xliff_state,
+    Columns: ``keys, version, unit_no, seq, unit_id, text, translated_text, xliff_state,
     location, type, confidence, error``. A row with ``error`` has no text.
     """
     k = list(keys)
@@ -133,6 +133,7 @@ def xliff_rows(files: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFra
         *k,
         "version",
         "unit_no",
+        F.col("unit_no").alias("seq"),
         "unit_id",
         F.when(good, F.coalesce("source", F.lit(""))).alias("text"),
         F.when(good, F.when(is_blank(target), "").otherwise(target)).alias("translated_text"),

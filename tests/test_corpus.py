@@ -2,8 +2,10 @@ import sys
 
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
-from locengine.plans.corpus import translate_corpus
+from locengine.operators.jobs import corpus_events
+from locengine.plans.corpus import translate_corpus, write_corpus
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -194,3 +196,32 @@ def test_a_partial_document(spark):
     assert [(r.status, r.segments_count, r.error) for r in result.status.collect()] == [
         ("partial", 1, "word/x.xml: bad checksum")
     ]
+
+
+def test_written_corpus_and_its_events(spark, tmp_path):
+    """Outputs and exchange files under their names, and progress that ends with each status."""
+
+    def raising(request):
+        if "文二" in request.prompt:
+            raise ValueError("no")
+        return model(request)
+
+    docs = spark.createDataFrame(DOCS, "doc_id string, file_type string, text string")
+    memory = spark.createDataFrame([], "source string, target string, seq long")
+    result = translate_corpus(docs, memory, fn=raising, mode="export")
+    names = docs.select("doc_id", F.concat(F.lit("in/"), "doc_id", F.lit(".md")).alias("filename"))
+    status = {r.doc_id: r for r in write_corpus(result, names, str(tmp_path)).collect()}
+    assert {k: r.status for k, r in status.items()} == {
+        "a": "completed", "b": "failed", "c": "failed", "d": "failed",
+    }
+    assert status["a"].output_path == f"{tmp_path}/documents/in/a_vi.md"
+    assert open(status["a"].output_path).read().startswith("# Heading")
+    assert open(status["a"].xliff_path).read().count("<trans-unit") == 4
+    assert (status["b"].output_path, status["d"].xliff_path, status["d"].duration_seconds) == (None, None, None)
+    assert status["a"].duration_seconds >= 0
+    found = corpus_events(result.calls, result.status).orderBy("ts", "progress").collect()
+    events = {}
+    for r in found:
+        events.setdefault(r.job_id, []).append((r.status, round(r.progress, 3)))
+    assert events["c"] == [("failed", 0.0)] and events["a"][-1] == ("completed", 1.0)
+    assert sorted(events["a"])[-1] == ("translating", 0.8) and all(r.ts is not None for r in found)
