@@ -30,6 +30,12 @@ def arriving(spark: SparkSession, path: str, schema, glob: str = "*.parquet") ->
     )
 
 
+def arriving_table(spark: SparkSession, path: str, name: str, schema) -> DataFrame:
+    """A table below ``path`` as a stream: one file of that name, or a folder of files."""
+    # Without braces Spark takes the path for a folder, also if it is a file.
+    return arriving(spark, f"{path.rstrip('/')}/{{{name}}}", schema, "*")
+
+
 def write_batch(rows: DataFrame, out: str, number: int) -> None:
     """The rows of a micro-batch; a batch that is run again replaces what it wrote before."""
     rows.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={number}")

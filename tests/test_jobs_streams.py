@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from locengine.operators import jobs
 from locengine.operators.extract import extract_text
 from locengine.operators.memory import latest_memory, lookup_memory, write_memory
-from locengine.streaming.streams import arriving, stream_lookup, stream_status, write_batch
+from locengine.streaming.streams import arriving, arriving_table, stream_lookup, stream_status, write_batch
 
 T0 = dt.datetime(2024, 1, 1)
 EVENT = "job_id long, event_id long, ts timestamp, status string"
@@ -175,3 +175,20 @@ def test_a_setting_is_given_back(spark, tmp_path):
     before = spark.conf.get(key)
     status_run(spark, tmp_path, "a", [(1, 1, T0, "pending")], [])
     assert spark.conf.get(key) == before
+
+
+def test_table_in_one_file_or_many_arrives(spark, tmp_path):
+    """A table is a folder of files, as large ones are, or one file of its name."""
+    rows = spark.range(9).withColumnRenamed("id", "doc_id")
+    rows.repartition(3).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "part"))
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "part").glob("part-*")).rename(tmp_path / "one" / "documents.parquet")
+    rows.write.parquet(str(tmp_path / "many" / "others.parquet"))
+    for kind in ("one", "many"):
+        found = []
+        stream = arriving_table(spark, str(tmp_path / kind), "documents.parquet", rows.schema)
+        stream.writeStream.foreachBatch(lambda df, _: found.extend(df.collect())).option(
+            "checkpointLocation", str(tmp_path / f"state-{kind}")
+        ).trigger(availableNow=True).start().awaitTermination()
+        assert sorted(r.doc_id for r in found) == list(range(9))
