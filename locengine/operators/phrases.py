@@ -5,6 +5,9 @@ windows of a text of the same lengths meet the heads of their document in an equ
 hash, so a text is paired only with phrases that begin in it alike, however many its document
 has. A head is 64 characters or at least half its phrase, so hardly any other shares it.
 
+A document of few phrases (``FEW``) brings all of them to each of its runs: a run of texts is then
+met by a bounded number of phrases, and no window has to be sent.
+
 Texts are worked on in runs of a document. Phrases are replaced one after the other, longest
 first, and a replacement can make others occur that no text of the run held before. `missing`
 reports windows around replacements that may be such heads; those that are bring their
@@ -31,6 +34,7 @@ from locengine.operators.runs import FOOTNOTE_ANY
 HEADS = (1, 2, 4, 8, 16, 32, 64)
 TEXTS_PER_RUN = 256
 RUNS_AT_A_TIME = 64
+FEW = 1024  # phrases of a document that go to all its runs
 PIECE = 1 << 20  # characters that are hashed at a time
 BITS = 1 << 24  # 2 MB; it spares rows without a partner, the join decides
 _BASE = 0x9E3779B97F4A7C15
@@ -183,11 +187,11 @@ def _probes(texts: DataFrame, keys: list[str], sizes: list[int], bits) -> DataFr
 class Phrases:
     """The phrases that a run's texts may hold: found by head, replaced in order."""
 
-    def __init__(self, entries: list[dict], sizes: list[int], group: int):
+    def __init__(self, entries: list[dict], sizes: list[int], group: int, has_all: bool):
         ordered = sorted(entries, key=lambda e: (-len(e["source"]), e["_first"], e["source"]))
         self.pairs = [(e["source"], e["target"]) for e in ordered]
         self.whole = dict(self.pairs)
-        self.sizes, self.group = sizes, group
+        self.sizes, self.group, self.all = sizes, group, has_all
         self.heads: dict[str, list[int]] = {}
         self.by_key: dict[int, list[int]] = {}
         for rank, e in enumerate(ordered):
@@ -231,17 +235,18 @@ class Phrases:
         return (self.whole[plain], "plain") if plain in self.whole else None
 
 
-def _contained(
-    texts: list[str], tables: list[Phrases], sizes: list[int], bits: np.ndarray
-) -> list[set[int]]:
+def _contained(texts: list[str], tables: list[Phrases], sizes: list[int]) -> list[set[int]]:
     """Per text the phrases of its table that it holds."""
     keys = np.unique(np.array([k for t in {id(t): t for t in tables}.values() for k in t.by_key], dtype=np.int64))
     out: list[set[int]] = [set() for _ in texts]
     if not len(keys):
         return out
+    slots = (1 << (16 * len(keys)).bit_length()) - 1
+    some_key = np.zeros(slots + 1, dtype=bool)
+    some_key[keys & slots] = True
 
     def known(found: np.ndarray) -> np.ndarray:
-        may = _may_be(bits, found)
+        may = some_key[found & slots]
         some = found[may]
         may[may] = keys[np.searchsorted(keys[:-1], some)] == some
         return may
@@ -256,7 +261,7 @@ def _missing(tables: list[Phrases], sizes: list[int], bits: np.ndarray) -> set[t
     """(table, key) of windows around replacements that may be heads of phrases it has not."""
     out: set[tuple[int, int]] = set()
     for size in sizes:
-        own = [(i, text) for i, t in enumerate(tables) for n, text in t.changed if n == size]
+        own = [(i, text) for i, t in enumerate(tables) if not t.all for n, text in t.changed if n == size]
         groups = [tables[i].group for i, _ in own]
         few = [n for n in sizes if n <= size]
         for keys, text, _ in windows([t for _, t in own], groups, few, lambda h: _may_be(bits, h)):
@@ -266,9 +271,12 @@ def _missing(tables: list[Phrases], sizes: list[int], bits: np.ndarray) -> set[t
     return out
 
 
-def _work(runs: list[dict], ids: list[str], sizes: list[int], bits: np.ndarray) -> Iterator[dict]:
-    """Rows of some runs: texts with their translation, then windows to look up."""
-    tables = [Phrases(r["_entries"] or [], sizes, r["_group"]) for r in runs]
+def _work(
+    runs: list[dict], ids: list[str], sizes: list[int], bits: np.ndarray | None
+) -> Iterator[dict]:
+    """Rows of some runs: texts with their translation, then windows to look up, of which a
+    document of few phrases has none."""
+    tables = [Phrases(r["_entries"], sizes, r["_group"], r["_all"]) for r in runs]
     texts = [(i, t) for i, r in enumerate(runs) for t in r["_texts"]]
     done: list[tuple[str | None, str | None]] = [(None, None)] * len(texts)
     for text, plain, prefix in (("_text", "_plain", ""), ("_bare", "_bare_plain", "untagged_")):
@@ -282,13 +290,13 @@ def _work(runs: list[dict], ids: list[str], sizes: list[int], bits: np.ndarray)
                     done[j] = whole[0], prefix + whole[1]
         own = [tables[texts[j][0]] for j in left]
         plains = [texts[j][1][plain] for j in left]
-        for j, table, form, waiting in zip(left, own, plains, _contained(plains, own, sizes, bits), strict=True):
+        for j, table, form, waiting in zip(left, own, plains, _contained(plains, own, sizes), strict=True):
             made = table.replaced(form, waiting)
             if made is not None:
                 done[j] = made, prefix + "phrase"
     for (i, t), (found, kind) in zip(texts, done, strict=True):
         yield {c: runs[i][c] for c in ids} | t | {"translated_text": found, "match_kind": kind}
-    for i, key in _missing(tables, sizes, bits):
+    for i, key in () if bits is None else _missing(tables, sizes, bits):
         yield {c: runs[i][c] for c in ids} | {"_missing": key}
 
 
@@ -300,7 +308,7 @@ def _replace(runs: DataFrame, keys: list[str], out: T.StructType, sizes: list[in
         for batch in batches:
             for a in range(0, batch.num_rows, RUNS_AT_A_TIME):
                 some = batch.slice(a, RUNS_AT_A_TIME).to_pylist()
-                rows = list(_work(some, [*keys, "_run"], sizes, bits.value))
+                rows = list(_work(some, [*keys, "_run"], sizes, bits and bits.value))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r.get(f.name) for r in rows], f.type) for f in arrow], schema=arrow
                 )
@@ -339,17 +347,21 @@ def apply_translation_map(
     k = list(keys)
     ids = [*k, "_run"]
     spark = texts.sparkSession
-    trimmed = strip_ws(F.col("text"))
-    bare = F.when(F.col("text").rlike(TAG), strip_ws(strip_tags(F.col("text"))))
-    no = F.lit(None).cast("string")
-    forms = {
-        "_text": trimmed,
-        "_plain": F.regexp_replace(trimmed, FOOTNOTE_ANY, ""),
-        "_bare": bare if untagged else no,
-        "_bare_plain": F.regexp_replace(bare, FOOTNOTE_ANY, "") if untagged else no,
-    }
+
+    def with_forms(text: Column, *more: Column) -> Column:
+        trimmed = strip_ws(text)
+        bare = F.when(text.rlike(TAG), strip_ws(strip_tags(text)))
+        no = F.lit(None).cast("string")
+        return F.struct(
+            *more,
+            trimmed.alias("_text"),
+            F.regexp_replace(trimmed, FOOTNOTE_ANY, "").alias("_plain"),
+            (bare if untagged else no).alias("_bare"),
+            (F.regexp_replace(bare, FOOTNOTE_ANY, "") if untagged else no).alias("_bare_plain"),
+        )
+
     own = [c for c in texts.columns if c not in keys]
-    cut = texts.withColumn("_run", bucket_of("seq", TEXTS_PER_RUN)).withColumns(forms)
+    cut = texts.withColumns({"_run": bucket_of("seq", TEXTS_PER_RUN), "_group": F.xxhash64(*k)})
     index = materialise(_index(tmap, k), "phrases")
     sizes = sorted(r[0] for r in index.select("_size").distinct().collect())  # powers of two
     out = T.StructType(
@@ -363,24 +375,46 @@ def apply_translation_map(
     result = [*texts.columns, "translated_text", "match_kind"]
     if not sizes:
         return texts.select("*", *(F.lit(None).cast("string").alias(c) for c in result[-2:])).select(*result)
-    bits = spark.sparkContext.broadcast(_bits_of(index))
-    entries = F.struct("source", "target", "_first", "_size", "_key")
-    phrases = index.select("_key", entries.alias("_entry"))
-
-    def bring(windows: DataFrame) -> DataFrame:
-        return windows.join(phrases, "_key").select(*ids, "_entry")
-
-    runs = cut.groupBy(*ids).agg(
-        F.collect_list(F.struct(*own, *forms)).alias("_texts")
-    ).withColumn("_group", F.xxhash64(*k))
-    found = materialise(bring(_probes(cut, k, sizes, bits)), "run_phrases")
-    todo, made = runs, None
+    entry = F.struct("source", "target", "_first", "_size", "_key").alias("_entry")
+    many = materialise(
+        index.groupBy("_group").count().filter(F.col("count") > FEW).select("_group"), "many_phrases"
+    )
+    few = index.join(many, "_group", "left_anti").select("_group", entry)
+    runs_of = cut.select(*ids, "_group").distinct()
+    found = runs_of.join(few, "_group").select(*ids, "_entry", F.lit(True).alias("_all"))
+    bits = None
+    if not many.isEmpty():
+        rest = index.join(many, "_group", "left_semi")
+        bits = spark.sparkContext.broadcast(_bits_of(rest))
+        phrases = rest.select("_key", entry)
+
+        def bring(windows: DataFrame) -> DataFrame:
+            return windows.join(phrases, "_key").select(*ids, "_entry", F.lit(False).alias("_all"))
+
+        looked = cut.join(many, "_group", "left_semi").select("*", with_forms(F.col("text")).alias("_f"))
+        found = found.unionByName(bring(_probes(looked.select("*", "_f.*"), k, sizes, bits)))
+        found = materialise(found, "run_phrases")  # again in each round
+
+    def gathered(texts: DataFrame, found: DataFrame) -> DataFrame:
+        """Runs with their texts and phrases, which meet in one shuffle."""
+        text = texts.select(*ids, F.struct(*own).alias("_row"))
+        both = text.unionByName(found, allowMissingColumns=True)
+        grouped = both.groupBy(*ids).agg(
+            F.collect_list("_row").alias("_rows"),
+            F.collect_set("_entry").alias("_entries"),
+            F.coalesce(F.bool_or("_all"), F.lit(False)).alias("_all"),
+        )
+        formed = F.transform("_rows", lambda r: with_forms(r["text"], *(r[c].alias(c) for c in own)))
+        return grouped.select(*ids, formed.alias("_texts"), F.xxhash64(*k).alias("_group"), "_entries", "_all")
+
+    todo, made = cut, None
     while True:
-        gathered = found.groupBy(*ids).agg(F.collect_set("_entry").alias("_entries"))
-        done = materialise(_replace(_on(todo, gathered, ids, "left"), k, out, sizes, bits), "replaced")
+        done = materialise(_replace(gathered(todo, found), k, out, sizes, bits), "replaced")
+        settled = done.filter("_missing IS NULL").select(*result, *(c for c in ids if c not in result))
+        if bits is None:
+            return settled.select(*result)
         asked = bring(done.filter("_missing IS NOT NULL").select(*ids, F.col("_missing").alias("_key")))
         more = materialise(asked, "run_phrases")
-        settled = done.filter("_missing IS NULL")
         again = more.select(*ids).distinct()
         if more.isEmpty():
             return (settled if made is None else made.unionByName(settled)).select(*result)
@@ -388,7 +422,7 @@ def apply_translation_map(
             again.alias("y"), [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in ids], "left_anti"
         )
         made = kept if made is None else made.unionByName(kept)
-        todo = _on(runs, again, ids, "left_semi")
+        todo = _on(cut, again, ids, "left_semi")
         found = _on(found, again, ids, "left_semi").unionByName(more)
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from locengine.operators.extract import extract_text
 from locengine.operators.memory import build_translation_map
+from locengine.operators import phrases
 from locengine.operators.phrases import apply_translation_map
 from locengine.operators.rebuild import LINES, rebuild_documents, rewrite_lines
 
@@ -175,6 +176,27 @@ def test_phrases_that_only_replacements_make(spark):
     assert [r.translated_text for r in left.collect()] == [None] * 4
 
 
+def test_documents_of_few_phrases_send_no_windows(spark, monkeypatch):
+    """Nothing is looked up by windows where every document has few phrases; the results are
+    those of the lookup, of which documents of many phrases have need."""
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choices("abc", k=n))
+    pairs = [(d if d else None, word(1 + i % 4), word(2), i) for d in range(6) for i in range(20 * d + 5)]
+    texts = [(d if d else None, i * 100, word(20)) for d in range(6) for i in range(12)]
+    tmap = spark.createDataFrame(pairs, "doc_id long, source string, target string, seq long").dropDuplicates(
+        ["doc_id", "source"]
+    ).localCheckpoint()
+    rows = spark.createDataFrame(texts, "doc_id long, seq long, text string")
+    found = []
+    for few in (0, 15, 1024):
+        monkeypatch.setattr(phrases, "FEW", few)
+        if few == 1024:
+            monkeypatch.setattr(phrases, "_probes", None)
+        out = apply_translation_map(rows, tmap).collect()
+        found.append(sorted(map(str, out)))
+    assert len(found[0]) == len(texts) and found[0] == found[1] == found[2]
+
+
 def test_very_long_texts_and_phrases(spark, monkeypatch):
     rng = random.Random(9)
     long = "".join(rng.choices("ab ", k=5000))
