@@ -16,6 +16,7 @@ from locengine.functions.text import (
     TAG,
     WHITESPACE,
     Profile,
+    has_script,
     is_translatable,
     let,
     strip_tags,
@@ -104,10 +105,14 @@ def tag_runs(paragraphs: DataFrame, p: str | Profile = "ja") -> DataFrame:
     wanted = is_translatable(F.col("text"), p)
     if "error" in paragraphs.columns:
         wanted = wanted | F.col("error").isNotNull()
+    # Tags and joints bring no character of the script, so runs without one need no tagging.
+    def tagged(runs: Column) -> Column:
+        return F.when(F.exists(runs, lambda r: has_script(r["text"], p)), tagged_text(runs))
+
     # The explode of one element keeps the filter above the tagging, which would otherwise
     # be pushed down and computed a second time.
     return (
-        paragraphs.select("*", F.explode(F.array(tagged_text(F.col("runs")))).alias("text"))
+        paragraphs.select("*", F.explode(F.array(let(F.col("runs"), tagged))).alias("text"))
         .filter(wanted)
         .select(
             *[c for c in paragraphs.columns if c not in ("runs", "kind", "ordinal")],
