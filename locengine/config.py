@@ -36,8 +36,9 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    # Rows sent to Python workers can be large (packages, batches, documents).
-    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
+    # Rows sent to Python workers can be large (packages, batches, documents), and several workers
+    # of a task hold a batch, its Python objects and what they make of it at the same time.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 

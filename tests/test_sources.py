@@ -1,8 +1,10 @@
 import io
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from locengine.config import new_path, work_dir
 from locengine.operators.runs import office_segments
@@ -293,3 +295,16 @@ def test_inputs_keep_their_texts(spark):
     back = str.maketrans(fixtures.KANA, fixtures.ACCENTED)
     for r in documents.decode_corpus(fixtures.byte_files(spark, d)).collect():
         assert r.text.translate(back) == texts[r.doc_id]
+
+
+def test_batches_of_long_bytes_are_small():
+    """Rows with long bytes are sent on before there are many of them."""
+    class Frame:
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    schema = T.StructType().add("i", "integer").add("packed", "binary")
+    run = explode_rows(Frame(), lambda row: ({"i": k, "packed": b"x" * (1 << 20)} for k in range(row["n"])), schema)
+    sent = list(run(iter([pa.RecordBatch.from_pylist([{"n": 20}, {"n": 3}])])))
+    assert [k for b in sent for k in b.column(0).to_pylist()] == [*range(20), *range(3)]
+    assert max(b.nbytes for b in sent) < 8 << 20
