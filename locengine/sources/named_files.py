@@ -9,6 +9,7 @@ see half a file. What passes through the driver is one folder name per task.
 from __future__ import annotations
 
 import io
+import posixpath
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -18,11 +19,15 @@ from itertools import islice
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from locengine.sources.arrow import explode_rows
+
 FORMAT = "locengine_files"
+FOLDERS = 256  # that are walked in tasks, if there are as many
 DONE = "_SUCCESS"
 NAMES = "names"
 
@@ -135,3 +140,41 @@ def write_named(rows: DataFrame, path: str, overwrite: bool = False, ordered: bo
     rows.sparkSession.dataSource.register(NamedFiles)
     mode = "overwrite" if overwrite else "append"
     rows.select("name", "content").write.format(FORMAT).mode(mode).save(path)
+
+
+def _entries(system: pafs.FileSystem, folder: str) -> list[pafs.FileInfo]:
+    """What a folder holds, but hidden files and folders, as Spark's readers see it."""
+    found = system.get_file_info(pafs.FileSelector(folder))
+    return [i for i in found if not i.base_name.startswith(("_", "."))]
+
+
+def read_named(spark: SparkSession, path: str, ending: str) -> DataFrame:
+    """(name, content) of the files below ``path`` whose names have this ending.
+
+    The driver goes down level by level until there are folders enough for all tasks; these walk
+    them and read the files. Spark's file index asks a local file system for the owner and the
+    rights of each file by a process of its own, which takes longer than all else.
+    """
+    system, root = pafs.FileSystem.from_uri(path)
+    root = root.rstrip("/")
+    walked, level = [], [root]  # folders of which only the own files are left, and whole ones
+    while level and len(level) < FOLDERS:
+        walked += level
+        inner = [i.path for f in level for i in _entries(system, f) if i.type == pafs.FileType.Directory]
+        level = inner
+    rows = [(f, False) for f in walked] + [(f, True) for f in level]
+
+    def files(row: dict) -> Iterator[dict]:
+        own, _ = pafs.FileSystem.from_uri(path)
+        folders = [row["folder"]]
+        while folders:
+            for i in _entries(own, folders.pop()):
+                if i.type == pafs.FileType.Directory:
+                    folders += [i.path] if row["whole"] else []
+                elif i.base_name.endswith(ending):
+                    with own.open_input_file(i.path) as file:
+                        yield {"name": posixpath.relpath(i.path, root), "content": file.read()}
+
+    tasks = max(spark.sparkContext.defaultParallelism, min(len(rows), FOLDERS))
+    folders = spark.createDataFrame(rows, "folder string, whole boolean").repartition(tasks)
+    return explode_rows(folders, files, StructType().add("name", "string").add("content", "binary"))

@@ -10,7 +10,7 @@ from locengine.config import new_path, work_dir
 from locengine.operators.runs import office_segments
 from locengine.plans import fixtures
 from locengine.plans.corpus import extract_documents
-from locengine.sources import documents
+from locengine.sources import documents, named_files
 from locengine.sources.arrow import explode_rows
 from locengine.sources.office import office_paragraphs, read_office
 
@@ -308,3 +308,17 @@ def test_batches_of_long_bytes_are_small():
     sent = list(run(iter([pa.RecordBatch.from_pylist([{"n": 20}, {"n": 3}])])))
     assert [k for b in sent for k in b.column(0).to_pylist()] == [*range(20), *range(3)]
     assert max(b.nbytes for b in sent) < 8 << 20
+
+
+def test_named_files_are_read_by_tasks(spark, tmp_path, monkeypatch):
+    """Files of all levels, with few and with many folders, but hidden ones and other endings."""
+    names = {f"{a}/{b}/{c}.md": f"{a}{b}{c}é" for a in "xy" for b in "pqr" for c in (1, 2)}
+    names |= {"top.md": "", "x/a b%20.md": "t", "x/p/_no.md": "h", ".hidden/no.md": "h", "x/other.txt": "o"}
+    for name, text in names.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    wanted = {n: t.encode() for n, t in names.items() if t not in ("h", "o")}
+    for folders in (1, 2, 3, 256):
+        monkeypatch.setattr(named_files, "FOLDERS", folders)
+        found = named_files.read_named(spark, str(tmp_path), ".md").collect()
+        assert len(found) == len(wanted) and {r["name"]: bytes(r["content"]) for r in found} == wanted
