@@ -18,8 +18,9 @@ sets differ in at least as many elements as their sketches in bits, so a pair wh
 differ in too many is dropped before any set is moved, and no link is lost. Pairs that are left
 form groups; the sets of a small group are brought together once and compared. Of a large group,
 the pairs that verified links have not connected yet are compared. In a larger
-bucket each node is compared with one pivot only. Nodes that are not linked with the pivot
-may be linked with other nodes of the bucket. Two of them that are near the pivot have nearly
+bucket each node is compared with one pivot only, first with that of its heaviest bucket: nodes
+that links have connected give no pairs, and buckets of which all nodes are connected are done.
+Nodes that are not connected with the pivot may be linked with other nodes of the bucket. Two of them that are near the pivot have nearly
 the same difference from it, so they share one of the rarest elements of it; two that are far
 from it share one of their own rarest elements. Those meet in new, smaller buckets, and so on
 until no large bucket is left: no link is lost, and no group gives all pairs.
@@ -181,12 +182,14 @@ def _frequent(rows: DataFrame, n: int, share: float, most: int = 1 << 20) -> np.
                 )
 
     found = chosen.mapInArrow(run, "element long, seen long").groupBy("element")
-    found = found.agg(F.sum("seen").alias("seen")).where("seen >= 4")
+    found = materialise(found.agg(F.sum("seen").alias("seen")).where("seen >= 4"), "frequent")
     table = found.orderBy(F.desc("seen"), "element").limit(most).select("element").toArrow()
     return np.sort(table.column("element").to_numpy().view(np.uint64))
 
 
-def _signed(n: int, percent: int, frequent, arrow: pa.Schema):
+def _signed(n: int, percent: int, frequent, arrow: pa.Schema, turn: int, passes: int):
+    """The signatures of one pass, and in the first one a row per document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seed = 0
         for batch in batches:
@@ -198,6 +201,8 @@ def _signed(n: int, percent: int, frequent, arrow: pa.Schema):
                 count[a:b] = [len(s) for s in sets]
                 _, alone = np.unique(t1[a:b], return_index=True)  # a text once a slice
                 mark, of = signatures([sets[i] for i in alone], percent, frequent.value)
+                own = mark % np.uint64(passes) == turn
+                mark, of = mark[own], of[own]
                 salt, twice = marked(mark)
                 at = a + alone[of] if len(of) else np.zeros(0, dtype=np.int64)
                 empty = pa.nulls(len(mark), pa.int64())
@@ -213,6 +218,8 @@ def _signed(n: int, percent: int, frequent, arrow: pa.Schema):
                     ],
                     schema=arrow,
                 )
+            if turn:
+                continue
             salt = np.arange(seed, seed + rows) % 4096
             seed += rows
             yield pa.RecordBatch.from_arrays(
@@ -308,33 +315,68 @@ def _of_texts(rows: DataFrame, nodes: DataFrame, made, n: int, ddl: str) -> Data
     return found.join(nodes, "t1", "left_semi").dropDuplicates(["t1", "t2"])
 
 
-def _alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs (t1, u1) whose sizes and sketches allow a link."""
+def _alike(members: DataFrame, labels: DataFrame | None, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (t1, u1) of buckets (bucket, t1, held, index, probe): an `index` and a `probe` row
+    that no label holds together and whose sizes and sketches allow a link.
+
+    The sketches go to the members, so pairs without a link are made and dropped inside a task. Of
+    a bucket the `held` rows, one of its sides at least, come first and stay in memory; the
+    others pass by them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, kept = None, []
         for batch in batches:
-            first, other = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            least = np.fromiter(
-                map(least_difference, first, other), dtype=np.int64, count=len(first)
-            )
-            most = (100 - percent) * batch.column(2).to_numpy()
-            kept = batch.filter(pa.array((100 + percent) * least <= most))
-            yield kept.select(["t1", "u1"])
-
-    left = sketches.select("t1", "n", F.col("sketch").alias("first"))
-    right = sketches.select(
-        F.col("t1").alias("u1"), F.col("n").alias("m"), F.col("sketch").alias("other")
+            made: list[tuple[int, int]] = []
+            for now, held, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != bucket:
+                    bucket, kept = now, []
+                index, probe, t, l1, l2, n, first = row
+                for index_, probe_, u, r1, r2, m, other in kept:
+                    if (
+                        (index and probe_ or probe and index_)
+                        and t != u
+                        and (l1 != r1 or l2 != r2)
+                        and min(n, m) * 100 >= max(n, m) * percent
+                        and (100 + percent) * least_difference(first, other) <= (100 - percent) * (n + m)
+                    ):
+                        made.append((t, u) if t < u else (u, t))
+                if held:
+                    kept.append(row)
+            ends = zip(*set(made), strict=True) if made else [(), ()]
+            columns = [pa.array(c, type=pa.int64()) for c in ends]
+            yield pa.RecordBatch.from_arrays(columns, names=["t1", "u1"])
+
+    rows = members.join(sketches, "t1")
+    own = F.struct("t1", "t2")
+    if labels is not None:
+        rows, own = rows.join(labels, "t1", "left"), F.coalesce("l", own)
+    rows = rows.withColumn("own", own).select(
+        "bucket", "held", "index", "probe", "t1", "own.t1", "own.t2", "n", "sketch"
     )
-    near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    rows = pairs.join(left, "t1").join(right, "u1").where(near)
-    rows = rows.select("t1", "u1", (F.col("n") + F.col("m")).alias("sizes"), "first", "other")
+    rows = rows.toDF("bucket", "held", "index", "probe", "t1", "l1", "l2", "n", "sketch")
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket", F.desc("held"))
     return rows.mapInArrow(run, "t1 long, u1 long").distinct()
 
 
-def _pairs_of(buckets: DataFrame) -> DataFrame:
-    """All pairs t1 < u1 of buckets (bucket, t1) of limited size."""
-    other = buckets.select("bucket", F.col("t1").alias("u1"))
-    return buckets.join(other, "bucket").where("t1 < u1").select("t1", "u1").distinct()
+def _whole(buckets: DataFrame) -> DataFrame:
+    """Members of buckets of limited size, all pairs of which count."""
+    yes = F.lit(True)
+    return buckets.select("bucket", "t1", yes.alias("held"), yes.alias("index"), yes.alias("probe"))
+
+
+def _pairs_of(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """All pairs t1 < u1 of buckets (bucket, t1), but those of one label."""
+    own = buckets.select("bucket", "t1").join(labels, "t1", "left")
+    other = own.select("bucket", F.col("t1").alias("u1"), F.col("l").alias("r"))
+    apart = F.expr("t1 < u1 and (l is null or r is null or l <> r)")
+    return own.join(other, "bucket").where(apart).select("t1", "u1").distinct()
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """(t1, l) of the texts of links: the label of their component."""
+    rows = components(links).select(F.col("node.t1").alias("t1"), F.col("label").alias("l"))
+    return materialise(rows, "labels")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, keep: list[str]) -> DataFrame:
@@ -370,28 +412,53 @@ def _sized(buckets: DataFrame) -> DataFrame:
     return buckets.join(sizes, "bucket")
 
 
-def _refined(large: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, ...]:
-    """Of large buckets (bucket, t1, members): links with the pivots, buckets of nodes near the
-    pivots, and the nodes far from them.
+def _pivoted(large: DataFrame) -> DataFrame:
+    """(bucket, t1, u1, weight): each other member of a bucket with the bucket's pivot.
+
+    The pivot of a bucket is the member that stands in most large buckets.
+    """
+    weight = F.sum("members").over(Window.partitionBy("t1"))
+    best = (
+        large.withColumn("weight", weight)
+        .groupBy("bucket")
+        .agg(F.max(F.struct("weight", "t1")).alias("best"))
+        .select("bucket", F.col("best.t1").alias("u1"), F.col("best.weight").alias("weight"))
+    )
+    return materialise(
+        large.select("bucket", "t1").join(best, "bucket").where("t1 <> u1"), "pivots"
+    )
+
+
+def _stars(pivoted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of each node with one pivot: that of the heaviest of its buckets."""
+    pairs = pivoted.groupBy("t1").agg(F.max(F.struct("weight", "u1"))["u1"].alias("u1"))
+    return materialise(_links(pairs, sets, percent), "links")
 
-    The pivot of a bucket is the member that stands in most large buckets. Let X be the
+
+def _unsettled(pivoted: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of buckets whose nodes the links have not connected yet."""
+    other = labels.select(F.col("t1").alias("u1"), F.col("l").alias("r"))
+    ends = pivoted.join(labels, "t1", "left").join(other, "u1", "left")
+    apart = ends.where("l is null or r is null or l <> r").select("bucket").distinct()
+    return pivoted.join(apart, "bucket", "left_semi")
+
+
+def _refined(
+    pivoted: DataFrame, sets: DataFrame, percent: int, found: DataFrame
+) -> tuple[DataFrame, ...]:
+    """Of large buckets with their pivots (bucket, t1, u1): all links found so far, those with the
+    pivots among them, buckets of nodes near the pivots, the nodes far from them, and labels.
+
+    Nodes that links have connected with a pivot need no comparison between them, so only the
+    others are looked up among the nodes near the pivot. Let X be the
     difference of node x from pivot p, n a size, c = (100 - percent) / (100 + percent); linked
     means |X ^ Y| <= c * (nx + ny). With R = 2 * c * (nx + np), the partners of a node whose
     |X| <= R have |Y| <= R + c * (nx + ny), so both are near; two others are both far.
 
     Of near nodes with x not linked with p, x and y are linked only if X and Y share at least
     t = (|X| + |Y| - c * (nx + ny)) / 2 elements. With the least |X| - c * nx of the pivot's
-    nodes that are not linked, any |Y| - t + 1 elements of Y hold a shared one: the rarest.
+    nodes that are not connected, any |Y| - t + 1 elements of Y hold a shared one: the rarest.
     """
-    weight = large.groupBy("t1").agg(F.sum("members").alias("weight"))
-    best = (
-        large.join(weight, "t1")
-        .groupBy("bucket")
-        .agg(F.max(F.struct("weight", "t1"))["t1"].alias("u1"))
-    )
-    pivoted = materialise(
-        large.select("bucket", "t1").join(best, "bucket").where("t1 <> u1"), "pivots"
-    )
     c, share = (100 - percent) / (100 + percent), percent / 100
     rows = _compared(pivoted.select("t1", "u1").distinct(), sets, ["t1", "u1"])
     n, m, size = F.col("n"), F.col("m"), F.col("n") + F.col("m") - 2 * F.col("shared")
@@ -414,30 +481,40 @@ def _refined(large: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame
         F.col("node").alias("a"), F.col("other").alias("b")
     )
     far = pivoted.join(stars.where("far").select("t1", "u1").distinct(), ["t1", "u1"], "left_semi")
-    stars = stars.where("difference is not null")
+    found = materialise(found.unionByName(links), "links")
+    labels = materialise(components(found), "labels")
+    stars = (
+        stars.where("difference is not null")
+        .join(labels.select("node", F.col("label").alias("l")), "node", "left")
+        .join(labels.select(F.col("node").alias("other"), F.col("label").alias("r")), "other", "left")
+        .withColumn("settled", F.coalesce("l", "node") == F.coalesce("r", "other"))
+    )
     size = F.size("difference")
     least = (
-        stars.where("not linked").groupBy("u1").agg(F.min(size - F.col("n") * c).alias("least"))
+        stars.where("not settled").groupBy("u1").agg(F.min(size - F.col("n") * c).alias("least"))
     )
     shared = F.ceil((F.col("least") + size - F.col("n") * c) / 2 - 1e-6)
     rest = stars.join(least, "u1").withColumn(
         "prefix", F.greatest(F.lit(0), size - shared + 1).cast("int")
     )
-    each = rest.select("t1", "u1", "linked", "prefix", F.explode("difference").alias("element"))
-    counts = each.groupBy("u1", "element").agg(F.count(F.lit(1)).alias("nodes"))
+    each = rest.select(
+        "t1", "u1", "settled", "prefix", F.explode("difference").alias("element")
+    )
+    nodes = F.count(F.lit(1)).over(Window.partitionBy("u1", "element"))
     place = F.row_number().over(Window.partitionBy("t1", "u1").orderBy("nodes", "element"))
     buckets = (
-        each.join(counts, ["u1", "element"])
+        each.withColumn("nodes", nodes)
         .withColumn("index", place <= F.col("prefix"))
-        .where("nodes > 1 and (index or not linked)")
+        .where("nodes > 1 and (index or not settled)")
         .select(
             F.xxhash64("u1", "element").alias("bucket"),
             "t1",
             "index",
-            (~F.col("linked")).alias("probe"),
+            (~F.col("settled")).alias("probe"),
         )
     )
-    return links, buckets, far.select("bucket", "t1").distinct()
+    named = labels.select(F.col("node.t1").alias("t1"), F.col("label").alias("l"))
+    return found, buckets, far.select("bucket", "t1").distinct(), named
 
 
 def _common(sets: DataFrame) -> np.ndarray:
@@ -528,9 +605,17 @@ def _verified(percent: int, arrow: pa.Schema):
     return run
 
 
-def links_of(pairs: DataFrame, large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def links_of(
+    pairs: DataFrame,
+    large: DataFrame | None,
+    sets: DataFrame,
+    sketches: DataFrame,
+    stars: DataFrame | None,
+    percent: int,
+) -> DataFrame:
     """Links (a, b) between different texts, as structs of both keys, that connect all that are
-    linked; from pairs (t1, u1) and large buckets (bucket, t1, members).
+    linked; from pairs (t1, u1), large buckets with their pivots (bucket, t1, u1) and the links
+    `stars`, which have connected some already.
 
     Texts that pairs connect form a group. The sets of a group of at most 2 * SMALL texts are
     brought together and compared. Large buckets are split, and of larger groups those pairs are
@@ -552,9 +637,8 @@ def links_of(pairs: DataFrame, large: DataFrame, sets: DataFrame, percent: int)
     a = F.struct(F.col("a1").alias("t1"), F.col("a2").alias("t2")).alias("a")
     b = F.struct(F.col("b1").alias("t1"), F.col("b2").alias("t2")).alias("b")
     found = materialise(near.select(a, b), "near")
-    if not large.limit(1).isEmpty():
-        hot = materialise(sets.join(large.select("t1").distinct(), "t1", "left_semi"), "sets")
-        found = materialise(found.unionByName(_split_links(large, hot, percent)), "found")
+    if large is not None:
+        found = _split_links(large, sets, sketches, percent, found.unionByName(stars))
     many = label.where(F.col("members") > 2 * SMALL).select("t1")
     if many.limit(1).isEmpty():
         return found
@@ -569,13 +653,19 @@ def links_of(pairs: DataFrame, large: DataFrame, sets: DataFrame, percent: int)
     return found.unionByName(_links(apart, sets, percent))
 
 
-def _split_links(large: DataFrame, sets: DataFrame, percent: int, rounds: int = 8) -> DataFrame:
-    """Links of texts in large buckets (bucket, t1, members), by pivots and smaller buckets."""
-    found = None
+def _split_links(
+    pivoted: DataFrame,
+    sets: DataFrame,
+    sketches: DataFrame,
+    percent: int,
+    found: DataFrame,
+    rounds: int = 8,
+) -> DataFrame:
+    """The links found and those of texts in large buckets, by pivots and smaller buckets."""
     for turn in range(rounds):
-        if found is not None and large.limit(1).isEmpty():
+        if pivoted.limit(1).isEmpty():
             return found
-        links, near, far = _refined(large, sets, percent)
+        found, near, far, labels = _refined(pivoted, sets, percent, found)
         near = materialise(near, "near")
         sizes = near.groupBy("bucket").agg(
             F.sum(F.col("index").cast("long")).alias("indexed"),
@@ -584,27 +674,22 @@ def _split_links(large: DataFrame, sets: DataFrame, percent: int, rounds: int =
         )
         sized = near.join(sizes.where("indexed > 0 and probes > 0 and members > 1"), "bucket")
         few = F.col("indexed") * F.col("probes") <= 2 * SMALL * F.col("members")
-        ends = sized.where(few)
-        pairs = (
-            ends.where("index")
-            .select("bucket", F.col("t1").alias("x"))
-            .join(ends.where("probe").select("bucket", F.col("t1").alias("y")), "bucket")
-            .where("x <> y")
-            .select(F.least("x", "y").alias("t1"), F.greatest("x", "y").alias("u1"))
-        )
+        held = F.when(F.col("probes") <= F.col("indexed"), F.col("probe")).otherwise(F.col("index"))
+        ends = sized.where(few).select("bucket", "t1", held.alias("held"), "index", "probe")
         # Far nodes meet by their own rarest elements, later without the pivots' near ones.
         far = _sized(far if turn else _by_rare_elements(far, sets, percent))
         far = materialise(far.where("members > 1"), "far")
         most = SMALL << turn
-        pairs = pairs.unionByName(_pairs_of(far.where(F.col("members") <= most))).distinct()
-        links = links.unionByName(_links(pairs, sets, percent))
-        found = materialise(links if found is None else found.unionByName(links), "links")
+        ends = ends.unionByName(_whole(far.where(F.col("members") <= most)))
+        pairs = _alike(ends, labels, sketches, percent)
+        found = materialise(found.unionByName(_links(pairs, sets, percent)), "links")
         large = sized.where(~few).select("bucket", "t1", "members").unionByName(
             far.where(F.col("members") > most).select("bucket", "t1", "members")
         )
         large = materialise(large, "large")
+        pivoted = _pivoted(large)
     # Buckets that no pivot has split.
-    return found.unionByName(_links(_pairs_of(large), sets, percent))
+    return found.unionByName(_links(_pairs_of(large, _labels(found)), sets, percent))
 
 
 def _grouped(
@@ -620,14 +705,18 @@ def _grouped(
     )
     arrow = to_arrow_schema(StructType.fromDDL(_SIGNED))
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(rows, n, share))
-    signed = rows.mapInArrow(_signed(n, percent, frequent, arrow), _SIGNED)
     group = Window.partitionBy("signature", "salt")
-    kept = materialise(
-        signed.withColumns({"least": F.min("t1").over(group), "most": F.max("t1").over(group)})
-        .where(F.col("twice") | (F.col("least") != F.col("most")))
-        .select("signature", "t1", "t2", "id", "n"),
-        "signed",
-    )
+    # A set signs a share of 2 * (100 - percent) / 100 of its size; a pass sends a fifth at most.
+    passes, kept = max(1, -(-(100 - percent) // 10)), None
+    for turn in range(passes):
+        signed = rows.mapInArrow(_signed(n, percent, frequent, arrow, turn, passes), _SIGNED)
+        part = materialise(
+            signed.withColumns({"least": F.min("t1").over(group), "most": F.max("t1").over(group)})
+            .where(F.col("twice") | (F.col("least") != F.col("most")))
+            .select("signature", "t1", "t2", "id", "n"),
+            "signed",
+        )
+        kept = part if kept is None else kept.unionByName(part)
     documents = kept.where("signature is null")
     buckets = materialise(
         kept.where("signature is not null")
@@ -638,12 +727,35 @@ def _grouped(
     candidates = buckets.select("t1").distinct()
     sketches = materialise(_of_texts(rows, candidates, _sketched, n, _SKETCHES), "sketches")
     sized = materialise(_sized(buckets).where("members > 1"), "buckets")
-    pairs = _pairs_of(sized.where(F.col("members") <= SMALL))
-    pairs = materialise(_alike(pairs, sketches, percent), "pairs")
-    large = sized.where(F.col("members") > SMALL)
-    nodes = pairs.select("t1").union(pairs.select("u1")).union(large.select("t1")).distinct()
+    # Each node of a large bucket meets one pivot first; what that connects gives no pairs.
+    large, hot, stars, labels = sized.where(F.col("members") > SMALL), None, None, None
+    if large.limit(1).isEmpty():
+        large = None
+    else:
+        hot = materialise(
+            _of_texts(rows, large.select("t1").distinct(), _sets, n, _SETS), "sets"
+        )
+        large = _pivoted(large)
+        stars = _stars(large, hot, percent)
+        labels = _labels(stars)
+        large = materialise(_unsettled(large, labels), "pivots")
+    # Copies share most of their buckets, so buckets of the same nodes are one.
+    small = (
+        sized.where(F.col("members") <= SMALL)
+        .groupBy("bucket")
+        .agg(F.sort_array(F.collect_list("t1")).alias("nodes"))
+        .select("nodes")
+        .distinct()
+        .select(F.xxhash64("nodes").alias("bucket"), F.explode("nodes").alias("t1"))
+    )
+    small = _whole(small.distinct())
+    pairs = materialise(_alike(small, labels, sketches, percent), "pairs")
+    nodes = pairs.select("t1").union(pairs.select("u1")).distinct()
+    if hot is not None:
+        nodes = nodes.join(hot.select("t1"), "t1", "left_anti")
     sets = materialise(_of_texts(rows, nodes, _sets, n, _SETS), "sets")
-    label = components(links_of(pairs, large, sets, percent)).select(
+    sets = sets if hot is None else sets.unionByName(hot)
+    label = components(links_of(pairs, large, sets, sketches, stars, percent)).select(
         F.col("node.t1").alias("t1"), F.col("node.t2").alias("t2"), "label"
     )
     return documents.join(label, ["t1", "t2"], "left").select(

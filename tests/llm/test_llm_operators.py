@@ -115,6 +115,33 @@ def test_keep_one_of_each_group(docs, rows, none):
     assert jaccard.keep_one(none).count() == 0
 
 
+def test_copies_that_pivots_connect_give_no_pairs(spark, monkeypatch):
+    """Two by two, 40 copies share a change: they are alone in its buckets, but all are linked
+    with the first text. Signatures of 80 percent are sent in two passes."""
+    plain = [f"w{i}" for i in range(300)]
+    texts = [" ".join(plain)]
+    for i in range(40):
+        own = list(plain)
+        own[i] = f"own{i}"
+        own[100 + i // 2 * 5] = f"two{i // 2}"
+        texts.append(" ".join(own))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tables = []
+
+    def noted(made, name, write=jaccard.materialise):
+        table = write(made, name)
+        tables.append((name, table))
+        return table
+
+    monkeypatch.setattr(jaccard, "materialise", noted)
+    monkeypatch.setattr(jaccard, "SMALL", 4)
+    got = jaccard.near_groups(df, n=5, percent=80).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 41
+    assert sum(table.count() for name, table in tables if name == "pairs") == 0
+    signed = [table.where("signature is not null").count() for name, table in tables if name == "signed"]
+    assert len(signed) == 2 and 3 * max(signed) < 2 * sum(signed)
+
+
 def test_signatures_meet_for_linked_sets():
     rng = np.random.default_rng(5)
     frequent = np.zeros(0, dtype=np.uint64)
