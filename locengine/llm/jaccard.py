@@ -17,9 +17,11 @@ sketch, one bit per element or more: whether an odd number of its elements falls
 sets differ in at least as many elements as their sketches in bits, so a pair whose sketches
 differ in too many is dropped before any set is moved, and no link is lost. Pairs that are left
 form groups; the sets of a small group are brought together once and compared. Of a large group,
-the pairs that verified links have not connected yet are compared. In a larger
-bucket each node is compared with one pivot only, first with that of its heaviest bucket: nodes
-that links have connected give no pairs, and buckets of which all nodes are connected are done.
+the pairs that verified links have not connected yet are compared. A larger
+bucket has a pivot, and the nodes that meet in buckets of one pivot, or of pivots that meet, are
+brought together once: in one task, sketches in numpy leave few pairs to compare, and nodes that
+links have connected none. If these are too many for a task, each node is compared with one pivot
+only, first with that of its heaviest bucket, and buckets of connected nodes are done.
 Nodes that are not connected with the pivot may be linked with other nodes of the bucket. Two of them that are near the pivot have nearly
 the same difference from it, so they share one of the rarest elements of it; two that are far
 from it share one of their own rarest elements. Those meet in new, smaller buckets, and so on
@@ -56,6 +58,9 @@ from locengine.llm.components import components
 from locengine.llm.words import Words, mixed
 
 SMALL = 32
+# What one task compares of the members of a pivot's buckets: 64 MB of elements, 30 s at worst.
+MOST_NODES = 1 << 15
+MOST_ELEMENTS = 1 << 23
 _SLOTS = 1 << 20
 # One row per document (signature null) and one per signature of a text.
 _SIGNED = "signature long, t1 long, t2 long, id long, n long, salt int, twice boolean"
@@ -429,6 +434,132 @@ def _pivoted(large: DataFrame) -> DataFrame:
     )
 
 
+def _rows_of(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The values of some rows one after the other, and where each row begins."""
+    sizes = offsets[rows + 1] - offsets[rows]
+    starts = np.cumsum(sizes) - sizes
+    return values[np.arange(sizes.sum()) + np.repeat(offsets[rows] - starts, sizes)], starts
+
+
+def _sketches(elements: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A row per set: its sketch, of one length for all, in words of 64 bits."""
+    sizes = np.diff(offsets)
+    bits = max(64, 1 << (int(sizes.max()) - 1).bit_length())
+    out = np.zeros((len(sizes), bits // 64), dtype=np.uint64)
+    step = max(1, (1 << 22) // bits)
+    for a in range(0, len(sizes), step):
+        b = min(a + step, len(sizes))
+        slot = (elements[offsets[a] : offsets[b]] & np.uint64(bits - 1)).astype(np.int64)
+        slot += bits * np.repeat(np.arange(b - a), sizes[a:b])
+        odd = (np.bincount(slot, minlength=(b - a) * bits) & 1).astype(np.uint8)
+        out[a:b] = np.packbits(odd, bitorder="little").view(np.uint64).reshape(b - a, -1)
+    return out
+
+
+def spanning(elements: np.ndarray, offsets: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that connect all linked sets: i and j of sets elements[offsets[i]:offsets[i + 1]].
+
+    Every pair of sets in different components is compared, first by sketches. A set of the
+    component `main` needs no turn of its own: the others meet it in theirs.
+    """
+    sizes, found = np.diff(offsets), []
+    count = len(sizes)
+    marks = _sketches(elements, offsets)
+    names, ids = np.unique(elements, return_inverse=True)
+    own = np.zeros(len(names), dtype=bool)
+    root, main = np.arange(count), -1
+    for i in range(count):
+        if i == 16:
+            main = int(np.bincount(root).argmax())
+        if main >= 0 and root[i] == root[main]:
+            continue
+        least, most = np.minimum(sizes, sizes[i]), np.maximum(sizes, sizes[i])
+        near = np.flatnonzero((root != root[i]) & (least * 100 >= most * percent))
+        apart = np.bitwise_count(marks[near] ^ marks[i]).sum(1, dtype=np.int64)
+        near = near[(100 + percent) * apart <= (100 - percent) * (sizes[near] + sizes[i])]
+        mine = ids[offsets[i] : offsets[i + 1]]
+        own[mine] = True
+        at, step = 0, 8
+        while at < len(near):
+            some = near[at : at + step]
+            some = some[root[some] != root[i]]
+            at, step = at + step, min(2 * step, 1024)
+            if not len(some):
+                continue
+            values, starts = _rows_of(ids, offsets, some)
+            shared = np.add.reduceat(own[values], starts, dtype=np.int64)
+            for j in some[(100 + percent) * shared >= percent * (sizes[some] + sizes[i])].tolist():
+                if root[j] != root[i]:
+                    found.append((i, j))
+                    root[root == root[j]] = root[i]
+        own[mine] = False
+    return found
+
+
+def _compared_whole(percent: int, arrow: pa.Schema):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        cells = table.column("elements").chunk(0)
+        elements = cells.flatten().to_numpy().view(np.uint64)
+        offsets = cells.offsets.to_numpy().astype(np.int64)
+        found = spanning(elements, offsets - offsets[0], percent)
+        ends = np.array(found, dtype=np.int64).reshape(-1, 2)
+        t1, t2 = table.column("t1").to_numpy(), table.column("t2").to_numpy()
+        columns = [x[ends[:, k]] for k in (0, 1) for x in (t1, t2)]
+        return pa.Table.from_arrays([pa.array(c) for c in columns], schema=arrow)
+
+    return run
+
+
+def _together(
+    pivoted: DataFrame, sets: DataFrame, percent: int
+) -> tuple[DataFrame, DataFrame | None]:
+    """Links that connect all that are linked of the nodes that share a pivot's buckets, and the
+    rows of pivots that have too many for this, if there are any.
+
+    Pivots share most of their nodes. All nodes that pivots connect are compared at once where
+    that is not more work than one pivot after the other.
+    """
+    pairs = pivoted.select("t1", "u1").distinct()
+    members = materialise(
+        pairs.unionByName(pairs.select(F.col("u1").alias("t1"), "u1").distinct()), "members"
+    )
+    label = components(members.select(F.col("t1").alias("a"), F.col("u1").alias("b")))
+    label = label.select(F.col("node").alias("t1"), "label")
+    rows = members.join(label, "t1").join(sets.select("t1", "n"), "t1")
+    size = [F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("elements")]
+    fits = (F.col("nodes") <= MOST_NODES) & (F.col("elements") <= MOST_ELEMENTS)
+    sizes = rows.groupBy("u1", "label").agg(*size).withColumn("few", fits)
+    work = sizes.groupBy("label").agg(F.sum(F.col("nodes") * F.col("nodes")).alias("work"))
+    whole = rows.dropDuplicates(["t1", "label"]).groupBy("label").agg(*size).join(work, "label")
+    less = F.col("nodes") * F.col("nodes") <= F.col("work")
+    whole = whole.select("label", (fits & less).alias("whole"))
+    sizes = materialise(sizes.join(whole, "label").select("u1", "label", "few", "whole"), "sizes")
+    once = sizes.where("whole").select("label").distinct()
+    own = sizes.where("few and not whole").select("u1")
+    groups = label.join(once, "label").select(F.col("label").alias("grp"), "t1").unionByName(
+        members.join(own, "u1").select(F.col("u1").alias("grp"), "t1")
+    )
+    ddl = "a1 long, a2 long, b1 long, b2 long"
+    arrow = to_arrow_schema(StructType.fromDDL(ddl))
+    found = (
+        groups.join(sets, "t1")
+        .select("grp", "t1", "t2", "elements")
+        .groupBy("grp")
+        .applyInArrow(_compared_whole(percent, arrow), ddl)
+    )
+    many = sizes.where("not few and not whole").select("u1")
+    rest = None if many.isEmpty() else pivoted.join(many, "u1", "left_semi")
+    return materialise(_ends(found).distinct(), "links"), rest
+
+
+def _ends(found: DataFrame) -> DataFrame:
+    """Links (a, b), as structs of both keys, from (a1, a2, b1, b2)."""
+    a = F.struct(F.col("a1").alias("t1"), F.col("a2").alias("t2")).alias("a")
+    b = F.struct(F.col("b1").alias("t1"), F.col("b2").alias("t2")).alias("b")
+    return found.select(a, b)
+
+
 def _stars(pivoted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links of each node with one pivot: that of the heaviest of its buckets."""
     pairs = pivoted.groupBy("t1").agg(F.max(F.struct("weight", "u1"))["u1"].alias("u1"))
@@ -614,8 +745,8 @@ def links_of(
     percent: int,
 ) -> DataFrame:
     """Links (a, b) between different texts, as structs of both keys, that connect all that are
-    linked; from pairs (t1, u1), large buckets with their pivots (bucket, t1, u1) and the links
-    `stars`, which have connected some already.
+    linked; from pairs (t1, u1), large buckets with their pivots (bucket, t1, u1), those that are
+    not done yet, and the links `stars`, which have connected some already.
 
     Texts that pairs connect form a group. The sets of a group of at most 2 * SMALL texts are
     brought together and compared. Large buckets are split, and of larger groups those pairs are
@@ -634,11 +765,11 @@ def links_of(
         .sortWithinPartitions("label")
         .mapInArrow(_verified(percent, arrow), ddl)
     )
-    a = F.struct(F.col("a1").alias("t1"), F.col("a2").alias("t2")).alias("a")
-    b = F.struct(F.col("b1").alias("t1"), F.col("b2").alias("t2")).alias("b")
-    found = materialise(near.select(a, b), "near")
+    found = materialise(_ends(near), "near")
+    if stars is not None:
+        found = found.unionByName(stars)
     if large is not None:
-        found = _split_links(large, sets, sketches, percent, found.unionByName(stars))
+        found = _split_links(large, sets, sketches, percent, found)
     many = label.where(F.col("members") > 2 * SMALL).select("t1")
     if many.limit(1).isEmpty():
         return found
@@ -727,7 +858,7 @@ def _grouped(
     candidates = buckets.select("t1").distinct()
     sketches = materialise(_of_texts(rows, candidates, _sketched, n, _SKETCHES), "sketches")
     sized = materialise(_sized(buckets).where("members > 1"), "buckets")
-    # Each node of a large bucket meets one pivot first; what that connects gives no pairs.
+    # Nodes of large buckets are compared first; what that connects gives no pairs.
     large, hot, stars, labels = sized.where(F.col("members") > SMALL), None, None, None
     if large.limit(1).isEmpty():
         large = None
@@ -735,10 +866,12 @@ def _grouped(
         hot = materialise(
             _of_texts(rows, large.select("t1").distinct(), _sets, n, _SETS), "sets"
         )
-        large = _pivoted(large)
-        stars = _stars(large, hot, percent)
+        stars, large = _together(_pivoted(large), hot, percent)
+        if large is not None:
+            stars = stars.unionByName(_stars(large, hot, percent))
         labels = _labels(stars)
-        large = materialise(_unsettled(large, labels), "pivots")
+        if large is not None:
+            large = materialise(_unsettled(large, labels), "pivots")
     # Copies share most of their buckets, so buckets of the same nodes are one.
     small = (
         sized.where(F.col("members") <= SMALL)

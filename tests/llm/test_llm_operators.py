@@ -142,6 +142,73 @@ def test_copies_that_pivots_connect_give_no_pairs(spark, monkeypatch):
     assert len(signed) == 2 and 3 * max(signed) < 2 * sum(signed)
 
 
+def far_copies(n):
+    """Copies of one text with up to 60 changes, of which many are linked with none or few."""
+    rng, plain = random.Random(11), [f"w{i}" for i in range(200)]
+    for _ in range(n):
+        own = list(plain)
+        for _ in range(int(rng.random() ** 2 * 60)):
+            own[rng.randrange(200)] = f"x{rng.randrange(1 << 30)}"
+        yield " ".join(own)
+
+
+def least_ids(texts, n, percent):
+    """Per text the least number that links reach."""
+    sets = [{tuple(t.split()[i : i + n]) for i in range(len(t.split()) - n + 1)} for t in texts]
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if root[i] != root[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                least, most = sorted((root[i], root[j]))
+                root = [least if r == most else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("nodes", [1 << 15, 20, 0])
+def test_a_group_of_far_copies_is_compared_without_its_differences(spark, monkeypatch, nodes):
+    """No table of a group's differences from pivots, whose rows grow with the square of a group;
+    groups too large for one task (nodes) are still split."""
+    texts = list(far_copies(160))
+    tables = []
+
+    def noted(made, name, write=jaccard.materialise):
+        tables.append((name, made.columns))
+        return write(made, name)
+
+    monkeypatch.setattr(jaccard, "materialise", noted)
+    monkeypatch.setattr(jaccard, "SMALL", 8)
+    monkeypatch.setattr(jaccard, "MOST_NODES", nodes, raising=False)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r.component_id for r in jaccard.near_groups(df, n=5, percent=80).collect()}
+    want = least_ids(texts, 5, 80)
+    assert [got[i] for i in range(len(texts))] == want and 20 < len(set(want)) < 140
+    if nodes > len(texts):
+        assert not any("difference" in columns for _, columns in tables)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_spanning_links_connect_what_is_linked(percent):
+    texts = list(far_copies(120)) + ["w1 w2", "w1 w2 w3 w4", "one two three four five"]
+    sets = jaccard._shingles([t.encode() for t in texts], 3)
+    offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    links = jaccard.spanning(np.concatenate(sets), offsets, percent)
+    root = list(range(len(texts)))
+    for i, j in links:
+        assert root[i] != root[j]
+        assert (100 + percent) * len(np.intersect1d(sets[i], sets[j])) >= percent * (len(sets[i]) + len(sets[j]))
+        least, most = sorted((root[i], root[j]))
+        root = [least if r == most else r for r in root]
+    want = [0] * len(texts)
+    for i, a in enumerate(sets):
+        want[i] = i
+        for j in range(i):
+            shared = len(np.intersect1d(a, sets[j]))
+            if want[i] != want[j] and 100 * shared >= percent * (len(a) + len(sets[j]) - shared):
+                least, most = sorted((want[i], want[j]))
+                want = [least if r == most else r for r in want]
+    assert root == want
+
+
 def test_signatures_meet_for_linked_sets():
     rng = np.random.default_rng(5)
     frequent = np.zeros(0, dtype=np.uint64)
