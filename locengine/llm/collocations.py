@@ -8,15 +8,18 @@ A piece of a text lies between the marks `. , ; : ! ?` and line ends; phrases li
    phrases, so a count is an upper bound and no frequent phrase is missed. What passes a level
    is sent on as a bitmap of fixed size, which lets some others through. Joins on the hashes
    give the phrases: the candidates.
-2. `build`, one task per shard of about ENTRIES candidates and their words: a double array.
-   Symbols are the group and then words, as two digits each; a state's number is its cell.
-3. `_walk`: a shard is broadcast; numpy moves the states of all positions of a block of text
-   one digit on at a time, drops those without a cell, and counts accepting states. Spark adds
-   up the counts of tasks. These counts, exact on words, are the only ones that are used.
+2. `_windows`: a block's longest stretches of up to `longest` words whose parts passed, each with
+   how often it occurs there, go to the shard of their first two words, as ids into the words they
+   use: a row per block and shard, so rows and passes over the texts do not grow with the shards.
+3. `_walked`, one task at a time per shard of about ENTRIES candidates at most: `build` makes their
+   double array. Symbols are the group and then words, as two digits each; a state's number is its
+   cell. numpy moves the states of all stretches of a block one digit on at a time, drops those
+   without a cell, and counts accepting states. These counts, exact on words, are the only ones
+   that are used; those of single words are the counts of `_words`.
 
 Scores, containment and ranks are joins and windows on the counts. Broadcasts never exceed a
-bitmap or a shard; more candidates mean more shards, each a pass over the texts, so `entries`
-should be what workers have memory for (some 60 bytes each).
+bitmap per level; more candidates mean more shards, so `entries` should be what workers have
+memory for (some 60 bytes each).
 
 Defined results: a null text has no words, a null group is `und`; empty tables, and groups
 without a frequent phrase, give no rows; repeated rows count again; ties of score go by count,
@@ -43,7 +46,7 @@ from locengine.llm.words import mixed
 
 ENTRIES = 1 << 20  # of a shard: some 60 MB in a worker
 BLOCK = 1 << 22  # bytes of text that are walked at a time
-CHUNK = 1 << 22  # bytes of a shard that pass through the driver at a time
+FEWEST = 1 << 12  # entries of a shard, where there are shards enough for all cores
 SALTS = 64
 _KIND = np.zeros(256, dtype=np.uint8)  # 0 of a word, 1 space, 2 end of a piece
 _KIND[[0x20, 0x09]] = 1
@@ -168,7 +171,8 @@ def _words(df: DataFrame) -> DataFrame:
 
 
 def _keyed(df: DataFrame) -> DataFrame:
-    """(grp, phrase) with the hash of a word, or of a phrase from its parts (before, last)."""
+    """(grp, phrase) with the hash of a word, or of a phrase from its parts (before, last), and the
+    hash of the first two words: `pair`, or where that is null the phrase's own."""
     parts = "before" in df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,11 +186,13 @@ def _keyed(df: DataFrame) -> DataFrame:
                 words = [w.encode() for w in phrase.to_pylist()]
                 at = np.arange(len(words))
                 key = _hashes(words, of.dictionary.to_pylist(), at, of.indices.to_numpy())
+            key = pa.array(key.view(np.int64))
+            pair = pc.coalesce(batch.column(4), key) if parts else key
             yield pa.RecordBatch.from_arrays(
-                [grp, phrase, pa.array(key.view(np.int64))], ["grp", "phrase", "key"]
+                [grp, phrase, key, pair], ["grp", "phrase", "key", "pair"]
             )
 
-    return df.mapInArrow(run, "grp string, phrase string, key long")
+    return df.mapInArrow(run, "grp string, phrase string, key long, pair long")
 
 
 def _positions(block: Block, groups: list[str], passed: list, n: int) -> tuple[np.ndarray, ...]:
@@ -230,13 +236,15 @@ def _level(df: DataFrame, longest: int, n: int, passed: list, least: int) -> Dat
     return summed.where(F.col("n") >= least).select("before", "last")
 
 
-def candidates(df: DataFrame, longest: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """(grp, phrase): every phrase of 2 to `longest` words that `least` occurrences can have, some
-    with fewer, and all their words; and (grp, n): all words."""
+def candidates(df: DataFrame, longest: int, least: int) -> tuple[DataFrame, DataFrame, DataFrame, list]:
+    """(grp, phrase, pair): every phrase of 2 to `longest` words that `least` occurrences can have,
+    some with fewer, and the hash of its first two words; (grp, phrase, f): words that occur so
+    often; (grp, n): all words; and the bitmaps that phrases of 1, 2 ... words pass."""
     counted = materialise(_words(df).where((F.col("n") >= least) | F.col("word").isNull()), "words")
     totals = counted.where("word is null").select("grp", "n")
     frequent = counted.where("word is not null").where(F.col("n") >= least)
-    words = materialise(_keyed(frequent.select("grp", F.col("word").alias("phrase"))), "words")
+    frequent = frequent.select("grp", F.col("word").alias("phrase"), F.col("n").alias("f"))
+    words = materialise(_keyed(frequent.select("grp", "phrase")), "words")
     last = words.select(F.col("grp").alias("of"), F.col("phrase").alias("word"), F.col("key").alias("last"))
     passed, have, phrases = [bitmap(words, "key")], words, None
     for n in range(2, longest + 1):
@@ -244,13 +252,11 @@ def candidates(df: DataFrame, longest: int, least: int) -> tuple[DataFrame, Data
         before = have.withColumnRenamed("key", "before")
         both = found.join(before, "before").join(last, "last").where("of = grp")
         longer = F.concat_ws(" ", "phrase", "word").alias("phrase")
-        have = materialise(_keyed(both.select("grp", longer, "before", "last")), "phrases")
+        pair = (F.lit(None).cast("long") if n == 2 else F.col("pair")).alias("pair")
+        have = materialise(_keyed(both.select("grp", longer, "before", "last", pair)), "phrases")
         phrases = have if phrases is None else phrases.unionByName(have)
-        if n < longest:
-            passed.append(bitmap(have, "key"))
-    found = phrases.select("grp", "phrase")
-    words = found.select("grp", F.explode(F.split("phrase", " ")).alias("phrase"))
-    return found.unionByName(words).distinct(), totals
+        passed.append(bitmap(have, "key"))
+    return phrases.select("grp", "phrase", "pair").distinct(), frequent, totals, passed
 
 
 def _first_fit(taken: np.ndarray, low: int, top: int, digits: np.ndarray) -> tuple[int, int]:
@@ -323,10 +329,8 @@ def build(symbols: np.ndarray, radix: int) -> tuple[np.ndarray, np.ndarray, np.n
     return base[:size], check[:size], accept
 
 
-def _build_shard(table: pa.Table) -> pa.Table:
-    """One row with the trie (at null), then the shard's phrases by their number in it."""
-    table = table.combine_chunks()
-    grp, phrase = table.column("grp").combine_chunks(), table.column("phrase").combine_chunks()
+def _build_shard(grp: pa.Array, phrase: pa.Array) -> bytes:
+    """The trie of these phrases, which stand at their numbers."""
     parts = pc.split_pattern(phrase, " ")
     sizes = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
     words, groups = pc.list_flatten(parts).dictionary_encode(), grp.dictionary_encode()
@@ -338,32 +342,7 @@ def _build_shard(table: pa.Table) -> pa.Table:
     )
     radix = max(2, math.isqrt(len(words.dictionary) + len(groups.dictionary)) + 1)
     vocabulary = b"\n".join(w.encode() for w in words.dictionary.to_pylist())
-    made = pickle.dumps((radix, *build(symbols, radix), vocabulary, groups.dictionary.to_pylist()))
-    chunks = [made[a : a + CHUNK] for a in range(0, len(made), CHUNK)]
-    n, m, shard = len(phrase), len(chunks), table.column("shard")[0].as_py()
-    return pa.table(
-        {
-            "shard": pa.array([shard] * (m + n), pa.int32()),
-            "at": pa.array([None] * m + list(range(n)), pa.int32()),
-            "grp": pa.concat_arrays([pa.nulls(m, pa.string()), grp.cast(pa.string())]),
-            "phrase": pa.concat_arrays([pa.nulls(m, pa.string()), phrase.cast(pa.string())]),
-            "chunk": pa.array([*range(m)] + [None] * n, pa.int32()),
-            "chunks": pa.array([m] * m + [None] * n, pa.int32()),
-            "trie": pa.array(chunks + [None] * n, pa.binary()),
-        }
-    )
-
-
-def _fetch(rows: DataFrame) -> bytes:
-    """A shard, put together from chunks of which one at a time passes through the driver."""
-    own = rows.select("chunk", "chunks", "trie")
-    size = own.agg(F.max("chunks")).first()[0]
-    chunks = {}
-    for row in own.repartition(size, "chunk").toLocalIterator():
-        chunks[row["chunk"]] = bytes(row["trie"])
-    if sorted(chunks) != list(range(size)):
-        raise RuntimeError(f"a shard came back with {len(chunks)} of {size} chunks")
-    return b"".join(chunks[i] for i in range(size))
+    return pickle.dumps((radix, *build(symbols, radix), vocabulary, groups.dictionary.to_pylist()))
 
 
 class Trie:
@@ -386,71 +365,183 @@ class Trie:
         cell = self.base[state] + digit
         return cell, self.check[cell] == state
 
-    def accepted(self, block: Block, groups: list[str], longest: int) -> Iterator[np.ndarray]:
-        """Numbers of the phrases at all positions, one array per number of words."""
+    def reached(
+        self, block: Block | Windows, groups: list[str], longest: int, at: np.ndarray
+    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Which of the words `at` begin a phrase, and its number, per number of words."""
         symbol = np.array([self.words.get(w, -1) for w in block.names], dtype=np.int64)
         high, low = symbol // self.radix, symbol % self.radix
         roots = np.array([self.roots.get(g, -1) for g in groups], dtype=np.int64)
-        at = np.arange(block.starts)
-        state = roots[block.groups[: block.starts]]
+        state, of = roots[block.groups[at]], np.arange(len(at))
         keep = state >= 0
         for k in range(longest):
             if k:
                 keep = block.joined[at + k - 1]
-            at, state = at[keep], state[keep]
+            of, at, state = of[keep], at[keep], state[keep]
             name = block.ids[at + k]
             known = symbol[name] >= 0
-            at, state, name = at[known], state[known], name[known]
+            of, at, state, name = of[known], at[known], state[known], name[known]
             for digits in (high, low):
                 state, keep = self.step(state, digits[name])
-                at, state, name = at[keep], state[keep], name[keep]
+                of, at, state, name = of[keep], at[keep], state[keep], name[keep]
             number = self.accept[state]
-            yield number[number >= 0]
+            yield of[number >= 0], number[number >= 0]
             keep = np.ones(len(at), dtype=bool)
 
+    def accepted(self, block: Block, groups: list[str], longest: int) -> Iterator[np.ndarray]:
+        """Numbers of the phrases at all positions, one array per number of words."""
+        for _, number in self.reached(block, groups, longest, np.arange(block.starts)):
+            yield number
+
 
-def _walk(df: DataFrame, longest: int, trie: bytes) -> DataFrame:
-    """(at, n): occurrences of the phrases of one shard."""
-    shared = df.sparkSession.sparkContext.broadcast(trie)
+class Windows:
+    """Stretches of words one after the other: words names[ids[i]] of group groups[i], of which
+    joined[i] says that the next one follows; stretch k begins at starts[k] and occurs counts[k]
+    times."""
+
+    def __init__(self, made: bytes):
+        names, ids, sizes, self.counts, groups, self.of = pickle.loads(made)
+        self.names, self.ids = names.split(b"\n"), ids.astype(np.int64)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        self.starts = ends - sizes
+        self.joined = np.ones(len(ids), dtype=bool)
+        self.joined[ends - 1] = False
+        self.groups = np.repeat(groups, sizes)
+
+
+def _packed(block: Block, groups: list[str], passed: list, shards: int) -> Iterator[tuple[int, bytes]]:
+    """Per shard the stretches of a block that may be or begin with candidates: from each word
+    the longest one of which all parts passed, if it has two words or more."""
+    word = keys = block.hashes(groups)
+    good = _bits(passed[0], keys)
+    reach, pair, whole = np.ones(len(keys), dtype=np.uint8), keys, keys.copy()
+    for k in range(1, len(passed)):
+        keys = _longer(keys[:-1], word[k:])
+        good = good[:-1] & good[1:] & block.joined[: max(0, len(good) - 1)]
+        good &= _bits(passed[k], keys)
+        pair = keys if k == 1 else pair
+        at = np.flatnonzero(good)
+        reach[at] = k + 1
+        whole[at] = keys[at]
+    at = np.flatnonzero(reach[: block.starts] > 1)
+    at = at[np.argsort(whole[at])]
+    if not len(at):
+        return
+    # The same stretches stand together; words are compared, not only hashes.
+    words = np.full((len(at), len(passed)), -1, dtype=np.int32)
+    for k in range(len(passed)):
+        some = reach[at] > k
+        words[some, k] = block.ids[at[some] + k]
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (words[1:] != words[:-1]).any(1) | (block.groups[at[1:]] != block.groups[at[:-1]])
+    first = np.flatnonzero(new)
+    counts = np.diff(np.append(first, len(at))).astype(np.int32)
+    at, words = at[first], words[first]
+    shard = pair[at].view(np.int64) % shards
+    order = np.argsort(shard, kind="stable")
+    edges = np.searchsorted(shard[order], np.arange(shards + 1))
+    for i in np.flatnonzero(np.diff(edges)).tolist():
+        own = order[edges[i] : edges[i + 1]]
+        cells = words[own]
+        used, ids = np.unique(cells[cells >= 0], return_inverse=True)
+        names = b"\n".join(block.cells.take(pa.array(used)).to_pylist())
+        of = block.groups[at[own]].astype(np.int32)
+        yield i, pickle.dumps((names, ids.astype(np.int32), reach[at[own]], counts[own], of, groups))
+
+
+def _windows(df: DataFrame, longest: int, passed: list, shards: int) -> DataFrame:
+    """(shard, windows): stretches of words, a row per block and shard."""
+    shared = df.sparkSession.sparkContext.broadcast(passed)
 
     def compute(found):
-        made, held, waiting = Trie(shared.value), [], 0
-        total = np.zeros(len(made.accept), dtype=np.int64)
         for block, groups in found:
-            held += made.accepted(block, groups, longest)
-            waiting += block.starts
-            if waiting > len(total):
-                total += np.bincount(np.concatenate(held), minlength=len(total))
-                held, waiting = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield [pa.array(at.astype(np.int32)), pa.array(total[at])]
+            for shard, made in _packed(block, groups, shared.value, shards):
+                yield [pa.array([shard], pa.int32()), pa.array([made], pa.binary())]
+
+    return _scan(df, longest, compute, "shard int, windows binary")
+
+
+def _walked(rows: DataFrame, longest: int) -> DataFrame:
+    """(grp, phrase, f) from (shard, grp, phrase, windows): the phrases of a shard or stretches."""
+    arrow = pa.schema([("grp", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
+
+    class Counts:
+        """Of one shard; what is found waits until it is worth adding up."""
+
+        def __init__(self, grp: pa.Array, phrase: pa.Array):
+            self.columns, self.trie = [grp, phrase], Trie(_build_shard(grp, phrase))
+            self.total, self.held, self.waiting = np.zeros(len(grp), dtype=np.int64), [], 0
 
-    return _scan(df, longest, compute, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
+        def walk(self, made: bytes) -> None:
+            windows = Windows(made)
+            for of, number in self.trie.reached(windows, windows.of, longest, windows.starts):
+                self.held.append((number, windows.counts[of]))
+                self.waiting += len(of)
+            if self.waiting > len(self.total):
+                self.add()
+
+        def add(self) -> None:
+            number, count = (np.concatenate(c) for c in zip(*self.held, strict=True))
+            self.total += np.bincount(number, count, len(self.total)).astype(np.int64)
+            self.held, self.waiting = [], 0
+
+        def done(self) -> pa.RecordBatch:
+            if self.held:
+                self.add()
+            at = pa.array(np.flatnonzero(self.total))
+            columns = [c.take(at) for c in [*self.columns, pa.array(self.total)]]
+            return pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, phrases, counts = None, [], None
+        for batch in batches:
+            shards = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                if shards[a] != now:
+                    if counts is not None:
+                        yield counts.done()
+                    now, phrases, counts = shards[a], [], None
+                part = batch.slice(a, b - a)
+                found = part.column(3).is_valid()
+                own = part.filter(pc.invert(found))
+                if own.num_rows:
+                    phrases.append([c.cast(pa.string()) for c in (own.column(1), own.column(2))])
+                for made in part.column(3).filter(found):
+                    if counts is None and phrases:
+                        counts = Counts(*(pa.concat_arrays(c) for c in zip(*phrases, strict=True)))
+                        phrases = []
+                    if counts is not None:
+                        counts.walk(made.as_py())
+        if counts is not None:
+            yield counts.done()
+
+    sorted_ = rows.repartition("shard").sortWithinPartitions("shard", F.col("windows").isNotNull())
+    return sorted_.mapInArrow(run, "grp string, phrase string, f long")
 
 
 def phrase_counts(
     df: DataFrame, longest: int = 3, least: int = 10, entries: int = ENTRIES
 ) -> tuple[DataFrame, DataFrame]:
-    """(grp, phrase, f) of all candidates and their words, and (grp, n), all words, from a table
-    (text, grp). Texts are read once a level and once a shard."""
-    made, totals = candidates(df, longest, least)
+    """(grp, phrase, f) of all candidates and of frequent words, and (grp, n), all words, from a
+    table (text, grp). Texts are read once a level, and once more."""
+    made, words, totals, passed = candidates(df, longest, least)
     found = materialise(made, "candidates")
-    shards = -(-found.count() // entries)
-    counts = df.sparkSession.createDataFrame([], "grp string, phrase string, f long")
-    if not shards:
-        return counts, totals
-    shard = F.pmod(F.xxhash64("grp", "phrase"), F.lit(shards)).cast("int")
-    schema = "shard int, at int, grp string, phrase string, chunk int, chunks int, trie binary"
-    built = found.withColumn("shard", shard).groupBy("shard").applyInArrow(_build_shard, schema)
-    built = materialise(built, "tries")
-    for i in sorted(r[0] for r in built.where("chunk = 0").select("shard").collect()):
-        own = built.where(F.col("shard") == i)
-        walked = _walk(df, longest, _fetch(own.where("chunk is not null")))
-        part = own.where("at is not null").join(walked, "at").select("grp", "phrase", F.col("n").alias("f"))
-        counts = counts.unionByName(materialise(part, "counts"))
-    return counts, totals
+    count = found.count()
+    if not count:
+        return words.limit(0), totals
+    cores = 8 * df.sparkSession.sparkContext.defaultParallelism
+    shards = max(-(-count // entries), min(cores, -(-count // FEWEST)))
+    shard = F.pmod("pair", F.lit(shards)).cast("int").alias("shard")
+    own = found.select(shard, "grp", "phrase", F.lit(None).cast("binary").alias("windows"))
+    nothing = F.lit(None).cast("string")
+    stretches = _windows(df, longest, passed, shards).select(
+        "shard", nothing.alias("grp"), nothing.alias("phrase"), "windows"
+    )
+    counts = materialise(_walked(own.unionByName(stretches), longest), "counts")
+    return counts.unionByName(words), totals
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:

@@ -89,6 +89,16 @@ def test_shards_longer_phrases_and_limits(spark, rows):
     assert result(df, longest=2) == by_force(rows, 2)
 
 
+def test_texts_are_read_as_often_for_many_shards(spark, monkeypatch, rows):
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("cast(coalesce(text, '') as binary) text", "'en' grp")
+    read, scan = [], module._scan
+    monkeypatch.setattr(module, "_scan", lambda *a: read.append(1) or scan(*a))
+    few = {(r.grp, r.phrase): r.f for r in phrase_counts(df)[0].collect()}
+    once = len(read)
+    many = {(r.grp, r.phrase): r.f for r in phrase_counts(df, entries=20)[0].collect()}
+    assert many == few and len(few) > 100 and once == len(read) - once == 4
+
+
 def test_long_text_is_cut_without_loss(spark, monkeypatch, rows):
     monkeypatch.setattr(module, "BLOCK", 64)
     text = " ".join(r[1] for r in rows if r[1]).replace("\n", " ").replace(".", " ")
